@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, packing, sharding
-from .common import durable, table
+from . import chat, decontaminate, language, media, packing, sharding, toxicity
+from .common import crc_fold, durable, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PACKING_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -18,6 +18,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.classify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
 
 _OP9_SQL = r"""
 WITH item_words AS (
