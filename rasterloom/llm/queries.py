@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, media, packing, sharding, toxicity
+from . import chat, decontaminate, html, language, media, packing, sharding, toxicity
 from .common import crc_fold, durable, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit()).select("page_id", "url", "text", "n_chars")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op4_html_extraction, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
 
 _OP9_SQL = r"""
 WITH item_words AS (
