@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, media, near_duplicates, packing, sharding, toxicity
+from . import chat, decontaminate, html, language, media, near_duplicates, packing, repeats, sharding, toxicity
 from .common import crc_fold, durable, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -35,6 +35,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit()).select("page_id", "url", "text", "n_chars")
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
@@ -68,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op4_html_extraction, op6_near_duplicates, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op4_html_extraction, op5_repeated_substrings, op6_near_duplicates, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
 
 _OP9_SQL = r"""
 WITH item_words AS (
