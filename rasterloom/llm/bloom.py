@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +26,20 @@ def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key (uint64) may be in the table."""
     place = keys >> np.uint64(39)
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def maybe_in(df: DataFrame, table: np.ndarray, once: bool = True, inside: bool = True, key: str = "text_key") -> DataFrame:
+    """Rows whose key may be (``inside``) or surely isn't in the table; ``once``: rows of equal keys once a task."""
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            take = np.flatnonzero(maybe(sent.value, keys.view(np.uint64)) == inside).tolist()
+            if once:
+                take = [i for i in take if keys[i] not in seen and not seen.add(keys[i])]
+            if take:
+                yield batch.take(pa.array(take, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)

@@ -10,9 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; only where none is set (tests) make a local one."""
     sc = spark.sparkContext
@@ -67,3 +64,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+
+
+def text_key(column: str):
+    """A 64-bit fingerprint of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (xor-shifts and odd multipliers)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

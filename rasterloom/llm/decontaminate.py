@@ -102,16 +102,16 @@ def parts_of(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", window: int = 13, part_bytes: int = 16 << 20, least_share: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: key, n_words, n_hit, items (sorted), char_spans of the hits in the original text, contaminated.
 
-    ``carry``: more columns of ``docs`` to hand through (with one part; otherwise take them from ``docs``).
+    ``carry``: more columns of ``docs`` to hand through.
     """
     inverse = round(1 / least_share)
     kinds = dict(docs.dtypes)
-    names = [key, *carry]
+    names = list(dict.fromkeys([key, *carry]))
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, hits array<struct<a:long,b:long>>, items array<long>, char_spans array<struct<a:long,b:long>>"
     parts = parts_of(benchmark.select("item_id", "text"), part_bytes)
     if len(parts) > 1:
         docs = docs.withColumn("_row", F.monotonically_increasing_id())
-        docs = durable(docs.select("_row", *names, column))
+        docs = durable(docs.select(*dict.fromkeys(["_row", *names, column])))
         names = ["_row", *names]
         schema = "_row long, " + schema
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -133,14 +133,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                 cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(span)), pa.array(found, pa.list_(pa.int64())), pa.array(chars, pa.list_(span))]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + cols, names=[*names, "n_words", "hits", "items", "char_spans"])
 
-        return docs.select(*names, column).mapInArrow(run, schema)
+        return docs.select(*dict.fromkeys([*names, column])).mapInArrow(run, schema)
 
     out = scanned(parts[0])
     if len(parts) > 1:
         for part in parts[1:]:
             out = out.unionByName(scanned(part))
         # the hits of one row are spans of the same words; merge them as sets of spans
-        out = out.groupBy(*names).agg(
+        handed = [c for c in names if c != "_row"]
+        out = out.groupBy("_row").agg(
+            *(F.first(c).alias(c) for c in handed),
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

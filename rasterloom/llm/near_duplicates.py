@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bit_table, maybe
-from .common import durable, slices, text_buffers
+from .bloom import bit_table, maybe, maybe_in
+from .common import durable, mix, slices, text_buffers, text_key
 from .graph import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 48
@@ -44,15 +44,6 @@ _PLACE = _rng.integers(1, 1 << 63, 1024, np.int64).view(np.uint64) * np.uint64(2
 _STEP = _rng.integers(1, 1 << 63, SHINGLE, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shifts and odd multipliers)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(batch: pa.RecordBatch, column: str, weights: str = "set") -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Of each text: its sorted distinct shingle hashes, their weights, and the key of that set."""
     offsets, data = text_buffers(batch.column(column))
@@ -204,9 +195,10 @@ def cluster(nodes: list[tuple[int, np.ndarray, np.ndarray, int | None]], thresho
     return [find(i) for i in range(len(nodes))], is_anchor
 
 
-def sketch(docs: DataFrame, key: str, column: str, weights: str = "set") -> DataFrame:
-    """(key, node, n_shingles, bands) of every row."""
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, node long, n_shingles long, bands array<long>"
+def sketch(docs: DataFrame, keys: tuple[str, ...], column: str, weights: str = "set") -> DataFrame:
+    """(keys, node, n_shingles, bands) of every row."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", node long, n_shingles long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
@@ -223,9 +215,10 @@ def sketch(docs: DataFrame, key: str, column: str, weights: str = "set") -> Data
                 size[fresh] = BANDS
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 column_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), column_of], names=[key, "node", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key_columns), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), column_of], names=[*key_columns, "node", "n_shingles", "bands"])
 
-    return docs.select(key, column).mapInArrow(run, schema)
+    key_columns = list(keys)
+    return docs.select(*keys, column).mapInArrow(run, schema)
 
 
 def _sets_of(docs: DataFrame, column: str, wanted: np.ndarray, weights: str) -> DataFrame:
@@ -278,9 +271,9 @@ def _clustered(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, label long, anchor boolean")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
-    """(key, node, class_id): rows of a class are linked by similarities of ``threshold`` or more."""
-    rows = durable(sketch(docs, key, column, weights))
+def near_duplicate_nodes(docs: DataFrame, keys: tuple[str, ...], column: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
+    """(keys, class) of every row; the class is a node of it: links are similarities of ``threshold`` or more."""
+    rows = durable(sketch(docs, keys, column, weights))
     bands = rows.where(F.size("bands") > 0).select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
     edges = bands.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
@@ -309,14 +302,25 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", column: str = "
         found = components(durable(links))
     else:
         found = first.select("node", F.col("label").alias("component"))
-    named = rows.select(key, "node").join(found, "node", "left").withColumn("_class", F.coalesce("component", "node"))
-    least = named.groupBy("_class").agg(F.min(key).alias("class_id"))
-    return named.join(least, "_class").select(key, "node", "class_id")
+    return rows.select(*keys, "node").join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("class"))
+
+
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
+    """(key, class_id) of every row."""
+    named = durable(near_duplicate_nodes(docs, (key,), column, threshold, weights))
+    return named.join(named.groupBy("class").agg(F.min(key).alias("class_id")), "class").select(key, "class_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id (of equal ids, one)."""
-    classes = near_duplicate_classes(docs, key, column, threshold)
-    kept = classes.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_id")).distinct()
-    chosen = docs.join(kept, docs[key].eqNullSafe(kept["_id"]), "left_semi")
-    return chosen
+    """``docs`` with one row of each class: that with the smallest id (null first, then by a hash of the text)."""
+    columns = docs.columns
+    keyed = docs.withColumn("_text_key", text_key(column)).withColumn("_row_key", F.xxhash64(key, "_text_key"))
+    named = durable(near_duplicate_nodes(keyed.select(key, "_text_key", "_row_key", column), (key, "_text_key", "_row_key"), column, threshold))
+    order = F.struct(key, "_text_key")
+    best = named.groupBy("class").agg(F.min(order).alias("best"))
+    rows = named.join(best, "class").groupBy("_row_key").agg(F.max(order == F.col("best")).alias("kept"), F.count("*").alias("n"))
+    changes = durable(rows.where("not kept or n > 1").select("_row_key", "kept"))
+    table = bit_table(changes, "_row_key")
+    touched = maybe_in(keyed, table, once=False, key="_row_key").join(changes, "_row_key", "left")
+    once = touched.where("kept").dropDuplicates(["_row_key"]).select(*columns)
+    return maybe_in(keyed, table, once=False, inside=False, key="_row_key").select(*columns).unionByName(touched.where("kept is null").select(*columns)).unionByName(once)

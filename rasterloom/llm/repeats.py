@@ -30,9 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bit_table, maybe
-from .common import durable, slices, text_buffers, total_bytes
-from .near_duplicates import mix
+from .bloom import bit_table, maybe_in
+from .common import durable, mix, slices, text_buffers, text_key, total_bytes
 
 LENGTH = 400
 # Perfect difference covers: every residue modulo V is a difference of two of these (fixed values).
@@ -394,27 +393,6 @@ def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.column_stack([start[at], end[np.append(at[1:] - 1, len(end) - 1)]]).astype(np.int64)
 
 
-def maybe_in(docs: DataFrame, wanted: np.ndarray, once: bool = True, inside: bool = True) -> DataFrame:
-    """Rows whose text key may be (``inside``) or surely isn't in the bit table; ``once``: a task's copies once."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys = batch.column("text_key").to_numpy(zero_copy_only=False)
-            take = np.flatnonzero(maybe(sent.value, keys.view(np.uint64)) == inside).tolist()
-            if once:
-                take = [i for i in take if keys[i] not in seen and not seen.add(keys[i])]
-            if take:
-                yield batch.take(pa.array(take, pa.int64()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def text_key(column: str):
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
-
-
 def _cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int]]]]:
     """Each batch with (kept bytes, removed bytes, removed spans) of its rows."""
     for whole in batches:

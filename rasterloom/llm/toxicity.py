@@ -270,11 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     return model
 
 
-def score(docs: DataFrame, model: Model, column: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from the threshold on)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, column: str = "text", threshold: float = 0.3, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 from the threshold on), named by ``out``."""
+    kept = [f for f in docs.schema.fields if f.name not in out]
     names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out[0]}` double, `{out[1]}` int"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +282,6 @@ def score(docs: DataFrame, model: Model, column: str = "text", threshold: float
         for whole in batches:
             for batch in slices(whole, column):
                 s = sent.value.score(sent.value.statistics(batch, column, known))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
     return docs.select(*names).mapInArrow(run, schema)
