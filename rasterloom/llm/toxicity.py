@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, durable, slices, text_buffers
+from .common import crc_fold, durable, text_buffers
 
 ORDER, SHARED, BITS = 6, 3, 10
 MARGIN = 2.0
+BLOCK = 1 << 20
 SLOTS = 1 << 20
 _SYMBOL = np.ones(0x110000, np.int64)  # 1: the end of a word
 for _o in range(0x250):
@@ -47,12 +48,29 @@ def suffix(grams: np.ndarray, order: int) -> np.ndarray:
     return grams & ((1 << (BITS * order)) - 1)
 
 
-def word_grams(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts of a batch: each character's gram (it and up to five before it in its word, packed), the
-    index of each word's last gram, and each word's row."""
+def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, starts, rows) of the texts in blocks of about ``BLOCK`` bytes; longer texts are cut between words."""
     offsets, data = text_buffers(batch.column(column))
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-    starts = offsets - offsets[0]
+    raw = np.frombuffer(data, np.uint8)
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1)
+        if offsets[end] - offsets[row] <= BLOCK:
+            yield raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], np.arange(row, end)
+        else:
+            start, stop = int(offsets[row]), int(offsets[end])
+            while start < stop:
+                cut = min(stop, start + BLOCK)
+                while cut < stop and raw[cut] not in (32, 10):
+                    cut += 1
+                yield raw[start:cut], np.array([0, cut - start]), np.array([row])
+                start = cut
+        row = end
+
+
+def word_grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts that start at ``starts``: each character's gram (it and up to five before it in its word, packed),
+    the index of each word's last gram, and the number of each word's text."""
     char_at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[starts]
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     if len(points) != char_at[-1]:  # not valid UTF-8: count again
@@ -61,13 +79,13 @@ def word_grams(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarr
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
     lengths = np.diff(char_at)
     s = np.insert(_SYMBOL[points], char_at[:-1], 1)
-    row = np.repeat(np.arange(len(lengths)), lengths + 1)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 1) | (s[:-1] != 1)
     s, row = np.append(s[keep], 1), row[keep]
     if len(s) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    place = np.arange(len(s))
+    place = np.arange(len(s), dtype=np.int32)
     last = np.maximum.accumulate(np.where(s == 1, place, 0))
     since = place - np.concatenate([[0], last[:-1]])  # to the boundary before, which belongs to the context
     grams = s.copy()
@@ -95,15 +113,15 @@ def count_grams(docs: DataFrame, key: str, column: str, sample: DataFrame) -> Da
         def rows(grams, numbers):
             return pa.RecordBatch.from_arrays([pa.array(grams), *(pa.array(n.astype(np.int64)) for n in numbers)], names=names)
 
-        for whole in batches:
-            for batch in slices(whole, column):
-                grams, ends, row = word_grams(batch, column)
+        for batch in batches:
+            own = np.array([-1 if k is None else k for k in batch.column("_key").to_pylist()], np.int64)
+            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+            kinds = np.where(ids[at] == own, 1 + toxic[at], 0).astype(np.int8) if len(ids) else np.zeros(len(own), np.int8)
+            for raw, starts, rows_of in blocks(batch, column):
+                grams, ends, row = word_grams(raw, starts)
                 if not len(grams):
                     continue
-                own = np.array([-1 if k is None else k for k in batch.column("_key").to_pylist()], np.int64)
-                at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
-                kind = np.where(ids[at] == own, 1 + toxic[at], 0) if len(ids) else np.zeros(len(own), np.int64)
-                kind = np.repeat(kind[row], np.diff(np.concatenate([[-1], ends])))
+                kind = np.repeat(kinds[rows_of[row]], np.diff(np.concatenate([[-1], ends])))
                 slot = _slot(grams)
                 free = keys[slot] == 0
                 keys[slot[free]] = grams[free]
@@ -172,10 +190,12 @@ class Model:
 
     def statistics(self, batch: pa.RecordBatch, column: str, cache: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Rows of: ratio a word, evidence beyond the margin a word, its root, log of the number of words."""
-        grams, ends, row = word_grams(batch, column)
-        out = np.zeros((batch.num_rows, 4))
-        if len(grams):
-            keys, values = cache
+        total, beyond, n = np.zeros((3, batch.num_rows))
+        keys, values = cache
+        for raw, starts, rows in blocks(batch, column):
+            grams, ends, row = word_grams(raw, starts)
+            if not len(grams):
+                continue
             slot = _slot(grams)
             miss = keys[slot] != grams
             found = values[slot]
@@ -185,12 +205,11 @@ class Model:
                 found[miss] = r[inverse]
                 keys[_slot(u)], values[_slot(u)] = u, r
             words = np.add.reduceat(found.astype(np.float64), np.concatenate([[0], ends[:-1] + 1]))
-            n = np.bincount(row, minlength=batch.num_rows)
-            out[:, 0] = np.bincount(row, words, batch.num_rows) / np.maximum(n, 1)
-            out[:, 1] = np.bincount(row, np.maximum(words - MARGIN, 0), batch.num_rows) / np.maximum(n, 1)
-            out[:, 2] = np.sqrt(out[:, 1])
-            out[:, 3] = np.log1p(n)
-        return out
+            total += np.bincount(rows[row], words, batch.num_rows)
+            beyond += np.bincount(rows[row], np.maximum(words - MARGIN, 0), batch.num_rows)
+            n += np.bincount(rows[row], minlength=batch.num_rows)
+        each = np.maximum(n, 1)
+        return np.column_stack([total / each, beyond / each, np.sqrt(beyond / each), np.log1p(n)])
 
     def score(self, statistics: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -259,8 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cache()
-        for whole in batches:
-            for batch in slices(whole, column):
+        for batch in batches:
+            if batch.num_rows:
                 s = sent.value.statistics(batch, column, known)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in s.T)], names=["toxic", "a", "b", "c", "d"])
 
@@ -279,8 +298,8 @@ def score(docs: DataFrame, model: Model, column: str = "text", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cache()
-        for whole in batches:
-            for batch in slices(whole, column):
+        for batch in batches:
+            if batch.num_rows:
                 s = sent.value.score(sent.value.statistics(batch, column, known))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
