@@ -132,7 +132,7 @@ def quadratic_roots(a: Column, b: Column, c: Column) -> Column:
 
 
 def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Real roots in ascending order; quadratic where a is (nearly) 0."""
+    """Real roots in ascending order (one where there aren't three different ones); quadratic where a is (nearly) 0."""
     flat = F.abs(a) < 1e-12
     safe = F.when(flat, 1.0).otherwise(a)
     p, q, r = b / safe, c / safe, d / safe
@@ -142,12 +142,8 @@ def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t / F.sqrt(F.when(three, s * s * s).otherwise(1.0)))))
     size = -2 * F.sqrt(F.when(three, s).otherwise(0.0))
     many = F.array_sort(F.array(*[size * F.cos((angle + k * 2 * np.pi) / 3) - p / 3 for k in (0, 1, -1)]))
-    u = -F.signum(t) * F.cbrt(F.abs(t) + F.sqrt(F.when(three, 0.0).otherwise(t * t - s * s * s)))
-    w = F.when(u == 0, 0.0).otherwise(s / F.when(u == 0, 1.0).otherwise(u))
-    single = u + w - p / 3
-    double = -(u + w) / 2 - p / 3
-    pair = (F.abs(t * t - s * s * s) < 1e-14) & (F.abs(u - w) < 1e-9)
-    one = F.when(pair & (F.abs(single - double) > 1e-9), F.array_sort(F.array(single, double))).otherwise(F.array(single))
+    d2 = F.sqrt(F.when(three, 0.0).otherwise(t * t - s * s * s))
+    one = F.array(F.cbrt(d2 - t) + F.cbrt(-t - d2) - p / 3)
     return F.when(flat, quadratic_roots(b, c, d)).when(three, many).otherwise(one)
 
 
