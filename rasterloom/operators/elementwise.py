@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 from ..sources.pixels import KEYS
 from ..types import DEPTHS, MatrixError, clamp, is_float, saturate_cast, scalar, strict_cast, truncate_cast
 
-V = F.col("v")
-C = F.col("c")
+
+def val() -> Column:
+    return F.col("v")
+
+
+def at_c() -> Column:
+    return F.col("c")
+
 
 
 def mapped(px: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
-    return px.withColumn("v", f(V).cast("double"))
+    return px.withColumn("v", f(val()).cast("double"))
 
 
 def paired(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column]) -> DataFrame:
     """One join on the place; both sides are hash partitioned alike, so a pre-partitioned table isn't moved."""
     other = b.select(*KEYS, F.col("v").alias("_w"))
-    return a.join(other, list(KEYS)).select(*KEYS, f(V, F.col("_w")).cast("double").alias("v"))
+    return a.join(other, list(KEYS)).select(*KEYS, f(val(), F.col("_w")).cast("double").alias("v"))
 
 
 def _bits(v: Column, depth: str) -> Column:
@@ -47,19 +53,19 @@ def divide(a: DataFrame, b: DataFrame, depth: str = "u8") -> DataFrame:
 
 
 def add_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: clamp(v + truncate_cast(scalar(s, C), depth), depth))
+    return mapped(px, lambda v: clamp(v + truncate_cast(scalar(s, at_c()), depth), depth))
 
 
 def subtract_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: clamp(v - truncate_cast(scalar(s, C), depth), depth))
+    return mapped(px, lambda v: clamp(v - truncate_cast(scalar(s, at_c()), depth), depth))
 
 
 def multiply_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: truncate_cast(v * scalar(s, C), depth))
+    return mapped(px, lambda v: truncate_cast(v * scalar(s, at_c()), depth))
 
 
 def divide_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    d = scalar(s, C)
+    d = scalar(s, at_c())
     return mapped(px, lambda v: F.when(d == 0, 0.0).otherwise(truncate_cast(v / F.when(d == 0, 1.0).otherwise(d), depth)))
 
 
@@ -80,15 +86,15 @@ def bitwise_xor(a: DataFrame, b: DataFrame, depth: str = "u8") -> DataFrame:
 
 
 def bitwise_and_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: _bits(v, depth).bitwiseAND(scalar(s, C).cast("long")))
+    return mapped(px, lambda v: _bits(v, depth).bitwiseAND(scalar(s, at_c()).cast("long")))
 
 
 def bitwise_or_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: _bits(v, depth).bitwiseOR(scalar(s, C).cast("long")))
+    return mapped(px, lambda v: _bits(v, depth).bitwiseOR(scalar(s, at_c()).cast("long")))
 
 
 def bitwise_xor_scalar(px: DataFrame, s, depth: str = "u8") -> DataFrame:
-    return mapped(px, lambda v: _bits(v, depth).bitwiseXOR(scalar(s, C).cast("long")))
+    return mapped(px, lambda v: _bits(v, depth).bitwiseXOR(scalar(s, at_c()).cast("long")))
 
 
 def bitwise_not(px: DataFrame, depth: str = "u8") -> DataFrame:
@@ -105,11 +111,11 @@ def maximum(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def min_scalar(px: DataFrame, s) -> DataFrame:
-    return mapped(px, lambda v: F.least(v, scalar(s, C)))
+    return mapped(px, lambda v: F.least(v, scalar(s, at_c())))
 
 
 def max_scalar(px: DataFrame, s) -> DataFrame:
-    return mapped(px, lambda v: F.greatest(v, scalar(s, C)))
+    return mapped(px, lambda v: F.greatest(v, scalar(s, at_c())))
 
 
 def abs_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ absdiff = abs_diff
 
 
 def abs_diff_scalar(px: DataFrame, s) -> DataFrame:
-    return mapped(px, lambda v: F.abs(v - scalar(s, C)))
+    return mapped(px, lambda v: F.abs(v - scalar(s, at_c())))
 
 
 def sqrt(px: DataFrame, depth: str = "f64") -> DataFrame:
@@ -163,13 +169,13 @@ def phase(x: DataFrame, y: DataFrame, degrees: bool = False) -> DataFrame:
 def cart_to_polar(x: DataFrame, y: DataFrame, degrees: bool = False) -> DataFrame:
     """Pixels with magnitude and angle in place of v."""
     other = y.select(*KEYS, F.col("v").alias("_w"))
-    return x.join(other, list(KEYS)).select(*KEYS, F.sqrt(V * V + F.col("_w") * F.col("_w")).alias("magnitude"), _angle(V, F.col("_w"), degrees).alias("angle"))
+    return x.join(other, list(KEYS)).select(*KEYS, F.sqrt(val() * val() + F.col("_w") * F.col("_w")).alias("magnitude"), _angle(val(), F.col("_w"), degrees).alias("angle"))
 
 
 def polar_to_cart(magnitude: DataFrame, angle: DataFrame, degrees: bool = False) -> DataFrame:
     """Pixels with cart_x and cart_y in place of v."""
     other = angle.select(*KEYS, (F.col("v") * (math.pi / 180 if degrees else 1.0)).alias("_t"))
-    return magnitude.join(other, list(KEYS)).select(*KEYS, (V * F.cos("_t")).alias("cart_x"), (V * F.sin("_t")).alias("cart_y"))
+    return magnitude.join(other, list(KEYS)).select(*KEYS, (val() * F.cos("_t")).alias("cart_x"), (val() * F.sin("_t")).alias("cart_y"))
 
 
 def lut(px: DataFrame, table: list[float] | list[list[float]]) -> DataFrame:
@@ -179,19 +185,19 @@ def lut(px: DataFrame, table: list[float] | list[list[float]]) -> DataFrame:
         raise MatrixError("a lookup table has 256 entries")
     rows = [(k, i, float(t[i])) for k, t in enumerate(tables) for i in range(256)]
     look = F.broadcast(px.sparkSession.createDataFrame(rows, "_k int, _i int, _o double"))
-    key = C if len(tables) > 1 else F.lit(0)
-    return px.join(look, (V.cast("int") == look["_i"]) & (key == look["_k"])).select(*KEYS, F.col("_o").alias("v"))
+    key = at_c() if len(tables) > 1 else F.lit(0)
+    return px.join(look, (val().cast("int") == look["_i"]) & (key == look["_k"])).select(*KEYS, F.col("_o").alias("v"))
 
 
 def transform(px: DataFrame, m: list[list[float]], depth: str = "f64") -> DataFrame:
     """Channels times a matrix: rows are output channels; one more column than channels is an offset."""
     rows = [(i, j, float(w)) for i, line in enumerate(m) for j, w in enumerate(line)]
     taps = F.broadcast(px.sparkSession.createDataFrame(rows, "_row int, _in int, _m double"))
-    joined = px.join(taps, px["c"] == taps["_in"]).groupBy("img", "y", "x", F.col("_row").alias("c")).agg(F.sum(V * F.col("_m")).alias("v"), F.count("*").alias("_n"))
+    joined = px.join(taps, px["c"] == taps["_in"]).groupBy("img", "y", "x", F.col("_row").alias("c")).agg(F.sum(val() * F.col("_m")).alias("v"), F.count("*").alias("_n"))
     offset = F.lit(0.0)
     for i, line in enumerate(m):
-        offset = F.when((C == i) & (F.col("_n") < len(line)), float(line[-1])).otherwise(offset)
-    return joined.select(*KEYS, truncate_cast(V + offset, depth).alias("v"))
+        offset = F.when((at_c() == i) & (F.col("_n") < len(line)), float(line[-1])).otherwise(offset)
+    return joined.select(*KEYS, truncate_cast(val() + offset, depth).alias("v"))
 
 
 def perspective_transform(points: DataFrame, m: list[list[float]], columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -232,7 +238,7 @@ def compare(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
 
 
 def compare_scalar(px: DataFrame, s, op: str) -> DataFrame:
-    return mapped(px, lambda v: _mask(op, v, scalar(s, C)))
+    return mapped(px, lambda v: _mask(op, v, scalar(s, at_c())))
 
 
 def _all_channels(inside: DataFrame) -> DataFrame:
@@ -242,33 +248,33 @@ def _all_channels(inside: DataFrame) -> DataFrame:
 def in_range(px: DataFrame, lower: DataFrame, upper: DataFrame) -> DataFrame:
     """255 where every channel is within its bounds (inclusive)."""
     low, high = lower.select(*KEYS, F.col("v").alias("_lo")), upper.select(*KEYS, F.col("v").alias("_hi"))
-    return _all_channels(px.join(low, list(KEYS)).join(high, list(KEYS)).withColumn("_in", (V >= F.col("_lo")) & (V <= F.col("_hi"))))
+    return _all_channels(px.join(low, list(KEYS)).join(high, list(KEYS)).withColumn("_in", (val() >= F.col("_lo")) & (val() <= F.col("_hi"))))
 
 
 def in_range_scalar(px: DataFrame, lower: list[float], upper: list[float]) -> DataFrame:
-    return _all_channels(px.withColumn("_in", (V >= scalar(list(lower), C)) & (V <= scalar(list(upper), C))))
+    return _all_channels(px.withColumn("_in", (val() >= scalar(list(lower), at_c())) & (val() <= scalar(list(upper), at_c()))))
 
 
 def set_to(px: DataFrame, s) -> DataFrame:
-    return mapped(px, lambda v: scalar(s, C))
+    return mapped(px, lambda v: scalar(s, at_c()))
 
 
 def set_to_masked(px: DataFrame, s, mask: DataFrame) -> DataFrame:
     """The scalar where the (one-channel) mask isn't 0."""
     m = mask.where("c = 0").select("img", "y", "x", F.col("v").alias("_m"))
-    return px.join(m, ["img", "y", "x"], "left").select(*KEYS, F.when(F.coalesce("_m", F.lit(0.0)) != 0, scalar(s, C)).otherwise(V).alias("v"))
+    return px.join(m, ["img", "y", "x"], "left").select(*KEYS, F.when(F.coalesce("_m", F.lit(0.0)) != 0, scalar(s, at_c())).otherwise(val()).alias("v"))
 
 
 def threshold(px: DataFrame, thresh: float, maxval: float, kind: str = "binary", depth: str = "u8") -> DataFrame:
     """kinds: binary, binary_inv, trunc, tozero, tozero_inv; above means strictly greater."""
-    above = V > thresh
+    above = val() > thresh
     top, cut = truncate_cast(F.lit(float(maxval)), depth), truncate_cast(F.lit(float(thresh)), depth)
     forms = {
         "binary": F.when(above, top).otherwise(0.0),
         "binary_inv": F.when(above, 0.0).otherwise(top),
-        "trunc": F.when(above, cut).otherwise(V),
-        "tozero": F.when(above, V).otherwise(0.0),
-        "tozero_inv": F.when(above, 0.0).otherwise(V),
+        "trunc": F.when(above, cut).otherwise(val()),
+        "tozero": F.when(above, val()).otherwise(0.0),
+        "tozero_inv": F.when(above, 0.0).otherwise(val()),
     }
     if kind not in forms:
         raise MatrixError(f"no threshold {kind}")
@@ -277,4 +283,4 @@ def threshold(px: DataFrame, thresh: float, maxval: float, kind: str = "binary",
 
 def get(px: DataFrame, y: int, x: int, c: int = 0) -> DataFrame:
     """(img, v) of one place; images without it are left out."""
-    return px.where((F.col("y") == y) & (F.col("x") == x) & (C == c)).select("img", "v")
+    return px.where((F.col("y") == y) & (F.col("x") == x) & (at_c() == c)).select("img", "v")

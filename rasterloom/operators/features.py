@@ -18,7 +18,10 @@ from ..sources.pixels import KEYS
 from ..types import Border, Criteria, MatrixError, Shape
 from .neighbourhood import aligned, gaussian_blur, neighbours, resize, separable, sobel
 
-V = F.col("v")
+
+def val() -> Column:
+    return F.col("v")
+
 
 
 def structure_tensor(px: DataFrame, shape: Shape, block: int, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
@@ -31,25 +34,29 @@ def structure_tensor(px: DataFrame, shape: Shape, block: int, ksize: int = 3, bo
     flat = products.select("img", "y", "x", (F.col("c") * 3 + F.col("_p.p")).alias("c"), F.col("_p.v").alias("v"))
     one = [1.0 / block] * block
     mean = separable(flat, T.kernel_taps(shape.cols, one, border=border), T.kernel_taps(shape.rows, one, border=border))
-    pick = lambda k: F.max(F.when(F.col("c") % 3 == k, V))
+    pick = lambda k: F.max(F.when(F.col("c") % 3 == k, val()))
     return mean.groupBy("img", "y", "x", F.floor(F.col("c") / 3).cast("int").alias("_c")).agg(pick(0).alias("ixx"), pick(1).alias("ixy"), pick(2).alias("iyy")).withColumnRenamed("_c", "c")
 
 
-A, B, D = F.col("ixx"), F.col("ixy"), F.col("iyy")
+def tensor() -> tuple[Column, Column, Column]:
+    return F.col("ixx"), F.col("ixy"), F.col("iyy")
+
 
 
 def _eigen() -> tuple[Column, Column]:
-    half = (A + D) / 2
-    root = F.sqrt((A - D) * (A - D) / 4 + B * B)
+    a, b, d = tensor()
+    half = (a + d) / 2
+    root = F.sqrt((a - d) * (a - d) / 4 + b * b)
     return half + root, half - root
 
 
 def corner_eigen_vals_and_vecs(px: DataFrame, shape: Shape, block: int, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
     """(img, y, x, l1, l2, x1, y1, x2, y2): eigenvalues, larger first, and unit eigenvectors."""
     l1, l2 = _eigen()
+    a, b, d = tensor()
 
     def vector(lam: Column, first: bool) -> tuple[Column, Column]:
-        ex, ey = F.when(F.abs(B) > 1e-12, lam - D).otherwise(F.when((A >= D) if first else (A < D), 1.0).otherwise(0.0)), F.when(F.abs(B) > 1e-12, B).otherwise(F.when((A >= D) if first else (A < D), 0.0).otherwise(1.0))
+        ex, ey = F.when(F.abs(b) > 1e-12, lam - d).otherwise(F.when((a >= d) if first else (a < d), 1.0).otherwise(0.0)), F.when(F.abs(b) > 1e-12, b).otherwise(F.when((a >= d) if first else (a < d), 0.0).otherwise(1.0))
         n = F.sqrt(ex * ex + ey * ey)
         return ex / n, ey / n
 
@@ -63,7 +70,8 @@ def corner_min_eigen_val(px: DataFrame, shape: Shape, block: int, ksize: int = 3
 
 
 def corner_harris(px: DataFrame, shape: Shape, block: int, ksize: int = 3, k: float = 0.04, border: Border = Border.REFLECT_101) -> DataFrame:
-    return structure_tensor(px, shape, block, ksize, border).select(*KEYS, (A * D - B * B - k * (A + D) * (A + D)).alias("v"))
+    a, b, d = tensor()
+    return structure_tensor(px, shape, block, ksize, border).select(*KEYS, (a * d - b * b - k * (a + d) * (a + d)).alias("v"))
 
 
 def pre_corner_detect(px: DataFrame, shape: Shape, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
@@ -81,7 +89,7 @@ def local_maxima(px: DataFrame, shape: Shape, strict: bool, margin: int = 1) ->
     ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     top = neighbours(px, shape, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
     inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
-    return px.where(inner).join(top, list(KEYS)).where(V > F.col("_top") if strict else V >= F.col("_top")).select(*KEYS, "v")
+    return px.where(inner).join(top, list(KEYS)).where(val() > F.col("_top") if strict else val() >= F.col("_top")).select(*KEYS, "v")
 
 
 def spaced(candidates: DataFrame, min_distance: float, most: int = 0) -> DataFrame:
@@ -103,7 +111,7 @@ def spaced(candidates: DataFrame, min_distance: float, most: int = 0) -> DataFra
 def good_features_to_track(px: DataFrame, shape: Shape, max_corners: int, quality: float, min_distance: float, block: int = 3, use_harris: bool = False, k: float = 0.04) -> DataFrame:
     r = corner_harris(px, shape, block, 3, k) if use_harris else corner_min_eigen_val(px, shape, block)
     best = r.withColumn("_best", F.max("v").over(Window.partitionBy("img")))
-    strong = local_maxima(r, shape, False).join(best.where(V > F.col("_best") * quality).select(*KEYS), list(KEYS), "left_semi")
+    strong = local_maxima(r, shape, False).join(best.where(val() > F.col("_best") * quality).select(*KEYS), list(KEYS), "left_semi")
     return spaced(strong, min_distance, max_corners)
 
 
@@ -154,8 +162,8 @@ def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, apert
         for dy, dx in pair:
             on_line = on_line | ((F.col("_s") == s) & (F.col("_dy") == dy) & (F.col("_dx") == dx))
     inner = F.col("y").between(1, shape.rows - 2) & F.col("x").between(1, shape.cols - 2)
-    top = mag.where(inner & (V >= low)).join(around, list(KEYS)).groupBy(*KEYS, "v").agg(F.max(F.when(on_line, F.col("_n"))).alias("_top"))
-    return top.where(V >= F.coalesce("_top", F.lit(0.0))).select("img", "y", "x", (V >= high).alias("strong"))
+    top = mag.where(inner & (val() >= low)).join(around, list(KEYS)).groupBy(*KEYS, "v").agg(F.max(F.when(on_line, F.col("_n"))).alias("_top"))
+    return top.where(val() >= F.coalesce("_top", F.lit(0.0))).select("img", "y", "x", (val() >= high).alias("strong"))
 
 
 def canny(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
@@ -285,7 +293,7 @@ def hough_circles(px: DataFrame, shape: Shape, dp: float, min_dist: float, param
     ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     top = neighbours(votes, frame, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
     inner = F.col("y").between(1, frame.rows - 2) & F.col("x").between(1, frame.cols - 2)
-    centres = votes.where(inner & (V > int(param2))).join(top, list(KEYS), "left").where(V > F.coalesce("_top", F.lit(0.0)))
+    centres = votes.where(inner & (val() > int(param2))).join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(0.0)))
     kept = spaced(centres.select("img", (F.col("x") * dp).alias("x"), (F.col("y") * dp).alias("y"), "v"), min_dist)
     far = F.sqrt((F.col("_ex") - F.col("x")) * (F.col("_ex") - F.col("x")) + (F.col("_ey") - F.col("y")) * (F.col("_ey") - F.col("y")))
     near = kept.join(edges.select("img", F.col("x").alias("_ex"), F.col("y").alias("_ey")), "img").withColumn("_d", far).where(F.col("_d").between(min_radius, max_radius))
@@ -309,12 +317,12 @@ def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16")
     inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
     around = neighbours(aligned(px), shape, [(dy, dx, float(k)) for k, (dx, dy) in enumerate(ring)], Border.CONSTANT).where(inner)
     lists = around.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "v"))), lambda s: s["v"]).alias("_ring"))
-    d = px.join(lists, list(KEYS)).select(*KEYS, F.transform("_ring", lambda r: r - V).alias("_d")).where(F.size("_d") == n)
+    d = px.join(lists, list(KEYS)).select(*KEYS, F.transform("_ring", lambda r: r - val()).alias("_d")).where(F.size("_d") == n)
     doubled = F.concat("_d", F.slice("_d", 1, arc - 1))
     d = d.withColumn("_d", doubled)
     lowest = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: F.array_min(F.slice("_d", s, arc))))
     highest = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: F.array_max(F.slice("_d", s, arc))))
-    return d.withColumn("v", F.greatest(lowest, -highest) - 1).where(V >= threshold).select(*KEYS, "v")
+    return d.withColumn("v", F.greatest(lowest, -highest) - 1).where(val() >= threshold).select(*KEYS, "v")
 
 
 def fast(px: DataFrame, shape: Shape, threshold: int = 10, nonmax: bool = True, kind: str = "9_16") -> DataFrame:
@@ -323,8 +331,8 @@ def fast(px: DataFrame, shape: Shape, threshold: int = 10, nonmax: bool = True,
     if nonmax:
         ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
         top = neighbours(found, shape, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
-        found = found.join(top, list(KEYS), "left").where(V > F.coalesce("_top", F.lit(-1.0)))
-    return found.select("img", "y", "x", V.alias("response"), F.lit(7.0).alias("size"), F.lit(-1.0).alias("angle"))
+        found = found.join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(-1.0)))
+    return found.select("img", "y", "x", val().alias("response"), F.lit(7.0).alias("size"), F.lit(-1.0).alias("angle"))
 
 
 def umax(half: int) -> list[int]:
@@ -350,7 +358,7 @@ def orientation(px: DataFrame, keypoints: DataFrame, half: int = 15) -> DataFram
     rows = sorted({dy for dy, _ in cells})
     asked = keypoints.select("img", F.col("y").alias("_ky"), F.col("x").alias("_kx")).distinct().withColumn("_dy", F.explode(F.array(*[F.lit(r) for r in rows]))).join(patch, "_dy")
     asked = asked.withColumn("y", F.col("_ky") + F.col("_dy")).withColumn("x", F.col("_kx") + F.col("_dx"))
-    m = asked.join(px.where("c = 0"), ["img", "y", "x"]).groupBy("img", F.col("_ky").alias("y"), F.col("_kx").alias("x")).agg(F.sum(V * F.col("_dy")).alias("_m01"), F.sum(V * F.col("_dx")).alias("_m10"))
+    m = asked.join(px.where("c = 0"), ["img", "y", "x"]).groupBy("img", F.col("_ky").alias("y"), F.col("_kx").alias("x")).agg(F.sum(val() * F.col("_dy")).alias("_m01"), F.sum(val() * F.col("_dx")).alias("_m10"))
     angle = F.degrees(F.atan2("_m01", "_m10"))
     return keypoints.drop("angle").join(m, ["img", "y", "x"], "left").withColumn("angle", F.when(angle < 0, angle + 360).otherwise(F.coalesce(angle, F.lit(0.0)))).drop("_m01", "_m10")
 
@@ -363,7 +371,7 @@ def brief_pattern(half: int = 15, pairs: int = 256, seed: int = 31) -> list[tupl
 
 def describe(px: DataFrame, shape: Shape, keypoints: DataFrame, half: int = 15) -> DataFrame:
     """Keypoints (img, id, y, x, angle) with ``descriptor``: 32 bytes of turned comparisons on the smoothed image."""
-    smooth = gaussian_blur(px.where("c = 0"), shape, (7, 7), 2.0, 2.0).select("img", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.round(V, 6).alias("_s"))
+    smooth = gaussian_blur(px.where("c = 0"), shape, (7, 7), 2.0, 2.0).select("img", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.round(val(), 6).alias("_s"))
     pattern = [(2 * k + e, p[2 * e], p[2 * e + 1]) for k, p in enumerate(brief_pattern(half)) for e in (0, 1)]
     spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, a, b in pattern])
     t = F.radians("angle")
@@ -465,7 +473,7 @@ def painted(px: DataFrame, shape: Shape, places: DataFrame, colour: list[float])
     from ..types import scalar
 
     inside = places.where(F.col("y").between(0, shape.rows - 1) & F.col("x").between(0, shape.cols - 1)).distinct().withColumn("_on", F.lit(True))
-    return px.join(inside, ["img", "y", "x"], "left").select(*KEYS, F.when(F.col("_on"), scalar(list(colour), F.col("c"))).otherwise(V).alias("v"))
+    return px.join(inside, ["img", "y", "x"], "left").select(*KEYS, F.when(F.col("_on"), scalar(list(colour), F.col("c"))).otherwise(val()).alias("v"))
 
 
 def draw_matches(a: DataFrame, sa: Shape, b: DataFrame, sb: Shape, lines: DataFrame, colour: list[float]) -> DataFrame:
@@ -476,7 +484,7 @@ def draw_matches(a: DataFrame, sa: Shape, b: DataFrame, sb: Shape, lines: DataFr
     canvas = Shape(max(sa.rows, sb.rows), sa.cols + sb.cols, sa.channels)
     blank = grid(a.select("img").distinct(), canvas)
     both = a.select(*KEYS, F.col("v").alias("_v")).unionByName(moved(b, x=F.col("x") + sa.cols).select(*KEYS, F.col("v").alias("_v")))
-    filled = blank.join(both, list(KEYS), "left").select(*KEYS, F.coalesce("_v", V).alias("v"))
+    filled = blank.join(both, list(KEYS), "left").select(*KEYS, F.coalesce("_v", val()).alias("v"))
     dx, dy = F.col("x2") + sa.cols - F.col("x1"), F.col("y2") - F.col("y1")
     steps = F.greatest(F.lit(1), F.rint(F.greatest(F.abs(dx), F.abs(dy))).cast("int"))
     walk = lines.withColumn("_n", steps).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n"))))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.pixels import KEYS, grid
 from ..types import Border, MatrixError, Shape, scalar, truncate_cast
 
-V = F.col("v")
+
+def val() -> Column:
+    return F.col("v")
+
 
 
 def inside(p: Column, n: int, border: Border) -> Column:
@@ -46,7 +49,7 @@ def remap(px: DataFrame, shape: Shape, maps: DataFrame, interpolation: str = "li
     source = px.select("img", F.col("y").alias("_sy"), F.col("x").alias("_sx"), "c", F.col("v").alias("_s"))
     found = taps.join(source, ["img", "_sy", "_sx", "c"], "left")
     out = found.groupBy(*KEYS).agg(F.sum(F.col("_w") * F.coalesce("_s", scalar(value, F.col("c")))).alias("v"))
-    return out.withColumn("v", truncate_cast(F.round(V, 9) if depth in ("u8", "i8", "u16", "i16", "i32") else V, depth))
+    return out.withColumn("v", truncate_cast(F.round(val(), 9) if depth in ("u8", "i8", "u16", "i16", "i32") else val(), depth))
 
 
 def invert3(m: list[list[float]]) -> list[list[float]]:
@@ -106,15 +109,15 @@ GRAY = {"rgb": (0.299, 0.587, 0.114), "bgr": (0.114, 0.587, 0.299), "rgba": (0.2
 def to_gray(px: DataFrame, order: str = "rgb") -> DataFrame:
     """Weighted sum of the colour channels, rounded half away from zero; alpha doesn't count."""
     w = scalar(list(GRAY[order]), F.col("c"))
-    out = px.groupBy("img", "y", "x").agg(F.sum(V * w).alias("v"))
-    return out.select("img", "y", "x", F.lit(0).alias("c"), F.floor(F.round(V, 9) + 0.5).cast("double").alias("v"))
+    out = px.groupBy("img", "y", "x").agg(F.sum(val() * w).alias("v"))
+    return out.select("img", "y", "x", F.lit(0).alias("c"), F.floor(F.round(val(), 9) + 0.5).cast("double").alias("v"))
 
 
 def from_gray(px: DataFrame, order: str = "rgb") -> DataFrame:
     """The grey value in every colour channel, and 255 in alpha."""
     n = len(order)
     wide = px.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return wide.select(*KEYS, F.when(F.col("c") == 3, 255.0).otherwise(V).alias("v"))
+    return wide.select(*KEYS, F.when(F.col("c") == 3, 255.0).otherwise(val()).alias("v"))
 
 
 def cvt_color(px: DataFrame, code: str) -> DataFrame:

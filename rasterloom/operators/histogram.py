@@ -12,7 +12,10 @@ from ..types import MatrixError, Shape
 from .neighbourhood import aligned
 from .reduce import masked
 
-V = F.col("v")
+
+def val() -> Column:
+    return F.col("v")
+
 
 
 def bin_of(v: Column, size: int, bounds: list[float]) -> Column:
@@ -36,7 +39,7 @@ def _binned(images: list[tuple[DataFrame, int]], channels: list[int], sizes: lis
     for d, ch in enumerate(channels):
         k = max(i for i, s in enumerate(starts) if s <= ch)
         px = masked(images[k][0], mask)
-        parts.append(px.where(F.col("c") == ch - starts[k]).select("img", "y", "x", bin_of(V, sizes[d], ranges[d]).alias(f"b{d}")).where(f"b{d} is not null"))
+        parts.append(px.where(F.col("c") == ch - starts[k]).select("img", "y", "x", bin_of(val(), sizes[d], ranges[d]).alias(f"b{d}")).where(f"b{d} is not null"))
     return fold(lambda a, b: a.join(b, ["img", "y", "x"]), parts)
 
 
@@ -107,7 +110,7 @@ def equalize_hist(px: DataFrame) -> DataFrame:
         "_all": F.sum("n").over(Window.partitionBy("img")),
     })
     rest = F.col("_all") - F.col("_first")
-    out = F.when(rest == 0, V).otherwise(F.floor((F.col("_sum") - F.col("_first")) * (255.0 / F.when(rest == 0, 1).otherwise(rest)) + 0.5))
+    out = F.when(rest == 0, val()).otherwise(F.floor((F.col("_sum") - F.col("_first")) * (255.0 / F.when(rest == 0, 1).otherwise(rest)) + 0.5))
     return px.join(table.select("img", "v", out.alias("_out")), ["img", "v"]).select(*KEYS, F.col("_out").cast("double").alias("v"))
 
 
@@ -123,7 +126,7 @@ def clahe(px: DataFrame, shape: Shape, clip_limit: float = 40.0, tiles: tuple[in
     tw, th = -(-shape.cols // tx), -(-shape.rows // ty)
     bins, area = (1 << bits) >> bit_shift, tw * th
     spark = px.sparkSession
-    shifted = aligned(px).withColumn("_k", F.shiftright(V.cast("int"), bit_shift))
+    shifted = aligned(px).withColumn("_k", F.shiftright(val().cast("int"), bit_shift))
 
     def table(n: int, size: int, source: str, tile: str):
         return F.broadcast(spark.createDataFrame([(border_index(i, n, Border.REFLECT_101), i // size) for i in range(-(-n // size) * size)], f"{source} int, {tile} int"))
@@ -156,4 +159,4 @@ def clahe(px: DataFrame, shape: Shape, clip_limit: float = 40.0, tiles: tuple[in
 
     spread = shifted.join(pairs(shape.rows, th, ty, "y", "_ty", "_wy"), "y").join(pairs(shape.cols, tw, tx, "x", "_tx", "_wx"), "x")
     blended = spread.join(curve, [*tile, "_k"]).groupBy(*KEYS).agg(F.sum(F.col("_lut") * F.col("_wy") * F.col("_wx")).alias("v"))
-    return blended.withColumn("v", F.floor(F.round(V, 9) + 0.5) * float(1 << bit_shift))
+    return blended.withColumn("v", F.floor(F.round(val(), 9) + 0.5) * float(1 << bit_shift))

@@ -11,32 +11,35 @@ from ..sources.pixels import KEYS
 from ..types import MatrixError
 from .structural import transpose
 
-V = F.col("v")
+
+def val() -> Column:
+    return F.col("v")
+
 
 
 def gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0, c: DataFrame | None = None, beta: float = 0.0, transposed: str = "") -> DataFrame:
     """alpha op(A) op(B) + beta op(C) by image and channel; ``transposed`` names those to transpose, as in "ac"."""
     a, b = (transpose(m) if n in transposed else m for m, n in ((a, "a"), (b, "b")))
-    left = a.select("img", "c", "y", F.col("x").alias("_k"), V.alias("_a"))
-    right = b.select("img", "c", F.col("y").alias("_k"), "x", V.alias("_b"))
+    left = a.select("img", "c", "y", F.col("x").alias("_k"), val().alias("_a"))
+    right = b.select("img", "c", F.col("y").alias("_k"), "x", val().alias("_b"))
     out = left.join(right, ["img", "c", "_k"]).groupBy(*KEYS).agg((F.sum(F.col("_a") * F.col("_b")) * alpha).alias("v"))
     if c is None or not beta:
         return out
-    third = (transpose(c) if "c" in transposed else c).select(*KEYS, (V * beta).alias("_c"))
-    return out.join(third, list(KEYS), "left").select(*KEYS, (V + F.coalesce("_c", F.lit(0.0))).alias("v"))
+    third = (transpose(c) if "c" in transposed else c).select(*KEYS, (val() * beta).alias("_c"))
+    return out.join(third, list(KEYS), "left").select(*KEYS, (val() + F.coalesce("_c", F.lit(0.0))).alias("v"))
 
 
 def product_with(a: DataFrame, b: list[list[float]], alpha: float = 1.0) -> DataFrame:
     """A times one small matrix, which is broadcast."""
     cells = [(k, j, float(w)) for k, row in enumerate(b) for j, w in enumerate(row)]
     table = F.broadcast(a.sparkSession.createDataFrame(cells, "_k int, _j int, _b double"))
-    return a.join(table, a["x"] == table["_k"]).groupBy("img", "y", F.col("_j").alias("x"), "c").agg((F.sum(V * F.col("_b")) * alpha).alias("v")).select(*KEYS, "v")
+    return a.join(table, a["x"] == table["_k"]).groupBy("img", "y", F.col("_j").alias("x"), "c").agg((F.sum(val() * F.col("_b")) * alpha).alias("v")).select(*KEYS, "v")
 
 
 def cross(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cross products of 3-vectors (row or column matrices)."""
     at = F.col("y") + F.col("x")
-    pick = lambda df, n: df.groupBy("img").agg(*[F.max(F.when(at == k, V)).alias(f"{n}{k}") for k in range(3)])
+    pick = lambda df, n: df.groupBy("img").agg(*[F.max(F.when(at == k, val())).alias(f"{n}{k}") for k in range(3)])
     j = pick(a, "a").join(pick(b, "b"), "img")
     c = lambda i, k: F.col(f"a{i}") * F.col(f"b{k}") - F.col(f"a{k}") * F.col(f"b{i}")
     return j.select("img", F.posexplode(F.array(c(1, 2), c(2, 0), c(0, 1))).alias("y", "v")).select("img", "y", F.lit(0).alias("x"), F.lit(0).alias("c"), "v")
@@ -51,7 +54,7 @@ def _matrix(df: pd.DataFrame) -> np.ndarray:
 def determinant(px: DataFrame, n: int) -> DataFrame:
     """(img, det) of square matrices: a formula up to 3 x 3, elimination beyond."""
     if n <= 3:
-        cell = lambda y, x: F.sum(F.when((F.col("y") == y) & (F.col("x") == x), V)).alias(f"m{y}{x}")
+        cell = lambda y, x: F.sum(F.when((F.col("y") == y) & (F.col("x") == x), val())).alias(f"m{y}{x}")
         flat = px.where("c = 0").groupBy("img").agg(*[cell(y, x) for y in range(n) for x in range(n)])
         m = lambda y, x: F.col(f"m{y}{x}")
         det: Column

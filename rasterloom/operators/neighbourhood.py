@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import taps as T
@@ -16,7 +16,10 @@ from ..sources.pixels import KEYS
 from ..types import Border, MatrixError, Shape, truncate_cast
 from . import elementwise
 
-V = F.col("v")
+
+def val() -> Column:
+    return F.col("v")
+
 
 
 def aligned(px: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def tap_table(px: DataFrame, taps: list[T.Tap], source: str) -> DataFrame:
 def along(px: DataFrame, taps: list[T.Tap], axis: str) -> DataFrame:
     """Weighted sums along an axis."""
     keys = [k for k in KEYS if k != axis]
-    out = px.join(tap_table(px, taps, axis), axis).groupBy(*keys, "_t").agg(F.sum(V * F.col("_w")).alias("v"))
+    out = px.join(tap_table(px, taps, axis), axis).groupBy(*keys, "_t").agg(F.sum(val() * F.col("_w")).alias("v"))
     return out.withColumnRenamed("_t", axis).select(*KEYS, "v")
 
 
@@ -91,7 +94,7 @@ def filter_2d(px: DataFrame, shape: Shape, kernel: list[list[float]], border: Bo
     """Correlation with a dense kernel, anchored in its middle."""
     h, w = len(kernel), len(kernel[0])
     offsets = [(y - h // 2, x - w // 2, kernel[y][x]) for y in range(h) for x in range(w) if kernel[y][x]]
-    out = neighbours(aligned(px), shape, offsets, border).groupBy(*KEYS).agg(F.sum(V * F.col("_w")).alias("v"))
+    out = neighbours(aligned(px), shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
     return elementwise.mapped(out, lambda v: truncate_cast(v * scale + delta, depth))
 
 
@@ -173,12 +176,12 @@ def bilateral_filter(px: DataFrame, shape: Shape, d: int, sigma_color: float, si
         around = neighbours(aligned(px), shape, space, border).join(centre, list(KEYS))
     tap = ["img", "y", "x", "_dy", "_dx"]
     if shape.channels > 1:
-        colour = around.groupBy(*tap).agg(F.sum((V - F.col("_v0")) * (V - F.col("_v0"))).alias("_d2"))
+        colour = around.groupBy(*tap).agg(F.sum((val() - F.col("_v0")) * (val() - F.col("_v0"))).alias("_d2"))
         around = around.join(colour, tap)
     else:
-        around = around.withColumn("_d2", (V - F.col("_v0")) * (V - F.col("_v0")))
+        around = around.withColumn("_d2", (val() - F.col("_v0")) * (val() - F.col("_v0")))
     weight = F.col("_w") * F.exp(F.col("_d2") * (-0.5 / sigma_color**2))
-    out = around.groupBy(*KEYS).agg((F.sum(weight * V) / F.sum(weight)).alias("v"))
+    out = around.groupBy(*KEYS).agg((F.sum(weight * val()) / F.sum(weight)).alias("v"))
     return finish(out, depth)
 
 
@@ -252,7 +255,7 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
                 table += [(t, s, 0, 0, re), (t, s, 0, 1, im), (t, s, 1, 0, -im), (t, s, 1, 1, re)]
         basis = F.broadcast(px.sparkSession.createDataFrame(table, f"_t int, {axis} int, c int, _c int, _w double"))
         keys = [k for k in ("img", "y", "x") if k != axis]
-        out = p.join(basis, [axis, "c"]).groupBy(*keys, "_t", "_c").agg(F.sum(V * F.col("_w")).alias("v"))
+        out = p.join(basis, [axis, "c"]).groupBy(*keys, "_t", "_c").agg(F.sum(val() * F.col("_w")).alias("v"))
         return out.withColumnsRenamed({"_t": axis, "_c": "c"}).select(*KEYS, "v")
 
     out = turn(aligned(px), "x", shape.cols)

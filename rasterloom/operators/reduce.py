@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from ..sources.pixels import KEYS
 from ..types import IncompatibleChannels, NotSupported, truncate_cast
 
-V = F.col("v")
-FIRST_CHANNELS = F.col("c") < 4  # per-channel scalars have four channels
+
+def val() -> Column:
+    return F.col("v")
+
+
+def first_channels() -> Column:
+    """Per-channel scalars have four channels."""
+    return F.col("c") < 4
+
 
 
 def total(px: DataFrame) -> DataFrame:
-    return px.where(FIRST_CHANNELS).groupBy("img", "c").agg(F.sum("v").alias("sum"))
+    return px.where(first_channels()).groupBy("img", "c").agg(F.sum("v").alias("sum"))
 
 
 def mean(px: DataFrame) -> DataFrame:
-    return px.where(FIRST_CHANNELS).groupBy("img", "c").agg(F.avg("v").alias("mean"))
+    return px.where(first_channels()).groupBy("img", "c").agg(F.avg("v").alias("mean"))
 
 
 def mean_std_dev(px: DataFrame) -> DataFrame:
-    return px.where(FIRST_CHANNELS).groupBy("img", "c").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev"))
+    return px.where(first_channels()).groupBy("img", "c").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev"))
 
 
 def _norm(kind: str) -> Column:
-    forms = {"inf": F.max(F.abs(V)), "l1": F.sum(F.abs(V)), "l2": F.sqrt(F.sum(V * V))}
+    forms = {"inf": F.max(F.abs(val())), "l1": F.sum(F.abs(val())), "l2": F.sqrt(F.sum(val() * val()))}
     if kind not in forms:
         raise NotSupported(f"norm {kind}")
     return forms[kind]
@@ -51,15 +58,15 @@ def normalize(px: DataFrame, alpha: float = 1.0, beta: float = 0.0, kind: str =
         low, high = min(alpha, beta), max(alpha, beta)
         span = F.col("_b") - F.col("_a")
         scale = F.when(span == 0, 0.0).otherwise((high - low) / F.when(span == 0, 1.0).otherwise(span))
-        out = (V - F.col("_a")) * scale + low
+        out = (val() - F.col("_a")) * scale + low
     else:
         stats = inside.groupBy("img").agg(_norm(kind).alias("_n"))
-        out = F.when(F.col("_n") == 0, 0.0).otherwise(V * alpha / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")))
+        out = F.when(F.col("_n") == 0, 0.0).otherwise(val() * alpha / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")))
     scaled = truncate_cast(out, depth)
     if mask is None:
         return px.join(stats, "img").select(*KEYS, scaled.alias("v"))
     m = mask.where("c = 0").select("img", "y", "x", F.col("v").alias("_m"))
-    return px.join(stats, "img", "left").join(m, ["img", "y", "x"], "left").select(*KEYS, F.when(F.coalesce("_m", F.lit(0.0)) != 0, scaled).otherwise(V).alias("v"))
+    return px.join(stats, "img", "left").join(m, ["img", "y", "x"], "left").select(*KEYS, F.when(F.coalesce("_m", F.lit(0.0)) != 0, scaled).otherwise(val()).alias("v"))
 
 
 REDUCERS = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
@@ -85,38 +92,38 @@ def one_channel(px: DataFrame) -> DataFrame:
 
 
 def count_non_zero(px: DataFrame) -> DataFrame:
-    return px.where("c = 0").groupBy("img").agg(F.count_if(V != 0).alias("n"))
+    return px.where("c = 0").groupBy("img").agg(F.count_if(val() != 0).alias("n"))
 
 
 def has_no_zero(px: DataFrame) -> DataFrame:
-    return px.groupBy("img").agg(F.bool_and(V != 0).alias("full"))
+    return px.groupBy("img").agg(F.bool_and(val() != 0).alias("full"))
 
 
 def check_range(px: DataFrame, low: float, high: float) -> DataFrame:
-    return px.groupBy("img").agg(F.bool_and((V >= low) & (V <= high)).alias("inside"))
+    return px.groupBy("img").agg(F.bool_and((val() >= low) & (val() <= high)).alias("inside"))
 
 
 def min_max_loc(px: DataFrame) -> DataFrame:
     """Smallest and largest values and their first places in row-major order."""
     place = F.struct("y", "x", "c")
     return px.groupBy("img").agg(
-        F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.min(F.struct("v", "y", "x", "c")).alias("_lo"), F.max(F.struct(V, -F.col("y"), -F.col("x"), -F.col("c"))).alias("_hi"), F.count(place).alias("_n")
+        F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.min(F.struct("v", "y", "x", "c")).alias("_lo"), F.max(F.struct(val(), -F.col("y"), -F.col("x"), -F.col("c"))).alias("_hi"), F.count(place).alias("_n")
     ).select("img", "min_v", "max_v", F.col("_lo.x").alias("min_x"), F.col("_lo.y").alias("min_y"), (-F.col("_hi.col3")).alias("max_x"), (-F.col("_hi.col2")).alias("max_y"))
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     other = b.select(*KEYS, F.col("v").alias("_w"))
-    return a.join(other, list(KEYS)).groupBy("img").agg(F.sum(V * F.col("_w")).alias("dot"))
+    return a.join(other, list(KEYS)).groupBy("img").agg(F.sum(val() * F.col("_w")).alias("dot"))
 
 
 def trace(px: DataFrame) -> DataFrame:
-    return px.where((F.col("x") == F.col("y")) & FIRST_CHANNELS).groupBy("img", "c").agg(F.sum("v").alias("trace"))
+    return px.where((F.col("x") == F.col("y")) & first_channels()).groupBy("img", "c").agg(F.sum("v").alias("trace"))
 
 
 def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
     """10 log10(255^2 / mean squared error); infinity for equal images."""
     other = b.select(*KEYS, F.col("v").alias("_w"))
-    mse = a.join(other, list(KEYS)).groupBy("img").agg(F.avg((V - F.col("_w")) * (V - F.col("_w"))).alias("_e"))
+    mse = a.join(other, list(KEYS)).groupBy("img").agg(F.avg((val() - F.col("_w")) * (val() - F.col("_w"))).alias("_e"))
     return mse.select("img", F.when(F.col("_e") == 0, float("inf")).otherwise(10 * F.log10(255.0**2 / F.when(F.col("_e") == 0, 1.0).otherwise(F.col("_e")))).alias("psnr"))
 
 
@@ -124,7 +131,7 @@ def mahalanobis(a: DataFrame, b: DataFrame, inverse_covariance: list[list[float]
     """sqrt(d' M d) of the column vectors a - b, with M as a table of its cells."""
     cells = [(i, j, float(w)) for i, row in enumerate(inverse_covariance) for j, w in enumerate(row)]
     m = F.broadcast(a.sparkSession.createDataFrame(cells, "i int, j int, w double"))
-    d = a.join(b.select(*KEYS, F.col("v").alias("_w")), list(KEYS)).select("img", F.col("y").alias("i"), (V - F.col("_w")).alias("d"))
+    d = a.join(b.select(*KEYS, F.col("v").alias("_w")), list(KEYS)).select("img", F.col("y").alias("i"), (val() - F.col("_w")).alias("d"))
     left = d.join(m, "i").groupBy("img", "j").agg(F.sum(F.col("d") * F.col("w")).alias("_s"))
     return left.join(d.withColumnRenamed("i", "j"), ["img", "j"]).groupBy("img").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_s") * F.col("d")))).alias("distance"))
 
@@ -132,14 +139,14 @@ def mahalanobis(a: DataFrame, b: DataFrame, inverse_covariance: list[list[float]
 def sort(px: DataFrame, by: str = "row", descending: bool = False) -> DataFrame:
     """Each row (or column) of a one-channel matrix in order."""
     key, moving = ("y", "x") if by == "row" else ("x", "y")
-    w = Window.partitionBy("img", key, "c").orderBy(V.desc() if descending else V.asc(), F.col(moving))
+    w = Window.partitionBy("img", key, "c").orderBy(val().desc() if descending else val().asc(), F.col(moving))
     return px.withColumn("_n", F.row_number().over(w) - 1).drop(moving).withColumnRenamed("_n", moving).select(*KEYS, "v")
 
 
 def sort_idx(px: DataFrame, by: str = "row", descending: bool = False) -> DataFrame:
     """Places of the sorted elements; descending order is the ascending one reversed, ties too."""
     key, moving = ("y", "x") if by == "row" else ("x", "y")
-    order = (V.desc(), F.col(moving).desc()) if descending else (V.asc(), F.col(moving).asc())
+    order = (val().desc(), F.col(moving).desc()) if descending else (val().asc(), F.col(moving).asc())
     w = Window.partitionBy("img", key, "c").orderBy(*order)
     return px.select("img", key, "c", (F.row_number().over(w) - 1).alias("_n"), F.col(moving).cast("double").alias("v")).withColumnRenamed("_n", moving).select(*KEYS, "v")
 
