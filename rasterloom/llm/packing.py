@@ -34,7 +34,7 @@ from .common import durable, slices
 SALTS = 16
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
-CACHE = 400_000
+CACHE = 250_000
 
 
 class WordTokenizer:
