@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators import cluster, elementwise, estimation, features, flow, geometry, histogram, linalg, matching, neighbourhood, random, reduce, structural
 from ..sources import pixels
 from ..sources.pixels import KEYS
+from ..streaming import frames
 from ..types import Border, Criteria, Shape
 from . import taps as T
 
@@ -777,3 +779,40 @@ register(
     f"WITH {DIST.format(NOT_ASKING)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM (SELECT *, row_number() OVER w AS r1, lead(distance) OVER w AS nxt, row_number() OVER (PARTITION BY train_idx ORDER BY distance, query_idx) AS r2 FROM dist WINDOW w AS (PARTITION BY query_idx ORDER BY distance, train_idx)) WHERE r1 = 1 AND r2 = 1 AND distance < 0.999 * nxt",
 )
 
+
+
+# ---- small values and streams
+
+
+def vector_rows(s: SparkSession, d: str) -> DataFrame:
+    part = lambda k: F.transform(F.slice("embedding", k, 4), lambda v: F.when(v.cast("double") > 0.2, 0.0).otherwise(v.cast("double")))
+    return read(s, d, "embeddings").select("vec_id", part(1).alias("p"), part(5).alias("q"))
+
+
+def vector_query(f):
+    return lambda s, d: r6(vector_rows(s, d).select("vec_id", F.posexplode(f(F.col("p"), F.col("q"))).alias("k", "v")))
+
+
+PQ = "WITH r AS (SELECT vec_id, k::INT AS k, CASE WHEN embedding[k + 1]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[k + 1]::DOUBLE END AS p, CASE WHEN embedding[k + 5]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[k + 5]::DOUBLE END AS q FROM embeddings, (SELECT unnest(range(4)) AS k))"
+for _name, _e in (("add", "p + q"), ("subtract", "p - q"), ("multiply", "p * q"), ("divide", "CASE WHEN q = 0 THEN 0.0 ELSE p / q END")):
+    register(f"vector_{_name}", vector_query(getattr(vectors, _name)), f"{PQ} SELECT vec_id, k, {s6(_e)} AS v FROM r")
+register("vector_dot", lambda s, d: r6(vector_rows(s, d).select("vec_id", vectors.dot(F.col("p"), F.col("q")).alias("v"))), f"{PQ} SELECT vec_id, {s6('sum(p * q)')} AS v FROM r GROUP BY vec_id")
+
+
+def rects(s: SparkSession, d: str) -> DataFrame:
+    r = vectors.rect(F.col("p_partkey"), F.col("p_partkey") * 2, F.col("p_size"), F.col("p_size") + 3)
+    return read(s, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", vectors.area(F.col("r")).alias("area"), vectors.bottom_right(F.col("r"))["x"].alias("right"), vectors.bottom_right(F.col("r"))["y"].alias("bottom"))
+
+
+register("rect_helpers", rects, 'SELECT p_partkey, p_size * (p_size + 3) AS area, p_partkey + p_size AS "right", p_partkey * 2 + p_size + 3 AS bottom FROM part')
+register("frames", lambda s, d: frames.frames(read(s, d, "events")), "SELECT time_bucket(INTERVAL 1 day, ts) AS frame, event_type, hour(ts)::INT AS slot, count(*)::DOUBLE AS v FROM events GROUP BY ALL")
+
+
+def streamed(s: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    stream = frames.frame_totals(frames.event_stream(s, f"{d}/events.parquet*"))
+    return frames.run_to_table(stream, "frame_totals_" + uuid.uuid4().hex)
+
+
+register("stream_frame_totals", streamed, "SELECT time_bucket(INTERVAL 1 hour, ts) AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
