@@ -37,26 +37,28 @@ def frame_totals(events: DataFrame, length: str = "1 hour", late: str = "1 day")
     return events.groupBy(F.window("ts", length).alias("_w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("_w.start").alias("frame"), "event_type", "n", "total")
 
 
-def frame_changes(totals: DataFrame) -> DataFrame:
-    """(event_type, frame, n, change): how each finished frame differs from the stream's frame before.
+def frame_changes(events: DataFrame, length: str = "1 hour") -> DataFrame:
+    """(event_type, frame, n, change): how each finished frame's count differs from that of the frame before.
 
-    ``totals`` is a stream of finished frames (append mode); the state is the last frame of each type.
+    A frame is finished when a later one of its type begins; events for finished frames are late and don't count.
+    The state of a type is its open frame's start and count, and the last finished count.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for pdf in batches:
-            rows += pdf[["frame", "n"]].itertuples(index=False, name=None)
+        start, n, last = state.get if state.exists else (None, 0, None)
         out = []
-        for frame, n in sorted(rows):
-            out.append((key[0], frame, int(n), None if last is None else int(n) - last))
-            last = int(n)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["event_type", "frame", "n", "change"]).astype({"change": "Int64"})
-
-    return totals.groupBy("event_type").applyInPandasWithState(step, "event_type string, frame timestamp, n long, change long", "last long", "append", GroupStateTimeout.NoTimeout)
+        frames_of = pd.concat([pdf["frame"] for pdf in batches]).astype("datetime64[ns]").astype("int64").value_counts().sort_index()
+        for frame, count in frames_of.items():
+            if start is None or frame == start:
+                start, n = frame, n + count
+            elif frame > start:
+                out.append((key[0], pd.Timestamp(start), n, None if last is None else n - last))
+                start, n, last = frame, count, n
+        state.update((int(start), int(n), None if last is None else int(last)))
+        yield pd.DataFrame(out, columns=["event_type", "frame", "n", "change"]).astype({"change": "Int64", "frame": "datetime64[ns]"})
+
+    framed = events.select("event_type", F.window("ts", length)["start"].alias("frame"))
+    return framed.groupBy("event_type").applyInPandasWithState(step, "event_type string, frame timestamp, n long, change long", "start long, n long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
