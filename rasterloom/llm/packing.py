@@ -231,15 +231,14 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048) -> Dat
             used[n] += times * each
             at += n * each
         sequence += times
-    lookup = spark.createDataFrame(
-        [(n, salt, b, ranges[n]) for (n, salt), b in base.items()],
-        "_length long, _salt long, _base long, _ranges array<struct<a:long,b:long,first:long,each:long,at:long>>",
-    )
+    bases = spark.createDataFrame([(n, salt, b) for (n, salt), b in base.items()], f"`{length}` long, _salt long, _base long")
+    lookup = spark.createDataFrame(list(ranges.items()), f"`{length}` long, _ranges array<struct<a:long,b:long,first:long,each:long,at:long>>")
     rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*plain)) - 1
     inside = F.col("_rank") - F.col("_r.a")
     return (
         salted.withColumn("_rank", rank)
-        .join(F.broadcast(lookup), (F.col(length) == F.col("_length")) & (salted["_salt"] == lookup["_salt"]))
+        .join(F.broadcast(bases), [length, "_salt"])
+        .join(F.broadcast(lookup), length)
         .withColumn("_rank", F.col("_rank") + F.col("_base"))
         .withColumn("_r", F.filter("_ranges", lambda r: (r["a"] <= F.col("_rank")) & (F.col("_rank") < r["b"]))[0])
         .withColumn("sequence_id", F.col("_r.first") + (inside / F.col("_r.each")).cast("long"))
