@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, near_duplicates, packing, repeats, toxicity
-from rasterloom.llm.common import ensure_checkpoint_dir, table
+from rasterloom.llm.common import bounded_batches, ensure_checkpoint_dir, table
 from rasterloom.llm.queries import PACKING_TOKENIZER
 
 
@@ -24,11 +24,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the smallest id."""
+    bounded_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the bytes of strings of 400 bytes that start anywhere else too."""
+    bounded_batches(spark)
     cut = repeats.remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -41,6 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token pieces with their place in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, PACKING_TOKENIZER)
 
 

@@ -58,7 +58,20 @@ def crc_fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+BATCH_BYTES = 6 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark send Python at most ``BATCH_BYTES`` at a time (the default is 64 MB), unless less is set already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sql(f"SET {name}").first()["value"]
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, to be sent to Python in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -46,6 +46,11 @@ _STEP = _rng.integers(1, 1 << 63, SHINGLE, np.int64).view(np.uint64) * np.uint64
 
 def shingle_sets(batch: pa.RecordBatch, column: str, weights: str = "set") -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Of each text: its sorted distinct shingle hashes, their weights, and the key of that set."""
+    parts = [_shingle_sets(part, column, weights) for part in slices(batch, column, 1 << 20)]
+    return [s for p in parts for s in p[0]], [w for p in parts for w in p[1]], np.concatenate([p[2] for p in parts] or [np.empty(0, np.uint64)])
+
+
+def _shingle_sets(batch: pa.RecordBatch, column: str, weights: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     offsets, data = text_buffers(batch.column(column))
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     starts = offsets - offsets[0]

@@ -42,7 +42,7 @@ COVERS = {
     183: (1, 13, 20, 21, 23, 44, 61, 72, 77, 86, 90, 116, 122, 169),
 }
 PER_BUCKET = 12 << 20  # bytes of text whose samples meet in one bucket
-FLUSH = 2_000_000  # samples that a task holds before it sends them
+FLUSH = 700_000  # samples that a task holds before it sends them
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, column, 2 << 20):
+            for batch in slices(whole, column, 1 << 20):
                 out = []
                 for key, text, name, place in zip(*(batch.column(c).to_pylist() for c in ("text_key", column, "names", "places"))):
                     raw = text.encode()
