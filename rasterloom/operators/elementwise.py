@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import DEPTHS, MatrixError, clamp, is_float, saturate_cast, scalar, strict_cast, truncate_cast
 
@@ -184,7 +185,7 @@ def lut(px: DataFrame, table: list[float] | list[list[float]]) -> DataFrame:
     if any(len(t) != 256 for t in tables):
         raise MatrixError("a lookup table has 256 entries")
     rows = [(k, i, float(t[i])) for k, t in enumerate(tables) for i in range(256)]
-    look = F.broadcast(px.sparkSession.createDataFrame(rows, "_k int, _i int, _o double"))
+    look = F.broadcast(small_table(px.sparkSession, rows, "_k int, _i int, _o double"))
     key = at_c() if len(tables) > 1 else F.lit(0)
     return px.join(look, (val().cast("int") == look["_i"]) & (key == look["_k"])).select(*KEYS, F.col("_o").alias("v"))
 
@@ -192,7 +193,7 @@ def lut(px: DataFrame, table: list[float] | list[list[float]]) -> DataFrame:
 def transform(px: DataFrame, m: list[list[float]], depth: str = "f64") -> DataFrame:
     """Channels times a matrix: rows are output channels; one more column than channels is an offset."""
     rows = [(i, j, float(w)) for i, line in enumerate(m) for j, w in enumerate(line)]
-    taps = F.broadcast(px.sparkSession.createDataFrame(rows, "_row int, _in int, _m double"))
+    taps = F.broadcast(small_table(px.sparkSession, rows, "_row int, _in int, _m double"))
     joined = px.join(taps, px["c"] == taps["_in"]).groupBy("img", "y", "x", F.col("_row").alias("c")).agg(F.sum(val() * F.col("_m")).alias("v"), F.count("*").alias("_n"))
     offset = F.lit(0.0)
     for i, line in enumerate(m):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import taps as T
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import Border, Criteria, MatrixError, Shape
 from .neighbourhood import aligned, gaussian_blur, neighbours, resize, separable, sobel
@@ -354,7 +355,7 @@ def orientation(px: DataFrame, keypoints: DataFrame, half: int = 15) -> DataFram
     """Keypoints (img, y, x, ...) with the angle (degrees) of the intensity centroid of their round patch."""
     reach = umax(half)
     cells = [(dy, dx) for dy in range(-half, half + 1) for dx in range(-reach[abs(dy)], reach[abs(dy)] + 1)]
-    patch = F.broadcast(px.sparkSession.createDataFrame(cells, "_dy int, _dx int"))
+    patch = F.broadcast(small_table(px.sparkSession, cells, "_dy int, _dx int"))
     rows = sorted({dy for dy, _ in cells})
     asked = keypoints.select("img", F.col("y").alias("_ky"), F.col("x").alias("_kx")).distinct().withColumn("_dy", F.explode(F.array(*[F.lit(r) for r in rows]))).join(patch, "_dy")
     asked = asked.withColumn("y", F.col("_ky") + F.col("_dy")).withColumn("x", F.col("_kx") + F.col("_dx"))

@@ -7,6 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import MatrixError, Shape
 from .neighbourhood import aligned
@@ -129,7 +130,7 @@ def clahe(px: DataFrame, shape: Shape, clip_limit: float = 40.0, tiles: tuple[in
     shifted = aligned(px).withColumn("_k", F.shiftright(val().cast("int"), bit_shift))
 
     def table(n: int, size: int, source: str, tile: str):
-        return F.broadcast(spark.createDataFrame([(border_index(i, n, Border.REFLECT_101), i // size) for i in range(-(-n // size) * size)], f"{source} int, {tile} int"))
+        return F.broadcast(small_table(spark, [(border_index(i, n, Border.REFLECT_101), i // size) for i in range(-(-n // size) * size)], f"{source} int, {tile} int"))
 
     padded = shifted.join(table(shape.rows, th, "y", "_ty"), "y").join(table(shape.cols, tw, "x", "_tx"), "x")
     counts = padded.groupBy("img", "_ty", "_tx", "_k").agg(F.count("*").alias("n"))
@@ -155,7 +156,7 @@ def clahe(px: DataFrame, shape: Shape, clip_limit: float = 40.0, tiles: tuple[in
             low = int(at // 1)
             d = at - low
             rows += [(i, min(max(low, 0), count - 1), 1 - d), (i, min(max(low + 1, 0), count - 1), d)]
-        return F.broadcast(spark.createDataFrame(rows, f"{source} int, {tile_name} int, {weight} double"))
+        return F.broadcast(small_table(spark, rows, f"{source} int, {tile_name} int, {weight} double"))
 
     spread = shifted.join(pairs(shape.rows, th, ty, "y", "_ty", "_wy"), "y").join(pairs(shape.cols, tw, tx, "x", "_tx", "_wx"), "x")
     blended = spread.join(curve, [*tile, "_k"]).groupBy(*KEYS).agg(F.sum(F.col("_lut") * F.col("_wy") * F.col("_wx")).alias("v"))

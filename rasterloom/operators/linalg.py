@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import MatrixError
 from .structural import transpose
@@ -32,7 +33,7 @@ def gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0, c: DataFrame | None = N
 def product_with(a: DataFrame, b: list[list[float]], alpha: float = 1.0) -> DataFrame:
     """A times one small matrix, which is broadcast."""
     cells = [(k, j, float(w)) for k, row in enumerate(b) for j, w in enumerate(row)]
-    table = F.broadcast(a.sparkSession.createDataFrame(cells, "_k int, _j int, _b double"))
+    table = F.broadcast(small_table(a.sparkSession, cells, "_k int, _j int, _b double"))
     return a.join(table, a["x"] == table["_k"]).groupBy("img", "y", F.col("_j").alias("x"), "c").agg((F.sum(val() * F.col("_b")) * alpha).alias("v")).select(*KEYS, "v")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import taps as T
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import Border, MatrixError, Shape, truncate_cast
 from . import elementwise
@@ -28,7 +29,7 @@ def aligned(px: DataFrame) -> DataFrame:
 
 
 def tap_table(px: DataFrame, taps: list[T.Tap], source: str) -> DataFrame:
-    return F.broadcast(px.sparkSession.createDataFrame(taps, f"_t int, {source} int, _w double"))
+    return F.broadcast(small_table(px.sparkSession, taps, f"_t int, {source} int, _w double"))
 
 
 def along(px: DataFrame, taps: list[T.Tap], axis: str) -> DataFrame:
@@ -83,9 +84,9 @@ def neighbours(px: DataFrame, shape: Shape, offsets: list[tuple[int, int, float]
     spark = px.sparkSession
     across = sorted({(t, T.border_index(t + dx, shape.cols, border), dx) for t in range(shape.cols) for _, dx, _ in offsets})
     down = sorted({(t, T.border_index(t + dy, shape.rows, border), dy) for t in range(shape.rows) for dy, _, _ in offsets})
-    xs = F.broadcast(spark.createDataFrame([r for r in across if r[1] >= 0], "_tx int, x int, _dx int"))
-    ys = F.broadcast(spark.createDataFrame([r for r in down if r[1] >= 0], "_ty int, y int, _dy int"))
-    w = F.broadcast(spark.createDataFrame([(dy, dx, float(k)) for dy, dx, k in offsets], "_dy int, _dx int, _w double"))
+    xs = F.broadcast(small_table(spark, [r for r in across if r[1] >= 0], "_tx int, x int, _dx int"))
+    ys = F.broadcast(small_table(spark, [r for r in down if r[1] >= 0], "_ty int, y int, _dy int"))
+    w = F.broadcast(small_table(spark, [(dy, dx, float(k)) for dy, dx, k in offsets], "_dy int, _dx int, _w double"))
     out = px.join(xs, "x").join(ys, "y").join(w, ["_dy", "_dx"])
     return out.select("img", F.col("_ty").alias("y"), F.col("_tx").alias("x"), "c", "v", "_w", "_dy", "_dx")
 
@@ -253,7 +254,7 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
             for s in range(n):
                 re, im = math.cos(2 * math.pi * t * s / n), sign * math.sin(2 * math.pi * t * s / n)
                 table += [(t, s, 0, 0, re), (t, s, 0, 1, im), (t, s, 1, 0, -im), (t, s, 1, 1, re)]
-        basis = F.broadcast(px.sparkSession.createDataFrame(table, f"_t int, {axis} int, c int, _c int, _w double"))
+        basis = F.broadcast(small_table(px.sparkSession, table, f"_t int, {axis} int, c int, _c int, _w double"))
         keys = [k for k in ("img", "y", "x") if k != axis]
         out = p.join(basis, [axis, "c"]).groupBy(*keys, "_t", "_c").agg(F.sum(val() * F.col("_w")).alias("v"))
         return out.withColumnsRenamed({"_t": axis, "_c": "c"}).select(*KEYS, "v")

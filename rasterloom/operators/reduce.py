@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import IncompatibleChannels, NotSupported, truncate_cast
 
@@ -130,7 +131,7 @@ def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
 def mahalanobis(a: DataFrame, b: DataFrame, inverse_covariance: list[list[float]]) -> DataFrame:
     """sqrt(d' M d) of the column vectors a - b, with M as a table of its cells."""
     cells = [(i, j, float(w)) for i, row in enumerate(inverse_covariance) for j, w in enumerate(row)]
-    m = F.broadcast(a.sparkSession.createDataFrame(cells, "i int, j int, w double"))
+    m = F.broadcast(small_table(a.sparkSession, cells, "i int, j int, w double"))
     d = a.join(b.select(*KEYS, F.col("v").alias("_w")), list(KEYS)).select("img", F.col("y").alias("i"), (val() - F.col("_w")).alias("d"))
     left = d.join(m, "i").groupBy("img", "j").agg(F.sum(F.col("d") * F.col("w")).alias("_s"))
     return left.join(d.withColumnRenamed("i", "j"), ["img", "j"]).groupBy("img").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_s") * F.col("d")))).alias("distance"))

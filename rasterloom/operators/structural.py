@@ -7,6 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import InvalidDimensions, Shape, scalar
 
@@ -62,7 +63,7 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 def mix_channels(sources: list[tuple[DataFrame, int]], targets: list[int], pairs: list[tuple[int, int]]) -> list[DataFrame]:
     """Copy channels: numbers run on across the sources (table, channels) and the targets (channels)."""
     every = fold(DataFrame.unionByName, [moved(p, c=at_c() + sum(n for _, n in sources[:k])) for k, (p, _) in enumerate(sources)])
-    table = F.broadcast(every.sparkSession.createDataFrame(pairs, "_from int, _to int"))
+    table = F.broadcast(small_table(every.sparkSession, pairs, "_from int, _to int"))
     mixed = every.join(table, every["c"] == table["_from"]).select("img", "y", "x", F.col("_to").alias("c"), "v")
     starts = [sum(targets[:k]) for k in range(len(targets))]
     return [moved(mixed.where((at_c() >= s) & (at_c() < s + n)), c=at_c() - s) for s, n in zip(starts, targets)]
@@ -85,7 +86,7 @@ def copy_make_border(px: DataFrame, shape: Shape, top: int, bottom: int, left: i
 
         def table(n, before, after, source, target):
             rows = [(border_index(i - before, n, Border.REFLECT), i) for i in range(n + before + after)]
-            return F.broadcast(px.sparkSession.createDataFrame(rows, f"{source} int, {target} int"))
+            return F.broadcast(small_table(px.sparkSession, rows, f"{source} int, {target} int"))
 
         out = px.join(table(shape.rows, top, bottom, "y", "_ty"), "y").join(table(shape.cols, left, right, "x", "_tx"), "x")
         return out.select("img", F.col("_ty").alias("y"), F.col("_tx").alias("x"), "c", "v")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import cluster, elementwise, estimation, features, flow, geometry, histogram, linalg, matching, neighbourhood, random, reduce, structural
 from ..sources import pixels
+from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..streaming import frames
 from ..types import Border, Criteria, Shape
@@ -460,7 +461,7 @@ register("dft", lambda s, d: r6(neighbourhood.dft(img8f(s, d), S8)), sql(
     DFT_SQL.format(c=0, e=s6("sum(v * cos(2 * pi() * (y * k + x * l) / 8))")) + " UNION ALL " + DFT_SQL.format(c=1, e=s6("-sum(v * sin(2 * pi() * (y * k + x * l) / 8))"))
 ))
 register("idft", lambda s, d: r6(neighbourhood.idft(neighbourhood.dft(img8f(s, d), S8), S8)), sql(f"SELECT img, y, x, 0 AS c, {s6('v')} AS v FROM img8f UNION ALL SELECT img, y, x, 1 AS c, 0.0 AS v FROM img8f"))
-register("optimal_dft_size", lambda s, d: s.createDataFrame([(n, neighbourhood.optimal_dft_size(n)) for n in range(1, 200)], "n int, size int"), """WITH p AS (SELECT (2 ** a * 3 ** b * 5 ** c)::INT AS v FROM (SELECT unnest(range(9)) AS a), (SELECT unnest(range(6)) AS b), (SELECT unnest(range(4)) AS c))
+register("optimal_dft_size", lambda s, d: small_table(s, [(n, neighbourhood.optimal_dft_size(n)) for n in range(1, 200)], "n int, size int"), """WITH p AS (SELECT (2 ** a * 3 ** b * 5 ** c)::INT AS v FROM (SELECT unnest(range(9)) AS a), (SELECT unnest(range(6)) AS b), (SELECT unnest(range(4)) AS c))
 SELECT n::INT AS n, min(v) AS size FROM (SELECT unnest(range(1, 200)) AS n) JOIN p ON v >= n GROUP BY n""")
 
 # ---- geometry and colour
@@ -762,8 +763,8 @@ def tracked(s: SparkSession, d: str) -> DataFrame:
 
 register("optical_flow_lk", lambda s, d: tracked(s, d).select("img", "id", "status", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")))
 register("optical_flow_pyramid", lambda s, d: flow.build_optical_flow_pyramid(textured(s, d, size=40)[0], Shape(40, 40), (5, 5), 2)[1]["dx"])
-register("structuring_element", lambda s, d: s.createDataFrame([(k, dy, dx) for k in ("rect", "cross", "ellipse") for dy, dx in T.structuring_element(k, 5, 7)], "kind string, dy int, dx int"))
-register("gaussian_kernel", lambda s, d: r6(s.createDataFrame(list(enumerate(T.gaussian_kernel(7, 1.5))), "i int, v double")), f"SELECT i::INT AS i, {s6('exp(-(i - 3) * (i - 3) / 4.5) / sum(exp(-(i - 3) * (i - 3) / 4.5)) OVER ()')} AS v FROM (SELECT unnest(range(7)) AS i)")
+register("structuring_element", lambda s, d: small_table(s, [(k, dy, dx) for k in ("rect", "cross", "ellipse") for dy, dx in T.structuring_element(k, 5, 7)], "kind string, dy int, dx int"))
+register("gaussian_kernel", lambda s, d: r6(small_table(s, list(enumerate(T.gaussian_kernel(7, 1.5))), "i int, v double")), f"SELECT i::INT AS i, {s6('exp(-(i - 3) * (i - 3) / 4.5) / sum(exp(-(i - 3) * (i - 3) / 4.5)) OVER ()')} AS v FROM (SELECT unnest(range(7)) AS i)")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
