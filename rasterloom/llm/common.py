@@ -64,8 +64,8 @@ BATCH_BYTES = 6 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Let Spark send Python at most ``BATCH_BYTES`` at a time (the default is 64 MB), unless less is set already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sql(f"SET {name}").first()["value"]
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

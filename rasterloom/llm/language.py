@@ -67,9 +67,9 @@ class Model:
 
 
 def nystrom_ridge(x: np.ndarray, y: list[str], landmarks: int, ridge: float, seed: int = 0) -> Model:
-    """Fit on presence rows ``x``: landmark features, then ridge regression to +1 and -1 for each language."""
+    """Fit on presence rows ``x`` (normalised in place): landmark features, then ridge regression to +1 and -1 for each language."""
     languages = sorted(set(y))
-    x = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     of = np.array([languages.index(v) for v in y])
     rng = np.random.default_rng(seed)
     each = max(1, landmarks // len(languages))

@@ -32,6 +32,7 @@ from .common import crc_fold, durable, text_buffers
 ORDER, SHARED, BITS = 6, 3, 10
 MARGIN = 2.0
 BLOCK = 1 << 20
+NO_KEY = -(1 << 63)  # stands for a null id, which no label has
 SLOTS = 1 << 20
 _SYMBOL = np.ones(0x110000, np.int64)  # 1: the end of a word
 for _o in range(0x250):
@@ -114,7 +115,7 @@ def count_grams(docs: DataFrame, key: str, column: str, sample: DataFrame) -> Da
             return pa.RecordBatch.from_arrays([pa.array(grams), *(pa.array(n.astype(np.int64)) for n in numbers)], names=names)
 
         for batch in batches:
-            own = np.array([-1 if k is None else k for k in batch.column("_key").to_pylist()], np.int64)
+            own = np.array([NO_KEY if k is None else k for k in batch.column("_key").to_pylist()], np.int64)
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             kinds = np.where(ids[at] == own, 1 + toxic[at], 0).astype(np.int8) if len(ids) else np.zeros(len(own), np.int8)
             for raw, starts, rows_of in blocks(batch, column):
