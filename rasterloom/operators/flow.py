@@ -44,12 +44,17 @@ def _window(points: DataFrame, px: DataFrame, x: str, y: str, win: tuple[int, in
 
 
 def calc_optical_flow_pyramid_lk(prev: DataFrame, nxt: DataFrame, shape: Shape, points: DataFrame, win: tuple[int, int] = (5, 5), levels: int = 2, criteria: Criteria = Criteria(10, 0.03), min_eigen: float = 1e-4, initial: bool = False) -> DataFrame:
-    """(img, id, x, y, status, error) of points (img, id, x, y[, next_x, next_y]) of ``prev`` found in ``nxt``.
+    """(img, id, x, y, status, error) of points (img, id, x, y[, next_x, next_y]) of ``prev`` found in ``nxt``."""
+    a = build_optical_flow_pyramid(prev, shape, win, levels)
+    b = build_optical_flow_pyramid(nxt, shape, win, levels, derivatives=False)
+    return track_with_pyramids(a, b, points, win, criteria, min_eigen, initial)
+
+
+def track_with_pyramids(a: list[dict], b: list[dict], points: DataFrame, win: tuple[int, int] = (5, 5), criteria: Criteria = Criteria(10, 0.03), min_eigen: float = 1e-4, initial: bool = False) -> DataFrame:
+    """The same from pyramids that the caller keeps: the next frame's pyramid serves again as the one before.
 
     Points whose window has too little structure are lost (status 0) and stay where they were.
     """
-    a = build_optical_flow_pyramid(prev, shape, win, levels)
-    b = build_optical_flow_pyramid(nxt, shape, win, levels, derivatives=False)
     top = len(a) - 1
     start = ("next_x", "next_y") if initial else ("x", "y")
     state = points.select("img", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col(start[0]).cast("double") / 2.0**top).alias("_nx"), (F.col(start[1]).cast("double") / 2.0**top).alias("_ny"), F.lit(1).alias("status"))

@@ -194,3 +194,11 @@ def test_random_is_reproducible(spark):
     a = random.randu(images, Shape(2, 3), [1.0], [2.0], 9).orderBy("img", "y", "x").collect()
     assert a == random.randu(images, Shape(2, 3), [1.0], [2.0], 9).orderBy("img", "y", "x").collect()
     assert all(1 <= r["v"] < 2 for r in a)
+
+
+def test_tracking_finds_the_shift(spark):
+    from rasterloom.plans import queries
+
+    spots = [(x, y) for x in (12.0, 20.0, 28.0) for y in (12.0, 20.0, 28.0)]
+    got = queries.tracked(spark, "/root/testdata/sf0.001").where("img = 0 and status = 1").collect()
+    assert len(got) >= 6 and all(abs(r["x"] - spots[r["id"]][0] + 1) < 0.1 and abs(r["y"] - spots[r["id"]][1]) < 0.1 for r in got)
