@@ -11,8 +11,9 @@ algorithm runs to that depth:
 2. Recursion on names. For the others, the triple of names at p - V, p and p + V names a stretch that holds every
    string of ``LENGTH`` bytes through p; places with equal triples are repeated as a whole.
 3. Remaining suffixes. Where a triple is alone, a repeat begins or ends nearby: for these places (and one of each
-   triple they share a name with) the up to V - 1 bytes on both sides are fetched, and the strings at each of
-   the V shifts are merged by comparing the prefixes of equal names.
+   triple they share a name with) the strings of ``LENGTH`` at each of the V shifts are hashed where the text is,
+   each string once; equal ones of a task become one with a flag, and only strings with equal content meet, so a
+   name that half of the corpus has is dealt by what surrounds it.
 
 Names are 64-bit fingerprints of the bytes; texts are known by a fingerprint too, so equal texts are one text with a
 count, and a text that occurs twice is removed whole. Matches never cross texts. Rows with null text are empty;
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +90,12 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-KINDS = {"name": np.uint64, "place": np.uint32, "text_key": np.int64, "triple": np.uint64, "flag": np.uint8, "l": np.uint16, "r": np.uint16}
+KINDS = {"name": np.uint64, "place": np.uint32, "text_key": np.int64, "triple": np.uint64, "flag": np.uint8, "code": np.uint64}
 
 
 def _pack(name: str, values: np.ndarray) -> bytes:
     """A column of a bucket's rows: byte planes, so that empty high bytes compress away; runs of equal text keys
-    once with their lengths; side bytes compressed."""
-    if name == "sides":
-        return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+    once with their lengths."""
     if name == "text_key":
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         return np.int64(len(first)).tobytes() + values[first].tobytes() + np.diff(np.append(first, len(values))).astype(np.uint32).tobytes()
@@ -106,8 +104,6 @@ def _pack(name: str, values: np.ndarray) -> bytes:
 
 
 def _unpack(name: str, data: bytes) -> np.ndarray:
-    if name == "sides":
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     if name == "text_key":
         n = int(np.frombuffer(data, np.int64, 1)[0])
         return np.repeat(np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n))
@@ -175,12 +171,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             held.clear()
             # A name that this task has more than once is repeated in any case: one of its places goes on, with a
             # flag, to meet the rest; the others (negative buckets) needn't.
-            order = np.argsort(name, kind="stable")
-            first = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-            size = np.diff(np.append(np.flatnonzero(first), len(order)))
-            flag = np.zeros(len(name), np.uint8)
-            flag[order[first]] = size > 1
-            keep, rest = np.sort(order[first]), np.sort(order[~first])
+            keep, rest, flag = once_each(name)
             yield _packed(to_name(name[keep]), {"name": name[keep], "place": place[keep], "text_key": key[keep], "flag": flag[keep]})
             if len(rest):
                 yield _packed(-1 - to_name(name[rest]), {"name": name[rest], "place": place[rest], "text_key": key[rest], "flag": flag[rest]})
@@ -244,7 +235,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 yield _packed(np.full(len(rest), -1 - bucket), {"name": name[rest], "place": place[rest], "text_key": key[rest], "triple": triple[rest], "flag": flag[rest]})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """flag 0: the stretch of a repeated triple; flag 1: a place whose sides must be looked at."""
+        """flag 0: the stretch of a repeated triple; flag 1: a place around which strings must be looked at."""
         for bucket, (name, place, key, triple, flag) in _gathered(batches, *place_of, "triple", "flag"):
             if bucket < 0:
                 yield _packed(np.full(len(name), -1 - bucket), {"name": name, "place": place, "text_key": key, "flag": np.zeros(len(name), np.uint8)})
@@ -262,70 +253,73 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             if len(out):
                 yield _packed(to_text(key[out]), {"name": name[out], "place": place[out], "text_key": key[out], "flag": kind})
 
-    # 3. the sides of open places, text by text
+    # 3. the strings around open places, text by text
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (name, place, key, kind) in _gathered(batches, *place_of, "flag"):
+        for _, (place, key, kind) in _gathered(batches, "place", "text_key", "flag"):
             order, first = _runs(key)
             bounds = [*np.flatnonzero(first).tolist(), len(order)]
             rows = []
             for a, b in zip(bounds, bounds[1:]):
                 o = order[a:b]
                 at, look = place[o[kind[o] == 0]].astype(np.int64), o[kind[o] == 1]
-                rows.append((int(key[o[0]]), _merged(at - v, at + v + width).tobytes(), name[look].tobytes(), place[look].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["text_key", "spans", "names", "places"])
+                rows.append((int(key[o[0]]), _merged(at - v, at + v + width).tobytes(), place[look].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["text_key", "spans", "places"])
 
     samples = docs.select("text_key", column).mapInArrow(sample, _schema(*place_of, "flag"))
     candidates = _by_bucket(samples).mapInArrow(repeated_names, _schema(*place_of))
     named = _by_bucket(candidates).mapInArrow(triples, _schema(*place_of, "triple", "flag"))
     found = _by_bucket(named).mapInArrow(compared, _schema(*place_of, "flag"))
-    texts_found = durable(_by_bucket(found).mapInArrow(by_text, "text_key long, spans binary, names binary, places binary"))
-    to_look = texts_found.where(F.length("names") > 0)
-    sides = v - 1
+    texts_found = durable(_by_bucket(found).mapInArrow(by_text, "text_key long, spans binary, places binary"))
+    to_look = texts_found.where(F.length("places") > 0)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings around open places; of those that this task has more than once one meets the rest, with a flag."""
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, place, key = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            keep, rest, flag = once_each(code)
+            yield _packed(to_text(code[keep]), {"code": code[keep], "place": place[keep], "text_key": key[keep], "flag": flag[keep]})
+            if len(rest):  # settled: dealt by text (negative buckets)
+                yield _packed(-1 - to_text(key[rest]), {"code": code[rest], "place": place[rest], "text_key": key[rest], "flag": flag[rest]})
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, column, 1 << 20):
-                out = []
-                for key, text, name, place in zip(*(batch.column(c).to_pylist() for c in ("text_key", column, "names", "places"))):
-                    raw = text.encode()
-                    name, place = np.frombuffer(name, np.uint64), np.frombuffer(place, np.uint32).astype(np.int64)
-                    padded = np.frombuffer(bytes(sides) + raw + bytes(sides), np.uint8)
-                    view = np.lib.stride_tricks.sliding_window_view(padded, sides)
-                    both = np.concatenate([view[place], view[place + width + sides]], axis=1)
-                    l, r = np.minimum(place, sides), np.clip(len(raw) - place - width, 0, sides)  # noqa: E741
-                    out.append((name, place.astype(np.uint32), np.full(len(place), key, np.int64), both, l.astype(np.uint16), r.astype(np.uint16)))
-                if out:
-                    cols = dict(zip((*place_of, "sides", "l", "r"), (np.concatenate(c) for c in zip(*out))))
-                    yield _packed(to_name(cols["name"]), cols)
-
-    looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "names", "places"), "text_key")
-    around = looked.mapInArrow(contexts, _schema(*place_of, "sides", "l", "r"))
-
-    def merged_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, columns in _gathered(batches, *place_of, "sides", "l", "r"):
-            columns[3] = columns[3].reshape(-1, 2 * sides)
-            order, new = _runs(columns[0], columns[2], columns[1])
-            columns = [c[order[new]] for c in columns]
-            group = np.cumsum(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])) - 1
-            often = (np.bincount(group) > 1)[group]
-            columns, group = [c[often] for c in columns], group[often]
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-            a = 0
-            while a < len(group):  # whole groups, some thousands of places at a time
-                k = np.searchsorted(starts, a + 8192, side="right") - 1
-                b = int(starts[k]) if starts[k] > a else int(starts[k + 1]) if k + 1 < len(starts) else len(group)
-                b = len(group) if a + 8192 >= len(group) else b
-                _, place, key, both, l, r = (c[a:b] for c in columns)  # noqa: E741
-                s, e, i = _shifts(group[a:b], place.astype(np.int64), both, l.astype(np.int64), r.astype(np.int64), length)
-                if len(s):
-                    owner = key[i]
-                    o, first = _runs(owner)
-                    bounds = [*np.flatnonzero(first).tolist(), len(o)]
-                    spans = [_merged(s[o[x:y]], e[o[x:y]]).tobytes() for x, y in zip(bounds, bounds[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[o[bounds[:-1]]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
-                a = b
-
-    more = _by_bucket(around).mapInArrow(merged_sides, "text_key long, spans binary")
+                for key, text, place in zip(*(batch.column(c).to_pylist() for c in ("text_key", column, "places"))):
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    at = around(np.frombuffer(place, np.uint32).astype(np.int64), len(raw), v, length)
+                    held.append((window_hash(prefix_sums(raw), at, length), at.astype(np.uint32), np.full(len(at), key, np.int64)))
+                    count += len(at)
+                    if count > FLUSH:
+                        yield from flush()
+                        count = 0
+        if held:
+            yield from flush()
+
+    def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (code, place, key, flag) in _gathered(batches, "code", "place", "text_key", "flag"):
+            if bucket >= 0:
+                order, new = _runs(code, key, place)  # copies of one text send the same string
+                group = np.cumsum(np.concatenate([[True], code[order][1:] != code[order][:-1]])) - 1
+                often = (np.bincount(group, new) > 1) | (np.bincount(group, flag[order]) > 0)
+                keep = order[new & often[group]]
+                place, key = place[keep], key[keep]
+            if len(key):
+                order, first = _runs(key)
+                at = place[order].astype(np.int64)
+                bounds = [*np.flatnonzero(first).tolist(), len(order)]
+                spans = [_merged(at[a:b], at[a:b] + length).tobytes() for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(key[order[bounds[:-1]]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
+
+    looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "places"), "text_key")
+    found_strings = looked.mapInArrow(strings, _schema("code", "place", "text_key", "flag"))
+    more = _by_bucket(found_strings).mapInArrow(repeated_strings, "text_key long, spans binary")
     every = texts_found.where(F.length("spans") > 0).select("text_key", "spans").unionByName(more)
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,39 +342,21 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
     return _by_bucket(every, "text_key").mapInArrow(union, "text_key long, spans binary")
 
 
-def _shifts(group, place, both, l, r, length):  # noqa: E741
-    """Spans (start, end, index of the place) of the strings around places that another place of the group has too.
+def around(place: np.ndarray, n: int, v: int, length: int) -> np.ndarray:
+    """Starts of the strings of ``length`` that begin less than ``v`` before a place, each once, in a text of n."""
+    edge = np.zeros(n + 2, np.int64)
+    np.add.at(edge, np.maximum(place - v + 1, 0), 1)
+    np.add.at(edge, place + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[: max(0, n - length + 1)] > 0)
 
-    For each shift t: t bytes before the place and as many after its name as complete ``length``.
-    """
-    sides = both.shape[1] // 2
-    after = np.zeros((sides + 1, len(place)), np.uint64)
-    for u in range(1, sides + 1):
-        after[u] = after[u - 1] * np.uint64(_BASE) + _BYTE[both[:, sides + u - 1]]
-    before = mix(group.astype(np.uint64) + np.uint64(3))
-    low, high = np.zeros(len(place), np.int64), np.full(len(place), -1, np.int64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def close(i: np.ndarray) -> None:
-        out.append((place[i] - high[i], place[i] - low[i] + length, i))
-
-    for t in range(sides + 1):
-        if t:
-            before = before * np.uint64(_BASE) + _BYTE[both[:, sides - t]]
-        ok = np.flatnonzero((l >= t) & (r >= sides - t))
-        code = mix(mix(before[ok]) + after[sides - t][ok])
-        o = np.argsort(code)
-        equal = code[o][1:] == code[o][:-1]
-        twin = np.zeros(len(ok), bool)
-        twin[o[1:][equal]] = True
-        twin[o[:-1][equal]] = True
-        hit = ok[twin]
-        fresh = hit[high[hit] != t - 1] if t else hit
-        close(fresh[high[fresh] >= 0])
-        low[fresh] = t
-        high[hit] = t
-    close(np.flatnonzero(high >= 0))
-    return tuple(np.concatenate(c) for c in zip(*out))
+
+def once_each(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that go on, one of each code; rows that needn't, as their code is repeated; a flag where it is."""
+    order = np.argsort(code, kind="stable")
+    first = np.concatenate([[True], code[order][1:] != code[order][:-1]])[: len(order)]
+    flag = np.zeros(len(code), np.uint8)
+    flag[order[first]] = np.diff(np.append(np.flatnonzero(first), len(order))) > 1
+    return np.sort(order[first]), np.sort(order[~first]), flag
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rasterloom.llm import repeats
@@ -55,3 +56,23 @@ def test_against_brute_force(spark, documents, seed):
 def test_empty_table(documents):
     assert repeats.repeat_report(documents([])).count() == 0
     assert repeats.remove_repeats(documents([])).count() == 0
+
+
+def test_strings_of_a_hot_name_are_dealt_by_content(spark, documents):
+    rng = random.Random(2)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = part(45)
+    texts = [part(30) + passage + part(30) for _ in range(300)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["kept_sha256"] for r in repeats.repeat_report(documents(rows), length=20, v=13).collect()}
+    assert got == {i: w[3] for i, w in enumerate(brute(texts, 20))}
+    # all texts have the name at place 30; of their strings around it, those in the passage go on once, the others by content
+    code = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        code.append(repeats.window_hash(repeats.prefix_sums(raw), repeats.around(np.array([30]), len(raw), 13, 20), 20))
+    code = np.concatenate(code)
+    keep, rest, flag = repeats.once_each(code)
+    assert len(code) == 13 * 300 and len(set(code[keep].tolist())) == len(keep) and len(keep) + len(rest) == len(code)
+    assert len(rest) >= 299 and max(np.bincount((code[keep] % np.uint64(16)).astype(int))) < 2 * len(keep) / 16
+    assert flag[keep].sum() >= 1 and not flag[rest].any()
