@@ -14,8 +14,9 @@ Signatures are cut into ``BANDS`` bands of ``ROWS`` registers. Texts that share
 * inside a super-component, a text is compared with clusters that share a band with it, first with their
   anchors; since Jaccard distance is a metric, a text with similarity under 1 - 2 * (1 - threshold) to an anchor
   can't reach what hangs on that anchor, and is spared those comparisons. No candidate link is lost;
-* super-components over ``CHUNK`` shingles are dealt to several tasks, their anchors compared with one another, and
-  texts that still share a band with another cluster compared once more.
+* super-components over ``CHUNK`` shingles or ``TEXTS`` texts are dealt to several tasks; then, first of their
+  anchors and then of all their texts, those in a band with several clusters are compared there, in blocks under
+  the same bounds: a round compares each block with the one so many further on, and labels are merged after it.
 
 Null texts are empty; texts without words are near-duplicates of equal texts only. Rows are kept one by one; a
 class has the smallest id of its rows (null only if all ids are null).
@@ -36,7 +37,8 @@ from .graph import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 48
 REGISTERS = ROWS * BANDS
-CHUNK = 4_000_000
+CHUNK, TEXTS = 4_000_000, 4096  # shingles and texts that one task compares
+SHARES = 16  # the bands go in so many shares, so that few copies of a text are under way at once
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -276,6 +278,73 @@ def _clustered(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, label long, anchor boolean")
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each right set: its place and the left sets with a similarity of ``threshold`` or more."""
+    size = np.array([len(x) for x in left])
+    every, owner = np.concatenate(left), np.repeat(np.arange(len(left)), size)
+    order = np.argsort(every)
+    every, owner = every[order], owner[order]
+    for i, own in enumerate(right):
+        low = np.searchsorted(every, own)
+        n = np.searchsorted(every, own, side="right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(left))
+        yield i, np.flatnonzero(common / (size + len(own) - common) >= threshold)
+
+
+def _linked(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): labels that links join, within each ``part`` of ``blocks`` (part, side, node, shingles, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done():
+            a, b = sides
+            pairs = set()
+            if a and (b or now[1] == now[2]):
+                for i, hits in block_links([x[0] for x in a], [x[0] for x in b or a], threshold):
+                    label = (b or a)[i][1]
+                    pairs.update((label, a[j][1]) for j in hits.tolist() if a[j][1] != label)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for part, side, shingles, label in zip(*(batch.column(c).to_pylist() for c in ("part", "side", "shingles", "label"))):
+                part = tuple(part.values())
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, sides = part, ([], [])
+                sides[side].append((np.frombuffer(shingles, np.uint64), label))
+        if now is not None:
+            yield done()
+
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+
+
+def _settled(pool: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``labels`` (node, label) after comparing texts of ``pool`` (node, n, bands, shingles) that share a band."""
+    for share in range(SHARES):
+        in_band = durable(pool.select("node", "n", F.explode("bands").alias("band")).where(F.pmod(F.xxhash64("band"), F.lit(SHARES)) == share))
+        ahead = 0
+        while True:
+            blocks = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / TEXTS)).cast("int")
+            of_band = in_band.join(labels, "node").groupBy("band").agg(blocks.alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y"))
+            open_bands = durable(of_band.where(f"x <> y and {ahead} <= blocks div 2").select("band", "blocks"))
+            if open_bands.isEmpty():
+                break
+            block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
+            placed = in_band.join(open_bands, "band").withColumn("block", block)
+            part = lambda back, side: F.struct(F.struct("band", F.pmod(F.col("block") - back, F.col("blocks")).alias("i"), F.pmod(F.col("block") - back + ahead, F.col("blocks")).alias("j")).alias("part"), F.lit(side).alias("side"))
+            parts = [part(0, 0)] + ([part(ahead, 1)] if ahead else [])
+            sent = placed.withColumn("_to", F.explode(F.array(*parts))).select("node", "_to.*").join(pool.select("node", "shingles"), "node").join(labels, "node")
+            links = durable(_linked(sent, threshold).distinct())
+            if not links.isEmpty():
+                merged = components(links).withColumnRenamed("node", "label")
+                labels = durable(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+            ahead += 1
+    return labels
+
+
 def near_duplicate_nodes(docs: DataFrame, keys: tuple[str, ...], column: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
     """(keys, class) of every row; the class is a node of it: links are similarities of ``threshold`` or more."""
     rows = durable(sketch(docs, keys, column, weights))
@@ -285,28 +354,21 @@ def near_duplicate_nodes(docs: DataFrame, keys: tuple[str, ...], column: str = "
     grouped = durable(components(edges))
 
     sizes = rows.where(F.size("bands") > 0).groupBy("node").agg(F.max("n_shingles").alias("n")).join(grouped, "node")
-    salts = sizes.groupBy("component").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("salts"))
+    salts = sizes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / TEXTS)).cast("int").alias("salts"))
     wanted = bit_table(grouped, "node")
     texts = _sets_of(docs, column, wanted, weights).join(grouped.join(salts, "component"), "node")
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
     held = durable(texts.select("node", "component", "salts", "shingles", "bands", F.struct("component", salt.alias("salt")).alias("part"), F.lit(None).cast("long").alias("known")))
     first = durable(_clustered(held, threshold))
-    links = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
-
+    labels = first.select("node", "label")
     split = held.where("salts > 1")
     if not split.isEmpty():
-        alone = lambda df: df.withColumn("part", F.struct("component", F.lit(0).alias("salt")))
-        anchors = first.where("anchor").select("node", F.col("label").alias("_known"))
-        second = _clustered(alone(split.join(anchors, "node").withColumn("known", F.col("_known"))), threshold)
-        labels = durable(components(durable(links.unionByName(second.select(F.col("node").alias("a"), F.col("label").alias("b"))))))
-        of_band = bands.join(split.select("node").distinct(), "node").join(labels, "node")
-        open_bands = of_band.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        unsettled = of_band.join(open_bands, "band").select("node", F.col("component").alias("_known")).distinct()
-        third = _clustered(alone(split.join(unsettled, "node").withColumn("known", F.col("_known"))), threshold)
-        links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(third.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        found = components(durable(links))
-    else:
-        found = first.select("node", F.col("label").alias("component"))
+        some = split.dropDuplicates(["node"]).select("node", (F.length("shingles") / 8).cast("long").alias("n"), "shingles").join(rows.where(F.size("bands") > 0).select("node", "bands").dropDuplicates(["node"]), "node")
+        pool = durable(some.join(first.groupBy("node").agg(F.max("anchor").alias("anchor")), "node"))
+        labels = durable(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).withColumnRenamed("component", "label"))
+        for part in (pool.where("anchor"), pool):
+            labels = _settled(part, labels, threshold)
+    found = labels.withColumnRenamed("label", "component")
     return rows.select(*keys, "node").join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("class"))
 
 

@@ -81,3 +81,36 @@ def test_signatures_estimate_similarity():
 def test_empty_table(documents):
     assert nd.near_duplicate_classes(documents([])).count() == 0
     assert nd.keep_one(documents([])).count() == 0
+
+
+def test_one_template_is_compared_in_bounded_blocks(spark, documents, words, monkeypatch):
+    monkeypatch.setattr(nd, "TEXTS", 12, raising=False)
+    monkeypatch.setattr(nd, "CHUNK", 1500)
+    monkeypatch.setattr(nd, "SHARES", 2, raising=False)
+    most = []
+
+    def counted(run):
+        def f(nodes, threshold):
+            most.extend(r["n"] for r in nodes.groupBy("part").agg(nd.F.countDistinct("node").alias("n")).collect())
+            return run(nodes, threshold)
+
+        return f
+
+    for name in ("_clustered", "_linked"):
+        if hasattr(nd, name):
+            monkeypatch.setattr(nd, name, counted(getattr(nd, name)))
+    rng = random.Random(9)
+    base, texts = words(rng, 100).split(), []
+    for k in range(60):
+        new = list(base)
+        for at in rng.sample(range(0, 100, 5), 4):
+            new[at : at + 2] = ["x" + str(rng.random())[2:8], "y"]
+        texts.append(" ".join(new))
+        if k % 10 == 0:
+            texts.append(" ".join(new[:-3]))
+    rows = list(enumerate(texts))
+    got = {}
+    for r in nd.near_duplicate_classes(documents(rows)).collect():
+        got.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert {k: sorted(v) for k, v in got.items()} == classes_by_pairs(rows)
+    assert max(most) < len(rows) * 3 // 4
