@@ -28,14 +28,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return near_duplicates.keep_one(docs)
 
 
-#: Bytes of a repeated string from which on it goes: about fifty words.
-REPEATED_BYTES = 280
+#: Words of a repeated string from which on it goes: over fifty.
+REPEATED_WORDS = 51
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the bytes of strings of ``REPEATED_BYTES`` that start anywhere else too."""
+    """All documents, less the bytes of strings of ``REPEATED_WORDS`` words that are anywhere else too."""
     bounded_batches(spark)
-    cut = repeats.remove_repeats(docs, length=REPEATED_BYTES, v=133)
+    cut = repeats.remove_repeats(docs, length=REPEATED_WORDS, v=21, words=True)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

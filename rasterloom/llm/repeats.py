@@ -18,6 +18,9 @@ algorithm runs to that depth:
 Names are 64-bit fingerprints of the bytes; texts are known by a fingerprint too, so equal texts are one text with a
 count, and a text that occurs twice is removed whole. Matches never cross texts. Rows with null text are empty;
 texts under ``LENGTH`` bytes keep everything; repeated rows and null ids are rows like any other.
+
+With ``words`` the same runs over words instead of bytes (``word_bounds``): places, ``length`` and ``v`` count words,
+and a string goes from the first byte of its first word to the last of its last; what is between counts.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ LENGTH = 400
 COVERS = {
     7: (1, 2, 4),
     13: (0, 1, 3, 9),
+    21: (3, 6, 7, 12, 14),
     133: (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121),
     183: (1, 13, 20, 21, 23, 44, 61, 72, 77, 86, 90, 116, 122, 169),
 }
@@ -67,9 +71,48 @@ def prefix_sums(text: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_hash(h: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+def window_hash(h: np.ndarray, start: np.ndarray, width: int, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hashes of ``width`` bytes each, or words with these ``bounds``, from the starts on."""
     _, down = powers(len(h))
-    return mix((h[start + width] - h[start]) * down[start])
+    end = start + width
+    if bounds is not None:
+        start, end = bounds[0][start], bounds[1][end - 1]
+    return mix((h[end] - h[start]) * down[start])
+
+
+_SPACE, _SOLID = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's words: what white space parts, less ASCII punctuation around it.
+
+    Ideographs, kana and Thai to Burmese letters, which are written without spaces, count as a word each.
+    """
+    space = _SPACE[raw]
+    at = np.flatnonzero(raw >= 0xC2)
+    x, y, z = (np.take(raw, at + k, mode="clip") for k in range(3))
+    blank = ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F))))
+    blank |= ((x == 0xE3) & (y == 0x80)) | ((x == 0xEF) & (y == 0xBC) & (z <= 0x8F))  # with marks of these scripts
+    for size, found in ((2, (x == 0xC2) & ((y == 0xA0) | (y == 0x85))), (3, blank)):
+        for k in range(size):
+            space[at[found] + k] = True
+    first = ~space
+    first[1:] &= space[:-1]
+    lone = ~blank & (((x >= 0xE3) & (x <= 0xE9)) | ((x == 0xF0) & (y >= 0xA0)) | ((x == 0xE0) & (y >= 0xB8) & (y <= 0xBB)) | ((x == 0xE1) & ((y == 0x80) | (y == 0x81) | (y == 0x9E) | (y == 0x9F))))
+    first[at[lone]] = True
+    after = at[lone] + np.where(x[lone] == 0xF0, 4, 3)
+    after = after[after < len(raw)]
+    first[after] = ~space[after]
+    last = ~space
+    last[:-1] &= space[1:] | first[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    solid = np.flatnonzero(_SOLID[raw])
+    a, b = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    some = a < b
+    start[some], end[some] = solid[a[some]], solid[b[some] - 1] + 1
+    return start, end
 
 
 def sampled(n: int, v: int, width: int) -> np.ndarray:
@@ -148,12 +191,14 @@ def _by_bucket(df: DataFrame, by: str = "bucket") -> DataFrame:
     return df.repartition(by).sortWithinPartitions(by)
 
 
-def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int = 183) -> DataFrame:
+def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int = 183, words: bool = False) -> DataFrame:
     """(text_key, spans): packed (start, end) pairs of int64, merged, of texts that other places repeat in part.
 
-    ``docs`` has ``text_key`` (of the text) and ``column``. Whole copies aren't reported here.
+    ``docs`` has ``text_key`` (of the text) and ``column``. Whole copies aren't reported here. With ``words`` the
+    pairs count words, and spans that only touch stay apart.
     """
     width = length + 1 - v
+    least, touch = least_bytes(length, words), not words
     buckets = max(4, -(-total_bytes(docs, column) // PER_BUCKET))
     text_buckets = 4 * buckets
     place_of = ("name", "place", "text_key")
@@ -181,11 +226,15 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 offsets, data = text_buffers(batch.column(column))
                 raw = np.frombuffer(data, np.uint8)
                 for key, a, b in zip(batch.column("text_key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    if b - a < length or key in seen:
+                    if b - a < least or key in seen:
                         continue
                     seen.add(key)
-                    places = sampled(b - a, v, width)
-                    names = window_hash(prefix_sums(raw[a:b]), places, width) & np.uint64((1 << 48) - 1)
+                    bounds = word_bounds(raw[a:b]) if words else None
+                    n = len(bounds[0]) if words else b - a
+                    if n < length:
+                        continue
+                    places = sampled(n, v, width)
+                    names = window_hash(prefix_sums(raw[a:b]), places, width, bounds) & np.uint64((1 << 48) - 1)
                     held.append((names, places.astype(np.uint32), np.full(len(places), key, np.int64)))
                     count += len(places)
                     if count > FLUSH:
@@ -262,7 +311,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             for a, b in zip(bounds, bounds[1:]):
                 o = order[a:b]
                 at, look = place[o[kind[o] == 0]].astype(np.int64), o[kind[o] == 1]
-                rows.append((int(key[o[0]]), _merged(at - v, at + v + width).tobytes(), place[look].tobytes()))
+                rows.append((int(key[o[0]]), _merged(at - v, at + v + width, touch).tobytes(), place[look].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["text_key", "spans", "places"])
 
     samples = docs.select("text_key", column).mapInArrow(sample, _schema(*place_of, "flag"))
@@ -293,8 +342,9 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                         continue
                     seen.add(key)
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    at = around(np.frombuffer(place, np.uint32).astype(np.int64), len(raw), v, length)
-                    held.append((window_hash(prefix_sums(raw), at, length), at.astype(np.uint32), np.full(len(at), key, np.int64)))
+                    bounds = word_bounds(raw) if words else None
+                    at = around(np.frombuffer(place, np.uint32).astype(np.int64), len(bounds[0]) if words else len(raw), v, length)
+                    held.append((window_hash(prefix_sums(raw), at, length, bounds), at.astype(np.uint32), np.full(len(at), key, np.int64)))
                     count += len(at)
                     if count > FLUSH:
                         yield from flush()
@@ -314,7 +364,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 order, first = _runs(key)
                 at = place[order].astype(np.int64)
                 bounds = [*np.flatnonzero(first).tolist(), len(order)]
-                spans = [_merged(at[a:b], at[a:b] + length).tobytes() for a, b in zip(bounds, bounds[1:])]
+                spans = [_merged(at[a:b], at[a:b] + length, touch).tobytes() for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(key[order[bounds[:-1]]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
 
     looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "places"), "text_key")
@@ -327,7 +377,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
 
         def row():
             pairs = np.concatenate(held).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_merged(pairs[:, 0], pairs[:, 1]).tobytes()], pa.binary())], names=["text_key", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_merged(pairs[:, 0], pairs[:, 1], touch).tobytes()], pa.binary())], names=["text_key", "spans"])
 
         for batch in batches:
             for key, spans in zip(batch.column("text_key").to_pylist(), batch.column("spans").to_pylist()):
@@ -359,23 +409,35 @@ def once_each(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.sort(order[first]), np.sort(order[~first]), flag
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Union of spans as (start, end) rows; touching spans join."""
+def least_bytes(length: int, words: bool) -> int:
+    """Bytes that no string of ``length`` undercuts: words have a byte each and one between them."""
+    return 2 * length - 1 if words else length
+
+
+def _merged(start: np.ndarray, end: np.ndarray, touch: bool = True) -> np.ndarray:
+    """Union of spans as (start, end) rows; touching spans join if ``touch``."""
     if not len(start):
         return np.empty((0, 2), np.int64)
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order])
-    at = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] if touch else start[1:] >= end[:-1]]))
     return np.column_stack([start[at], end[np.append(at[1:] - 1, len(end) - 1)]]).astype(np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int]]]]:
+def _cut(batches: Iterator[pa.RecordBatch], column: str, length: int, words: bool = False) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int]]]]:
     """Each batch with (kept bytes, removed bytes, removed spans) of its rows."""
     for whole in batches:
         for batch in slices(whole, column):
             out = []
             for text, spans in zip(batch.column(column).to_pylist(), batch.column("spans").to_pylist()):
-                raw, pairs = (text or "").encode(), np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist()
+                raw, pairs = (text or "").encode(), np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
+                if words and len(pairs):
+                    start, end = word_bounds(np.frombuffer(raw, np.uint8))
+                    if pairs[0, 1] <= len(start):
+                        pairs = np.column_stack([start[pairs[:, 0]], end[pairs[:, 1] - 1]])
+                    elif len(start) < length:  # a copy, but too short
+                        pairs = pairs[:0]
+                pairs = pairs.tolist()
                 edges = [0, *(x for p in pairs for x in p), len(raw)]
                 out.append((b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in pairs), len(pairs)))
             yield batch, out
@@ -389,7 +451,7 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", le
     spans = durable(repeated_spans(keyed, column, length, v))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cut in _cut(batches, column):
+        for batch, cut in _cut(batches, column, length):
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["text_key", "removed", "spans", "kept"])
 
     part = maybe_in(keyed.select("text_key", column), bit_table(spans, "text_key")).join(spans, "text_key")
@@ -404,19 +466,22 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", le
     )
 
 
-def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH, v: int = 183) -> DataFrame:
-    """``docs`` with every repeated byte taken out of ``column``; a character cut in two loses both parts."""
+def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH, v: int = 183, words: bool = False) -> DataFrame:
+    """``docs`` with every repeated byte taken out of ``column``; a character cut in two loses both parts.
+
+    With ``words``, bytes of repeated strings of ``length`` words.
+    """
     kept = [f for f in docs.schema.fields if f.name not in ("text_key", "spans")]
     names = [f.name for f in kept]
     keyed = docs.select(*names).withColumn("text_key", text_key(column))
-    copies = durable(keyed.where(F.octet_length(column) >= length).groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
-    spans = repeated_spans(keyed, column, length, v).join(copies, "text_key", "left_anti")
+    copies = durable(keyed.where(F.octet_length(column) >= least_bytes(length, words)).groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
+    spans = repeated_spans(keyed, column, length, v, words).join(copies, "text_key", "left_anti")
     all_of_it = F.lit(np.array([0, (1 << 62)], np.int64).tobytes())
     changes = durable(spans.unionByName(copies.select("text_key", all_of_it.alias("spans"))))
     table = bit_table(changes, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cut in _cut(batches, column):
+        for batch, cut in _cut(batches, column, length, words):
             new = [None if old is None else c[0].decode("utf-8", "ignore") for c, old in zip(cut, batch.column(column).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == column else batch.column(n) for n in names], names=names)
 

@@ -76,3 +76,34 @@ def test_strings_of_a_hot_name_are_dealt_by_content(spark, documents):
     assert len(code) == 13 * 300 and len(set(code[keep].tolist())) == len(keep) and len(keep) + len(rest) == len(code)
     assert len(rest) >= 299 and max(np.bincount((code[keep] % np.uint64(16)).astype(int))) < 2 * len(keep) / 16
     assert flag[keep].sum() >= 1 and not flag[rest].any()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_words_against_brute_force(spark, documents, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    part = lambda n: "".join(word() + rng.choice((" ", " ", ", ", "\n", " ")) for _ in range(n))
+    shared = [part(rng.randint(40, 60)) for _ in range(4)]
+    texts = [None, "", "a b", part(100)]
+    for _ in range(25):
+        t = part(rng.randint(0, 20))
+        for _ in range(rng.randint(0, 3)):
+            t += shared[rng.randrange(4)][rng.randint(0, 60) :] + part(rng.randint(0, 20))
+        texts.append(t)
+    texts += [texts[7], texts[3], "x y z", "x y z"]
+    length, seen, bounds = 41, Counter(), []
+    for t in texts:
+        raw = (t or "").encode()
+        start, end = (b.tolist() for b in repeats.word_bounds(np.frombuffer(raw, np.uint8)))
+        assert [raw[a:b].decode() for a, b in zip(start, end)] == [w.strip(",") or w for w in (t or "").split()]
+        bounds.append([(a, b) for a, b in zip(start, end[length - 1 :])])
+        seen.update(raw[a:b] for a, b in bounds[-1])
+    want = {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        gone = {k for a, b in bounds[i] if seen[raw[a:b]] > 1 for k in range(a, b)}
+        copied = bool(bounds[i]) and texts.count(t) > 1
+        want[i] = None if t is None else "" if copied else bytes(c for k, c in enumerate(raw) if k not in gone).decode()
+    rows = list(enumerate(texts))
+    assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(documents(rows), length=length, v=21, words=True).collect()} == want
+    assert sum(len(want[i] or "") < len(t or "") for i, t in rows) > 5
