@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BITS = 1 << 25  # 4 MB, however many keys
 
 
@@ -42,4 +44,4 @@ def maybe_in(df: DataFrame, table: np.ndarray, once: bool = True, inside: bool =
             if take:
                 yield batch.take(pa.array(take, pa.int64()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -1,21 +1,63 @@
-"""Helpers that the operators share: durable cuts of lineage, Arrow text access, bounded broadcasts."""
+"""Helpers that the operators share: durable cuts of lineage, Arrow text access, bounded batches and memory."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (tests) make a local one."""
+    """Use ``spark.checkpoint.dir``; where none is set, a local session (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a shared folder")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], T]) -> T:
+    """What this Python worker needs again in its next tasks: one thing at a time, the last one asked for."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. Spark uses Python workers again: when a task ends, its memory goes back to the system,
+    and, unless ``run`` ``keeps`` something for the next task, what earlier operators have kept."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import slices, texts, tidy
 
 BAND = 2048
 
@@ -162,7 +162,7 @@ def media_columns(df: DataFrame, column: str, tile: int = 32) -> DataFrame:
                 cols = [pa.array(list(x), k) for x, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + cols, names=[*names, "height", "width", "channels", "tile", "dhash", "error"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def text_as_media(df: DataFrame, key: str = "doc_id", column: str = "text", width: int = 64, tile: int = 16) -> DataFrame:
@@ -186,4 +186,4 @@ def text_as_media(df: DataFrame, key: str = "doc_id", column: str = "text", widt
                 cols = [pa.array(list(x), k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([batch.column(key), *cols], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_crc32"])
 
-    return df.select(key, column).mapInArrow(run, schema)
+    return df.select(key, column).mapInArrow(tidy(run), schema)
