@@ -3,15 +3,19 @@
 Documents become token pieces of at most ``capacity`` tokens. What packing depends on is only how many pieces
 have each length, so the plan is made from at most ``capacity`` counts, however many documents there are:
 
-1. Reduction. A pair whose lengths add up to the capacity dominates every other set that holds either of them,
-   as does a piece with its largest partner when no two others fit beside it, or the piece alone when nothing
-   fits; such sets are fixed for good, as often as the counts allow, and taken out of the instance.
+1. Reduction. A feasible set dominates another if its pieces can stand for groups of the other's. Of all sets that
+   hold one length, taken from the longest down, one dominates where it fills the sequence in two; where nothing
+   fits beside it; where only one more fits (the longest that does); where two more fit, but the longest partner is
+   as long as the longest two together; or where, with the longest partner, as long a piece fits as in any other
+   way. Such sets are fixed for good, as often as the counts allow, and taken out of the instance.
 2. Best fit, in decreasing length, for the remainder: the fullest sequence that still has room, with sequences of
    equal content kept as one group and a count.
 
-The plan is a list of (content, count) groups. It gives every length ranges of ranks; pieces are ranked within
-(length, salt), so that a length that a third of all pieces share is ranked by many tasks, and find their
-sequence and offset by a join with the ranges, whose number is bounded by the capacity.
+The plan is a list of (content, count) groups: each length adds a few groups at most, and a group holds at most
+some sixty different lengths, so its size is bounded by the capacity. It gives every length ranges of ranks.
+Pieces are ranked within (length, salt), with a salt for each ``PER_RANK`` pieces of the length, so that a length
+that a third of all pieces share is ranked by many tasks; they find their sequence and offset by a join with the
+ranges, which are cut into blocks of ranks.
 
 Null and empty texts are the end token alone; repeated rows are packed one by one; an empty table packs to none.
 """
@@ -29,12 +33,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, kept, slices, tidy
 
-SALTS = 16
+PER_RANK = 500_000  # pieces of one length that one task ranks
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
-CACHE = 250_000
+CACHE = 250_000  # words that a task remembers
 
 
 class WordTokenizer:
@@ -82,12 +86,13 @@ class WordTokenizer:
         for c, ws in cut.items():
             self.chunks[c] = b"".join([self.words[w] for w in ws])
 
+    def forget(self) -> None:
+        self.chunks, self.words = {}, {}
+
     def encode(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.words) > 2 * CACHE:
-            self.words.clear()
+        if len(self.chunks) > CACHE or len(self.words) > CACHE:
+            self.forget()
         cut = [None if not self.plain or _ODD.search(text) else text.split() for text in many]
         new = set().union(*filter(None, cut)).difference(self.chunks)
         if new:
@@ -95,14 +100,9 @@ class WordTokenizer:
         return [self._whole(text) if chunks is None else b"".join(map(self.chunks.__getitem__, chunks)) for text, chunks in zip(many, cut)]
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -125,8 +125,9 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", column: str =
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
                 cols = [pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(source, pa.int64())), *cols], names=[key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        t.forget()
 
-    return docs.select(key, column).mapInArrow(run, schema)
+    return docs.select(key, column).mapInArrow(tidy(run, keeps=True), schema)
 
 
 Group = tuple[list[tuple[int, int]], int]  # ((length, how many in a sequence) ..., number of such sequences)
@@ -152,25 +153,43 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Group]
             take([n, n], left[n] // 2)
         elif n < other and n in left and other in left:
             take([other, n], min(left[n], left[other]))
-    for n in sorted(left, reverse=True):  # beside the largest, at most one more fits
-        while n in left and n == max(left):
-            room, small = capacity - n, sorted(left)
-            pool = [x for x in small if x <= room and (x != n or left[n] > 1)]
-            if not pool:
-                take([n], left[n])
-                continue
-            low = min(pool)
-            second = low if left[low] > 1 + (low == n) else min([x for x in pool if x > low], default=capacity + 1)
-            if low + second <= room:
+    for n in sorted(left, reverse=True):  # what is known of the sets that hold n
+        while n in left:
+            best = _dominating(n, left, capacity)
+            if best is None:
                 break
-            best = max(pool)
-            take([n, best], left[n] // 2 if best == n else min(left[n], left[best]))
-        else:
-            continue
-        break
+            whole = [n, *best]
+            take(whole, min(left[x] // whole.count(x) for x in whole))
     return fixed, left
 
 
+def _dominating(n: int, left: dict[int, int], capacity: int) -> list[int] | None:
+    """The partners of the set with n that dominates all other sets with n, or None where none is known to."""
+    room = capacity - n
+    have = lambda x: left.get(x, 0) - (x == n)
+    fits = sorted(x for x in left if x <= room and have(x) > 0)
+    if not fits:
+        return []
+    longest = fits[-1]
+    low = [x for x in fits[:3] for _ in range(min(3, have(x)))][:3]
+    if len(low) < 2 or low[0] + low[1] > room:
+        return [longest]
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    most, shorter, beside, at = 0, 0, 0, len(fits) - 1
+    for i, x in enumerate(fits):  # two that fit together, x being the shorter one
+        while at >= 0 and fits[at] + x > room:
+            at -= 1
+        j = at if at != i or have(x) > 1 else at - 1
+        if j < i:
+            break
+        most, shorter = max(most, x + fits[j]), x
+        beside = x if fits[j] == longest else beside
+    if longest >= most:
+        return [longest]
+    return [longest, beside] if beside and beside >= shorter else None
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
     """Best fit in decreasing length; equal sequences stay one group."""
     by_room: dict[int, list[Group]] = {}
@@ -213,37 +232,50 @@ def plan(counts: dict[int, int], capacity: int) -> list[Group]:
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``length`` holds 1 to ``capacity``. Reads ``pieces`` twice."""
+    """``pieces`` with sequence_id and offset; ``length`` holds 1 to ``capacity``. Reads ``pieces`` three times."""
     spark = pieces.sparkSession
-    plain = [c for c, t in pieces.dtypes if t not in ("void", "binary") and not t.startswith(("map", "array", "struct"))]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
-    found = salted.groupBy(length, "_salt").count().collect()  # capacity * SALTS rows at most
-    base, counts = {}, {}
-    for n, salt, c in sorted(tuple(r) for r in found):
-        base[n, salt] = counts.get(n, 0)
-        counts[n] = base[n, salt] + c
+    names = [f"_{i}" for i in range(len(pieces.columns))]  # none that the columns here can clash with
+    rows = pieces.toDF(*names).withColumn("length", F.col(names[pieces.columns.index(length)]).cast("long"))
+    plain = [n for n, (_, t) in zip(names, pieces.dtypes) if t not in ("void", "binary") and not t.startswith(("map", "array", "struct"))]
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # a row a length
+    salts = {n: -(-c // PER_RANK) for n, c in counts.items() if c > PER_RANK}
+    salted = rows.withColumn("salt", F.lit(0).cast("long"))
+    base = {(n, 0): 0 for n in counts}
+    if salts:
+        many = F.create_map(*[F.lit(x).cast("long") for kv in salts.items() for x in kv])
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(*plain), F.coalesce(F.element_at(many, F.col("length")), F.lit(1).cast("long"))))
+        at = dict.fromkeys(salts, 0)
+        of_salts = salted.where(F.col("length").isin(list(salts))).groupBy("length", "salt").count()
+        for n, salt, c in sorted(tuple(r) for r in of_salts.collect()):  # a row for each PER_RANK pieces
+            base[n, salt] = at[n]
+            at[n] += c
     ranges: dict[int, list] = {}
     used, sequence = dict.fromkeys(counts, 0), 0
     for content, times in plan(counts, capacity):
-        at = 0
+        at_token = 0
         for n, each in content:
-            ranges.setdefault(n, []).append((used[n], used[n] + times * each, sequence, each, at))
+            ranges.setdefault(n, []).append((used[n], used[n] + times * each, sequence, each, at_token))
             used[n] += times * each
-            at += n * each
+            at_token += n * each
         sequence += times
-    bases = spark.createDataFrame([(n, salt, b) for (n, salt), b in base.items()], f"`{length}` long, _salt long, _base long")
-    lookup = spark.createDataFrame(list(ranges.items()), f"`{length}` long, _ranges array<struct<a:long,b:long,first:long,each:long,at:long>>")
-    rank = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*plain)) - 1
-    inside = F.col("_rank") - F.col("_r.a")
+    width = {n: -(-counts[n] // len(r)) for n, r in ranges.items()}
+    blocks: dict[tuple[int, int], list] = {}
+    for n, found in ranges.items():
+        for r in found:
+            for block in range(r[0] // width[n], (r[1] - 1) // width[n] + 1):
+                blocks.setdefault((n, block), []).append(r)
+    bases = spark.createDataFrame([(n, salt, b, width[n]) for (n, salt), b in base.items()], "length long, salt long, base long, width long")
+    lookup = spark.createDataFrame([(*k, v) for k, v in blocks.items()], "length long, block long, ranges array<struct<a:long,b:long,first:long,each:long,at:long>>")
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*plain)) - 1
+    inside = F.col("rank") - F.col("r.a")
     return (
-        salted.withColumn("_rank", rank)
-        .join(F.broadcast(bases), [length, "_salt"])
-        .join(F.broadcast(lookup), length)
-        .withColumn("_rank", F.col("_rank") + F.col("_base"))
-        .withColumn("_r", F.filter("_ranges", lambda r: (r["a"] <= F.col("_rank")) & (F.col("_rank") < r["b"]))[0])
-        .withColumn("sequence_id", F.col("_r.first") + (inside / F.col("_r.each")).cast("long"))
-        .withColumn("offset", F.col("_r.at") + inside % F.col("_r.each") * F.col(length))
-        .select(*pieces.columns, "sequence_id", "offset")
+        salted.withColumn("rank", rank)
+        .join(F.broadcast(bases), ["length", "salt"])
+        .withColumn("rank", F.col("rank") + F.col("base"))
+        .withColumn("block", F.floor(F.col("rank") / F.col("width")))
+        .join(F.broadcast(lookup), ["length", "block"])
+        .withColumn("r", F.filter("ranges", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") < r["b"]))[0])
+        .select(*[F.col(n).alias(c) for n, c in zip(names, pieces.columns)], (F.col("r.first") + F.floor(inside / F.col("r.each"))).alias("sequence_id"), (F.col("r.at") + inside % F.col("r.each") * F.col("length")).alias("offset"))
     )
 
 
