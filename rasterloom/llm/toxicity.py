@@ -7,27 +7,28 @@ support tells the classes apart. A text's statistic is its log-likelihood ratio
 words, once as it is and once with only each word's evidence beyond ``MARGIN``; a logistic map, fitted on a
 third of the labelled rows that the counts haven't seen, turns them into a score.
 
-The labelled sample is bounded (``max_rows`` a class, by hash of the id); what is broadcast is that sample's ids
-and the model made from it. Counts over all documents are aggregated by Spark and joined with the sample's
-grams.
-
-Letters and digits are lowered; anything else ends a word. Null, empty and wordless texts have no evidence and
-get the score of the base rate without evidence; labels with null ids or values teach nothing; of contradicting
-labels toxic wins; without both classes every score is the share of toxic labels.
+The labelled sample is bounded (``max_rows`` rows and ``max_bytes`` of text a class, in the order of a hash of the
+id); what is broadcast is that sample's ids and the model made from it. Counts over all documents are aggregated by
+Spark and joined with the sample's grams. Ids of any type are known by a 64-bit hash of their text form.
+
+Letters and digits of any script are lowered; anything else ends a word. Symbols beyond U+024F are hashed into 430
+classes. Null, empty and wordless texts have no evidence and get the score of the base rate without evidence;
+labels with null ids or values teach nothing; of contradicting labels toxic wins; without both classes every score is
+the share of toxic labels. Repeated rows count and are scored one by one; an empty table gives an empty result; a
+column with an output's name gives way to it.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, durable, text_buffers
+from .common import crc_fold, durable, text_buffers, tidy
 
 ORDER, SHARED, BITS = 6, 3, 10
 MARGIN = 2.0
@@ -35,14 +36,10 @@ BLOCK = 1 << 20
 NO_KEY = -(1 << 63)  # stands for a null id, which no label has
 SLOTS = 1 << 20
 _SYMBOL = np.ones(0x110000, np.int64)  # 1: the end of a word
-for _o in range(0x250):
+for _o in range(0x33480):  # no letters or digits beyond
     if chr(_o).isalnum():
-        _l = chr(_o).lower()
-        _SYMBOL[_o] = 2 + ord(_l[0]) % 0x250 if len(_l) == 1 else 2 + _o
-for _o in range(0x250, 0x3000):
-    if unicodedata.category(chr(_o))[0] in "LN":
-        _SYMBOL[_o] = 2 + 0x250 + ord(chr(_o).lower()[0]) % 400
-_SYMBOL[0x3000:] = 2 + 0x250 + np.arange(0x3000, 0x110000) % 400
+        _l = ord(chr(_o).lower()[0])
+        _SYMBOL[_o] = 2 + (_l if _l < 0x250 else 0x250 + _l % 430)
 
 
 def suffix(grams: np.ndarray, order: int) -> np.ndarray:
@@ -97,13 +94,17 @@ def word_grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams, ends, row[ends]  # s[i + 1] ends the word whose last character is s[i]
 
 
+def id_hash(key: str):
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
 def _slot(grams: np.ndarray) -> np.ndarray:
     return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 def count_grams(docs: DataFrame, key: str, column: str, sample: DataFrame) -> DataFrame:
     """(gram, n_all, n_ordinary, n_toxic) over all documents; ``sample`` has the ids, classes and folds."""
-    known = sorted((r[0], r[1]) for r in sample.where("fold = 'count'").select("id", "toxic").collect())
+    known = sorted((r[0], r[1]) for r in sample.where("fold = 'count'").select("id", "toxic").collect())  # max_rows a class
     sent = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in known], np.int64), np.array([t for _, t in known], np.int64)))
     names = ["gram", "n_all", "n_ordinary", "n_toxic"]
 
@@ -138,7 +139,7 @@ def count_grams(docs: DataFrame, key: str, column: str, sample: DataFrame) -> Da
         for part in np.array_split(used, max(1, len(used) // 100_000)):
             yield rows(keys[part], counts[:, part])
 
-    counted = docs.select(F.col(key).cast("long").alias("_key"), column).mapInArrow(run, "gram long, n_all long, n_ordinary long, n_toxic long")
+    counted = docs.select(id_hash(key).alias("_key"), column).mapInArrow(tidy(run), "gram long, n_all long, n_ordinary long, n_toxic long")
     return counted.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
 
@@ -239,12 +240,21 @@ def cache() -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", max_rows: int = 20_000) -> Model:
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, column: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(id, toxic, fold) of the labelled rows to learn from."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("name")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = known.withColumn("fold", crc_fold("name", 4)).where("fold <> 2").withColumn("id", id_hash("name"))
+    first = [known.where(F.col("toxic") == t).orderBy("id", "name").limit(max_rows) for t in (0, 1)]
+    rows = durable(first[0].unionByName(first[1]))
+    size = docs.select(id_hash(key).alias("id"), F.octet_length(column).alias("n")).join(F.broadcast(rows.select("id")), "id").groupBy("id").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("toxic").orderBy("id", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over max_rows rows a class
+    short = rows.join(F.broadcast(size), "id", "left").withColumn("bytes", F.sum(F.coalesce("n", F.lit(0))).over(before)).where(F.col("bytes") <= max_bytes)
+    return durable(short.select("id", "toxic", F.when(F.col("fold") == 1, "calibrate").otherwise("count").alias("fold")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", max_rows: int = 20_000, max_bytes: int = 200_000_000) -> Model:
     """Learn from labelled rows whose id's crc32 modulo 4 isn't 2; a third of them (remainder 1) calibrates."""
-    labelled = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    labelled = labelled.withColumn("_fold", crc_fold("id", 4)).where("_fold <> 2")
-    kept = [labelled.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(max_rows) for t in (0, 1)]
-    sample = durable(kept[0].unionByName(kept[1]).select("id", "toxic", F.when(F.col("_fold") == 1, "calibrate").otherwise("count").alias("fold")))
+    sample = labelled_sample(docs, labels, key, column, max_rows, max_bytes)
     sizes = {(r[0], r[1]): r[2] for r in sample.groupBy("toxic", "fold").count().collect()}
     total = sum(sizes.values())
     base = sum(c for (t, _), c in sizes.items() if t) / total if total else 0.0
@@ -275,16 +285,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "
     model = Model(tuple(classes), (shared["gram"].to_numpy(), shared["p"].to_numpy()), np.empty(0), base)
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select(F.col(key).cast("long").alias("id"), column).join(F.broadcast(sample.where("fold = 'calibrate'").select("id", "toxic")), "id")
+    held = docs.select(id_hash(key).alias("id"), F.col(column).alias("_text")).join(F.broadcast(sample.where("fold = 'calibrate'").select("id", "toxic")), "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cache()
         for batch in batches:
             if batch.num_rows:
-                s = sent.value.statistics(batch, column, known)
+                s = sent.value.statistics(batch, "_text", known)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in s.T)], names=["toxic", "a", "b", "c", "d"])
 
-    rows = held.select("toxic", column).mapInArrow(measure, "toxic int, a double, b double, c double, d double").orderBy("toxic", "a", "b", "c", "d").toPandas()
+    rows = held.select("toxic", "_text").mapInArrow(tidy(measure), "toxic int, a double, b double, c double, d double").orderBy("toxic", "a", "b", "c", "d").toPandas()
     if rows["toxic"].nunique() == 2:
         model.weights = logistic(design(rows[["a", "b", "c", "d"]].to_numpy()), rows["toxic"].to_numpy().astype(float))
     return model
@@ -304,4 +314,4 @@ def score(docs: DataFrame, model: Model, column: str = "text", threshold: float
                 s = sent.value.score(sent.value.statistics(batch, column, known))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, *out])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidy(run), schema)
