@@ -9,23 +9,26 @@ for each language. Since the kernel is linear in (normalised) presence vectors,
 and the weights fold into one matrix, and blocks are scored by batched products of presence rows with it. A
 text's score is the mean of its blocks, weighted by their n-grams.
 
-Training takes at most ``max_rows`` labelled rows a language (by hash of the id), ``per_text`` blocks from each.
-``und`` for null texts and texts without a letter (score 0). Ties go to the first language in sorted order;
-without any labelled row everything is ``und``.
+Training takes at most ``max_rows`` labelled rows a language (by hash of the id), and of each whole text the
+``per_text`` blocks whose hash of id and number is least, wherever they are. ``und`` for null texts and texts without
+a letter (score 0). Ties go to the first language in sorted order; without any labelled row everything is ``und``.
+Repeated rows are rows like any other; rows without an id teach nothing; an empty table gives an empty result; a
+column with an output's name gives way to it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, text_buffers
+from .common import crc_fold, mix, slices, text_buffers, tidy
 
 SPECTRUM, DIMS, BLOCK = 4, 1 << 14, 1024
 _LETTER = re.compile(r"[^\W\d_]")
@@ -89,28 +92,35 @@ def nystrom_ridge(x: np.ndarray, y: list[str], landmarks: int, ridge: float, see
     return Model(languages, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), (mean_t - mean_f @ w).astype(np.float32))
 
 
+def training_blocks(docs: DataFrame, key: str, column: str, label: str, max_rows: int, per_text: int) -> DataFrame:
+    """(label, id, number, block): at most ``max_rows`` rows a label, and ``per_text`` blocks of each."""
+    usable = docs.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & (crc_fold("id", 5) != 0)).distinct()
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    picked = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_rows).select("id", "label")
+    texts = docs.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(column).alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                out = []
+                for name, i, text in zip(*(batch.column(c).to_pylist() for c in ("label", "id", "text"))):
+                    if _LETTER.search(text):
+                        found = blocks_of(np.frombuffer(text.encode(), np.uint8))
+                        number = np.arange(len(found), dtype=np.uint64)
+                        chosen = np.argsort(mix(number + np.uint64(zlib.crc32(i.encode()) << 32)), kind="stable")[:per_text]
+                        out += [(name, i, k, found[k].tobytes()) for k in sorted(chosen.tolist())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["label", "id", "number", "block"])
+
+    return texts.join(F.broadcast(picked), ["id", "label"]).select("label", "id", "text").mapInArrow(tidy(run), "label string, id string, number int, block binary")
+
+
 def fit(docs: DataFrame, key: str = "doc_id", column: str = "text", label: str = "lang", max_rows: int = 600, per_text: int = 2, landmarks: int = 320, ridge: float = 1.0) -> Model:
-    """Learn from rows whose id's crc32 modulo 5 isn't 0."""
-    usable = docs.select(F.col(key).alias("id"), F.col(label).alias("label")).where(F.col("label").isNotNull() & (crc_fold("id", 5) != 0))
-    names = [r[0] for r in usable.select("label").distinct().collect()]
-    if not names:
-        return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
-    picked = None
-    for name in names:
-        part = usable.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-        picked = part if picked is None else picked.unionByName(part)
-    ids = picked.where("id is not null").select(F.col("id").alias("_id"), F.col("label").alias("_label")).distinct()
-    size = BLOCK * 4 * per_text
-    rows = docs.join(F.broadcast(ids), (F.col(key) == F.col("_id")) & (F.col(label) == F.col("_label"))).select("_id", "_label", F.substring(F.col(column), 1, size).alias("text")).where("text is not null").orderBy("_label", "_id", "text").collect()
-    x, y = [], []
-    for r in rows:  # max_rows texts a language, cut to a few blocks each: the bounded training sample
-        if _LETTER.search(r["text"]):
-            for b in blocks_of(np.frombuffer(r["text"].encode(), np.uint8))[:per_text]:
-                x.append(b)
-                y.append(r["_label"])
-    if not x:
+    """Learn from rows whose id's crc32 modulo 5 isn't 0; what reaches the driver is the bounded sample of blocks."""
+    rows = training_blocks(docs, key, column, label, max_rows, per_text).orderBy("label", "id", "number", "block").collect()
+    if not rows:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
-    return nystrom_ridge(presence(x), y, landmarks, ridge)
+    return nystrom_ridge(presence([np.frombuffer(r["block"], np.uint8) for r in rows]), [r["label"] for r in rows], landmarks, ridge)
 
 
 def classify(docs: DataFrame, model: Model, column: str = "text", out: str = "lang_pred") -> DataFrame:
@@ -162,4 +172,4 @@ def classify(docs: DataFrame, model: Model, column: str = "text", out: str = "la
                 named = [m.languages[b] if k else "und" for b, k in zip(best, known)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(named, pa.string()), pa.array(np.where(known, share, 0.0))], names=[*names, out, "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidy(run), schema)
