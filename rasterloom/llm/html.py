@@ -7,8 +7,11 @@ weight for each pair of neighbouring labels. Weights maximise the conditional li
 gradient ascent) of labelled pages, which ``training_pages`` writes from layouts and phrases kept here, with the
 truth known by construction; Viterbi decodes a page.
 
-Scripts, styles, templates, comments and other text that a browser never shows aren't blocks. Character
-references are decoded and white space inside a block is one space. A null or empty page has no text.
+Scripts, styles, templates and comments aren't blocks; formulas, drawings and the text inside other elements are
+text like any other. Character references are decoded and white space inside a block is one space. A page is read
+once from start to end, however broken its tags are; a tag that never ends is no text. Of two labellings with equal
+scores the one that keeps less is taken. A null or empty page has no text; repeated rows are rows like any other; an
+empty table gives an empty result; a column with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,16 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tidy
 
 BLOCK_TAGS = frozenset(
     "html head body title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul button textarea label input iframe noscript caption".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template svg math noscript iframe object canvas video audio".split())
+RAW_TAGS = frozenset("script style template".split())
+DEEP = 512  # nesting that counts; browsers keep no more
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENING = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_IN_TAG = re.compile(r"=\s*[\"']|>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -46,78 +52,109 @@ class Block:
     link_chars: int = 0
 
 
+def markup(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, closing, attributes) of each tag in one pass; the last has no tag.
+
+    A tag ends at the first ``>`` outside quoted values. Where a quote is never closed, quotes mean nothing from
+    there on; where a tag or comment never ends, neither does it.
+    """
+    n, at, said, quotes = len(page), 0, [], True
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "".join([*said, page[at:]]), "", False, ""
+            return
+        opening = _OPENING.match(page, lt)
+        if opening is None:
+            if page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                said += [page[at:lt], page[lt + 9 : end if end >= 0 else n]]
+                at = end + 3 if end >= 0 else n
+            elif page.startswith(("<!", "<?", "</"), lt):
+                comment = page.startswith("<!--", lt)
+                end = page.find("-->", lt + 2) if comment else page.find(">", lt)
+                said.append(page[at:lt])
+                at = n if end < 0 else end + (3 if comment else 1)
+            else:  # a sign, not a tag
+                said.append(page[at : lt + 1])
+                at = lt + 1
+            continue
+        end = opening.end()
+        while quotes:
+            stop = _IN_TAG.search(page, end)
+            if stop is None or page[stop.end() - 1] == ">":
+                end = stop.start() if stop else n
+                break
+            end = page.find(page[stop.end() - 1], stop.end()) + 1
+            if not end:
+                quotes = False
+        if not quotes or end == n:
+            end = page.find(">", opening.end())
+            end = n if end < 0 else end
+        yield "".join([*said, page[at:lt]]), opening[1].lower(), page[lt + 1] == "/", page[opening.end() : end]
+        said.clear()
+        at = end + 1
+        if opening[1].lower() in RAW_TAGS and page[lt + 1] != "/":
+            close = re.compile(rf"</{opening[1]}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else n
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    links, in_link, at, n = 0, 0, 0, len(page)
+    links, in_link = 0, False
 
     def flush() -> None:
         nonlocal links
         text = _SPACE.sub(" ", "".join(pieces)).strip()
         if text:
-            out.append(Block(text, tuple(stack), links))
+            out.append(Block(text, tuple(stack[-DEEP:]), links))
         pieces.clear()
         links = 0
 
-    def say(raw: str) -> None:
-        nonlocal links
+    def close(k: int) -> None:
+        for tag, _ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
+
+    for raw, tag, closing, attributes in markup(page):
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if in_link:
                 links += len(text.strip())
-
-    while at < n:
-        m = _MARKUP.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            say(m[1])
-        if m[3] is None:
-            continue
-        tag, closing = m[3].lower(), bool(m[2])
-        if tag in RAW_TAGS:
-            if not closing and not m[4].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                pieces.append(" ")
-            continue
-        if tag == "a":
-            in_link = 0 if closing else 1
+        if tag == "br":
+            pieces.append(" ")
+        elif tag == "a":
+            in_link = not closing
         if tag not in BLOCK_TAGS:
             continue
         flush()
-        in_link = in_link if tag == "a" else 0
+        in_link = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and open_tags["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in ("div", "article", "section", "td", "li", "body", "button"):
                     break
         shut = _CLOSES.get(tag)
         if shut and stack and stack[-1][0] in shut:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in VOID_TAGS:
             continue
         words = ""
-        if m[4]:
-            words = " ".join(f"{a[1].lower()}={a[2] or a[3] or a[4] or ''}" for a in _ATTRIBUTE.finditer(m[4]))
+        if attributes:
+            words = " ".join(f"{a[1].lower()}={a[2] or a[3] or a[4] or ''}" for a in _ATTRIBUTE.finditer(attributes))
         stack.append((tag, words))
+        open_tags[tag] += 1
     flush()
     return out
 
@@ -218,7 +255,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate
 
 # Labelled layouts. {0}: boilerplate, {1}: content; the number says the kind of phrase.
 _SYLLABLES = "an be ti on er ver sche ion que la re do sa lu mi ko ra ten der ung lich ado para ción eau oi".split()
-_NOTES = ("We use cookies to improve this site.", "Accept all", "Sign up for our newsletter", "Subscribe now for free", "Advertisement", "Sponsored content", "Share this article", "Log in", "Read more", "© 2024 Example. All rights reserved.", "Privacy policy", "Terms of use", "Related articles", "Leave a comment", "Search", "Follow us", "Skip to content", "Posted by guest", "Reply", "Next", "Previous")
+_NOTES = ("We use cookies to improve this site.", "Accept all", "Sign up for our newsletter", "Subscribe now for free", "Advertisement", "Sponsored content", "Share this article", "Log in", "Read more", "© 2024 Example. All rights reserved.", "Privacy policy", "Terms of use", "Related articles", "Leave a comment", "Search", "Follow us", "Skip to content", "Posted by guest", "Reply", "Next", "Previous", "Please enable JavaScript to view this page.")
 
 
 def training_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[tuple[str, int]]]]:
@@ -279,7 +316,7 @@ def training_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[tupl
         if rng.random() < 0.8:
             junk(*rng.choice((("nav", ""), ("nav", "main-nav"), ("div", "menu"), ("div", "navbar navigation"), ("ul", "nav menu"), ("div", "breadcrumb"))))
         for _ in range(rng.randint(0, 2)):
-            junk(*rng.choice((("div", "ad"), ("div", "ads banner"), ("div", "advert sponsored"), ("div", "cookie-notice"), ("div", "cookie consent banner"), ("div", "promo"), ("form", "search"), ("div", "notice alert"), ("aside", "promo"), ("div", "popup modal newsletter"))))
+            junk(*rng.choice((("div", "ad"), ("div", "ads banner"), ("div", "advert sponsored"), ("div", "cookie-notice"), ("div", "cookie consent banner"), ("div", "promo"), ("form", "search"), ("div", "notice alert"), ("aside", "promo"), ("div", "popup modal newsletter"), ("noscript", ""))))
         side = lambda: junk(*rng.choice((("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget related"), ("div", "related-posts"), ("section", "recommended"))))
         if rng.random() < 0.25:
             side()
@@ -300,6 +337,8 @@ def training_pages(count: int = 160, seed: int = 7) -> list[tuple[str, list[tupl
                 html.append("</ul>")
             elif kind < 0.92:
                 put(prose(), 1, "<blockquote>", "</blockquote>")
+            elif kind < 0.93:
+                put(f"{sentence(2, 6)} x + y = {rng.randint(2, 99)}", 1, "<p><math><mi>", "</mi></math></p>")
             elif kind < 0.95:
                 html.append("<table><tr>")
                 for _ in range(3):
@@ -360,4 +399,4 @@ def extract(pages: DataFrame, crf: Field, column: str = "html", out: str = "text
                 found = ["\n\n".join(main_blocks(p or "", sent.value)) for p in batch.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*names, out, "n_chars"])
 
-    return pages.select(*names, column).mapInArrow(run, schema)
+    return pages.select(*names, column).mapInArrow(tidy(run), schema)
