@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bit_table, maybe_in
-from .common import durable, mix, slices, text_buffers, text_key, total_bytes
+from .common import durable, mix, slices, text_buffers, text_key, tidy, total_bytes
 
 LENGTH = 400
 # Perfect difference covers: every residue modulo V is a difference of two of these (fixed values).
@@ -51,17 +51,20 @@ _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+KEPT = 1 << 17  # powers that a worker keeps; longer texts bring their own
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    bases = np.array([[_BASE], [_INVERSE]], np.uint64)
+    return tuple(np.multiply.accumulate(np.where(np.arange(n) == 0, np.uint64(1), b)) for b in bases)
+
+
+_few = _powers(KEPT)
+
+
+def powers(n: int) -> tuple[np.ndarray, ...]:
     """Powers 0 to n of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((np.uint64(_BASE), _INVERSE)):
-            a = np.full(max(n + 1, 1 << 16), b)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
+    return _few if n < KEPT else _powers(n + 1)
 
 
 def prefix_sums(text: np.ndarray) -> np.ndarray:
@@ -215,11 +218,11 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             name, place, key = (np.concatenate([h[i] for h in held]) for i in range(3))
             held.clear()
             # A name that this task has more than once is repeated in any case: one of its places goes on, with a
-            # flag, to meet the rest; the others (negative buckets) needn't.
+            # flag, to meet the rest; the others (negative buckets, dealt by text) needn't.
             keep, rest, flag = once_each(name)
             yield _packed(to_name(name[keep]), {"name": name[keep], "place": place[keep], "text_key": key[keep], "flag": flag[keep]})
             if len(rest):
-                yield _packed(-1 - to_name(name[rest]), {"name": name[rest], "place": place[rest], "text_key": key[rest], "flag": flag[rest]})
+                yield _packed(-1 - to_text(key[rest]), {"name": name[rest], "place": place[rest], "text_key": key[rest], "flag": flag[rest]})
 
         for whole in batches:
             for batch in slices(whole, column):
@@ -314,11 +317,11 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 rows.append((int(key[o[0]]), _merged(at - v, at + v + width, touch).tobytes(), place[look].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["text_key", "spans", "places"])
 
-    samples = docs.select("text_key", column).mapInArrow(sample, _schema(*place_of, "flag"))
-    candidates = _by_bucket(samples).mapInArrow(repeated_names, _schema(*place_of))
-    named = _by_bucket(candidates).mapInArrow(triples, _schema(*place_of, "triple", "flag"))
-    found = _by_bucket(named).mapInArrow(compared, _schema(*place_of, "flag"))
-    texts_found = durable(_by_bucket(found).mapInArrow(by_text, "text_key long, spans binary, places binary"))
+    samples = docs.select("text_key", column).mapInArrow(tidy(sample), _schema(*place_of, "flag"))
+    candidates = _by_bucket(samples).mapInArrow(tidy(repeated_names), _schema(*place_of))
+    named = _by_bucket(candidates).mapInArrow(tidy(triples), _schema(*place_of, "triple", "flag"))
+    found = _by_bucket(named).mapInArrow(tidy(compared), _schema(*place_of, "flag"))
+    texts_found = durable(_by_bucket(found).mapInArrow(tidy(by_text), "text_key long, spans binary, places binary"))
     to_look = texts_found.where(F.length("places") > 0)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,8 +371,8 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 yield pa.RecordBatch.from_arrays([pa.array(key[order[bounds[:-1]]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
 
     looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "places"), "text_key")
-    found_strings = looked.mapInArrow(strings, _schema("code", "place", "text_key", "flag"))
-    more = _by_bucket(found_strings).mapInArrow(repeated_strings, "text_key long, spans binary")
+    found_strings = looked.mapInArrow(tidy(strings), _schema("code", "place", "text_key", "flag"))
+    more = _by_bucket(found_strings).mapInArrow(tidy(repeated_strings), "text_key long, spans binary")
     every = texts_found.where(F.length("spans") > 0).select("text_key", "spans").unionByName(more)
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +392,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
         if held:
             yield row()
 
-    return _by_bucket(every, "text_key").mapInArrow(union, "text_key long, spans binary")
+    return _by_bucket(every, "text_key").mapInArrow(tidy(union), "text_key long, spans binary")
 
 
 def around(place: np.ndarray, n: int, v: int, length: int) -> np.ndarray:
@@ -425,18 +428,21 @@ def _merged(start: np.ndarray, end: np.ndarray, touch: bool = True) -> np.ndarra
 
 
 def _cut(batches: Iterator[pa.RecordBatch], column: str, length: int, words: bool = False) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, int, int]]]]:
-    """Each batch with (kept bytes, removed bytes, removed spans) of its rows."""
+    """Each batch with (kept bytes, removed bytes, removed spans) of its rows.
+
+    ``copied``, where the batch has it: digests of texts that occur twice; such a text goes as a whole.
+    """
     for whole in batches:
         for batch in slices(whole, column):
             out = []
-            for text, spans in zip(batch.column(column).to_pylist(), batch.column("spans").to_pylist()):
+            copied = batch.column("copied").to_pylist() if "copied" in batch.schema.names else [None] * batch.num_rows
+            for text, spans, digests in zip(batch.column(column).to_pylist(), batch.column("spans").to_pylist(), copied):
                 raw, pairs = (text or "").encode(), np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
-                if words and len(pairs):
-                    start, end = word_bounds(np.frombuffer(raw, np.uint8))
-                    if pairs[0, 1] <= len(start):
-                        pairs = np.column_stack([start[pairs[:, 0]], end[pairs[:, 1] - 1]])
-                    elif len(start) < length:  # a copy, but too short
-                        pairs = pairs[:0]
+                start, end = word_bounds(np.frombuffer(raw, np.uint8)) if words else (raw, raw)
+                if digests and len(start) >= length and hashlib.sha256(raw).hexdigest() in digests:
+                    pairs = np.array([[0, len(raw)]])
+                elif words and len(pairs):
+                    pairs = np.column_stack([start[pairs[:, 0]], end[pairs[:, 1] - 1]])
                 pairs = pairs.tolist()
                 edges = [0, *(x for p in pairs for x in p), len(raw)]
                 out.append((b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])), sum(b - a for a, b in pairs), len(pairs)))
@@ -445,20 +451,21 @@ def _cut(batches: Iterator[pa.RecordBatch], column: str, length: int, words: boo
 
 def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", length: int = LENGTH, v: int = 183) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    keyed = docs.select(F.col(key), text_key(column).alias("text_key"), F.coalesce(F.col(column), F.lit("")).alias(column))
-    rows = durable(keyed.select(key, "text_key", F.octet_length(column).cast("long").alias("n_bytes"), F.sha2(column, 256).alias("whole_sha256")))
-    copies = rows.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(True).alias("copied"))
-    spans = durable(repeated_spans(keyed, column, length, v))
+    keyed = docs.select(F.col(key).alias("_key"), text_key(column).alias("text_key"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    rows = durable(keyed.select("_key", "text_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("whole_sha256")))
+    same = ["text_key", "whole_sha256"]
+    copies = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same, F.lit(True).alias("copied"))
+    spans = durable(repeated_spans(keyed, "_text", length, v))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cut in _cut(batches, column, length):
+        for batch, cut in _cut(batches, "_text", length):
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["text_key", "removed", "spans", "kept"])
 
-    part = maybe_in(keyed.select("text_key", column), bit_table(spans, "text_key")).join(spans, "text_key")
-    cut = part.mapInArrow(digest, "text_key long, removed long, spans long, kept string").dropDuplicates(["text_key"])
+    part = maybe_in(keyed.select("text_key", "_text"), bit_table(spans, "text_key")).join(spans, "text_key")
+    cut = part.mapInArrow(tidy(digest), "text_key long, removed long, spans long, kept string").dropDuplicates(["text_key"])
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= length)
-    return rows.join(copies, "text_key", "left").join(cut, "text_key", "left").select(
-        key,
+    return rows.join(copies, same, "left").join(cut, "text_key", "left").select(
+        F.col("_key").alias(key),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0).cast("long"))).alias("n_spans"),
@@ -469,22 +476,21 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", le
 def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH, v: int = 183, words: bool = False) -> DataFrame:
     """``docs`` with every repeated byte taken out of ``column``; a character cut in two loses both parts.
 
-    With ``words``, bytes of repeated strings of ``length`` words.
+    With ``words``, bytes of repeated strings of ``length`` words. Other columns stay, whatever their names.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("text_key", "spans")]
-    names = [f.name for f in kept]
-    keyed = docs.select(*names).withColumn("text_key", text_key(column))
-    copies = durable(keyed.where(F.octet_length(column) >= least_bytes(length, words)).groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
-    spans = repeated_spans(keyed, column, length, v, words).join(copies, "text_key", "left_anti")
-    all_of_it = F.lit(np.array([0, (1 << 62)], np.int64).tobytes())
-    changes = durable(spans.unionByName(copies.select("text_key", all_of_it.alias("spans"))))
+    names = [f"_{i}" for i in range(len(docs.columns))]  # none that the columns here can clash with
+    text = names[docs.columns.index(column)]
+    keyed = docs.toDF(*names).withColumn("text_key", text_key(text))
+    long_ones = keyed.where(F.octet_length(text) >= least_bytes(length, words)).groupBy("text_key", F.sha2(text, 256).alias("sha")).agg(F.count("*").alias("n"))
+    copies = durable(long_ones.where("n > 1").groupBy("text_key").agg(F.collect_list("sha").alias("copied")))
+    changes = durable(repeated_spans(keyed, text, length, v, words).join(copies, "text_key", "full_outer"))
     table = bit_table(changes, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cut in _cut(batches, column, length, words):
-            new = [None if old is None else c[0].decode("utf-8", "ignore") for c, old in zip(cut, batch.column(column).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == column else batch.column(n) for n in names], names=names)
+        for batch, cut in _cut(batches, text, length, words):
+            new = [None if old is None else c[0].decode("utf-8", "ignore") for c, old in zip(cut, batch.column(text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else batch.column(n) for n in names], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    touched = maybe_in(keyed, table, once=False).join(changes, "text_key", "left").mapInArrow(run, schema)
-    return maybe_in(keyed, table, once=False, inside=False).select(*names).unionByName(touched)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    touched = maybe_in(keyed, table, once=False).join(changes, "text_key", "left").mapInArrow(tidy(run), schema)
+    return maybe_in(keyed, table, once=False, inside=False).select(*names).unionByName(touched).toDF(*docs.columns)
