@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bit_table, maybe, maybe_in
-from .common import durable, mix, slices, text_buffers, text_key
+from .common import durable, mix, slices, text_buffers, text_key, tidy
 from .graph import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 48
@@ -225,7 +225,7 @@ def sketch(docs: DataFrame, keys: tuple[str, ...], column: str, weights: str = "
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key_columns), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), column_of], names=[*key_columns, "node", "n_shingles", "bands"])
 
     key_columns = list(keys)
-    return docs.select(*keys, column).mapInArrow(run, schema)
+    return docs.select(*keys, column).mapInArrow(tidy(run), schema)
 
 
 def _sets_of(docs: DataFrame, column: str, wanted: np.ndarray, weights: str) -> DataFrame:
@@ -246,7 +246,7 @@ def _sets_of(docs: DataFrame, column: str, wanted: np.ndarray, weights: str) ->
                     bands = _signed([sets[i] for i in fresh], [weight[i] for i in fresh])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), pa.array([sets[i].tobytes() for i in fresh], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())], names=["node", "shingles", "bands"])
 
-    return docs.select(column).mapInArrow(run, "node long, shingles binary, bands binary")
+    return docs.select(column).mapInArrow(tidy(run), "node long, shingles binary, bands binary")
 
 
 def _clustered(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -275,7 +275,7 @@ def _clustered(nodes: DataFrame, threshold: float) -> DataFrame:
             yield done()
 
     dealt = nodes.select("part", "node", "shingles", "bands", "known").repartition("part").sortWithinPartitions("part", "node")
-    return dealt.mapInArrow(run, "node long, label long, anchor boolean")
+    return dealt.mapInArrow(tidy(run), "node long, label long, anchor boolean")
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -318,7 +318,7 @@ def _linked(blocks: DataFrame, threshold: float) -> DataFrame:
         if now is not None:
             yield done()
 
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), "a long, b long")
 
 
 def _settled(pool: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -374,20 +374,23 @@ def near_duplicate_nodes(docs: DataFrame, keys: tuple[str, ...], column: str = "
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.8, weights: str = "set") -> DataFrame:
     """(key, class_id) of every row."""
-    named = durable(near_duplicate_nodes(docs, (key,), column, threshold, weights))
-    return named.join(named.groupBy("class").agg(F.min(key).alias("class_id")), "class").select(key, "class_id")
+    rows = docs.select(F.col(key).alias("_key"), F.col(column).alias("_text"))
+    named = durable(near_duplicate_nodes(rows, ("_key",), "_text", threshold, weights))
+    return named.join(named.groupBy("class").agg(F.min("_key").alias("class_id")), "class").select(F.col("_key").alias(key), "class_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id (null first, then by a hash of the text)."""
-    columns = docs.columns
-    keyed = docs.withColumn("_text_key", text_key(column)).withColumn("_row_key", F.xxhash64(key, "_text_key"))
-    named = durable(near_duplicate_nodes(keyed.select(key, "_text_key", "_row_key", column), (key, "_text_key", "_row_key"), column, threshold))
-    order = F.struct(key, "_text_key")
+    names = [f"_{i}" for i in range(len(docs.columns))]  # none that the columns here can clash with
+    own, text = names[docs.columns.index(key)], names[docs.columns.index(column)]
+    keyed = docs.toDF(*names).withColumn("text_key", text_key(text)).withColumn("row_key", F.xxhash64(own, "text_key"))
+    named = durable(near_duplicate_nodes(keyed.select(own, "text_key", "row_key", text), (own, "text_key", "row_key"), text, threshold))
+    order = F.struct(own, "text_key")
     best = named.groupBy("class").agg(F.min(order).alias("best"))
-    rows = named.join(best, "class").groupBy("_row_key").agg(F.max(order == F.col("best")).alias("kept"), F.count("*").alias("n"))
-    changes = durable(rows.where("not kept or n > 1").select("_row_key", "kept"))
-    table = bit_table(changes, "_row_key")
-    touched = maybe_in(keyed, table, once=False, key="_row_key").join(changes, "_row_key", "left")
-    once = touched.where("kept").dropDuplicates(["_row_key"]).select(*columns)
-    return maybe_in(keyed, table, once=False, inside=False, key="_row_key").select(*columns).unionByName(touched.where("kept is null").select(*columns)).unionByName(once)
+    rows = named.join(best, "class").groupBy("row_key").agg(F.max(order == F.col("best")).alias("kept"), F.count("*").alias("n"))
+    changes = durable(rows.where("not kept or n > 1").select("row_key", "kept"))
+    table = bit_table(changes, "row_key")
+    touched = maybe_in(keyed, table, once=False, key="row_key").join(changes, "row_key", "left")
+    once = touched.where("kept").dropDuplicates(["row_key"]).select(*names)
+    others = maybe_in(keyed, table, once=False, inside=False, key="row_key").select(*names).unionByName(touched.where("kept is null").select(*names))
+    return others.unionByName(once).toDF(*docs.columns)
