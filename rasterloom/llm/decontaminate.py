@@ -5,14 +5,18 @@ of an item; an item with fewer words (not none) is one window. The automaton wor
 benchmark's words have numbers from 1, every other word is 0, so it stays small and a text is scanned in
 one pass over its words, in blocks that carry their last ``window`` - 1 words over.
 
-The benchmark is broadcast in parts of ``part_bytes`` of text at most, so what is sent has a proven bound; with
-more than one part, each part scans all texts and the hits are merged by document. Null or wordless
-texts have no words and no hits; null, empty or wordless items have no window; items with equal ids count once.
+The benchmark is broadcast in parts of ``part_words`` words at most (and whole items). A word adds at most
+``window`` nodes of some 70 bytes, so an automaton's size has a proven bound, some 90 MB by default, unless one item
+alone is longer; a worker builds it once and keeps it for its next tasks. With more than one part, each part scans
+all texts and the hits are merged by document. Null or wordless texts have no words and no hits; null, empty or
+wordless items have no window; items with equal ids count once; without items nothing is hit; repeated rows are rows
+like any other. Of columns to hand through, one with an output's name gives way (``prefix`` renames the outputs).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import durable, texts
+from .common import durable, kept, texts, tidy
 
 # Bytes that are no part of a word become spaces; A-Z become a-z; non-ASCII bytes stay.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,68 +95,70 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(bounds[a][0], bounds[b - 1][1]) for a, b in spans]
 
 
-def parts_of(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
-    """The items, dealt into parts that each hold about ``part_bytes`` of text."""
-    size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // part_bytes) or 1
+def parts_of(benchmark: DataFrame, part_words: int) -> list[DataFrame]:
+    """The items, dealt into parts that each hold about ``part_words`` words."""
+    words = benchmark.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    n = -(-words // part_words) or 1
     if n == 1:
         return [benchmark]
-    return [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", window: int = 13, part_bytes: int = 16 << 20, least_share: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", window: int = 13, part_words: int = 100_000, least_share: float = 0.05, carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Per row: key, n_words, n_hit, items (sorted), char_spans of the hits in the original text, contaminated.
 
     ``carry``: more columns of ``docs`` to hand through.
     """
     inverse = round(1 / least_share)
-    kinds = dict(docs.dtypes)
-    names = list(dict.fromkeys([key, *carry]))
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, hits array<struct<a:long,b:long>>, items array<long>, char_spans array<struct<a:long,b:long>>"
-    parts = parts_of(benchmark.select("item_id", "text"), part_bytes)
+    handed = list(dict.fromkeys([key, *carry]))
+    names = [f"_{i}" for i in range(len(handed))]  # none that the columns here can clash with
+    docs = docs.select(*[F.col(c).alias(n) for c, n in zip(handed, names)], F.col(column).alias("text"))
+    schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    benchmark = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    parts = parts_of(benchmark, part_words)
     if len(parts) > 1:
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
-        docs = durable(docs.select(*dict.fromkeys(["_row", *names, column])))
-        names = ["_row", *names]
-        schema = "_row long, " + schema
+        docs = durable(docs.withColumn("row", F.monotonically_increasing_id()))
+        names, schema = ["row", *names], "row long, " + schema
+    schema += f", n_words long, hits array<struct<a:long,b:long>>, items array<{benchmark.schema['item_id'].dataType.simpleString()}>, char_spans array<struct<a:long,b:long>>"
     span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def scanned(part: DataFrame) -> DataFrame:
-        items = [(r[0], r[1]) for r in part.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).collect()]  # part_bytes at most
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        items = sorted((r[0], r[1]) for r in part.collect())  # part_words at most
+        sent, build = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, window)
+            matcher = kept(("matcher", build), lambda: Matcher(sent.value, window))
             for batch in batches:
                 n, hits, found, chars = [], [], [], []
-                for raw in texts(batch.column(column)):
+                for raw in texts(batch.column("text")):
                     total, merged, items = matcher.scan(raw)
                     n.append(total)
                     hits.append([{"a": a, "b": b} for a, b in merged])
                     found.append(sorted(items))
                     chars.append([{"a": a, "b": b} for a, b in char_spans(raw.decode(), merged)] if merged else [])
-                cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(span)), pa.array(found, pa.list_(pa.int64())), pa.array(chars, pa.list_(span))]
+                cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(span)), pa.array(found, pa.list_(kind)), pa.array(chars, pa.list_(span))]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + cols, names=[*names, "n_words", "hits", "items", "char_spans"])
 
-        return docs.select(*dict.fromkeys([*names, column])).mapInArrow(run, schema)
+        return docs.select(*names, "text").mapInArrow(tidy(run, keeps=True), schema)
 
     out = scanned(parts[0])
     if len(parts) > 1:
         for part in parts[1:]:
             out = out.unionByName(scanned(part))
         # the hits of one row are spans of the same words; merge them as sets of spans
-        handed = [c for c in names if c != "_row"]
-        out = out.groupBy("_row").agg(
-            *(F.first(c).alias(c) for c in handed),
+        out = out.groupBy("row").agg(
+            *(F.first(c).alias(c) for c in names[1:]),
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.flatten(F.collect_list("char_spans")).alias("char_spans"),
         )
-        out = out.withColumn("hits", _merged("hits")).withColumn("char_spans", F.array_sort("char_spans")).drop("_row")
+        out = out.withColumn("hits", _merged("hits")).withColumn("char_spans", _merged("char_spans"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["b"] - h["a"])
-    out = out.withColumn("n_hit", n_hit).drop("hits")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(inverse) * F.col("n_hit") >= F.col("n_words")))
+    found = {"n_words": F.col("n_words"), "n_hit": n_hit, "items": F.col("items"), "char_spans": F.col("char_spans"), "contaminated": (n_hit > 0) & (F.lit(inverse) * n_hit >= F.col("n_words"))}
+    results = {prefix + c: v for c, v in found.items()}
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(handed) if c not in results], *[v.alias(c) for c, v in results.items()])
 
 
 def _merged(column: str):

@@ -36,17 +36,17 @@ def by_hand(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 64])
-def test_windows(spark, documents, words, part_bytes, monkeypatch):
+@pytest.mark.parametrize("part_words", [1 << 20, 20])
+def test_windows(spark, documents, words, part_words, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 64)
     rng = random.Random(1)
     items = [(k, words(rng, n)) for k, n in enumerate((5, 13, 14, 40, 1))] + [(9, None), (10, "!!"), (3, "dup id")]
     texts = [None, "", "...", items[0][1].upper(), words(rng, 30) + " " + items[3][1][20:140] + " " + words(rng, 9), items[2][1] + " " + items[1][1], "É" + words(rng, 400) + " " + items[1][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_contamination(documents(list(enumerate(texts))), bench, part_bytes=part_bytes).orderBy("doc_id").collect()
+    got = decontaminate.find_contamination(documents(list(enumerate(texts))), bench, part_words=part_words).orderBy("doc_id").collect()
     assert [(r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got] == by_hand(texts, items)
     for r, text in zip(got, texts):
-        assert sum(len(decontaminate.words_of(text[s["a"] : s["b"]])) for s in r["char_spans"]) >= (r["n_hit"] if part_bytes > 64 else 0)
+        assert sum(len(decontaminate.words_of(text[s["a"] : s["b"]])) for s in r["char_spans"]) >= (r["n_hit"] if part_words > 64 else 0)
 
 
 def test_op9_matches_sql(spark):
