@@ -1,8 +1,10 @@
 """Operator 8: schema fingerprinting of chat records, and a reversible chat template.
 
 A record's fingerprint is the hash of its sorted nested field paths (arrays as ``[]``, with leaf kinds). It
-selects a declarative mapping: where the turns are, and where each turn's role and text are. Records of any
-layout so become canonical (role, text) turns, and turns become template segments.
+selects a declarative mapping: where the turns are, and where each turn's role and text are. A fingerprint that is
+met for the first time selects the mapping whose own paths it all has, with the most of them; fields beyond these (ids,
+names, weights) don't matter. Records of any layout so become canonical (role, text) turns, and turns become
+template segments.
 
 The template marks a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts every ``<``,
 backslashes, ``|`` gets one backslash more, so no control string can occur there and reading takes one off;
@@ -11,7 +13,8 @@ a line feed in a role is written ``\\n`` and a backslash there is doubled.
 A conversation is the concatenation of its segments in turn order. Segments are made row by row and read back
 as a sorted stream, so a conversation of any length never has to be gathered. Null roles and texts are empty;
 records whose layout no mapping knows give no turns and are listed with their fingerprint by
-``unknown_layouts``; equal turns stay separate.
+``unknown_layouts``; equal turns stay separate, and of turns with equal places the one whose segment sorts first comes
+first. Other columns of the table aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -69,6 +74,8 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("turn", ("$.role:text", "$.text:text"), role="role", text="text"),
+    Mapping("turn_content", ("$.role:text", "$.content:text"), role="role", text="content"),
+    Mapping("turn_value", ("$.from:text", "$.value:text"), role="from", text="value"),
     Mapping("messages", ("$.messages[].role:text", "$.messages[].content:text"), turns="messages", role="role", text="content"),
     Mapping("messages_text", ("$.messages[].role:text", "$.messages[].text:text"), turns="messages", role="role", text="text"),
     Mapping("bare_list", ("$[].role:text", "$[].content:text"), turns="$", role="role", text="content"),
@@ -82,21 +89,38 @@ MAPPINGS = (
 )
 
 
-def canonical(record, mappings: dict[str, Mapping]) -> list[tuple[str, str]] | None:
-    """The record's (role, text) turns, or None where no mapping has its fingerprint."""
-    m = mappings.get(fingerprint(record))
-    if m is None:
-        return None
+class Layouts:
+    """The mapping of each fingerprint, learnt as they come."""
+
+    def __init__(self, mappings: tuple[Mapping, ...]):
+        self.by_size = sorted(mappings, key=lambda m: -len(m.paths))
+        self.known: dict[str, Mapping | None] = {m.fingerprint: m for m in mappings}
+
+    def of(self, record) -> tuple[str, Mapping | None]:
+        paths = field_paths(record)
+        name = fingerprint_paths(paths)
+        if name not in self.known:
+            self.known[name] = next((m for m in self.by_size if paths.issuperset(m.paths)), None)
+        return name, self.known[name]
+
+
+def _plain(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def canonical(record, m: Mapping) -> list[tuple[str, str]]:
+    """The record's (role, text) turns."""
     if m.parts:
         found = []
         for role, path in m.parts:
-            pieces = [record.get(p) or "" for p in path.split("+")]
+            pieces = [_plain(record.get(p)) for p in path.split("+")]
             if pieces[0] or role != "system":
                 found.append((role, "\n\n".join(x for i, x in enumerate(pieces) if x or i == 0)))
         return found
     rename = dict(m.roles)
     turns = [record] if not m.turns else record if m.turns == "$" else record[m.turns]
-    return [(rename.get(t.get(m.role), t.get(m.role)) or "", t.get(m.text) or "") for t in turns]
+    spoken = [(_plain(t.get(m.role)), _plain(t.get(m.text))) for t in turns if isinstance(t, dict)]
+    return [(rename.get(role, role), text) for role, text in spoken]
 
 
 def escape(text: str) -> str:
@@ -141,7 +165,7 @@ def format_records(df: DataFrame, key: str, record: str, order: str | None = Non
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n int, layout string, role string, segment string, loss_start int, loss_end int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {m.fingerprint: m for m in mappings}
+        layouts = Layouts(mappings)
         for batch in batches:
             rows, source = [], []
             for i, raw in enumerate(batch.column(record).to_pylist()):
@@ -149,22 +173,21 @@ def format_records(df: DataFrame, key: str, record: str, order: str | None = Non
                     value = json.loads(raw) if raw is not None else None
                 except ValueError:
                     value = None
-                turns = canonical(value, known) if isinstance(value, dict | list) else None
-                if turns is None:
-                    rows.append((0, fingerprint(value), None, None, None, None))
+                layout, mapping = layouts.of(value)
+                if mapping is None:
+                    rows.append((0, layout, None, None, None, None))
                     source.append(i)
                     continue
-                name = known[fingerprint(value)].name
-                for n, (role, text) in enumerate(turns):
+                for n, (role, text) in enumerate(canonical(value, mapping)):
                     s, a, b = segment(role, text)
-                    rows.append((n, name, role, s, *((a, b) if role in learn_from else (None, None))))
+                    rows.append((n, mapping.name, role, s, *((a, b) if role in learn_from else (None, None))))
                     source.append(i)
             took = pa.array(source, pa.int64())
             types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             cols = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(took) for c in keep] + cols, names=[*keep, "n", "layout", "role", "segment", "loss_start", "loss_end"])
 
-    return df.select(*keep, record).mapInArrow(run, schema)
+    return df.select(*keep, record).mapInArrow(tidy(run), schema)
 
 
 def unknown_layouts(segments: DataFrame) -> DataFrame:
@@ -218,7 +241,7 @@ def read_back(segments: DataFrame, key: str, order: str) -> DataFrame:
             yield _rows(out, key, kind_of_key, types)
 
     stream = segments.where("segment is not null").select(key, order, "n", "segment", "loss_start", "loss_end")
-    return stream.repartition(key).sortWithinPartitions(key, order, "n", "segment").mapInArrow(run, schema)
+    return stream.repartition(key).sortWithinPartitions(key, order, "n", "segment").mapInArrow(tidy(run), schema)
 
 
 def _rows(out: list, key: str, kind: pa.DataType, types: list) -> pa.RecordBatch:
