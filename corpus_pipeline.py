@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: toxicity, near duplicates, repeated passages, benchmark, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; every stage but the
-last returns the columns of ``documents``.
+last returns the columns of ``documents``, more columns included. Null texts count as empty texts and stay null; null
+ids and repeated ids are rows like any other, but of exact copies one row stays; of equal texts the smallest id stays;
+empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows don't contaminate."""
-    marked = decontaminate.find_contamination(docs.withColumn("_row_id", F.col("doc_id")), table(spark, sf_dir, "benchmark"), key="_row_id", carry=tuple(docs.columns))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    marked = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns), prefix="_")
+    return marked.where("not _contaminated").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
