@@ -1,21 +1,26 @@
 """Models from points: one group of correspondences is one image pair, and one row of the result.
 
-What sums over points is aggregated by Spark (``homography`` and ``fundamental`` without outliers need only
-moments); consensus and refinement are iterative and run in a grouped kernel.
+No group is ever gathered. Linear models need only sums over points (their normal equations); consensus draws its
+samples from a bounded pool of each group's points and counts the inliers of a few models over all points;
+refinement sums J'J and J'r once a round. What a group has in one row is bounded by its model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.spool import durable
 from ..types import MatrixError
 
 MODEL = "group long, model array<double>, n_points long, n_inliers long"
+POOL, KEPT = 256, 8  # points of a group that samples come from, and models that are counted over all points
+Equations = Callable[[dict[str, Column]], list[list[Column]]]
 
 
 def rodrigues_matrix(rx: Column, ry: Column, rz: Column) -> list[Column]:
@@ -29,6 +34,23 @@ def rodrigues_matrix(rx: Column, ry: Column, rz: Column) -> list[Column]:
     return [F.when(near, 1.0 if k in (0, 4, 8) else 0.0).otherwise(v) for k, v in enumerate(cells)]
 
 
+def rodrigues_vector(m: list[Column]) -> list[Column]:
+    """The rotation vector of the nine cells of a rotation matrix, by column functions.
+
+    At a half turn the axis comes from the diagonal, its signs from the largest component's row.
+    """
+    w = [(m[7] - m[5]) / 2, (m[2] - m[6]) / 2, (m[3] - m[1]) / 2]
+    s = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[4] + m[8] - 1) / 2))
+    t = F.atan2(s, c)
+    axis = [F.sqrt(F.greatest(F.lit(0.0), (m[4 * k] + 1) / 2)) for k in range(3)]
+    size = F.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+    first = F.when((axis[0] >= axis[1]) & (axis[0] >= axis[2]), 0).when(axis[1] >= axis[2], 1).otherwise(2)
+    sign = lambda j: F.when((first == 0) & (m[j] < 0) & F.lit(j != 0), -1.0).when((first == 1) & (m[3 + j] < 0) & F.lit(j != 1), -1.0).when((first == 2) & (m[6 + j] < 0) & F.lit(j != 2), -1.0).otherwise(1.0)
+    safe = F.when(s > 1e-4, s).otherwise(1.0)
+    return [F.when(s > 1e-4, w[k] / safe * t).when(c > 0, w[k]).otherwise(axis[k] * sign(k) / size * t) for k in range(3)]
+
+
 def rotation(v: np.ndarray) -> np.ndarray:
     t = np.linalg.norm(v)
     if t < 1e-10:
@@ -53,158 +75,270 @@ def rotation_vector(r: np.ndarray) -> np.ndarray:
     return axis * sign / np.linalg.norm(axis) * t
 
 
+# ---- linear models from sums
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A model that points determine linearly, up to scale.
+
+    ``equations`` gives rows of coefficients of a point whose columns are normalised as ``scaled`` says (pairs of
+    columns); ``finish`` turns the null vector (or the sums) and the group's scales into a model, or None.
+    """
+
+    name: str
+    least: int
+    points: tuple[str, ...]
+    scaled: tuple[tuple[str, str], ...]
+    equations: Equations
+    finish: Callable[[np.ndarray, dict], np.ndarray | None]
+    error: Callable[[Column], Column]  # squared error of a point under an array of the model's numbers
+
+
+def _scaled(points: DataFrame, kind: Kind) -> DataFrame:
+    """Points with the mean of each scaled column and the factor that makes the mean distance the root of two."""
+    if not kind.scaled:
+        return points
+    columns = [c for pair in kind.scaled for c in pair]
+    means = points.groupBy("group").agg(*[F.avg(c).alias(f"_m{c}") for c in columns])
+    centred = points.join(means, "group")
+    far = lambda a, b: F.sqrt((F.col(a) - F.col(f"_m{a}")) ** 2 + (F.col(b) - F.col(f"_m{b}")) ** 2)
+    spread = centred.groupBy("group").agg(*[F.avg(far(a, b)).alias(f"_d{a}") for a, b in kind.scaled])
+    factor = [F.when(F.col(f"_d{a}") > 1e-12, F.sqrt(F.lit(2.0)) / F.col(f"_d{a}")).otherwise(1.0).alias(f"_s{a}") for a, _ in kind.scaled]
+    return centred.join(spread.select("group", *factor), "group")
+
+
+def linear(points: DataFrame, kind: Kind) -> DataFrame:
+    """(group, model, n_points, n_inliers): the null vector of each group's summed normal equations."""
+    at = {c: F.col(c) for c in kind.points}
+    extra = []
+    for a, b in kind.scaled:
+        at |= {c: (F.col(c) - F.col(f"_m{c}")) * F.col(f"_s{a}") for c in (a, b)}
+        extra += [f"_m{a}", f"_m{b}", f"_s{a}"]
+    rows = kind.equations(at)
+    size = len(rows[0])
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    products = [sum((r[i] * r[j] for r in rows[1:]), rows[0][i] * rows[0][j]) for i, j in pairs]
+    sums = _scaled(points, kind).groupBy("group").agg(F.count("*").alias("_n"), *[F.sum(p).alias(f"_{k}") for k, p in enumerate(products)], *[F.first(c).alias(c) for c in extra])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for r in df.to_dict("records"):
+                a = np.zeros((size, size))
+                for k, (i, j) in enumerate(pairs):
+                    a[i, j] = a[j, i] = r[f"_{k}"]
+                m = kind.finish(a, r) if r["_n"] >= kind.least else None
+                out.append((r["group"], None if m is None else m.ravel().tolist(), r["_n"], r["_n"]))
+            yield pd.DataFrame(out, columns=["group", "model", "n_points", "n_inliers"])
+
+    return sums.mapInPandas(solve, MODEL)
+
+
 def null_vector(a: np.ndarray) -> np.ndarray:
-    return np.linalg.eigh(a.T @ a)[1][:, 0]
+    """Of a symmetric matrix: the direction it shrinks most."""
+    return np.linalg.eigh(a)[1][:, 0]
 
 
-def normalising(p: np.ndarray) -> np.ndarray:
-    """The similarity that centres points and makes their mean distance the root of two."""
-    m = p.mean(0)
-    d = np.sqrt(((p - m) ** 2).sum(1)).mean()
-    s = np.sqrt(2) / d if d > 1e-12 else 1.0
-    return np.array([[s, 0, -s * m[0]], [0, s, -s * m[1]], [0, 0, 1]])
+def _similarity(r: dict, a: str, b: str) -> np.ndarray:
+    s = r[f"_s{a}"]
+    return np.array([[s, 0, -s * r[f"_m{a}"]], [0, s, -s * r[f"_m{b}"]], [0, 0, 1]])
 
 
-def _h(p: np.ndarray) -> np.ndarray:
-    return np.column_stack([p, np.ones(len(p))])
+def _in_last(m: np.ndarray) -> np.ndarray | None:
+    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
 
 
-def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    ts, td = normalising(src), normalising(dst)
-    s, d = _h(src) @ ts.T, _h(dst) @ td.T
-    z = np.zeros_like(s)
-    a = np.vstack([np.column_stack([-s, z, d[:, :1] * s]), np.column_stack([z, -s, d[:, 1:2] * s])])
-    h = np.linalg.inv(td) @ null_vector(a).reshape(3, 3) @ ts
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+def _homography_rows(p: dict[str, Column]) -> list[list[Column]]:
+    one, zero = F.lit(1.0), F.lit(0.0)
+    s = [p["ax"], p["ay"], one]
+    return [[*(-c for c in s), zero, zero, zero, *(p["bx"] * c for c in s)], [zero, zero, zero, *(-c for c in s), *(p["by"] * c for c in s)]]
 
 
-def homography_error(h: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    q = _h(src) @ h.T
-    w = np.where(np.abs(q[:, 2]) < 1e-12, 1e-12, q[:, 2])
-    return ((q[:, :2] / w[:, None] - dst) ** 2).sum(1)
+def _homography_error(m: Column) -> Column:
+    line = lambda k: m[k] * F.col("ax") + m[k + 1] * F.col("ay") + m[k + 2]
+    w = F.when(F.abs(line(6)) < 1e-12, 1e-12).otherwise(line(6))
+    return (line(0) / w - F.col("bx")) ** 2 + (line(3) / w - F.col("by")) ** 2
 
 
-def fit_fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    ta, tb = normalising(a), normalising(b)
-    p, q = _h(a) @ ta.T, _h(b) @ tb.T
-    f = null_vector((q[:, :, None] * p[:, None, :]).reshape(len(p), 9)).reshape(3, 3)
+def _rank_two(f: np.ndarray) -> np.ndarray:
     u, s, v = np.linalg.svd(f)
-    f = tb.T @ (u @ np.diag([s[0], s[1], 0]) @ v) @ ta
-    n = f[2, 2] if abs(f[2, 2]) > 1e-12 else np.linalg.norm(f)
-    return f / n
-
-
-def sampson_error(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    p, q = _h(a), _h(b)
-    fp, fq = p @ f.T, q @ f
-    den = fp[:, 0] ** 2 + fp[:, 1] ** 2 + fq[:, 0] ** 2 + fq[:, 1] ** 2
-    return (q * fp).sum(1) ** 2 / np.maximum(den, 1e-300)
-
-
-def _sampler(seed: int) -> Callable[[int, int], list[int]]:
-    state = [seed | 1]
-
-    def draw(n: int, k: int) -> list[int]:
-        out: list[int] = []
-        while len(out) < k:
-            state[0] = (state[0] * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
-            i = (state[0] >> 33) % n
-            if i not in out:
-                out.append(i)
-        return out
-
-    return draw
-
-
-def consensus(n: int, size: int, fit, error, limit: float, rounds: int, enough: float, seed: int):
-    """The model of a sample with most points within the limit, refitted on them; and which these are."""
-    draw, best, most = _sampler(seed), None, 0
-    for _ in range(rounds):
-        m = fit(np.array(draw(n, size)))
-        if m is None:
-            continue
-        inside = error(m) <= limit
-        if inside.sum() > most:
-            best, most = inside, int(inside.sum())
-            if most >= enough * n:
-                break
-    if best is None or most < size:
-        return None, np.zeros(n, bool)
-    m = fit(np.flatnonzero(best))
-    if m is None:
-        return None, best
-    return m, error(m) <= limit
-
-
-def _moments(points: DataFrame) -> DataFrame:
-    """Points (group, ax, ay, bx, by) normalised by their group's mean and mean distance, with those numbers."""
-    g = points.groupBy("group").agg(*[F.avg(c).alias(f"_m{c}") for c in ("ax", "ay", "bx", "by")], F.count("*").alias("_n"))
-    j = points.join(g, "group")
-    far = lambda a, b: F.sqrt((F.col(a) - F.col(f"_m{a}")) ** 2 + (F.col(b) - F.col(f"_m{b}")) ** 2)
-    s = j.groupBy("group").agg(F.avg(far("ax", "ay")).alias("_da"), F.avg(far("bx", "by")).alias("_db"))
-    scale = lambda d: F.sqrt(F.lit(2.0)) / F.when(F.col(d) > 1e-12, F.col(d)).otherwise(F.sqrt(F.lit(2.0)))
-    return j.join(s.select("group", scale("_da").alias("_sa"), scale("_db").alias("_sb")), "group")
+    return u @ np.diag([s[0], s[1], 0]) @ v
 
 
-def find_homography(points: DataFrame, method: str = "dlt", threshold: float = 3.0, rounds: int = 2000) -> DataFrame:
-    """3 x 3 models of groups of points (group, ax, ay, bx, by); at least four points, or the model is null.
+def _fundamental(a: np.ndarray, r: dict) -> np.ndarray:
+    f = _similarity(r, "bx", "by").T @ _rank_two(null_vector(a).reshape(3, 3)) @ _similarity(r, "ax", "ay")
+    return f / (f[2, 2] if abs(f[2, 2]) > 1e-12 else np.linalg.norm(f))
 
-    ``dlt`` sums the 9 x 9 normal equations in Spark and takes their null vector; ``ransac`` runs a kernel.
-    """
-    if method == "ransac":
 
-        def run(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values(["ax", "ay", "bx", "by"])
-            a, b = df[["ax", "ay"]].to_numpy(float), df[["bx", "by"]].to_numpy(float)
-            m, inside = None, np.zeros(len(a), bool)
-            if len(a) >= 4:
-                m, inside = consensus(len(a), 4, lambda i: fit_homography(a[i], b[i]), lambda h: homography_error(h, a, b), threshold**2, rounds, 0.9, 0x9E3779B97F4A7C15)
-            return pd.DataFrame({"group": [df["group"].iloc[0]], "model": [None if m is None else m.ravel().tolist()], "n_points": [len(a)], "n_inliers": [int(inside.sum())]})
+def _sampson(m: Column) -> Column:
+    p, q = (F.col("ax"), F.col("ay"), F.lit(1.0)), (F.col("bx"), F.col("by"), F.lit(1.0))
+    there = [m[3 * i] * p[0] + m[3 * i + 1] * p[1] + m[3 * i + 2] for i in range(3)]
+    back = [m[i] * q[0] + m[3 + i] * q[1] + m[6 + i] for i in range(2)]
+    off = q[0] * there[0] + q[1] * there[1] + there[2]
+    return off * off / F.greatest(F.lit(1e-300), there[0] ** 2 + there[1] ** 2 + back[0] ** 2 + back[1] ** 2)
 
-        return points.groupBy("group").applyInPandas(run, MODEL)
-    if method != "dlt":
-        raise MatrixError(f"no method {method}")
-    m = _moments(points)
-    s = [(F.col("ax") - F.col("_max")) * F.col("_sa"), (F.col("ay") - F.col("_may")) * F.col("_sa"), F.lit(1.0)]
-    u, v = (F.col("bx") - F.col("_mbx")) * F.col("_sb"), (F.col("by") - F.col("_mby")) * F.col("_sb")
-    zero = F.lit(0.0)
-    rows = [[-s[0], -s[1], -s[2], zero, zero, zero, u * s[0], u * s[1], u * s[2]], [zero, zero, zero, -s[0], -s[1], -s[2], v * s[0], v * s[1], v * s[2]]]
-    pairs = [(i, j) for i in range(9) for j in range(i, 9)]
-    sums = m.groupBy("group").agg(*[F.sum(rows[0][i] * rows[0][j] + rows[1][i] * rows[1][j]).alias(f"_{i}_{j}") for i, j in pairs], *[F.first(c).alias(c) for c in ("_max", "_may", "_mbx", "_mby", "_sa", "_sb", "_n")])
-
-    def solve(batches):
+
+PAIRS = (("ax", "ay"), ("bx", "by"))
+HOMOGRAPHY = Kind("homography", 4, ("ax", "ay", "bx", "by"), PAIRS, _homography_rows, lambda a, r: _in_last(np.linalg.inv(_similarity(r, "bx", "by")) @ null_vector(a).reshape(3, 3) @ _similarity(r, "ax", "ay")), _homography_error)
+FUNDAMENTAL = Kind("fundamental", 8, ("ax", "ay", "bx", "by"), PAIRS, lambda p: [[b * a for b in (p["bx"], p["by"], F.lit(1.0)) for a in (p["ax"], p["ay"], F.lit(1.0))]], _fundamental, _sampson)
+
+
+def _pose_kind(k: np.ndarray) -> Kind:
+    """Rotation vector and translation of a camera with matrix ``k``, from points (x, y, z) seen at (u, v)."""
+
+    def rows(p: dict[str, Column]) -> list[list[Column]]:
+        h, zero = [p["x"], p["y"], p["z"], F.lit(1.0)], F.lit(0.0)
+        seen = [(p["u"] - float(k[0, 2])) / float(k[0, 0]), (p["v"] - float(k[1, 2])) / float(k[1, 1])]
+        return [[*h, *[zero] * 4, *(-seen[0] * c for c in h)], [*[zero] * 4, *h, *(-seen[1] * c for c in h)]]
+
+    def error(m: Column) -> Column:
+        r = rodrigues_matrix(m[0], m[1], m[2])
+        x, y, z = (r[3 * i] * F.col("x") + r[3 * i + 1] * F.col("y") + r[3 * i + 2] * F.col("z") + m[3 + i] for i in range(3))
+        z = F.when(F.abs(z) < 1e-12, 1e-12).otherwise(z)
+        return (x / z * float(k[0, 0]) + float(k[0, 2]) - F.col("u")) ** 2 + (y / z * float(k[1, 1]) + float(k[1, 2]) - F.col("v")) ** 2
+
+    return Kind("pose", 6, ("x", "y", "z", "u", "v"), (), rows, lambda a, _: _pose(a), error)
+
+
+def _pose(a: np.ndarray) -> np.ndarray | None:
+    """The pose whose projection matrix is next to the null vector of the sums; planar points raise."""
+    h = a[:4, :4]  # sums of products of (x, y, z, 1)
+    spread = h[:3, :3] - np.outer(h[:3, 3], h[:3, 3]) / h[3, 3]
+    if np.linalg.eigvalsh(spread)[0] < 1e-12 * max(1.0, np.trace(spread)):
+        raise MatrixError("the points lie in a plane")
+    m = null_vector(a).reshape(3, 4)
+    size = np.linalg.norm(m[2, :3])
+    if size < 1e-12:
+        return None
+    m = m / size * (np.sign(np.linalg.det(m[:, :3])) or 1.0)
+    u, s, v = np.linalg.svd(m[:, :3])
+    r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v
+    return np.concatenate([rotation_vector(r), m[:, 3] / s.mean()])
+
+
+# ---- consensus
+
+
+def _sample_fit(kind: Kind, p: np.ndarray, k: np.ndarray | None) -> np.ndarray | None:
+    """The linear model of a few points (rows in the order of the kind's columns)."""
+    if k is not None:
+        h, z = np.column_stack([p[:, :3], np.ones(len(p))]), np.zeros((len(p), 4))
+        u, v = (p[:, 3:4] - k[0, 2]) / k[0, 0], (p[:, 4:5] - k[1, 2]) / k[1, 1]
+        rows = np.vstack([np.column_stack([h, z, -u * h]), np.column_stack([z, h, -v * h])])
+        try:
+            return _pose(rows.T @ rows)
+        except MatrixError:
+            return None
+    r: dict[str, float] = {}
+    q = p.copy()
+    for c, (a, b) in enumerate(kind.scaled):
+        part = q[:, 2 * c : 2 * c + 2]
+        mean = part.mean(0)
+        d = np.sqrt(((part - mean) ** 2).sum(1)).mean()
+        r |= {f"_m{a}": mean[0], f"_m{b}": mean[1], f"_s{a}": np.sqrt(2) / d if d > 1e-12 else 1.0}
+        q[:, 2 * c : 2 * c + 2] = (part - mean) * r[f"_s{a}"]
+    s, z, one = np.column_stack([q[:, :2], np.ones(len(q))]), np.zeros((len(q), 3)), np.ones((len(q), 1))
+    if kind.name == "homography":
+        rows = np.vstack([np.column_stack([-s, z, q[:, 2:3] * s]), np.column_stack([z, -s, q[:, 3:4] * s])])
+    else:
+        rows = (np.column_stack([q[:, 2:4], one])[:, :, None] * s[:, None, :]).reshape(len(q), 9)
+    return kind.finish(rows.T @ rows, r)
+
+
+def _errors(kind: Kind, m: np.ndarray, p: np.ndarray, k: np.ndarray | None) -> np.ndarray:
+    if k is not None:
+        return ((project(p[:, :3], m, k) - p[:, 3:5]) ** 2).sum(1)
+    m = m.reshape(3, 3)
+    a, b = np.column_stack([p[:, :2], np.ones(len(p))]), np.column_stack([p[:, 2:4], np.ones(len(p))])
+    there = a @ m.T
+    if kind.name == "homography":
+        w = np.where(np.abs(there[:, 2]) < 1e-12, 1e-12, there[:, 2])
+        return ((there[:, :2] / w[:, None] - p[:, 2:4]) ** 2).sum(1)
+    back = b @ m
+    return (b * there).sum(1) ** 2 / np.maximum((there[:, :2] ** 2).sum(1) + (back[:, :2] ** 2).sum(1), 1e-300)
+
+
+def consensus(points: DataFrame, kind: Kind, threshold: float, rounds: int, confidence: float, camera: np.ndarray | None = None, seed: int = 1) -> DataFrame:
+    """(group, model): of models of random samples of a group's pool, that with most points within the threshold.
+
+    Sampling stops when a sample without outliers has been drawn with the wanted confidence.
+    """
+    columns, size = kind.points, kind.least
+    order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+    some = points.select("group", *columns).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= POOL)
+    pools = some.groupBy("group").agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns]))).alias("pool"))  # POOL points at most
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
-            for r in df.to_dict("records"):
-                a = np.zeros((9, 9))
-                for i, j in pairs:
-                    a[i, j] = a[j, i] = r[f"_{i}_{j}"]
-                h = None
-                if r["_n"] >= 4:
-                    ts = np.array([[r["_sa"], 0, -r["_sa"] * r["_max"]], [0, r["_sa"], -r["_sa"] * r["_may"]], [0, 0, 1]])
-                    td = np.array([[r["_sb"], 0, -r["_sb"] * r["_mbx"]], [0, r["_sb"], -r["_sb"] * r["_mby"]], [0, 0, 1]])
-                    h = np.linalg.inv(td) @ np.linalg.eigh(a)[1][:, 0].reshape(3, 3) @ ts
-                    h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
-                out.append((r["group"], None if h is None else h.ravel().tolist(), r["_n"], r["_n"]))
-            yield pd.DataFrame(out, columns=["group", "model", "n_points", "n_inliers"])
+            for group, pool in zip(df["group"], df["pool"]):
+                p = np.array([list(x) for x in pool], float)
+                rng, found, need = np.random.default_rng([seed, int(group) & 0x7FFFFFFF]), [], rounds
+                for n in range(rounds if len(p) >= size else 0):
+                    if n >= need:
+                        break
+                    m = _sample_fit(kind, p[rng.choice(len(p), size, replace=False)], camera)
+                    if m is None or not np.isfinite(m).all():
+                        continue
+                    hits = int((_errors(kind, m, p, camera) <= threshold**2).sum())
+                    found.append((hits, n, m.ravel().tolist()))
+                    clean = min((hits / len(p)) ** size, 1 - 1e-12)
+                    if clean > 0:
+                        need = min(need, int(np.ceil(np.log(1 - confidence) / np.log1p(-clean))))
+                out += [(group, n, m) for _, n, m in sorted(found, key=lambda f: (-f[0], f[1]))[:KEPT]]
+            yield pd.DataFrame(out, columns=["group", "_k", "_model"])
+
+    models = pools.mapInPandas(draw, "group long, _k int, _model array<double>")
+    scored = points.select("group", *columns).join(models, "group").withColumn("_in", kind.error(F.col("_model")) <= threshold**2)
+    counted = scored.groupBy("group", "_k").agg(F.sum(F.col("_in").cast("long")).alias("_hits"), F.first("_model").alias("_model"))
+    return counted.groupBy("group").agg(F.max_by("_model", F.struct("_hits", -F.col("_k"))).alias("model"))
+
+
+def within(points: DataFrame, models: DataFrame, kind: Kind, threshold: float) -> DataFrame:
+    """``points`` with ``inlier``: whether they are within the threshold of their group's model (false without one)."""
+    j = points.join(models.select("group", F.col("model").alias("_model")), "group", "left")
+    return j.withColumn("inlier", F.coalesce(kind.error(F.col("_model")) <= threshold**2, F.lit(False))).drop("_model")
+
+
+def _counted(points: DataFrame, models: DataFrame, kind: Kind, threshold: float) -> DataFrame:
+    """``models`` for every group of ``points``, with numbers of points and inliers."""
+    models = durable(models.select("group", "model"))
+    n = within(points, models, kind, threshold).groupBy("group").agg(F.count("*").alias("n_points"), F.sum(F.col("inlier").cast("long")).alias("n_inliers"))
+    return n.join(models, "group", "left").select("group", "model", "n_points", "n_inliers")
+
+
+def _robust(points: DataFrame, kind: Kind, threshold: float, rounds: int, confidence: float) -> DataFrame:
+    best = durable(consensus(points, kind, threshold, rounds, confidence))
+    return _counted(points, linear(within(points, best, kind, threshold).where("inlier"), kind), kind, threshold)
+
+
+def find_homography(points: DataFrame, method: str = "dlt", threshold: float = 3.0, rounds: int = 2000, confidence: float = 0.999) -> DataFrame:
+    """3 x 3 models of groups of points (group, ax, ay, bx, by); at least four points, or the model is null.
 
-    return sums.mapInPandas(solve, MODEL)
+    ``dlt`` takes all points; ``ransac`` those within the threshold of the best sample (``inlier_mask`` tells which).
+    """
+    if method not in ("dlt", "ransac"):
+        raise MatrixError(f"no method {method}")
+    return linear(points, HOMOGRAPHY) if method == "dlt" else _robust(points, HOMOGRAPHY, threshold, rounds, confidence)
 
 
 def find_fundamental_mat(points: DataFrame, method: str = "8point", threshold: float = 3.0, confidence: float = 0.99, rounds: int = 1000) -> DataFrame:
     """Fundamental matrices of groups of points; at least eight, or the model is null."""
+    if method not in ("8point", "ransac"):
+        raise MatrixError(f"no method {method}")
+    return linear(points, FUNDAMENTAL) if method == "8point" else _robust(points, FUNDAMENTAL, threshold, rounds, confidence)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["ax", "ay", "bx", "by"])
-        a, b = df[["ax", "ay"]].to_numpy(float), df[["bx", "by"]].to_numpy(float)
-        m, inside = None, np.zeros(len(a), bool)
-        if len(a) >= 8 and method == "ransac":
-            m, inside = consensus(len(a), 8, lambda i: fit_fundamental(a[i], b[i]), lambda f: sampson_error(f, a, b), threshold**2, rounds, confidence, 0x9E3779B97F4A7C15)
-        elif len(a) >= 8:
-            m, inside = fit_fundamental(a, b), np.ones(len(a), bool)
-        return pd.DataFrame({"group": [df["group"].iloc[0]], "model": [None if m is None else m.ravel().tolist()], "n_points": [len(a)], "n_inliers": [int(inside.sum())]})
 
-    return points.groupBy("group").applyInPandas(run, MODEL)
+def inlier_mask(points: DataFrame, models: DataFrame, model: str, threshold: float, camera: list[list[float]] | None = None) -> DataFrame:
+    """``points`` with ``inlier``; ``model`` is homography, fundamental or pose (with its camera)."""
+    kinds = {"homography": HOMOGRAPHY, "fundamental": FUNDAMENTAL} | ({"pose": _pose_kind(np.array(camera, float))} if camera else {})
+    if model not in kinds:
+        raise MatrixError(f"no model {model}")
+    return within(points, models, kinds[model], threshold)
+
+
+# ---- refinement
 
 
 def project(x: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -213,73 +347,113 @@ def project(x: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.column_stack([k[0, 0] * c[:, 0] / z + k[0, 2], k[1, 1] * c[:, 1] / z + k[1, 2]])
 
 
-def levenberg_marquardt(start: np.ndarray, residual: Callable[[np.ndarray], np.ndarray], rounds: int = 20, eps: float = 1.2e-7) -> tuple[np.ndarray, int]:
-    """Least squares with a damping of powers of ten; derivatives are differences. Returns parameters and rounds."""
-    p, k = start.astype(float).copy(), -3
-    r = residual(p)
-    for n in range(1, rounds + 1):
-        step = np.maximum(1e-7, 1e-7 * np.abs(p))
-        jac = np.column_stack([(residual(p + step * e) - residual(p - step * e)) / (2 * (step @ e)) for e in np.eye(len(p))])
-        a, g = jac.T @ jac, jac.T @ r
-        while True:
-            d = np.linalg.lstsq(a + np.diag(np.diag(a)) * 10.0**k, -g, rcond=None)[0]
-            new = residual(p + d)
-            if new @ new <= r @ r or k >= 16:
-                break
-            k += 1
-        if new @ new <= r @ r:
-            p, r, k = p + d, new, max(k - 1, -16)
-        if np.linalg.norm(d) <= eps * (np.linalg.norm(p) + eps):
-            return p, n
-    return p, -rounds
-
-
-def fit_pnp(x: np.ndarray, uv: np.ndarray, k: np.ndarray) -> np.ndarray | None:
-    """Rotation vector and translation from six or more points: linear solution, nearest rotation, refinement."""
-    q = np.column_stack([(uv[:, 0] - k[0, 2]) / k[0, 0], (uv[:, 1] - k[1, 2]) / k[1, 1]])
-    h, z = np.column_stack([x, np.ones(len(x))]), np.zeros((len(x), 4))
-    m = null_vector(np.vstack([np.column_stack([h, z, -q[:, :1] * h]), np.column_stack([z, h, -q[:, 1:2] * h])])).reshape(3, 4)
-    n = np.linalg.norm(m[0, :3])
-    if n < 1e-12:
-        return None
-    m = m / n
-    if np.linalg.det(m[:, :3]) < 0:
-        m = -m
-    u, _, v = np.linalg.svd(m[:, :3])
-    r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v
-    p = np.concatenate([rotation_vector(r), m[:, 3]])
-    return levenberg_marquardt(p, lambda p: (project(x, p, k) - uv).ravel())[0]
+Residual = Callable[[np.ndarray, pd.DataFrame], np.ndarray]
 
 
-def solve_pnp(points: DataFrame, camera: list[list[float]], method: str = "iterative", rounds: int = 100, threshold: float = 8.0) -> DataFrame:
-    """(group, model: rotation vector and translation, n_points, n_inliers) of points (group, x, y, z, u, v).
+def normal_sums(p: np.ndarray, rows: pd.DataFrame, residual: Residual) -> np.ndarray:
+    """J'J (upper triangle), J'r and r'r at ``p``, with central differences."""
+    r = np.asarray(residual(p, rows), float)
+    h = 6e-6 * np.maximum(1.0, np.abs(p))
+    j = np.column_stack([(np.asarray(residual(p + e, rows), float) - np.asarray(residual(p - e, rows), float)) / (2 * e.sum()) for e in np.diag(h)])
+    return np.concatenate([(j.T @ j)[np.triu_indices(len(p))], j.T @ r, [r @ r]])
+
+
+def damped_step(s: dict, new: np.ndarray | None, limit: int, eps: float) -> dict:
+    """The next state of a group after the sums at its trial parameters (None: no points).
 
-    Planar point sets raise: the linear start doesn't hold for them. Lens distortion isn't modelled.
+    Damping follows the gain ratio: of the fall of the squared error to the fall that the quadratic model foretold.
     """
-    k = np.array(camera, float)
+    p, trial, n = np.array(s["p"], float), np.array(s["trial"], float), len(s["p"])
+    done, old = new is None, s["sums"]
+    if old is None:
+        p, old, small = trial, new, False
+    else:
+        old = np.array(old, float)
+        a = np.zeros((n, n))
+        a[np.triu_indices(n)] = old[: -n - 1]
+        d = trial - p
+        small = np.linalg.norm(d) <= eps * (np.linalg.norm(p) + eps)
+        foretold = d @ (s["damping"] * np.diag(a) * d - old[-n - 1 : -1])
+        gain = (old[-1] - new[-1]) / foretold if not done and foretold > 0 else -1.0
+        if gain > 0:
+            p, old, s = trial, new, s | {"damping": s["damping"] * max(1 / 3, 1 - (2 * gain - 1) ** 3), "growth": 2.0}
+        else:
+            s = s | {"damping": s["damping"] * s["growth"], "growth": s["growth"] * 2}
+    done = done or small or s["damping"] > 1e15 or s["round"] >= limit
+    if not done:
+        a = np.zeros((n, n))
+        a[np.triu_indices(n)] = old[: -n - 1]
+        a = a + np.triu(a, 1).T
+        g = old[-n - 1 : -1]
+        done = bool(np.abs(g).max() == 0)
+        trial = p - np.linalg.lstsq(a + s["damping"] * np.diag(np.diag(a)), g, rcond=None)[0]
+    over = s["round"] >= limit and not small
+    return s | {"p": p.tolist(), "trial": trial.tolist(), "sums": None if old is None else list(map(float, old)), "round": s["round"] + (not done), "done": done, "over": over}
+
+
+STATE = "group long, p array<double>, trial array<double>, sums array<double>, damping double, growth double, round int, done boolean, over boolean"
+
+
+def refine(points: DataFrame, start: DataFrame, residual: Residual, size: int, rounds: int = 20, eps: float = 1e-9) -> DataFrame:
+    """(group, model, rounds) by Levenberg-Marquardt from ``start`` (group, model of ``size`` numbers).
+
+    A round is one pass that sums the normal equations at all groups' trial parameters; ``rounds`` is negative
+    where the limit came first. ``residual(parameters, rows)`` gives a number or more for each row.
+    """
+    columns = [f"s{k}" for k in range(size * (size + 1) // 2 + size + 1)]
+    names = [f.strip().split()[0] for f in STATE.split(",")]
+    null = lambda kind: F.lit(None).cast(kind)
+    state = durable(start.where("model is not null").select("group", F.col("model").alias("p"), F.col("model").alias("trial"), null("array<double>").alias("sums"), F.lit(1e-3).alias("damping"), F.lit(2.0).alias("growth"), F.lit(0).alias("round"), F.lit(False).alias("done"), F.lit(False).alias("over")))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["x", "y", "z", "u", "v"])
-        x, uv = df[["x", "y", "z"]].to_numpy(float), df[["u", "v"]].to_numpy(float)
-        p, inside = None, np.zeros(len(x), bool)
-        if len(x) >= 6:
-            if np.linalg.svd(x - x.mean(0), compute_uv=False)[-1] < 1e-9:
-                raise MatrixError("the points lie in a plane")
-            if method == "ransac":
-                err = lambda p: ((project(x, p, k) - uv) ** 2).sum(1)
-                p, inside = consensus(len(x), 6, lambda i: fit_pnp(x[i], uv[i], k), err, threshold**2, rounds, 1.0, 0x123456789ABCDEF0)
-            else:
-                p, inside = fit_pnp(x, uv, k), np.ones(len(x), bool)
-        return pd.DataFrame({"group": [df["group"].iloc[0]], "model": [None if p is None else p.tolist()], "n_points": [len(x)], "n_inliers": [int(inside.sum())]})
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = [(g, *normal_sums(np.array(rows["_trial"].iloc[0], float), rows, residual)) for g, rows in df.groupby("group")]
+            yield pd.DataFrame(out, columns=["group", *columns])
 
-    return points.groupBy("group").applyInPandas(run, MODEL)
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for r in df.to_dict("records"):
+                new = None if pd.isna(r[columns[0]]) else np.array([r[c] for c in columns], float)
+                rows.append(damped_step({n: r[n] for n in names}, new, rounds, eps))
+            yield pd.DataFrame(rows, columns=names)
 
+    for _ in range(rounds + 1):
+        moving = state.where("not done")
+        trial = points.join(moving.select("group", F.col("trial").alias("_trial")), "group")
+        sums = trial.mapInPandas(measure, "group long, " + ", ".join(f"{c} double" for c in columns)).groupBy("group").agg(*[F.sum(c).alias(c) for c in columns])
+        state = durable(moving.join(sums, "group", "left").mapInPandas(step, STATE).unionByName(state.where("done")))
+        if state.where("not done").isEmpty():
+            break
+    return state.select("group", F.col("p").alias("model"), F.when(F.col("over"), -F.col("round")).otherwise(F.col("round")).alias("rounds"))
 
-def lm_fit(points: DataFrame, start: list[float], residual: Callable[[np.ndarray, pd.DataFrame], np.ndarray], rounds: int = 50) -> DataFrame:
-    """Least-squares parameters of each group; ``residual(parameters, rows)`` is the user's model."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        p, n = levenberg_marquardt(np.array(start, float), lambda p: np.asarray(residual(p, df), float), rounds)
-        return pd.DataFrame({"group": [df["group"].iloc[0]], "model": [p.tolist()], "n_points": [len(df)], "n_inliers": [n]})
+def solve_pnp(points: DataFrame, camera: list[list[float]], method: str = "iterative", rounds: int = 100, threshold: float = 8.0, guess: DataFrame | None = None, confidence: float = 0.999) -> DataFrame:
+    """(group, model: rotation vector and translation, n_points, n_inliers) of points (group, x, y, z, u, v).
 
-    return points.groupBy("group").applyInPandas(run, MODEL)
+    ``guess`` (group, model): poses to start the refinement from, instead of the linear solution. Planar point sets
+    raise: the linear start doesn't hold for them. Lens distortion isn't modelled.
+    """
+    k = np.array(camera, float)
+    kind = _pose_kind(k)
+    off = lambda p, rows: (project(rows[["x", "y", "z"]].to_numpy(float), p, k) - rows[["u", "v"]].to_numpy(float)).ravel()
+    if method == "ransac":
+        best = durable(consensus(points, kind, threshold, rounds, confidence, k))
+        used = within(points, best, kind, threshold).where("inlier")
+    else:
+        used = points
+    start = linear(used, kind) if guess is None else guess
+    poses = refine(used, start, off, 6)
+    if method == "ransac":
+        return _counted(points, poses, kind, threshold)
+    n = points.groupBy("group").agg(F.count("*").alias("n_points"))
+    return n.join(poses, "group", "left").select("group", "model", "n_points", F.when(F.col("model").isNotNull(), F.col("n_points")).otherwise(0).alias("n_inliers"))
+
+
+def lm_fit(points: DataFrame, start: list[float], residual: Residual, rounds: int = 50) -> DataFrame:
+    """Least-squares parameters of each group, n_inliers being the number of rounds; ``residual(parameters, rows)``
+    is the user's model."""
+    n = points.groupBy("group").agg(F.count("*").alias("n_points"))
+    begin = n.select("group", F.array(*[F.lit(float(v)) for v in start]).alias("model"))
+    found = refine(points, begin, residual, len(start), rounds)
+    return n.join(found, "group").select("group", "model", "n_points", F.col("rounds").cast("long").alias("n_inliers"))
