@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..plans import taps as T
 from ..sources.local import small_table
 from ..sources.pixels import KEYS
+from ..sources.spool import durable
 from ..types import Border, Criteria, MatrixError, Shape
+from .components import components
 from .neighbourhood import aligned, gaussian_blur, neighbours, resize, separable, sobel
 
 
@@ -55,11 +57,15 @@ def corner_eigen_vals_and_vecs(px: DataFrame, shape: Shape, block: int, ksize: i
     """(img, y, x, l1, l2, x1, y1, x2, y2): eigenvalues, larger first, and unit eigenvectors."""
     l1, l2 = _eigen()
     a, b, d = tensor()
+    flat, up = F.abs(b) <= 1e-12 * (1 + a + d), F.when(a >= d, 1.0).otherwise(0.0)
 
     def vector(lam: Column, first: bool) -> tuple[Column, Column]:
-        ex, ey = F.when(F.abs(b) > 1e-12, lam - d).otherwise(F.when((a >= d) if first else (a < d), 1.0).otherwise(0.0)), F.when(F.abs(b) > 1e-12, b).otherwise(F.when((a >= d) if first else (a < d), 0.0).otherwise(1.0))
+        # (lam - d, b), or where that nearly vanishes the same direction from the matrix's other row
+        other = (a < d) if first else (a >= d)
+        ex = F.when(other, F.abs(b) if first else -F.abs(b)).otherwise(lam - d)
+        ey = F.when(other, F.signum(b) * F.abs(lam - a)).otherwise(b)
         n = F.sqrt(ex * ex + ey * ey)
-        return ex / n, ey / n
+        return F.when(flat, up if first else 1 - up).otherwise(ex / n), F.when(flat, 1 - up if first else up).otherwise(ey / n)
 
     (x1, y1), (x2, y2) = vector(l1, True), vector(l2, False)
     t = structure_tensor(px, shape, block, ksize, border)
@@ -168,25 +174,15 @@ def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, apert
 
 
 def canny(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """255 on edges: candidates that are strong, or connected to a strong one through candidates.
-
-    Each round lets weak candidates next to an edge join it, until none does; rounds are cut by checkpoints.
-    """
-    from ..sources.spool import durable
-
-    open_ = durable(canny_candidates(px, shape, low, high, aperture, l2))
-    edges = open_.where("strong").select("img", "y", "x")
-    weak = open_.where("not strong").select("img", "y", "x")
-    ring = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    front = edges
-    while True:
-        next_to = front.withColumn("_o", F.explode(ring)).select("img", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"))
-        front = durable(weak.join(next_to.distinct(), ["img", "y", "x"], "left_semi"))
-        if front.isEmpty():
-            break
-        edges = durable(edges.unionByName(front))
-        weak = durable(weak.join(front, ["img", "y", "x"], "left_anti"))
-    marked = edges.withColumn("_e", F.lit(255.0))
+    """255 on edges: candidates whose component (by 8-neighbourhood) has a strong one."""
+    found = durable(canny_candidates(px, shape, low, high, aperture, l2))
+    place = F.struct("img", "y", "x")
+    ahead = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    asked = found.select(place.alias("a"), "img", F.explode(ahead).alias("_o"), "y", "x").select("a", F.struct("img", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")).alias("b"))
+    edges = asked.join(found.select(place.alias("b")), "b", "left_semi")
+    labels = components(edges)
+    strong = labels.join(found.where("strong").select(place.alias("node")), "node", "left_semi").select("component").distinct()
+    marked = labels.join(strong, "component", "left_semi").select("node.img", "node.y", "node.x", F.lit(255.0).alias("_e"))
     return px.where("c = 0").join(marked, ["img", "y", "x"], "left").select(*KEYS, F.coalesce("_e", F.lit(0.0)).alias("v"))
 
 
@@ -194,30 +190,32 @@ def _half_away(v: Column) -> Column:
     return F.signum(v) * F.floor(F.abs(v) + 0.5)
 
 
-def hough_votes(px: DataFrame, shape: Shape, rho: float, theta: float, min_theta: float = 0.0, max_theta: float = math.pi) -> tuple[DataFrame, int, int]:
-    """(img, n, r, votes) of set pixels, and the numbers of angles and distances."""
-    angles = int((max_theta - min_theta) / theta) + 1
-    if angles > 1 and abs(math.pi - (angles - 1) * theta) < theta / 2:
-        angles -= 1
-    distances = int(2 * (shape.rows + shape.cols) / rho + 0.5) + 1
-    table = [(n, math.cos(min_theta + n * theta) / rho, math.sin(min_theta + n * theta) / rho) for n in range(angles)]
+def hough_angles(theta: float, low: float, high: float) -> list[float]:
+    """The grid of angles from ``low`` on; its last one goes where it would be the same line as angle 0."""
+    grid = [low + n * theta for n in range(int((high - low) / theta) + 1)]
+    return grid[:-1] if len(grid) > 1 and abs(grid[-1] - low - math.pi) < theta / 2 else grid
+
+
+def hough_votes(px: DataFrame, shape: Shape, rho: float, theta: float, min_theta: float = 0.0, max_theta: float = math.pi) -> DataFrame:
+    """(img, n, r, votes) of set pixels: n counts angles, r distances in steps of rho (of either sign)."""
+    table = [(n, math.cos(a) / rho, math.sin(a) / rho) for n, a in enumerate(hough_angles(theta, min_theta, max_theta))]
     lines = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c"), F.lit(s).alias("s")) for n, c, s in table])
     votes = px.where("c = 0 and v <> 0").withColumn("_l", F.explode(lines))
-    r = _half_away(F.round(F.col("x") * F.col("_l.c") + F.col("y") * F.col("_l.s"), 6)) + (distances - 1) // 2
-    return votes.groupBy("img", F.col("_l.n").alias("n"), r.cast("int").alias("r")).agg(F.count("*").alias("votes")), angles, distances
+    r = _half_away(F.round(F.col("x") * F.col("_l.c") + F.col("y") * F.col("_l.s"), 6))
+    return votes.groupBy("img", F.col("_l.n").alias("n"), r.cast("int").alias("r")).agg(F.count("*").alias("votes"))
 
 
 def hough_lines(px: DataFrame, shape: Shape, rho: float, theta: float, threshold: int, min_theta: float = 0.0, max_theta: float = math.pi) -> DataFrame:
     """(img, rho, theta, votes): cells above the threshold that top their four neighbours (ties: the first)."""
-    votes, _, distances = hough_votes(px, shape, rho, theta, min_theta, max_theta)
-    at = lambda dn, dr: votes.select("img", (F.col("n") + dn).alias("n"), (F.col("r") + dr).alias("r"), F.col("votes").alias(f"_v{dn + 1}{dr + 1}"))
-    j = votes.where(F.col("votes") > threshold)
-    for dn, dr in ((0, 1), (0, -1), (1, 0), (-1, 0)):
-        j = j.join(at(dn, dr), ["img", "n", "r"], "left")
-    none = lambda c: F.coalesce(c, F.lit(0))
+    votes = hough_votes(px, shape, rho, theta, min_theta, max_theta)
+    for along, across in (("r", "n"), ("n", "r")):
+        w = Window.partitionBy("img", across).orderBy(along)
+        for name, step, to in (("before", F.lag, -1), ("after", F.lead, 1)):
+            near = step(F.struct(along, "votes")).over(w)
+            votes = votes.withColumn(f"_{along}_{name}", F.when(near[along] == F.col(along) + to, near["votes"]).otherwise(0))
     v = F.col("votes")
-    best = j.where((v > none("_v12")) & (v >= none("_v10")) & (v > none("_v21")) & (v >= none("_v01")))
-    return best.select("img", ((F.col("r") - (distances - 1) / 2.0) * rho).alias("rho"), (F.col("n") * theta + min_theta).alias("theta"), "votes")
+    best = votes.where((v > threshold) & (v > F.col("_r_before")) & (v >= F.col("_r_after")) & (v > F.col("_n_before")) & (v >= F.col("_n_after")))
+    return best.select("img", (F.col("r") * float(rho)).alias("rho"), (F.col("n") * theta + min_theta).alias("theta"), "votes")
 
 
 def hough_lines_p(px: DataFrame, shape: Shape, rho: float, theta: float, threshold: int, min_length: float, max_gap: int, seed: int = 0) -> DataFrame:
@@ -296,8 +294,14 @@ def hough_circles(px: DataFrame, shape: Shape, dp: float, min_dist: float, param
     inner = F.col("y").between(1, frame.rows - 2) & F.col("x").between(1, frame.cols - 2)
     centres = votes.where(inner & (val() > int(param2))).join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(0.0)))
     kept = spaced(centres.select("img", (F.col("x") * dp).alias("x"), (F.col("y") * dp).alias("y"), "v"), min_dist)
+    # Pixels meet centres by cells as wide as the largest radius: a centre asks its own and the eight around.
+    wide = float(max_radius + 1)
+    cell = lambda p: F.floor(F.col(p) / wide)
+    around = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
+    asking = kept.withColumn("_a", F.explode(around)).withColumn("_cy", cell("y") + F.col("_a.j")).withColumn("_cx", cell("x") + F.col("_a.i")).drop("_a")
+    answering = edges.select("img", F.col("x").alias("_ex"), F.col("y").alias("_ey")).withColumn("_cy", cell("_ey")).withColumn("_cx", cell("_ex"))
     far = F.sqrt((F.col("_ex") - F.col("x")) * (F.col("_ex") - F.col("x")) + (F.col("_ey") - F.col("y")) * (F.col("_ey") - F.col("y")))
-    near = kept.join(edges.select("img", F.col("x").alias("_ex"), F.col("y").alias("_ey")), "img").withColumn("_d", far).where(F.col("_d").between(min_radius, max_radius))
+    near = asking.join(answering, ["img", "_cy", "_cx"]).withColumn("_d", far).where(F.col("_d").between(min_radius, max_radius))
     counts = near.groupBy("img", "rank", "x", "y", "v", F.floor(F.col("_d") + 0.5).cast("int").alias("radius")).agg(F.count("*").alias("n"))
     best = counts.withColumn("_k", F.row_number().over(Window.partitionBy("img", "rank").orderBy(F.desc("n"), "radius"))).where((F.col("_k") == 1) & (F.col("n") >= int(param2) // 2))
     return best.select("img", "x", "y", "radius", F.col("v").alias("votes"))
@@ -316,7 +320,7 @@ def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16")
     ring, arc, margin = RINGS[kind]
     n = len(ring)
     inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
-    around = neighbours(aligned(px), shape, [(dy, dx, float(k)) for k, (dx, dy) in enumerate(ring)], Border.CONSTANT).where(inner)
+    around = neighbours(aligned(px, shape), shape, [(dy, dx, float(k)) for k, (dx, dy) in enumerate(ring)], Border.CONSTANT).where(inner)
     lists = around.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "v"))), lambda s: s["v"]).alias("_ring"))
     d = px.join(lists, list(KEYS)).select(*KEYS, F.transform("_ring", lambda r: r - val()).alias("_d")).where(F.size("_d") == n)
     doubled = F.concat("_d", F.slice("_d", 1, arc - 1))
@@ -337,18 +341,9 @@ def fast(px: DataFrame, shape: Shape, threshold: int = 10, nonmax: bool = True,
 
 
 def umax(half: int) -> list[int]:
-    """Half widths of the rows of a round patch, symmetric about the diagonal."""
-    out = [0] * (half + 1)
-    for v in range(int(half * math.sqrt(2) / 2 + 1) + 1):
-        if v <= half:
-            out[v] = int(round(math.sqrt(half * half - v * v)))
-    v0 = 0
-    for v in range(half, math.ceil(half * math.sqrt(2) / 2) - 1, -1):
-        while out[v0] == out[v0 + 1]:
-            v0 += 1
-        out[v] = v0
-        v0 += 1
-    return out
+    """Half widths of the rows of a round patch that its diagonal mirrors onto itself."""
+    disc = [round(math.sqrt(half * half - v * v)) for v in range(half + 1)]
+    return [w if v <= w else max(u for u in range(half + 1) if u <= disc[u] and disc[u] >= v) for v, w in enumerate(disc)]
 
 
 def orientation(px: DataFrame, keypoints: DataFrame, half: int = 15) -> DataFrame:
@@ -408,9 +403,11 @@ def orb_pyramid(px: DataFrame, shape: Shape, levels: int = 8, scale: float = 1.2
     return out
 
 
-def orb(px: DataFrame, shape: Shape, features: int = 500, levels: int = 8, scale: float = 1.2, edge: int = 31, threshold: int = 20, half: int = 15) -> DataFrame:
+def orb(px: DataFrame, shape: Shape, features: int = 500, levels: int = 8, scale: float = 1.2, edge: int = 31, threshold: int = 20, half: int = 15, score: str = "harris") -> DataFrame:
     """ORB keypoints with descriptors: (img, id, level, x, y, size, angle, response, descriptor).
 
+    ``score``: keypoints of a level are ranked by their Harris response, or by that of FAST ("fast").
+
     The comparison pattern is drawn from a seed, so descriptors match each other, not those of other libraries.
     """
     found = None
@@ -419,7 +416,7 @@ def orb(px: DataFrame, shape: Shape, features: int = 500, levels: int = 8, scale
             break
         corners = fast(now, s, threshold).where(F.col("y").between(edge, s.rows - 1 - edge) & F.col("x").between(edge, s.cols - 1 - edge))
         harris = corner_harris(now, s, 7, 3, 0.04).select("img", "y", "x", F.col("v").alias("_h"))
-        ranked = corners.join(harris, ["img", "y", "x"]).withColumn("response", F.col("_h")).drop("_h")
+        ranked = corners if score == "fast" else corners.join(harris, ["img", "y", "x"]).withColumn("response", F.col("_h")).drop("_h")
         ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("response"), "y", "x"))).where(F.col("_n") <= quota)
         turned = orientation(now, ranked.withColumn("id", F.col("_n") + level * 1_000_000).drop("_n"), half)
         k = scale**level

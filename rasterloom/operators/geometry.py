@@ -32,7 +32,7 @@ def inside(p: Column, n: int, border: Border) -> Column:
 def remap(px: DataFrame, shape: Shape, maps: DataFrame, interpolation: str = "linear", border: Border = Border.CONSTANT, value=0.0, depth: str = "f64") -> DataFrame:
     """Pixels at the places of ``maps``: (img, y, x, map_x, map_y), or without img for all images alike."""
     channels = px.select("img", "c").distinct()
-    asked = maps.join(channels, "img") if "img" in maps.columns else channels.join(F.broadcast(maps))
+    asked = maps.join(channels, "img") if "img" in maps.columns else _for_all(channels, maps)
     mx, my = F.col("map_x"), F.col("map_y")
     if interpolation == "nearest":
         half = lambda a: (F.signum(a) * F.floor(F.abs(a) + 0.5)).cast("int")
@@ -52,6 +52,21 @@ def remap(px: DataFrame, shape: Shape, maps: DataFrame, interpolation: str = "li
     return out.withColumn("v", truncate_cast(F.round(val(), 9) if depth in ("u8", "i8", "u16", "i16", "i32") else val(), depth))
 
 
+PART = 1 << 20  # places of a map that are sent to all images at once
+
+
+def _for_all(channels: DataFrame, maps: DataFrame) -> DataFrame:
+    """Every place of a map for every channel of every image: what the result has rows for.
+
+    The map goes in parts of bounded size, and images are dealt to them by the part's number.
+    """
+    parts = max(1, -(-maps.count() // PART))
+    part = F.pmod(F.xxhash64("y", "x"), F.lit(parts)).cast("int")
+    asking = channels.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    mapped = maps.withColumn("_part", part)
+    return asking.join(F.broadcast(mapped) if parts == 1 else mapped, "_part").drop("_part")
+
+
 def invert3(m: list[list[float]]) -> list[list[float]]:
     (a, b, c), (d, e, f), (g, h, i) = m
     det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)

@@ -127,7 +127,7 @@ def clahe(px: DataFrame, shape: Shape, clip_limit: float = 40.0, tiles: tuple[in
     tw, th = -(-shape.cols // tx), -(-shape.rows // ty)
     bins, area = (1 << bits) >> bit_shift, tw * th
     spark = px.sparkSession
-    shifted = aligned(px).withColumn("_k", F.shiftright(val().cast("int"), bit_shift))
+    shifted = aligned(px, shape).withColumn("_k", F.shiftright(val().cast("int"), bit_shift))
 
     def table(n: int, size: int, source: str, tile: str):
         return F.broadcast(small_table(spark, [(border_index(i, n, Border.REFLECT_101), i // size) for i in range(-(-n // size) * size)], f"{source} int, {tile} int"))

@@ -23,9 +23,13 @@ def val() -> Column:
 
 
 
-def aligned(px: DataFrame) -> DataFrame:
-    """Pixels of an image together, where there are images enough to go round; large images stay spread."""
-    return px.repartition("img")
+#: Elements up to which an image is one task's; larger images stay spread, and each aggregation deals them anew.
+WHOLE = 1 << 20
+
+
+def aligned(px: DataFrame, shape: Shape) -> DataFrame:
+    """Pixels of an image together, unless it is a large one."""
+    return px.repartition("img") if shape.rows * shape.cols * shape.channels <= WHOLE else px
 
 
 def tap_table(px: DataFrame, taps: list[T.Tap], source: str) -> DataFrame:
@@ -40,7 +44,8 @@ def along(px: DataFrame, taps: list[T.Tap], axis: str) -> DataFrame:
 
 
 def separable(px: DataFrame, across: list[T.Tap], down: list[T.Tap]) -> DataFrame:
-    return along(along(aligned(px), across, "x"), down, "y")
+    frame = Shape(*(1 + max((t[1] for t in taps), default=0) for taps in (down, across)))
+    return along(along(aligned(px, frame), across, "x"), down, "y")
 
 
 def finish(px: DataFrame, depth: str) -> DataFrame:
@@ -95,7 +100,7 @@ def filter_2d(px: DataFrame, shape: Shape, kernel: list[list[float]], border: Bo
     """Correlation with a dense kernel, anchored in its middle."""
     h, w = len(kernel), len(kernel[0])
     offsets = [(y - h // 2, x - w // 2, kernel[y][x]) for y in range(h) for x in range(w) if kernel[y][x]]
-    out = neighbours(aligned(px), shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
+    out = neighbours(aligned(px, shape), shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
     return elementwise.mapped(out, lambda v: truncate_cast(v * scale + delta, depth))
 
 
@@ -111,7 +116,7 @@ def median_blur(px: DataFrame, shape: Shape, ksize: int) -> DataFrame:
     if ksize < 3 or ksize % 2 == 0:
         raise MatrixError("a median window is odd and above 1")
     r = ksize // 2
-    around = neighbours(aligned(px), shape, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
+    around = neighbours(aligned(px, shape), shape, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
     return around.groupBy(*KEYS).agg(F.sort_array(F.collect_list("v"))[ksize * ksize // 2].alias("v"))
 
 
@@ -119,14 +124,14 @@ def _extreme(px: DataFrame, shape: Shape, offsets: list[tuple[int, int]], border
     f = F.min if lowest else F.max
     rows, cols = sorted({dy for dy, _ in offsets}), sorted({dx for _, dx in offsets})
     if len(offsets) == len(rows) * len(cols):  # a rectangle: one axis after the other
-        out = aligned(px)
+        out = aligned(px, shape)
         for axis, deltas, n in (("x", cols, shape.cols), ("y", rows, shape.rows)):
             steps = sorted({(t, T.border_index(t + d, n, border), 1.0) for t in range(n) for d in deltas})
             keys = [k for k in KEYS if k != axis]
             joined = out.join(tap_table(px, [s for s in steps if s[1] >= 0], axis), axis)
             out = joined.groupBy(*keys, "_t").agg(f("v").alias("v")).withColumnRenamed("_t", axis).select(*KEYS, "v")
         return out
-    return neighbours(aligned(px), shape, [(dy, dx, 1.0) for dy, dx in offsets], border).groupBy(*KEYS).agg(f("v").alias("v"))
+    return neighbours(aligned(px, shape), shape, [(dy, dx, 1.0) for dy, dx in offsets], border).groupBy(*KEYS).agg(f("v").alias("v"))
 
 
 def erode(px: DataFrame, shape: Shape, element: list[tuple[int, int]], iterations: int = 1, border: Border = Border.CONSTANT) -> DataFrame:
@@ -174,7 +179,7 @@ def bilateral_filter(px: DataFrame, shape: Shape, d: int, sigma_color: float, si
         asked = frame.select(*KEYS, "_v0", (F.col("y") + F.col("_o.dy")).alias("_sy"), (F.col("x") + F.col("_o.dx")).alias("_sx"), F.col("_o.w").alias("_w"), F.col("_o.dy").alias("_dy"), F.col("_o.dx").alias("_dx"))
         around = asked.join(source, ["img", "_sy", "_sx", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     else:
-        around = neighbours(aligned(px), shape, space, border).join(centre, list(KEYS))
+        around = neighbours(aligned(px, shape), shape, space, border).join(centre, list(KEYS))
     tap = ["img", "y", "x", "_dy", "_dx"]
     if shape.channels > 1:
         colour = around.groupBy(*tap).agg(F.sum((val() - F.col("_v0")) * (val() - F.col("_v0"))).alias("_d2"))
@@ -259,7 +264,7 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
         out = p.join(basis, [axis, "c"]).groupBy(*keys, "_t", "_c").agg(F.sum(val() * F.col("_w")).alias("v"))
         return out.withColumnsRenamed({"_t": axis, "_c": "c"}).select(*KEYS, "v")
 
-    out = turn(aligned(px), "x", shape.cols)
+    out = turn(aligned(px, shape), "x", shape.cols)
     if not rows_only:
         out = turn(out, "y", shape.rows)
     return elementwise.mapped(out, lambda v: v / float(shape.cols * (1 if rows_only else shape.rows))) if scale else out
