@@ -1,8 +1,8 @@
 """Descriptor matching: a query set against all train rows, query block by query block.
 
-Each block of queries (``BLOCK`` rows, so its size is bounded) is broadcast; every train partition computes its
-distances to the block in one matrix product and keeps the best k of each query; Spark merges these by
-query. Nothing is joined with everything, and no partition sends more than k rows a query.
+Each block of queries (``BLOCK_BYTES`` of descriptors at most) is broadcast; every train task computes its distances to
+the block slice by slice, keeps the best k of each query while it reads, and sends these at its end; Spark merges
+them by query. Nothing is joined with everything, and no task sends more than k rows a query.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.spool import durable
 from ..types import MatrixError
 
-BLOCK = 4096
+BLOCK_BYTES = 16 << 20
+SLICE = 1024
 
 
 def distances(q: np.ndarray, t: np.ndarray, norm: str) -> np.ndarray:
@@ -28,65 +30,112 @@ def distances(q: np.ndarray, t: np.ndarray, norm: str) -> np.ndarray:
             d += e * e
         return np.sqrt(d)
     if norm == "hamming":
-        return np.bitwise_count(q.astype(np.uint8)[:, None, :] ^ t.astype(np.uint8)[None, :, :]).sum(2).astype(float)
+        q, t = (np.ascontiguousarray(x.astype(np.uint8)) for x in (q, t))
+        kind = next(k for k in (np.uint64, np.uint32, np.uint16, np.uint8) if q.shape[1] % np.dtype(k).itemsize == 0)
+        d = np.zeros((len(q), len(t)))
+        for a, b in zip(q.view(kind).T, t.view(kind).T):
+            d += np.bitwise_count(a[:, None] ^ b[None, :])
+        return d
     raise MatrixError(f"no norm {norm}")
 
 
-def _packed(df: DataFrame, idx: str, descriptor: str) -> DataFrame:
-    return df.select(F.col(idx).cast("long").alias("idx"), F.transform(descriptor, lambda x: x.cast("double")).alias("descriptor"))
+class Nearest:
+    """The k nearest train rows of each query so far; equal distances go to the smaller index."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.worst = k, np.full(queries, np.inf)
+        self.row, self.idx, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, first: int, d: np.ndarray, idx: np.ndarray) -> None:
+        """Distances of the queries from ``first`` on to the train rows ``idx``."""
+        limit = self.worst[first : first + len(d)]
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        self.waiting.append((row + first, idx[col], d[row, col]))
+        if sum(len(w[0]) for w in self.waiting) > 4 * self.k * len(self.worst) + 1000:
+            self.merge()
+
+    def merge(self) -> None:
+        row, idx, d = (np.concatenate([own, *(w[n] for w in self.waiting)]) for n, own in enumerate((self.row, self.idx, self.d)))
+        self.waiting = []
+        order = np.lexsort((idx, d, row))
+        row, idx, d = row[order], idx[order], d[order]
+        start = np.searchsorted(row, np.arange(len(self.worst)))
+        keep = np.arange(len(row)) - start[row] < self.k
+        self.row, self.idx, self.d = row[keep], idx[keep], d[keep]
+        full = np.bincount(self.row, minlength=len(self.worst)) == self.k
+        last = np.searchsorted(self.row, np.arange(len(self.worst)), side="right") - 1
+        self.worst[full] = self.d[last[full]]
+
 
+def _packed(df: DataFrame, idx: str, descriptor: str, norm: str) -> DataFrame:
+    kind = "short" if norm == "hamming" else "double"
+    return df.select(F.col(idx).cast("long").alias("idx"), F.transform(descriptor, lambda x: x.cast(kind)).alias("descriptor"))
 
-def _best(queries: DataFrame, train: DataFrame, k: int, norm: str) -> DataFrame:
-    """The k nearest train rows of each query: (query_idx, train_idx, distance, rank from 1)."""
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _best(queries: DataFrame, train: DataFrame, k: int, norm: str, apart: bool = False) -> DataFrame:
+    """The k nearest train rows of each query: (query_idx, train_idx, distance, rank from 1); ``apart``: not itself."""
     spark = queries.sparkSession
-    blocks = -(-queries.count() // BLOCK)
+    size = queries.agg(F.sum(F.size("descriptor") * 8 + 8)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     schema = "query_idx long, train_idx long, distance double"
 
     def against(block: DataFrame) -> DataFrame:
-        rows = block.collect()
-        ids = np.array([r[0] for r in rows], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], float)))
+        table = block.toArrow()  # BLOCK_BYTES or so
+        ids = table.column("idx").to_numpy()
+        sent = spark.sparkContext.broadcast((ids, _matrix(table.column("descriptor").combine_chunks()) if len(ids) else np.zeros((0, 1))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qi, q = sent.value
+            best = Nearest(len(qi), k)
             for whole in batches:
-                for start in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(start, 1024)
-                    ti = batch.column("idx").to_numpy()
-                    t = np.array(batch.column("descriptor").to_pylist(), float)
+                for start in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(start, SLICE)
+                    ti, t = batch.column("idx").to_numpy(), _matrix(batch.column("descriptor"))
                     for a in range(0, len(q), 256):
                         d = distances(q[a : a + 256], t, norm)
-                        order = np.lexsort((np.broadcast_to(ti, d.shape), d))[:, :k]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(qi[a : a + 256], order.shape[1])), pa.array(ti[order].reshape(-1)), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], names=["query_idx", "train_idx", "distance"]
-                        )
+                        if apart:
+                            d[qi[a : a + 256, None] == ti[None, :]] = np.inf
+                        best.add(a, d, ti)
+            if len(qi):
+                best.merge()
+                yield pa.RecordBatch.from_arrays([pa.array(qi[best.row]), pa.array(best.idx), pa.array(best.d)], names=["query_idx", "train_idx", "distance"])
 
-        return _packed_train.mapInArrow(run, schema)
+        return train.mapInArrow(run, schema)
 
-    _packed_train = train
     out = None
-    for b in range(max(1, blocks)):
-        block = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == b)
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == b)
         part = against(block)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_idx").orderBy("distance", "train_idx")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_match(queries: DataFrame, train: DataFrame, k: int, norm: str = "l2", idx: str = "idx", descriptor: str = "descriptor") -> DataFrame:
-    """(query_idx, rank, train_idx, distance); equal distances go to the smaller index."""
-    return _best(_packed(queries, idx, descriptor), _packed(train, idx, descriptor), k, norm).select("query_idx", "rank", "train_idx", "distance")
+def knn_match(queries: DataFrame, train: DataFrame, k: int, norm: str = "l2", idx: str = "idx", descriptor: str = "descriptor", apart: bool = False) -> DataFrame:
+    """(query_idx, rank, train_idx, distance); equal distances go to the smaller index; ``apart``: no row matches itself."""
+    return _best(_packed(queries, idx, descriptor, norm), _packed(train, idx, descriptor, norm), k, norm, apart).select("query_idx", "rank", "train_idx", "distance")
 
 
-def match_descriptors(queries: DataFrame, train: DataFrame, norm: str = "l2", cross_check: bool = False, idx: str = "idx", descriptor: str = "descriptor") -> DataFrame:
+def match_descriptors(queries: DataFrame, train: DataFrame, norm: str = "l2", cross_check: bool = False, idx: str = "idx", descriptor: str = "descriptor", apart: bool = False) -> DataFrame:
     """(query_idx, train_idx, distance) of the nearest train row; with ``cross_check`` only mutual nearest pairs."""
-    q, t = _packed(queries, idx, descriptor), _packed(train, idx, descriptor)
-    nearest = _best(q, t, 1, norm).select("query_idx", "train_idx", "distance")
-    if not cross_check:
-        return nearest
+    nearest = knn_match(queries, train, 1, norm, idx, descriptor, apart).drop("rank")
+    return mutual(durable(nearest), queries, train, norm, idx, descriptor, apart) if cross_check else nearest
+
+
+def mutual(nearest: DataFrame, queries: DataFrame, train: DataFrame, norm: str = "l2", idx: str = "idx", descriptor: str = "descriptor", apart: bool = False) -> DataFrame:
+    """Those of the ``nearest`` pairs (query_idx, train_idx, distance) whose train row has no nearer query."""
+    q, t = _packed(queries, idx, descriptor, norm), _packed(train, idx, descriptor, norm)
     # Only train rows that are someone's nearest can be mutual: they are the query set of the way back.
     asked = t.join(nearest.select(F.col("train_idx").alias("idx")).distinct(), "idx", "left_semi")
-    back = _best(asked, q, 1, norm).select(F.col("query_idx").alias("train_idx"), F.col("train_idx").alias("query_idx"))
+    back = _best(asked, q, 1, norm, apart).select(F.col("query_idx").alias("train_idx"), F.col("train_idx").alias("query_idx"))
     return nearest.join(back, ["query_idx", "train_idx"], "left_semi")
 
 

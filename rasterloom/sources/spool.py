@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's ``spark.checkpoint.dir``; only where none is set (tests) to a local folder."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where none is set, a local session (tests) gets a folder of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

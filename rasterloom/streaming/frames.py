@@ -61,10 +61,11 @@ def frame_changes(events: DataFrame, length: str = "1 hour") -> DataFrame:
     return framed.groupBy("event_type").applyInPandasWithState(step, "event_type string, frame timestamp, n long, change long", "start long, n long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through the stream into a memory table: for reports and tests of small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Everything that is there now, through the stream in append mode into a Parquet table under ``folder``.
+
+    Results of an append stream are final: windows that the watermark hasn't closed yet aren't in it.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    writer.option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
