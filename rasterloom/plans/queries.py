@@ -6,9 +6,11 @@ Virtual inputs: ``img8``, 8 x 8 8-bit images from the embeddings; pairs ``a`` an
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..operators import cluster, elementwise, estimation, features, flow, geomet
 from ..sources import pixels
 from ..sources.local import small_table
 from ..sources.pixels import KEYS
+from ..sources.spool import durable, shared_folder
 from ..streaming import frames
 from ..types import Border, Criteria, Shape
 from . import taps as T
@@ -118,7 +121,12 @@ BINARY = {
 }
 for _name, (_f, _e) in BINARY.items():
     register(_name, lambda s, d, f=_f: r6(f(*pair(s, d))), sql(f"SELECT a.img, a.y, a.x, a.c, {s6(_e)} AS v FROM a JOIN b USING (img, y, x, c)"))
-QUERIES["absdiff"], SQL["absdiff"] = QUERIES["abs_diff"], SQL["abs_diff"]
+
+register(
+    "absdiff",
+    lambda s, d: r6(elementwise.absdiff(*[img8f(s, d).where(F.col("img") % 2 == k).withColumn("img", F.floor(F.col("img") / 2).cast("long")) for k in (0, 1)])),
+    sql(f"SELECT a.img, a.y, a.x, a.c, {s6('abs(a.v - b.v)')} AS v FROM (SELECT img // 2 AS img, y, x, c, v FROM img8f WHERE img % 2 = 0) a JOIN (SELECT img // 2 AS img, y, x, c, v FROM img8f WHERE img % 2 = 1) b USING (img, y, x, c)"),
+)
 
 SCALAR3 = "CASE c WHEN 0 THEN 10.0 WHEN 1 THEN 60.0 WHEN 2 THEN 3.0 ELSE 0.0 END"
 ON_RGB = {
@@ -237,8 +245,8 @@ register("psnr", lambda s, d: r6(reduce.psnr(*pair(s, d)), "psnr"), sql(f"SELECT
 METRIC = [[2.0 if i == j else 0.5 if abs(i - j) == 1 else 0.0 for j in range(8)] for i in range(8)]
 register(
     "mahalanobis",
-    lambda s, d: r6(reduce.mahalanobis(*[p.where("x = 0") for p in pair(s, d)], METRIC), "distance"),
-    sql(f"SELECT p.img, {s6('sqrt(sum(p.d * q.d * CASE WHEN p.y = q.y THEN 2.0 WHEN abs(p.y - q.y) = 1 THEN 0.5 ELSE 0.0 END))')} AS distance FROM diff p JOIN diff q ON p.img = q.img GROUP BY p.img", "diff AS (SELECT img, y, a.v - b.v AS d FROM a JOIN b USING (img, y, x, c) WHERE x = 0)"),
+    lambda s, d: r6(reduce.mahalanobis(*[p.withColumn("img", F.col("img") * 8 + F.col("x")).withColumn("x", F.lit(0)) for p in pair(s, d)], METRIC), "distance"),
+    sql(f"SELECT p.img, {s6('sqrt(sum(p.d * q.d * CASE WHEN p.y = q.y THEN 2.0 WHEN abs(p.y - q.y) = 1 THEN 0.5 ELSE 0.0 END))')} AS distance FROM diff p JOIN diff q ON p.img = q.img GROUP BY p.img", "diff AS (SELECT img * 8 + x AS img, y, a.v - b.v AS d FROM a JOIN b USING (img, y, x, c))"),
 )
 for _by, _key, _mov in (("row", "y", "x"), ("column", "x", "y")):
     for _desc in (False, True):
@@ -317,18 +325,26 @@ register(
         "t AS (SELECT img, v, sum(n) OVER w AS cum, first(n) OVER w AS f, sum(n) OVER (PARTITION BY img) AS total FROM (SELECT img, v, count(*)::DOUBLE AS n FROM img8 GROUP BY img, v) WINDOW w AS (PARTITION BY img ORDER BY v))",
     ),
 )
-register("clahe", lambda s, d: histogram.clahe(img8(s, d), S8, 2.0, (2, 2)))
-register(
-    "clahe_unclipped",
-    lambda s, d: histogram.clahe(img8(s, d), S8, 0.0, (2, 2)),
-    sql(
-        """SELECT p.img, p.y, p.x, p.c, floor(round(sum(l.lut * wy.w * wx.w), 9) + 0.5) AS v
-        FROM img8 p JOIN w wy ON wy.i = p.y JOIN w wx ON wx.i = p.x JOIN l ON l.img = p.img AND l.ty = wy.t AND l.tx = wx.t AND l.k = p.v GROUP BY ALL""",
+
+
+def clahe_sql(source: str, bins: int, counts: str) -> str:
+    """``counts`` says how many of a tile's 16 pixels count for bin k: n of them have that value."""
+    return sql(
+        f"""SELECT p.img, p.y, p.x, p.c, floor(round(sum(l.lut * wy.w * wx.w), 9) + 0.5) AS v
+        FROM {source} p JOIN w wy ON wy.i = p.y JOIN w wx ON wx.i = p.x JOIN l ON l.img = p.img AND l.ty = wy.t AND l.tx = wx.t AND l.k = p.v GROUP BY ALL""",
+        "big AS (SELECT img, y, x, c, v * 16 AS v FROM img8)",
         "w AS (SELECT i, least(1, greatest(0, floor(i / 4.0 - 0.5)::INT + o)) AS t, sum(CASE WHEN o = 0 THEN 1 - ((i / 4.0 - 0.5) - floor(i / 4.0 - 0.5)) ELSE (i / 4.0 - 0.5) - floor(i / 4.0 - 0.5) END)::DOUBLE AS w FROM (SELECT unnest(range(8))::INT AS i), (SELECT unnest([0, 1]) AS o) GROUP BY ALL)",
-        "k AS (SELECT img, y // 4 AS ty, x // 4 AS tx, v AS k, count(*) AS n FROM img8 GROUP BY ALL)",
-        "l AS (SELECT img, ty, tx, g.k, least(255.0, floor(sum(coalesce(k.n, 0)) OVER (PARTITION BY img, ty, tx ORDER BY g.k) * (255.0 / 16) + 0.5)) AS lut FROM (SELECT DISTINCT img, ty, tx FROM k) JOIN (SELECT unnest(range(256))::DOUBLE AS k) g ON true LEFT JOIN k USING (img, ty, tx, k))",
-    ),
-)
+        f"k AS (SELECT img, y // 4 AS ty, x // 4 AS tx, v AS k, count(*) AS n FROM {source} GROUP BY ALL)",
+        f"f AS (SELECT img, ty, tx, g.k, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT img, ty, tx FROM k) JOIN (SELECT unnest(range({bins}))::DOUBLE AS k) g ON true LEFT JOIN k USING (img, ty, tx, k))",
+        "e AS (SELECT *, sum(greatest(0, n - 1)) OVER (PARTITION BY img, ty, tx) AS over FROM f)",
+        f"l AS (SELECT img, ty, tx, k, least({bins - 1}.0, floor(sum({counts}) OVER (PARTITION BY img, ty, tx ORDER BY k) * ({bins - 1}.0 / 16) + 0.5)) AS lut FROM e)",
+    )
+
+
+CLIPPED = "least(n, 1) + over // {0} + CASE WHEN over % {0} > 0 AND k::BIGINT % ({0} // greatest(1, over % {0})) = 0 AND k::BIGINT // ({0} // greatest(1, over % {0})) < over % {0} THEN 1 ELSE 0 END"
+register("clahe", lambda s, d: histogram.clahe(img8(s, d), S8, 2.0, (2, 2)), clahe_sql("img8", 256, CLIPPED.format(256)))
+register("clahe_unclipped", lambda s, d: histogram.clahe(img8(s, d), S8, 0.0, (2, 2)), clahe_sql("img8", 256, "n"))
+register("clahe_u16", lambda s, d: histogram.clahe(elementwise.multiply_scalar(img8(s, d), 16, "u16"), S8, 2.0, (2, 2), bits=12), clahe_sql("big", 4096, CLIPPED.format(4096)))
 
 # ---- moving pixels
 
@@ -367,17 +383,17 @@ register("set_identity", lambda s, d: structural.set_identity(rgb(s, d), [3, 2,
 register("dense_round_trip", lambda s, d: pixels.to_pixels(pixels.to_dense(rgb(s, d), Shape(8, 8, 3))), sql("SELECT * FROM rgb"))
 
 
-def nation_images(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("img"))
+def many_images(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("img"))
 
 
-GRID = "SELECT n_nationkey::BIGINT AS img, (p // 8)::INT AS y, (p // 2 % 4)::INT AS x, (p % 2)::INT AS c, {} AS v FROM nation, (SELECT unnest(range(24)) AS p)"
+GRID = "SELECT vec_id::BIGINT AS img, (p // 8)::INT AS y, (p // 2 % 4)::INT AS x, (p % 2)::INT AS c, {} AS v FROM embeddings, (SELECT unnest(range(24)) AS p)"
 S342 = Shape(3, 4, 2)
-register("zeros", lambda s, d: pixels.zeros(nation_images(s, d), S342), GRID.format("0.0::DOUBLE"))
-register("ones", lambda s, d: pixels.ones(nation_images(s, d), S342), GRID.format("1.0::DOUBLE"))
-register("eye", lambda s, d: pixels.eye(nation_images(s, d), S342), GRID.format("CASE WHEN p // 8 = p // 2 % 4 THEN 1.0::DOUBLE ELSE 0.0 END"))
-register("full_scalar", lambda s, d: pixels.full(nation_images(s, d), S342, [5, 6]), GRID.format("(5 + p % 2)::DOUBLE"))
-register("from_formula", lambda s, d: pixels.from_function(nation_images(s, d), S342, "((7 * y + 13 * x + 29 * c) * 37) % 256"), GRID.format("(((7 * (p // 8) + 13 * (p // 2 % 4) + 29 * (p % 2)) * 37) % 256)::DOUBLE"))
+register("zeros", lambda s, d: pixels.zeros(many_images(s, d), S342), GRID.format("0.0::DOUBLE"))
+register("ones", lambda s, d: pixels.ones(many_images(s, d), S342), GRID.format("1.0::DOUBLE"))
+register("eye", lambda s, d: pixels.eye(many_images(s, d), S342), GRID.format("CASE WHEN p // 8 = p // 2 % 4 THEN 1.0::DOUBLE ELSE 0.0 END"))
+register("full_scalar", lambda s, d: pixels.full(many_images(s, d), S342, [5, 6]), GRID.format("(5 + p % 2)::DOUBLE"))
+register("from_formula", lambda s, d: pixels.from_function(many_images(s, d), S342, "((7 * y + 13 * x + 29 * c) * 37) % 256"), GRID.format("(((7 * (p // 8) + 13 * (p // 2 % 4) + 29 * (p % 2)) * 37) % 256)::DOUBLE"))
 register("diag", lambda s, d: pixels.diag(read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), "vec_id", "e", 4), "SELECT vec_id AS img, y::INT AS y, x::INT AS x, 0 AS c, CASE WHEN x = y THEN embedding[y + 1]::DOUBLE ELSE 0.0 END AS v FROM embeddings, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)")
 
 # ---- linear filters: the oracle sums over tap tables written out as values
@@ -419,14 +435,32 @@ register("scharr_x", lambda s, d: r6(neighbourhood.scharr(img8(s, d), S8, 1, 0))
 register("resize", lambda s, d: r6(neighbourhood.resize(img8(s, d), S8, 5, 12)), separable_sql(T.resize_taps(8, 12), T.resize_taps(8, 5), ROUND))
 register("pyr_down", lambda s, d: r6(neighbourhood.pyr_down(img8(s, d), S8)[0]), separable_sql(T.half_taps(8), T.half_taps(8), ROUND))
 register("pyr_up", lambda s, d: r6(neighbourhood.pyr_up(img8(s, d), S8)[0]), separable_sql(T.double_taps(8, by_source=True), T.double_taps(8), ROUND))
-register("build_pyramid", lambda s, d: r6(neighbourhood.build_pyramid(img8(s, d), S8, 2)))
+
+
+def linear_ctes(name: str, source: str, xs, ys, out: str = "{}") -> list[str]:
+    """One linear filter after another: CTE ``name`` from CTE ``source``."""
+    return [
+        f"{name}_x(t, s, w) AS {values(xs)}",
+        f"{name}_y(t, s, w) AS {values(ys)}",
+        f"{name}_h AS (SELECT p.img, p.y, k.t AS x, p.c, sum(p.v * k.w) AS v FROM {source} p JOIN {name}_x k ON p.x = k.s GROUP BY p.img, p.y, k.t, p.c)",
+        f"{name} AS (SELECT h.img, k.t AS y, h.x, h.c, {out.format('sum(h.v * k.w)')} AS v FROM {name}_h h JOIN {name}_y k ON h.y = k.s GROUP BY h.img, k.t, h.x, h.c)",
+    ]
+
+
+register(
+    "build_pyramid",
+    lambda s, d: r6(neighbourhood.build_pyramid(img8(s, d), S8, 2)),
+    sql(" UNION ALL ".join(f"SELECT img, y, x, c, {s6('v')} AS v, {k} AS level FROM {n}" for k, n in enumerate(("img8", "p1", "p2"))), *linear_ctes("p1", "img8", T.half_taps(8), T.half_taps(8), ROUND), *linear_ctes("p2", "p1", T.half_taps(4), T.half_taps(4), ROUND)),
+)
 register("dct", lambda s, d: r6(neighbourhood.dct(img8f(s, d), S8)), separable_sql(T.dct_taps(8), T.dct_taps(8), "{}", "img8f"))
 register("idct", lambda s, d: r6(neighbourhood.idct(neighbourhood.dct(img8f(s, d), S8), S8)), sql(f"SELECT img, y, x, c, {s6('v')} AS v FROM img8f"))
 register("laplacian", lambda s, d: r6(neighbourhood.laplacian(img8(s, d), S8)), sql(
     f"SELECT p.img, p.y, p.x, p.c, {s6('n.v + s.v + w.v + e.v - 4 * p.v')} AS v FROM img8 p JOIN img8 n ON n.img = p.img AND n.x = p.x AND n.y = abs(p.y - 1) JOIN img8 s ON s.img = p.img AND s.x = p.x AND s.y = CASE WHEN p.y = 7 THEN 6 ELSE p.y + 1 END JOIN img8 w ON w.img = p.img AND w.y = p.y AND w.x = abs(p.x - 1) JOIN img8 e ON e.img = p.img AND e.y = p.y AND e.x = CASE WHEN p.x = 7 THEN 6 ELSE p.x + 1 END"
 ))
-register("laplacian_3", lambda s, d: r6(neighbourhood.laplacian(img8(s, d), S8, 3)))
 MIRROR = "m AS (SELECT i::INT AS i, o::INT AS o, CASE WHEN i + o < 0 THEN -(i + o) WHEN i + o > 7 THEN 14 - (i + o) ELSE i + o END AS s FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(-2, 3)) AS o))"
+register("laplacian_3", lambda s, d: r6(neighbourhood.laplacian(img8(s, d), S8, 3)), sql(
+    f"SELECT p.img, g.i AS y, h.i AS x, p.c, {s6('sum(p.v * (CASE h.o WHEN 0 THEN -2 ELSE 1 END * (2 - abs(g.o)) + CASE g.o WHEN 0 THEN -2 ELSE 1 END * (2 - abs(h.o))))')} AS v FROM img8 p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY ALL", MIRROR
+))
 register("median_blur", lambda s, d: neighbourhood.median_blur(img8(s, d), S8, 3), sql("SELECT p.img, g.i AS y, h.i AS x, p.c, median(p.v) AS v FROM img8 p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY ALL", MIRROR))
 register(
     "bilateral_filter",
@@ -436,7 +470,9 @@ register(
         MIRROR,
     ),
 )
-register("bilateral_constant", lambda s, d: r6(neighbourhood.bilateral_filter(rgb(s, d), Shape(8, 8, 3), 3, 30.0, 2.0, Border.CONSTANT)))
+register("bilateral_constant", lambda s, d: r6(neighbourhood.bilateral_filter(rgb(s, d), Shape(8, 8, 3), 3, 30.0, 2.0, Border.CONSTANT)), sql(
+    f"SELECT img, y, x, c, {s6('sum(w * v) / sum(w)')} AS v FROM (SELECT *, exp(-(dy * dy + dx * dx) / 8.0) * exp(-sum((v - v0) * (v - v0)) OVER (PARTITION BY img, y, x, dy, dx) / 1800.0) AS w FROM (SELECT p.img, p.y, p.x, p.c, p.v AS v0, dy, dx, coalesce(q.v, 0.0) AS v FROM rgb p JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true LEFT JOIN rgb q ON q.img = p.img AND q.c = p.c AND q.y = p.y + dy AND q.x = p.x + dx)) GROUP BY img, y, x, c"
+))
 CROSS3 = T.structuring_element("cross", 3, 3)
 RECT3 = T.structuring_element("rect", 3, 3)
 for _n, _el, _cond in (("rect", RECT3, "abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1"), ("cross", CROSS3, "abs(p.y - q.y) + abs(p.x - q.x) <= 1")):
@@ -523,9 +559,27 @@ register(
 _DET3 = "m00 * (m11 * m22 - m12 * m21) - m01 * (m10 * m22 - m12 * m20) + m02 * (m10 * m21 - m11 * m20)"
 _PIVOT = "p AS (SELECT img, " + ", ".join(f"max(v) FILTER (y = {y} AND x = {x}) AS m{y}{x}" for y in range(3) for x in range(3)) + " FROM img8 GROUP BY img)"
 register("determinant", lambda s, d: linalg.determinant(small(img8(s, d), 3), 3), sql(f"SELECT img, {_DET3} AS det FROM p", _PIVOT))
-register("determinant_8", lambda s, d: linalg.determinant(img8(s, d), 8))
-register("invert", lambda s, d: linalg.invert(small(img8(s, d), 4)))
-register("solve", lambda s, d: linalg.solve(small(pair(s, d)[0], 4), small(pair(s, d)[1], 4)))
+
+
+def regular(px: DataFrame) -> DataFrame:
+    """Small square matrices, made well conditioned by a heavier diagonal."""
+    return px.withColumn("v", val() + F.when(F.col("x") == F.col("y"), 4.0).otherwise(0.0))
+
+
+REGULAR = "reg AS (SELECT img, y, x, c, v + CASE WHEN x = y THEN 4.0 ELSE 0.0 END AS v FROM img8f)"
+#: Determinants by rows: d8 sums over sets of columns (bits of m) what the first rows give, with the sign of the permutation.
+BY_ROWS = ["d0 AS (SELECT DISTINCT img, 0 AS m, 1.0::DOUBLE AS d FROM reg)"] + [f"d{k + 1} AS (SELECT p.img, p.m + (1 << r.x) AS m, sum(p.d * r.v * CASE WHEN bit_count(p.m >> r.x) % 2 = 0 THEN 1 ELSE -1 END) AS d FROM d{k} p JOIN reg r ON r.img = p.img AND r.y = {k} AND (p.m >> r.x) & 1 = 0 GROUP BY p.img, p.m + (1 << r.x))" for k in range(8)]
+register("determinant_8", lambda s, d: r6(linalg.determinant(regular(img8f(s, d)), 8).withColumn("det", F.col("det") / 1000), "det"), sql(f"SELECT img, {s6('d / 1000')} AS det FROM d8", REGULAR, *BY_ROWS))
+PERMS = "perm(p, sign) AS (VALUES " + ", ".join(f"({list(p)}, {1 if sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2 == 0 else -1})" for p in itertools.permutations(range(4))) + ")"
+INVERSE = [
+    REGULAR,
+    PERMS,
+    "cells AS (SELECT img, list(v ORDER BY y, x) AS m FROM reg WHERE y < 4 AND x < 4 GROUP BY img)",
+    "det AS (SELECT img, sum(sign * m[p[1] + 1] * m[p[2] + 5] * m[p[3] + 9] * m[p[4] + 13]) AS det FROM cells, perm GROUP BY img)",
+    "inv AS (SELECT img, j AS y, i AS x, sum(sign * list_product(list_transform([1, 2, 3, 4], lambda r: CASE WHEN r = i + 1 THEN 1.0 ELSE m[p[r] + 4 * r - 3] END))) / any_value(det) AS v FROM cells JOIN det USING (img), perm, (SELECT unnest(range(4))::INT AS i), (SELECT unnest(range(4))::INT AS j) WHERE p[i + 1] = j GROUP BY img, j, i)",
+]
+register("invert", lambda s, d: r6(linalg.invert(regular(small(img8f(s, d), 4))), "v", "det"), sql(f"SELECT img, y, x, 0 AS c, {s6('v')} AS v, {s6('det')} AS det FROM inv JOIN det USING (img)", *INVERSE))
+register("solve", lambda s, d: r6(linalg.solve(regular(small(img8f(s, d), 4)), small(img8(s, d), 4))), sql(f"SELECT b.img, i.y, b.x, 0 AS c, {s6('sum(i.v * b.v)')} AS v, true AS solved FROM inv i JOIN img8 b ON b.img = i.img AND b.y = i.x AND b.x < 4 GROUP BY b.img, i.y, b.x", *INVERSE))
 
 
 def coefficients(s: SparkSession, d: str) -> DataFrame:
@@ -543,11 +597,17 @@ register(
     f"""WITH k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), q AS (SELECT *, sqrt(b * b - 4 * a * c) AS r FROM k WHERE b * b - 4 * a * c > 0 AND abs(a) >= 1e-12)
     SELECT vec_id, 0 AS n, {s6('least((-b - r) / (2 * a), (-b + r) / (2 * a))')} AS root FROM q UNION ALL SELECT vec_id, 1 AS n, {s6('greatest((-b - r) / (2 * a), (-b + r) / (2 * a))')} AS root FROM q""",
 )
-register("solve_cubic", lambda s, d: root_rows(coefficients(s, d).select("vec_id", linalg.cubic_roots(F.col("k0"), F.col("k1"), F.col("k2"), F.col("k3")).alias("roots"))))
+register("solve_cubic", lambda s, d: root_rows(coefficients(s, d).select("vec_id", linalg.cubic_roots(F.col("k0"), F.col("k1"), F.col("k2"), F.col("k3")).alias("roots"))), f"""WITH k AS (SELECT vec_id, embedding[2]::DOUBLE / embedding[1]::DOUBLE AS p, embedding[3]::DOUBLE / embedding[1]::DOUBLE AS q, embedding[4]::DOUBLE / embedding[1]::DOUBLE AS r FROM embeddings WHERE abs(embedding[1]) >= 1e-12),
+    u AS (SELECT *, (p * p - 3 * q) / 9 AS s, (2 * p * p * p - 9 * p * q + 27 * r) / 54 AS t FROM k),
+    found AS (SELECT vec_id, CASE WHEN t * t < s * s * s THEN list_sort([-2 * sqrt(s) * cos((acos(t / sqrt(s * s * s)) + a * 2 * pi()) / 3) - p / 3 FOR a IN [0, 1, -1]]) ELSE [cbrt(sqrt(t * t - s * s * s) - t) + cbrt(-t - sqrt(t * t - s * s * s)) - p / 3] END AS roots FROM u)
+    SELECT vec_id, n::INT - 1 AS n, {s6('roots[n]')} AS root FROM (SELECT vec_id, roots, unnest(range(1, len(roots) + 1)) AS n FROM found)""")
 register("solve_poly", lambda s, d: r6(linalg.solve_poly(read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("p")), "vec_id", "p"), "re", "im", "residual"))
 
 # ---- features
 
+GRADIENTS = "gr AS (SELECT p.img, g.i AS y, h.i AS x, sum(p.v * h.o * CASE WHEN g.o = 0 THEN 2 ELSE 1 END)::DOUBLE AS gx, sum(p.v * g.o * CASE WHEN h.o = 0 THEN 2 ELSE 1 END)::DOUBLE AS gy FROM img8 p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY p.img, g.i, h.i)"
+TENSOR = "ten AS (SELECT p.img, g.i AS y, h.i AS x, sum(gx * gx) / 9 AS a, sum(gx * gy) / 9 AS b, sum(gy * gy) / 9 AS d FROM gr p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY p.img, g.i, h.i)"
+
 for _name, _f in {
     "corner_harris": lambda s, d: features.corner_harris(img8(s, d), S8, 3),
     "corner_min_eigen_val": lambda s, d: features.corner_min_eigen_val(img8(s, d), S8, 3),
@@ -559,15 +619,74 @@ for _name, _f in {
         sql(
             f"SELECT img, y, x, 0 AS c, {s6(_e)} AS v FROM (SELECT p.img, g.i AS y, h.i AS x, sum(gx * gx) / 9 AS a, sum(gx * gy) / 9 AS b, sum(gy * gy) / 9 AS c2 FROM gr p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY p.img, g.i, h.i)",
             MIRROR,
-            "gr AS (SELECT p.img, g.i AS y, h.i AS x, sum(p.v * h.o * CASE WHEN g.o = 0 THEN 2 ELSE 1 END)::DOUBLE AS gx, sum(p.v * g.o * CASE WHEN h.o = 0 THEN 2 ELSE 1 END)::DOUBLE AS gy FROM img8 p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY p.img, g.i, h.i)",
+            GRADIENTS,
         ),
     )
-register("corner_eigen_vals_and_vecs", lambda s, d: r6(features.corner_eigen_vals_and_vecs(img8(s, d), S8, 3), "l1", "l2", "x1", "y1", "x2", "y2"))
-register("pre_corner_detect", lambda s, d: r6(features.pre_corner_detect(img8(s, d), S8)))
-register("good_features_to_track", lambda s, d: r6(features.good_features_to_track(img8(s, d), S8, 4, 0.1, 2.0)))
-register("corner_sub_pix", lambda s, d: r6(features.corner_sub_pix(img8(s, d), S8, features.good_features_to_track(img8(s, d), S8, 2, 0.1, 2.0).select("img", F.col("rank").alias("id"), "x", "y"), 2, Criteria(3, 1e-3)), "x", "y"))
-register("canny_candidates", lambda s, d: features.canny_candidates(img8(s, d), S8, 100, 300))
-register("canny", lambda s, d: features.canny(img8(s, d), S8, 100, 300))
+register(
+    "corner_eigen_vals_and_vecs",
+    lambda s, d: r6(features.corner_eigen_vals_and_vecs(img8(s, d), S8, 3), "l1", "l2", "x1", "y1", "x2", "y2"),
+    sql(
+        f"""SELECT img, y, x, {s6('l1')} AS l1, {s6('l2')} AS l2, {s6('CASE WHEN flat THEN up ELSE (l1 - d) / sqrt((l1 - d) ** 2 + b * b) END')} AS x1, {s6('CASE WHEN flat THEN 1 - up ELSE b / sqrt((l1 - d) ** 2 + b * b) END')} AS y1,
+        {s6('CASE WHEN flat THEN 1 - up ELSE (l2 - d) / sqrt((l2 - d) ** 2 + b * b) END')} AS x2, {s6('CASE WHEN flat THEN up ELSE b / sqrt((l2 - d) ** 2 + b * b) END')} AS y2
+        FROM (SELECT *, abs(b) <= 1e-12 * (1 + a + d) AS flat, CASE WHEN a >= d THEN 1.0 ELSE 0.0 END AS up, (a + d) / 2 + sqrt((a - d) ** 2 / 4 + b * b) AS l1, (a + d) / 2 - sqrt((a - d) ** 2 / 4 + b * b) AS l2 FROM ten)""",
+        MIRROR, GRADIENTS, TENSOR,
+    ),
+)
+SECOND = "CASE {0}.o WHEN 0 THEN -2 ELSE 1 END"
+register(
+    "pre_corner_detect",
+    lambda s, d: r6(features.pre_corner_detect(img8(s, d), S8)),
+    sql(
+        f"""SELECT img, y, x, c, {s6('gx * gx * yy + gy * gy * xx - 2 * gx * gy * xy')} AS v FROM (SELECT p.img, g.i AS y, h.i AS x, p.c, sum(p.v * h.o * (2 - abs(g.o)))::DOUBLE AS gx, sum(p.v * g.o * (2 - abs(h.o)))::DOUBLE AS gy, sum(p.v * g.o * h.o)::DOUBLE AS xy,
+        sum(p.v * {SECOND.format('h')} * (2 - abs(g.o)))::DOUBLE AS xx, sum(p.v * {SECOND.format('g')} * (2 - abs(h.o)))::DOUBLE AS yy FROM img8 p JOIN m g ON p.y = g.s JOIN m h ON p.x = h.s WHERE abs(g.o) <= 1 AND abs(h.o) <= 1 GROUP BY p.img, g.i, h.i, p.c)""",
+        MIRROR,
+    ),
+)
+GOOD = [
+    MIRROR, GRADIENTS, TENSOR,
+    "resp AS (SELECT img, y, x, (a + d) / 2 - sqrt((a - d) ** 2 / 4 + b * b) AS v FROM ten)",
+    "cand AS (SELECT p.img, p.y, p.x, p.v, row_number() OVER (PARTITION BY p.img ORDER BY p.v DESC, p.y, p.x) AS n FROM resp p JOIN (SELECT img, max(v) AS top FROM resp GROUP BY img) USING (img) WHERE p.v > 0.1 * top AND p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 AND NOT EXISTS (SELECT 1 FROM resp q WHERE q.img = p.img AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.v > p.v))",
+    "taken AS (SELECT img, 0::BIGINT AS n, []::STRUCT(y INT, x INT, v DOUBLE)[] AS t FROM (SELECT DISTINCT img FROM cand) UNION ALL SELECT c.img, c.n, CASE WHEN len(t) < 4 AND len(list_filter(t, lambda o: (o.y - c.y) ** 2 + (o.x - c.x) ** 2 < 4)) = 0 THEN list_append(t, {'y': c.y, 'x': c.x, 'v': c.v}) ELSE t END FROM taken JOIN cand c ON c.img = taken.img AND c.n = taken.n + 1)",
+    "best AS (SELECT img, max_by(t, n) AS t FROM taken GROUP BY img)",
+]
+register(
+    "good_features_to_track",
+    lambda s, d: r6(features.good_features_to_track(img8(s, d), S8, 4, 0.1, 2.0)),
+    sql(f"SELECT img, t[k].x::DOUBLE AS x, t[k].y::DOUBLE AS y, {s6('t[k].v')} AS v, k::INT - 1 AS rank FROM (SELECT img, t, unnest(range(1, len(t) + 1)) AS k FROM best)", *GOOD).replace("WITH", "WITH RECURSIVE", 1),
+)
+
+
+def sub_pix_sql(rounds: int, win: int) -> str:
+    """The corners (3, 3) and (4, 4) of each image, moved so many times by the weighted normal equations."""
+    ctes = [MIRROR, GRADIENTS, "s0 AS (SELECT DISTINCT img, k AS id, (3 + k)::DOUBLE AS x, (3 + k)::DOUBLE AS y FROM img8, (SELECT unnest([0, 1]) AS k))"]
+    for k in range(rounds):
+        ctes += [
+            f"e{k} AS (SELECT s.img, s.id, sum(w * gx * gx) AS a, sum(w * gx * gy) AS b, sum(w * gy * gy) AS d, sum(w * (gx * gx * g.x + gx * gy * g.y)) AS p, sum(w * (gx * gy * g.x + gy * gy * g.y)) AS q FROM (SELECT s.*, g.*, exp(-((g.x - round_even(s.x, 0)) ** 2 + (g.y - round_even(s.y, 0)) ** 2) / {float(win * win)}) AS w, s.img AS i FROM s{k} s JOIN gr g ON g.img = s.img AND abs(g.x - round_even(s.x, 0)) <= {win} AND abs(g.y - round_even(s.y, 0)) <= {win}) GROUP BY ALL)".replace("SELECT s.img, s.id, sum(w * gx * gx)", "SELECT img, id, sum(w * gx * gx)").replace("g.x + gx * gy * g.y", "px + gx * gy * py").replace("gx * gy * g.x + gy * gy * g.y", "gx * gy * px + gy * gy * py").replace("SELECT s.*, g.*,", "SELECT s.img, s.id, g.gx, g.gy, g.x AS px, g.y AS py,").replace(" AS w, s.img AS i FROM", " AS w FROM"),
+            f"n{k} AS (SELECT img, id, (d * p - b * q) / (a * d - b * b) AS nx, (a * q - b * p) / (a * d - b * b) AS ny FROM e{k} WHERE abs(a * d - b * b) >= 1e-12)",
+            f"s{k + 1} AS (SELECT img, id, CASE WHEN nx IS NULL OR abs(nx - x) > {win} OR abs(ny - y) > {win} THEN x ELSE nx END AS x, CASE WHEN nx IS NULL OR abs(nx - x) > {win} OR abs(ny - y) > {win} THEN y ELSE ny END AS y FROM s{k} LEFT JOIN n{k} USING (img, id))",
+        ]
+    return sql(f"SELECT img, id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM s{rounds}", *ctes)
+
+
+def fixed_corners(s: SparkSession, d: str) -> DataFrame:
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(3.0 + k).alias("x"), F.lit(3.0 + k).alias("y")) for k in (0, 1)]))
+    return many_images(s, d).select("img", both.alias("_c")).select("img", "_c.*")
+
+
+register("corner_sub_pix", lambda s, d: features.corner_sub_pix(img8(s, d), S8, fixed_corners(s, d), 2, Criteria(2, 1e-3)).select("img", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), sub_pix_sql(2, 2))
+EDGES = [
+    MIRROR, GRADIENTS,
+    "mag AS (SELECT img, y, x, abs(gx) + abs(gy) AS v, CASE WHEN t < 0 THEN t + 180 ELSE t END AS t FROM (SELECT *, degrees(atan2(gy, gx)) AS t FROM gr))",
+    "dir AS (SELECT img, y, x, v, CASE WHEN t < 22.5 OR t >= 157.5 THEN 0 WHEN t < 67.5 THEN 1 WHEN t < 112.5 THEN 2 ELSE 3 END AS s FROM mag WHERE v >= 100 AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6)",
+    "side(s, dy, dx) AS (VALUES (0, 0, -1), (0, 0, 1), (1, -1, 1), (1, 1, -1), (2, -1, 0), (2, 1, 0), (3, -1, -1), (3, 1, 1))",
+    "thin AS (SELECT p.img, p.y, p.x, p.v >= 300 AS strong FROM dir p JOIN side USING (s) JOIN mag q ON q.img = p.img AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY p.img, p.y, p.x, p.v HAVING p.v >= max(q.v))",
+]
+register("canny_candidates", lambda s, d: features.canny_candidates(img8(s, d), S8, 100, 300), sql("SELECT img, y, x, strong FROM thin", *EDGES))
+register(
+    "canny",
+    lambda s, d: features.canny(img8(s, d), S8, 100, 300),
+    sql("SELECT p.img, p.y, p.x, p.c, CASE WHEN e.img IS NULL THEN 0.0 ELSE 255.0 END AS v FROM img8 p LEFT JOIN edge e ON e.img = p.img AND e.y = p.y AND e.x = p.x", *EDGES, "edge AS (SELECT img, y, x FROM thin WHERE strong UNION SELECT t.img, t.y, t.x FROM edge e JOIN thin t ON t.img = e.img AND abs(t.y - e.y) <= 1 AND abs(t.x - e.x) <= 1)").replace("WITH", "WITH RECURSIVE", 1),
+)
 register(
     "hough_lines",
     lambda s, d: r6(features.hough_lines(mask8(s, d), S8, 1.0, math.pi / 8, 4), "rho", "theta"),
@@ -580,28 +699,43 @@ register(
 )
 register("hough_lines_p", lambda s, d: features.hough_lines_p(mask8(s, d), S8, 1.0, math.pi / 8, 4, 3, 1))
 register("hough_circles", lambda s, d: r6(features.hough_circles(img8(s, d), S8, 1.0, 2.0, 200.0, 4.0, 1, 3), "x", "y"))
-register("fast_5_8", lambda s, d: features.fast(img8(s, d), S8, 20, kind="5_8"))
-register("fast_7_12", lambda s, d: features.fast(img8(s, d), S8, 20, kind="7_12"))
-register(
-    "fast_9_16",
-    lambda s, d: features.fast(img8(s, d), S8, 20, nonmax=False).select("img", "y", "x", "response"),
-    sql(
-        "SELECT img, y, x, response FROM (SELECT img, y, x, greatest(list_max([list_min(ring[s + 1:s + 9]) FOR s IN range(16)]), -list_min([list_max(ring[s + 1:s + 9]) FOR s IN range(16)])) - 1 AS response FROM (SELECT p.img, p.y, p.x, list(q.v - p.v ORDER BY k) || list(q.v - p.v ORDER BY k)[1:8] AS ring FROM img8 p JOIN o ON true JOIN img8 q ON q.img = p.img AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y BETWEEN 3 AND 4 AND p.x BETWEEN 3 AND 4 GROUP BY ALL)) WHERE response >= 20",
-        "o(k, dx, dy) AS (VALUES " + ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(features.RINGS["9_16"][0])) + ")",
-    ),
-)
-TEXTURE = "(((y div 5) * 7919 + (x div 5) * 104729 + img * 31) % 251) * 0.8 + ((y * 13 + x * 7) % 17) * 3"
 
 
-def textured(s: SparkSession, d: str, n: int = 4, size: int = 80, shift: int = 0) -> tuple[DataFrame, Shape]:
-    """Larger made-up images, one for each region."""
-    shape = Shape(size, size)
-    images = read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("img"))
-    return pixels.grid(images, shape, F.floor(F.expr(TEXTURE.replace("x", f"(x + {shift})") if shift else TEXTURE))), shape
+def fast_sql(kind: str, nonmax: bool) -> str:
+    ring, arc, margin = features.RINGS[kind]
+    n = len(ring)
+    found = f"SELECT img, y, x, response FROM (SELECT img, y, x, greatest(list_max([list_min(ring[s + 1:s + {arc}]) FOR s IN range({n})]), -list_min([list_max(ring[s + 1:s + {arc}]) FOR s IN range({n})])) - 1 AS response FROM (SELECT p.img, p.y, p.x, list(q.v - p.v ORDER BY k) || list(q.v - p.v ORDER BY k)[1:{arc - 1}] AS ring FROM img8 p JOIN o ON true JOIN img8 q ON q.img = p.img AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y BETWEEN {margin} AND {7 - margin} AND p.x BETWEEN {margin} AND {7 - margin} GROUP BY ALL)) WHERE response >= 20"
+    body = "SELECT img, y, x, response FROM f p" + (" WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.img = p.img AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND (q.y, q.x) <> (p.y, p.x) AND q.response >= p.response)" if nonmax else "")
+    return sql(body, "o(k, dx, dy) AS (VALUES " + ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(ring)) + ")", f"f AS ({found})")
+
+
+for _kind, _nonmax in (("5_8", True), ("7_12", True), ("9_16", False)):
+    register(f"fast_{_kind}", lambda s, d, k=_kind, n=_nonmax: features.fast(img8(s, d), S8, 20, nonmax=n, kind=k).select("img", "y", "x", "response"), fast_sql(_kind, _nonmax))
+
+
+def mosaic(s: SparkSession, d: str) -> tuple[DataFrame, Shape]:
+    """Images of 80 x 80: a hundred embeddings each, ten by ten; places without one are 0."""
+    px = img8(s, d)
+    tiles = px.select(F.floor(F.col("img") / 100).cast("long").alias("img"), (F.floor(F.col("img") % 100 / 10) * 8 + F.col("y")).cast("int").alias("y"), (F.col("img") % 10 * 8 + F.col("x")).cast("int").alias("x"), "c", F.col("v").alias("_v"))
+    blank = pixels.grid(tiles.select("img").distinct(), Shape(80, 80))
+    return blank.join(tiles, list(KEYS), "left").select(*KEYS, F.coalesce("_v", "v").alias("v")), Shape(80, 80)
 
 
-register("orb", lambda s, d: r6(features.orb(*textured(s, d), features=20, levels=2, edge=20), "x", "y", "angle", "response"))
-register("orb_orientation", lambda s, d: r6(features.orientation(textured(s, d)[0], read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("img"), F.lit(40).alias("y"), F.lit(40).alias("x"))), "angle"))
+MOSAIC = "mos AS (SELECT img // 100 AS img, (img % 100 // 10 * 8 + y)::INT AS y, (img % 10 * 8 + x)::INT AS x, c, v FROM img8)"
+
+
+def middle(s: SparkSession, d: str) -> DataFrame:
+    return mosaic(s, d)[0].select("img").distinct().withColumn("y", F.explode(F.array(F.lit(25), F.lit(40)))).withColumn("x", F.lit(40))
+
+
+register("orb", lambda s, d: r6(features.orb(*mosaic(s, d), features=20, levels=2, edge=20), "x", "y", "angle", "response"))
+DISC = "disc(dy, reach) AS (VALUES " + ", ".join(f"({dy}, {features.umax(15)[abs(dy)]})" for dy in range(-15, 16)) + ")"
+register(
+    "orb_orientation",
+    lambda s, d: r6(features.orientation(mosaic(s, d)[0], middle(s, d)), "angle"),
+    sql(f"SELECT img, y, x, {s6('CASE WHEN t < 0 THEN t + 360 ELSE t END')} AS angle FROM (SELECT k.img, k.y, k.x, degrees(atan2(sum(p.v * (p.y - k.y)), sum(p.v * (p.x - k.x)))) AS t FROM (SELECT DISTINCT img, u AS y, 40 AS x FROM mos, (SELECT unnest([25, 40]) AS u)) k JOIN disc ON true JOIN mos p ON p.img = k.img AND p.y = k.y + dy AND abs(p.x - k.x) <= reach GROUP BY k.img, k.y, k.x)", MOSAIC, DISC),
+)
+register("orb_patch", lambda s, d: small_table(s, [(h, v, w) for h in (7, 15, 31) for v, w in enumerate(features.umax(h))], "half int, row int, reach int"), "SELECT h::INT AS half, v::INT AS row, max(u)::INT AS reach FROM (SELECT unnest([7, 15, 31]) AS h), (SELECT unnest(range(32)) AS v), (SELECT unnest(range(32)) AS u) WHERE v <= h AND u <= h AND CASE WHEN v <= round(sqrt(h * h - v * v)) THEN u <= round(sqrt(h * h - v * v)) ELSE u <= round(sqrt(h * h - u * u)) AND v <= round(sqrt(h * h - u * u)) END GROUP BY h, v")
 
 
 def overlap_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -624,10 +758,47 @@ def as_keypoints(s: SparkSession, d: str) -> DataFrame:
 register("convert_from_points", lambda s, d: as_keypoints(s, d).select("img", "ord", F.col("pt.x").cast("double").alias("x"), "size", "angle"), sql("SELECT img, y * 8 + x AS ord, x::DOUBLE AS x, 7.0::DOUBLE AS size, -1.0::DOUBLE AS angle FROM img8"))
 register("convert_to_points", lambda s, d: features.convert_to_points(as_keypoints(s, d)), sql("SELECT img, y * 8 + x AS ord, x::FLOAT AS x, y::FLOAT AS y FROM img8"))
 register("convert_to_points_masked", lambda s, d: features.convert_to_points_masked(as_keypoints(s, d), img8(s, d).where("v > 127").select("img", (F.col("y") * 8 + F.col("x")).alias("ord"))), sql("SELECT img, y * 8 + x AS ord, x::FLOAT AS x, y::FLOAT AS y FROM img8 WHERE v > 127"))
-register("draw_keypoints", lambda s, d: features.draw_keypoints(img8(s, d), S8, img8(s, d).select("img").distinct().select("img", F.lit(4).alias("y"), F.lit(4).alias("x"), F.lit(5.0).alias("size"), F.lit(0.0).alias("angle")), [255.0]))
-register("draw_matches", lambda s, d: features.draw_matches(pair(s, d)[0], S8, pair(s, d)[1], S8, pair(s, d)[0].select("img").distinct().select("img", F.lit(1).alias("x1"), F.lit(1).alias("y1"), F.lit(6).alias("x2"), F.lit(5).alias("y2")), [255.0]))
 
-# ---- matching: every row whose id is divisible by 100 asks all (other) rows
+
+def marks(s: SparkSession, d: str) -> DataFrame:
+    """A keypoint at each image's largest pixel, its size and angle from the smallest one's place."""
+    at = reduce.min_max_loc(img8(s, d))
+    return at.select("img", F.col("max_y").alias("y"), F.col("max_x").alias("x"), (F.col("min_y") + 1).cast("double").alias("size"), (F.col("min_x") * 45.0).alias("angle"))
+
+
+LOC = "loc AS (SELECT img, arg_min(x, (v * 64 + y * 8 + x)) AS lx, arg_min(y, (v * 64 + y * 8 + x)) AS ly, arg_max(x, (v * 64 - y * 8 - x)) AS hx, arg_max(y, (v * 64 - y * 8 - x)) AS hy FROM {} GROUP BY img)"
+register(
+    "draw_keypoints",
+    lambda s, d: features.draw_keypoints(img8(s, d), S8, marks(s, d), [255.0]),
+    sql(
+        "SELECT p.img, p.y, p.x, p.c, CASE WHEN d.img IS NULL THEN p.v ELSE 255.0 END AS v FROM img8 p LEFT JOIN (SELECT DISTINCT img, y, x FROM dots) d ON d.img = p.img AND d.y = p.y AND d.x = p.x",
+        LOC.format("img8"),
+        "k AS (SELECT img, hy AS y, hx AS x, lx * 45.0::DOUBLE AS angle, greatest(1, floor((ly + 1) / 2.0 + 0.5)::INT) AS r FROM loc)",
+        "dots AS (SELECT img, round_even(y + r * sin(radians(a::DOUBLE)), 0)::INT AS y, round_even(x + r * cos(radians(a::DOUBLE)), 0)::INT AS x FROM k, (SELECT unnest(range(360)) AS a) UNION ALL SELECT img, round_even(y + s * sin(radians(angle)), 0)::INT, round_even(x + s * cos(radians(angle)), 0)::INT FROM k JOIN (SELECT unnest(range(9)) AS s) ON s <= r)",
+    ),
+)
+
+
+def match_lines(s: SparkSession, d: str) -> DataFrame:
+    """From the smallest pixel of an image to the largest of its partner."""
+    a, b = (reduce.min_max_loc(p) for p in pair(s, d))
+    return a.select("img", F.col("min_x").alias("x1"), F.col("min_y").alias("y1")).join(b.select("img", F.col("max_x").alias("x2"), F.col("max_y").alias("y2")), "img")
+
+
+register(
+    "draw_matches",
+    lambda s, d: features.draw_matches(pair(s, d)[0], S8, pair(s, d)[1], S8, match_lines(s, d), [255.0]),
+    sql(
+        "SELECT p.img, p.y, p.x, p.c, CASE WHEN d.img IS NULL THEN p.v ELSE 255.0 END AS v FROM both_ p LEFT JOIN (SELECT DISTINCT img, y, x FROM dots) d ON d.img = p.img AND d.y = p.y AND d.x = p.x",
+        "both_ AS (SELECT img, y, x, c, v FROM a UNION ALL SELECT img, y, x + 8, c, v FROM b)",
+        LOC.format("a").replace("loc AS", "la AS"),
+        LOC.format("b").replace("loc AS", "lb AS"),
+        "line AS (SELECT img, la.lx AS x1, la.ly AS y1, lb.hx + 8 AS x2, lb.hy AS y2 FROM la JOIN lb USING (img))",
+        "dots AS (SELECT img, round_even(y1 + (y2 - y1) * (s / n::DOUBLE), 0)::INT AS y, round_even(x1 + (x2 - x1) * (s / n::DOUBLE), 0)::INT AS x FROM (SELECT *, greatest(1, abs(x2 - x1), abs(y2 - y1)) AS n FROM line) JOIN (SELECT unnest(range(17)) AS s) ON s <= n)",
+    ),
+)
+
+# ---- matching: every row whose id is divisible by 100 asks all rows but itself
 
 
 def descriptors(s: SparkSession, d: str, binary: bool = False) -> DataFrame:
@@ -642,28 +813,24 @@ def asking(df: DataFrame) -> DataFrame:
     return df.where(F.col("idx") % 100 == 0)
 
 
-def others(df: DataFrame) -> DataFrame:
-    return df.where(F.col("idx") % 100 != 0)
-
-
 DIST = "dist AS (SELECT q.vec_id AS query_idx, t.vec_id AS train_idx, list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0 {})"
-NOT_ASKING = "AND t.vec_id % 100 <> 0"
+APART = "AND t.vec_id <> q.vec_id"
 register("knn_match", lambda s, d: r6(matching.knn_match(asking(descriptors(s, d)), descriptors(s, d), 3), "distance"), f"WITH {DIST.format('')} SELECT query_idx, row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx)::INT AS rank, train_idx, {s6('distance')} AS distance FROM dist QUALIFY rank <= 3")
-register("match_l2", lambda s, d: r6(matching.match_descriptors(asking(descriptors(s, d)), others(descriptors(s, d))), "distance"), f"WITH {DIST.format(NOT_ASKING)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM dist QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) = 1")
+register("match_l2", lambda s, d: r6(matching.match_descriptors(asking(descriptors(s, d)), descriptors(s, d), apart=True), "distance"), f"WITH {DIST.format(APART)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM dist QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) = 1")
 register(
     "match_cross_check",
-    lambda s, d: r6(matching.match_descriptors(asking(descriptors(s, d)), others(descriptors(s, d)), cross_check=True), "distance"),
-    f"WITH {DIST.format(NOT_ASKING)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) AS r1, row_number() OVER (PARTITION BY train_idx ORDER BY distance, query_idx) AS r2 FROM dist) WHERE r1 = 1 AND r2 = 1",
+    lambda s, d: r6(matching.match_descriptors(asking(descriptors(s, d)), descriptors(s, d), cross_check=True, apart=True), "distance"),
+    f"WITH {DIST.format(APART)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) AS r1, row_number() OVER (PARTITION BY train_idx ORDER BY distance, query_idx) AS r2 FROM dist) WHERE r1 = 1 AND r2 = 1",
 )
 register(
     "match_hamming",
-    lambda s, d: matching.match_descriptors(asking(descriptors(s, d, True)), others(descriptors(s, d, True)), "hamming"),
-    "WITH dist AS (SELECT q.vec_id AS query_idx, t.vec_id AS train_idx, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (t.embedding[i] > 0) THEN 1 ELSE 0 END))::DOUBLE AS distance FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0 AND t.vec_id % 100 <> 0) SELECT query_idx, train_idx, distance FROM dist QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) = 1",
+    lambda s, d: matching.match_descriptors(asking(descriptors(s, d, True)), descriptors(s, d, True), "hamming", apart=True),
+    "WITH dist AS (SELECT q.vec_id AS query_idx, t.vec_id AS train_idx, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (t.embedding[i] > 0) THEN 1 ELSE 0 END))::DOUBLE AS distance FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0 AND t.vec_id <> q.vec_id) SELECT query_idx, train_idx, distance FROM dist QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, train_idx) = 1",
 )
 register(
     "ratio_test",
-    lambda s, d: r6(matching.filter_matches(matching.knn_match(asking(descriptors(s, d)), others(descriptors(s, d)), 2), 0.95), "distance"),
-    f"WITH {DIST.format(NOT_ASKING)}, k AS (SELECT *, row_number() OVER w AS rank, lead(distance) OVER w AS nxt FROM dist WINDOW w AS (PARTITION BY query_idx ORDER BY distance, train_idx)) SELECT query_idx, train_idx, {s6('distance')} AS distance FROM k WHERE rank = 1 AND distance < 0.95 * nxt",
+    lambda s, d: r6(matching.filter_matches(matching.knn_match(asking(descriptors(s, d)), descriptors(s, d), 2, apart=True), 0.95), "distance"),
+    f"WITH {DIST.format(APART)}, k AS (SELECT *, row_number() OVER w AS rank, lead(distance) OVER w AS nxt FROM dist WINDOW w AS (PARTITION BY query_idx ORDER BY distance, train_idx)) SELECT query_idx, train_idx, {s6('distance')} AS distance FROM k WHERE rank = 1 AND distance < 0.95 * nxt",
 )
 
 
@@ -694,43 +861,80 @@ register(
 register("kmeans", lambda s, d: r6(cluster.kmeans(cluster_points(s, d), 4, Criteria(5, 1e-4))[0].select("id", "label", "d2"), "d2"))
 
 
-def correspondences(s: SparkSession, d: str) -> DataFrame:
-    """Points of each part of lineitem under one known map, with an outlier in each ten."""
-    p = line_points(s, d).select((F.col("l_orderkey") % 25).alias("group"), F.col("x").alias("ax"), F.col("y").alias("ay"), "l_orderkey", "l_linenumber")
+def groups(key: str = "l_orderkey") -> Column:
+    """Parts of lineitem: as many as the data has thousands of orders."""
+    return F.floor(F.col(key) / 1000).cast("long").alias("group")
+
+
+OUTLIER = "(l_orderkey + 3 * l_linenumber) % 10 = 0"
+
+
+def correspondences(s: SparkSession, d: str, outliers: bool = False) -> DataFrame:
+    """Points of each part of lineitem under one known map; with an outlier in each ten, if asked for."""
+    p = line_points(s, d).select(groups(), F.col("x").alias("ax"), F.col("y").alias("ay"), "l_orderkey", "l_linenumber")
     w = 0.001 * F.col("ax") + 0.002 * F.col("ay") + 1
-    return p.select("group", "ax", "ay", ((1.1 * F.col("ax") + 0.2 * F.col("ay") + 3) / w).alias("bx"), ((-0.1 * F.col("ax") + 0.9 * F.col("ay") + 5) / w).alias("by"))
+    off = F.when(F.expr(OUTLIER), 40.0 + F.col("l_orderkey") % 17).otherwise(0.0) if outliers else F.lit(0.0)
+    return p.select("group", "l_orderkey", "l_linenumber", "ax", "ay", ((1.1 * F.col("ax") + 0.2 * F.col("ay") + 3) / w + off).alias("bx"), ((-0.1 * F.col("ax") + 0.9 * F.col("ay") + 5) / w).alias("by"))
 
 
-def model_rows(df: DataFrame) -> DataFrame:
-    return df.select("group", "n_points", F.posexplode("model").alias("cell", "value")).withColumn("value", F.round("value", 4) + 0.0)
+def model_rows(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.select("group", "n_points", F.posexplode("model").alias("cell", "value")).withColumn("value", F.round("value", places) + 0.0)
 
 
-register(
-    "homography_dlt",
-    lambda s, d: model_rows(estimation.find_homography(correspondences(s, d))),
-    "SELECT g AS \"group\", n AS n_points, i::INT AS cell, ([1.1, 0.2, 3.0, -0.1, 0.9, 5.0, 0.001, 0.002, 1.0]::DOUBLE[])[i + 1] AS value FROM (SELECT l_orderkey % 25 AS g, count(*) AS n FROM lineitem GROUP BY ALL), (SELECT unnest(range(9)) AS i)",
-)
-register("homography_ransac", lambda s, d: model_rows(estimation.find_homography(correspondences(s, d), "ransac", 1.0, 50)))
-register("fundamental", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d))))
-register("fundamental_ransac", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d), "ransac", 1.0, 0.99, 50)))
+def model_sql(model: list[float], places: int = 4) -> str:
+    return f"SELECT g AS \"group\", n AS n_points, i::INT AS cell, round(({[float(v) for v in model]}::DOUBLE[])[i + 1], {places}) + 0.0 AS value FROM (SELECT (l_orderkey // 1000)::BIGINT AS g, count(*) AS n FROM lineitem GROUP BY ALL), (SELECT unnest(range({len(model)})) AS i)"
+
+
+KNOWN_MAP = [1.1, 0.2, 3.0, -0.1, 0.9, 5.0, 0.001, 0.002, 1.0]
+register("homography_dlt", lambda s, d: model_rows(estimation.find_homography(correspondences(s, d))), model_sql(KNOWN_MAP))
+register("homography_ransac", lambda s, d: model_rows(estimation.find_homography(correspondences(s, d, True), "ransac", 1.0, 200)), model_sql(KNOWN_MAP))
+
+
+def inlier_rows(s: SparkSession, d: str) -> DataFrame:
+    points = correspondences(s, d, True)
+    return estimation.inlier_mask(points, estimation.find_homography(points, "ransac", 1.0, 200), "homography", 1.0).select("l_orderkey", "l_linenumber", "inlier")
+
+
+register("homography_inliers", inlier_rows, f"SELECT l_orderkey, l_linenumber, NOT ({OUTLIER}) AS inlier FROM lineitem")
 VIEW = [[800.0, 0.0, 320.0], [0.0, 800.0, 240.0], [0.0, 0.0, 1.0]]
+POSE = [0.1, -0.2, 0.05, 0.1, -0.1, 6.0]
 
 
-def scene(s: SparkSession, d: str) -> DataFrame:
+def scene(s: SparkSession, d: str, outliers: bool = False) -> DataFrame:
     """Points in space from lineitem, and where a turned and moved camera sees them."""
-    p = read(s, d, "lineitem").select((F.col("l_orderkey") % 25).alias("group"), (F.col("l_quantity") / 25.0 - 1).cast("double").alias("x"), (F.col("l_discount") * 10 - 0.5).cast("double").alias("y"), (F.col("l_extendedprice") / 50000.0 - 1).cast("double").alias("z"))
-    m = estimation.rodrigues_matrix(F.lit(0.1), F.lit(-0.2), F.lit(0.05))
-    x, y, z = (m[3 * k] * F.col("x") + m[3 * k + 1] * F.col("y") + m[3 * k + 2] * F.col("z") + t for k, t in enumerate((0.1, -0.1, 6.0)))
-    return p.select("*", (x / z * 800 + 320).alias("u"), (y / z * 800 + 240).alias("v"))
+    p = read(s, d, "lineitem").select(groups(), "l_orderkey", "l_linenumber", (F.col("l_quantity") / 25.0 - 1).cast("double").alias("x"), (F.col("l_discount") * 10 - 0.5).cast("double").alias("y"), (F.col("l_extendedprice") / 50000.0 - 1).cast("double").alias("z"))
+    m = estimation.rodrigues_matrix(*[F.lit(v) for v in POSE[:3]])
+    x, y, z = (m[3 * k] * F.col("x") + m[3 * k + 1] * F.col("y") + m[3 * k + 2] * F.col("z") + t for k, t in enumerate(POSE[3:]))
+    off = F.when(F.expr(OUTLIER), 60.0 + F.col("l_orderkey") % 17).otherwise(0.0) if outliers else F.lit(0.0)
+    return p.select("*", (x / z * 800 + 320 + off).alias("u"), (y / z * 800 + 240 + off).alias("v"))
+
+
+def stereo(s: SparkSession, d: str, outliers: bool = False) -> DataFrame:
+    """The same points seen straight from the front, and by that camera."""
+    seen = scene(s, d, outliers)
+    return seen.select("group", (F.col("x") / (F.col("z") + 6) * 800 + 320).alias("ax"), (F.col("y") / (F.col("z") + 6) * 800 + 240).alias("ay"), F.col("u").alias("bx"), F.col("v").alias("by"))
+
+
+def known_fundamental() -> list[float]:
+    """From the two poses of ``stereo``: epipolar lines of the second view for points of the first."""
+    k, r = np.linalg.inv(np.array(VIEW)), estimation.rotation(np.array(POSE[:3]))
+    t = np.array(POSE[3:]) - r @ np.array([0.0, 0.0, 6.0])
+    f = k.T @ np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r @ k
+    return (f / f[2, 2]).ravel().tolist()
 
 
-def stereo(s: SparkSession, d: str) -> DataFrame:
-    straight = scene(s, d)
-    return straight.select("group", (F.col("x") / (F.col("z") + 6) * 800 + 320).alias("ax"), (F.col("y") / (F.col("z") + 6) * 800 + 240).alias("ay"), F.col("u").alias("bx"), F.col("v").alias("by"))
+register("fundamental", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d)), 6), model_sql(known_fundamental(), 6))
+register("fundamental_ransac", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d, True), "ransac", 0.5, 0.9999, 400), 6), model_sql(known_fundamental(), 6))
+register("solve_pnp", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d), VIEW)), model_sql(POSE))
+register("solve_pnp_ransac", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d, True), VIEW, "ransac", 100)), model_sql(POSE))
 
 
-register("solve_pnp", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d), VIEW)))
-register("solve_pnp_ransac", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d), VIEW, "ransac", 20)))
+def guessed(s: SparkSession, d: str) -> DataFrame:
+    points = scene(s, d)
+    return estimation.solve_pnp(points, VIEW, guess=points.select("group").distinct().withColumn("model", F.array(*[F.lit(v + 0.05) for v in POSE])))
+
+
+register("solve_pnp_guess", lambda s, d: model_rows(guessed(s, d)), model_sql(POSE))
 
 
 def _line(p, df):
@@ -739,8 +943,8 @@ def _line(p, df):
 
 register(
     "lm_fit",
-    lambda s, d: estimation.lm_fit(read(s, d, "lineitem").select((F.col("l_orderkey") % 25).alias("group"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y")), [0.0, 0.0], _line).select("group", F.round(F.col("model")[0], 3).alias("intercept"), F.round(F.col("model")[1], 3).alias("slope")),
-    "SELECT l_orderkey % 25 AS \"group\", round(regr_intercept(l_extendedprice / 1000, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice / 1000, l_quantity), 3) AS slope FROM lineitem GROUP BY ALL",
+    lambda s, d: estimation.lm_fit(read(s, d, "lineitem").select(groups(), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y")), [0.0, 0.0], _line).select("group", F.round(F.col("model")[0], 3).alias("intercept"), F.round(F.col("model")[1], 3).alias("slope")),
+    "SELECT (l_orderkey // 1000)::BIGINT AS \"group\", round(regr_intercept(l_extendedprice / 1000, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice / 1000, l_quantity), 3) AS slope FROM lineitem GROUP BY ALL",
 )
 register(
     "rodrigues",
@@ -748,36 +952,87 @@ register(
     f"""WITH k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), t AS (SELECT *, sqrt(a * a + b * b + c * c) AS t FROM k), u AS (SELECT vec_id, [a / t, b / t, c / t] AS u, [0.0, -c / t, b / t, c / t, 0.0, -a / t, -b / t, a / t, 0.0] AS w, cos(t) AS co, sin(t) AS si FROM t)
     SELECT vec_id, i::INT AS cell, {s6('CASE WHEN i % 4 = 0 THEN co ELSE 0.0 END + (1 - co) * u[i // 3 + 1] * u[i % 3 + 1] + si * w[i + 1]')} AS value FROM u, (SELECT unnest(range(9)) AS i)""",
 )
-register("randu", lambda s, d: random.randu(nation_images(s, d), S342, [0.0, 5.0], [1.0, 9.0], 3))
-register("randn", lambda s, d: random.randn(nation_images(s, d), S342, [0.0, 5.0], [1.0, 2.0], 3))
-register("rand_shuffle", lambda s, d: random.rand_shuffle(img8(s, d), 5).groupBy("img").agg(F.sum("v").alias("sum"), F.count("*").alias("n")), sql("SELECT img, sum(v) AS sum, count(*) AS n FROM img8 GROUP BY img"))
+register(
+    "rodrigues_vector",
+    lambda s, d: r6(coefficients(s, d).select("vec_id", F.posexplode(F.array(*estimation.rodrigues_vector(estimation.rodrigues_matrix(F.col("k0"), F.col("k1"), F.col("k2"))))).alias("n", "value")), "value"),
+    f"SELECT vec_id, n::INT AS n, {s6('embedding[n + 1]::DOUBLE')} AS value FROM embeddings, (SELECT unnest(range(3)) AS n)",
+)
+PERIOD = random.PERIOD
 
 
-def tracked(s: SparkSession, d: str) -> DataFrame:
-    (a, shape), (b, _) = textured(s, d, size=40), textured(s, d, size=40, shift=1)
-    smooth = lambda p: neighbourhood.gaussian_blur(p, shape, (7, 7), 2.0)
-    spots = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in (12.0, 20.0, 28.0) for y in (12.0, 20.0, 28.0))]
-    points = a.select("img").distinct().withColumn("_p", F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in spots]))).select("img", "_p.*")
-    return flow.calc_optical_flow_pyramid_lk(smooth(a), smooth(b), shape, points, (9, 9), 0, Criteria(5, 0.01))
+def stream_sql(seed: int, draws: int) -> str:
+    """w(img, k, lo, hi): the words of each image's k-th state, by powers of the multiplier."""
+    powers = ", ".join(f"({k}, {pow(random.MULTIPLIER, k, PERIOD)}::UHUGEINT)" for k in range(1, draws + 1))
+    return f"w AS MATERIALIZED (SELECT img, k, (st % 4294967296)::BIGINT AS lo, (st // 4294967296)::BIGINT AS hi FROM (SELECT vec_id::BIGINT AS img, p.k, (({seed}::UHUGEINT + vec_id::UHUGEINT * {random.STREAM}::UHUGEINT) % 18446744073709551616::UHUGEINT) % {PERIOD}::UHUGEINT * p.a % {PERIOD}::UHUGEINT AS st FROM embeddings, (VALUES {powers}) p(k, a)))"
 
 
-register("optical_flow_lk", lambda s, d: tracked(s, d).select("img", "id", "status", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")))
-register("optical_flow_pyramid", lambda s, d: flow.build_optical_flow_pyramid(textured(s, d, size=40)[0], Shape(40, 40), (5, 5), 2)[1]["dx"])
-register("structuring_element", lambda s, d: small_table(s, [(k, dy, dx) for k in ("rect", "cross", "ellipse") for dy, dx in T.structuring_element(k, 5, 7)], "kind string, dy int, dx int"))
+AT24 = "(i // 8)::INT AS y, (i // 2 % 4)::INT AS x, (i % 2)::INT AS c"
+register(
+    "randu",
+    lambda s, d: r6(random.randu(many_images(s, d), S342, [0.0, 5.0], [1.0, 9.0], 3)),
+    f"""WITH {stream_sql(3, 24)} SELECT img, {AT24}, {s6('(CASE WHEN lo >= 2147483648 THEN lo - 4294967296 ELSE lo END * 4294967296.0::DOUBLE + hi) * 5.421010862427522e-20 * CASE i % 2 WHEN 0 THEN 1.0 ELSE 4.0 END + CASE i % 2 WHEN 0 THEN 0.5 ELSE 7.0 END')} AS v FROM (SELECT *, k - 1 AS i FROM w)""",
+)
+register(
+    "randu_u8",
+    lambda s, d: random.randu(many_images(s, d), S342, [0, 0], [256, 16], 3, "u8"),
+    f"""WITH {stream_sql(3, 6)} SELECT img, {AT24}, (((lo >> (8 * j)) & 255) & CASE i % 2 WHEN 0 THEN 255 ELSE 15 END)::DOUBLE AS v FROM (SELECT *, 4 * (k - 1) + j AS i FROM w, (SELECT unnest(range(4)) AS j))""",
+)
+register(
+    "randu_i32",
+    lambda s, d: random.randu(many_images(s, d), S342, [-5, 100], [5, 1100], 3, "i32"),
+    f"""WITH {stream_sql(3, 24)} SELECT img, {AT24}, (lo % CASE i % 2 WHEN 0 THEN 10 ELSE 1000 END + CASE i % 2 WHEN 0 THEN -5 ELSE 100 END)::DOUBLE AS v FROM (SELECT *, k - 1 AS i FROM w)""",
+)
+register("randn", lambda s, d: random.randn(many_images(s, d), S342, [0.0, 5.0], [1.0, 2.0], 3))
+register(
+    "rand_shuffle",
+    lambda s, d: random.rand_shuffle(img8(s, d), 5),
+    sql(
+        "SELECT f.img, (n // 8)::INT AS y, (n % 8)::INT AS x, 0 AS c, p.v FROM back f JOIN img8 p ON p.img = f.img AND p.y * 8 + p.x = f.p WHERE f.k = 0",
+        stream_sql(5, 64),
+        "back AS (SELECT img, n, 64 AS k, n AS p FROM (SELECT DISTINCT img FROM img8), (SELECT unnest(range(64)) AS n) UNION ALL SELECT b.img, b.n, b.k - 1, CASE b.p WHEN b.k - 1 THEN w.lo % 64 WHEN w.lo % 64 THEN b.k - 1 ELSE b.p END FROM back b JOIN w ON w.img = b.img AND w.k = b.k)",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
+
+
+def tracked(s: SparkSession, d: str, kept: bool = False) -> DataFrame:
+    """Points of each mosaic, found again in the mosaic moved by one pixel; ``kept``: with pyramids made before."""
+    px, shape = mosaic(s, d)
+    moved = px.withColumn("x", (F.col("x") + 79) % 80)
+    a, b = (neighbourhood.gaussian_blur(p, shape, (9, 9), 2.5) for p in (px, moved))
+    spots = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in (20.0, 40.0, 60.0) for y in (20.0, 40.0, 60.0))]
+    points = px.select("img").distinct().withColumn("_p", F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in spots]))).select("img", "_p.*")
+    if kept:
+        before, after = (flow.build_optical_flow_pyramid(p, shape, (15, 15), 1) for p in (a, b))
+        return flow.track_with_pyramids(before, after, points, (15, 15), Criteria(6, 0.01))
+    return flow.calc_optical_flow_pyramid_lk(a, b, shape, points, (15, 15), 1, Criteria(6, 0.01))
+
+
+for _name, _kept in (("optical_flow_lk", False), ("optical_flow_with_pyramids", True)):
+    register(_name, lambda s, d, k=_kept: tracked(s, d, k).select("img", "id", "status", F.round("x", 1).alias("x"), F.round("y", 1).alias("y")))
+register(
+    "optical_flow_pyramid",
+    lambda s, d: r6(flow.build_optical_flow_pyramid(img8(s, d), S8, (3, 3), 1)[1]["dx"]),
+    sql(f"SELECT img, y, x, c, {s6('v')} AS v FROM dx", *linear_ctes("half", "img8", T.half_taps(8), T.half_taps(8), ROUND), *linear_ctes("dx", "half", kt([-1, 0, 1], Border.CONSTANT, 4), kt([3, 10, 3], Border.CONSTANT, 4))),
+)
+register("structuring_element", lambda s, d: small_table(s, [(k, dy, dx) for k in ("rect", "cross", "ellipse") for dy, dx in T.structuring_element(k, 5, 7)], "kind string, dy int, dx int"), """SELECT kind, dy::INT AS dy, dx::INT AS dx FROM (SELECT unnest(['rect', 'cross', 'ellipse']) AS kind), (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)
+WHERE CASE kind WHEN 'rect' THEN true WHEN 'cross' THEN dx = 0 OR dy = 0 ELSE abs(dx) <= floor(3 * sqrt((4 - dy * dy) / 4.0)) END""")
+register("sobel_kernels", lambda s, d: small_table(s, [(n, o, k, w) for n in (3, 5) for o in (0, 1, 2) for k, w in enumerate(T.sobel_kernels(n, o, 0)[0])], "size int, n int, k int, w double"), """SELECT size, n, k::INT AS k, w::DOUBLE AS w FROM (VALUES (3, 0, [1, 2, 1]), (3, 1, [-1, 0, 1]), (3, 2, [1, -2, 1]), (5, 0, [1, 4, 6, 4, 1]), (5, 1, [-1, -2, 0, 2, 1]), (5, 2, [1, 0, -2, 0, 1])) t(size, n, l), unnest(l) WITH ORDINALITY AS u(w, j), LATERAL (SELECT j - 1 AS k)""")
+register("border_interpolate", lambda s, d: small_table(s, [(b.name.lower(), p, T.border_index(p, 5, b)) for b in (Border.CONSTANT, Border.REPLICATE, Border.REFLECT, Border.WRAP, Border.REFLECT_101) for p in range(-4, 9)], "border string, p int, at int"), """SELECT border, p::INT AS p, (CASE WHEN p BETWEEN 0 AND 4 THEN p WHEN border = 'constant' THEN -1 WHEN border = 'replicate' THEN CASE WHEN p < 0 THEN 0 ELSE 4 END WHEN border = 'wrap' THEN (p + 5) % 5
+WHEN border = 'reflect' THEN CASE WHEN p < 0 THEN -p - 1 ELSE 9 - p END ELSE CASE WHEN p < 0 THEN -p ELSE 8 - p END END)::INT AS at FROM (SELECT unnest(['constant', 'replicate', 'reflect', 'wrap', 'reflect_101']) AS border), (SELECT unnest(range(-4, 9)) AS p)""")
 register("gaussian_kernel", lambda s, d: r6(small_table(s, list(enumerate(T.gaussian_kernel(7, 1.5))), "i int, v double")), f"SELECT i::INT AS i, {s6('exp(-(i - 3) * (i - 3) / 4.5) / sum(exp(-(i - 3) * (i - 3) / 4.5)) OVER ()')} AS v FROM (SELECT unnest(range(7)) AS i)")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Mutual nearest neighbours of the asking descriptors that also pass the ratio test."""
-    q, t = asking(descriptors(spark, d)), others(descriptors(spark, d))
-    mutual = matching.match_descriptors(q, t, cross_check=True)
-    return mutual.join(matching.filter_matches(matching.knn_match(q, t, 2), 0.999).select("query_idx", "train_idx"), ["query_idx", "train_idx"], "left_semi")
+    q, t = asking(descriptors(spark, d)), descriptors(spark, d)
+    two = durable(matching.knn_match(q, t, 2, apart=True))
+    return matching.mutual(matching.filter_matches(two, 0.999), q, t, apart=True)
 
 
 register(
     "flagship",
     lambda s, d: r6(flagship(s, d), "distance"),
-    f"WITH {DIST.format(NOT_ASKING)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM (SELECT *, row_number() OVER w AS r1, lead(distance) OVER w AS nxt, row_number() OVER (PARTITION BY train_idx ORDER BY distance, query_idx) AS r2 FROM dist WINDOW w AS (PARTITION BY query_idx ORDER BY distance, train_idx)) WHERE r1 = 1 AND r2 = 1 AND distance < 0.999 * nxt",
+    f"WITH {DIST.format(APART)} SELECT query_idx, train_idx, {s6('distance')} AS distance FROM (SELECT *, row_number() OVER w AS r1, lead(distance) OVER w AS nxt, row_number() OVER (PARTITION BY train_idx ORDER BY distance, query_idx) AS r2 FROM dist WINDOW w AS (PARTITION BY query_idx ORDER BY distance, train_idx)) WHERE r1 = 1 AND r2 = 1 AND distance < 0.999 * nxt",
 )
 
 
@@ -806,14 +1061,13 @@ def rects(s: SparkSession, d: str) -> DataFrame:
 
 
 register("rect_helpers", rects, 'SELECT p_partkey, p_size * (p_size + 3) AS area, p_partkey + p_size AS "right", p_partkey * 2 + p_size + 3 AS bottom FROM part')
+register("rotated_rect", lambda s, d: read(s, d, "part").select("p_partkey", vectors.rotated_rect(F.col("p_partkey") * 1.0, F.col("p_size") * 2.0, F.col("p_size") * 1.0, F.col("p_size") + 1.0, (F.col("p_partkey") % 360) * 1.0).alias("r")).select("p_partkey", F.col("r.center.x").alias("cx"), F.col("r.center.y").alias("cy"), vectors.area(F.col("r.size")).alias("area"), F.col("r.angle").alias("angle")), "SELECT p_partkey, p_partkey::DOUBLE AS cx, p_size * 2.0::DOUBLE AS cy, (p_size * (p_size + 1))::DOUBLE AS area, (p_partkey % 360)::DOUBLE AS angle FROM part")
 register("frames", lambda s, d: frames.frames(read(s, d, "events")), "SELECT time_bucket(INTERVAL 1 day, ts) AS frame, event_type, hour(ts)::INT AS slot, count(*)::DOUBLE AS v FROM events GROUP BY ALL")
 
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    stream = frames.frame_totals(frames.event_stream(s, f"{d}/events.parquet*"))
-    return frames.run_to_table(stream, "frame_totals_" + uuid.uuid4().hex)
+    stream = frames.frame_totals(frames.event_stream(s, f"{d}/events.parquet*"), late="1 hour")
+    return frames.run_to_table(stream, shared_folder(s, "frame_totals"))
 
 
-register("stream_frame_totals", streamed, "SELECT time_bucket(INTERVAL 1 hour, ts) AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+register("stream_frame_totals", streamed, "SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE frame <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 hour")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import cluster, elementwise, estimation, features, geometry, histogram, linalg, neighbourhood, random, reduce, structural
+from rasterloom.operators import cluster, elementwise, estimation, features, geometry, histogram, linalg, matching, neighbourhood, random, reduce, structural
 from rasterloom.plans import taps as T
 from rasterloom.sources import pixels
 from rasterloom.types import Border, Criteria, MatrixError, Shape
@@ -189,16 +189,110 @@ def test_warp_by_identity(spark):
     assert np.allclose(array(out, (5, 5)), m)
 
 
-def test_random_is_reproducible(spark):
+# Published streams of the generator for seeds (fixed values).
+STREAMS = {
+    42: ([164, 63, 102, 186, 144, 232, 246, 91], [0, 8, 9, 1, 4, 0, 3, 2], [5, 3, 7, 1, 4, 2, 8, 9, 6, 0], [2.4166553e-08, -0.6258468, 0.58832407, -0.7319965, -0.19489458, -1.2311678, 0.10487158, 0.1139631]),
+    12345: ([58, 237, 174, 40, 7, 225, 216, 205], [4, 3, 3, 1, 9, 4, 2, 5], [4, 2, 8, 3, 5, 7, 1, 9, 6, 0], [8.2702945e-06, 0.46152943, -0.23233406, 0.9038273, 0.39947677, 0.59975564, 1.2827576, -0.19060737]),
+}
+
+
+@pytest.mark.parametrize("seed", sorted(STREAMS))
+def test_random_streams(spark, seed):
+    bytes_, digits, order, normal = STREAMS[seed]
+    one, row = spark.range(1).withColumnRenamed("id", "img"), lambda df: [r["v"] for r in df.orderBy("x").collect()]
+    assert row(random.randu(one, Shape(1, 8), [0], [256], seed, "u8")) == bytes_
+    assert row(random.randu(one, Shape(1, 8), [0], [10], seed, "u8")) == digits
+    assert np.allclose(row(random.randn(one, Shape(1, 8), [0.0], [1.0], seed, "f32")), normal, rtol=1e-6, atol=1e-14)
+    assert row(random.rand_shuffle(matrix(spark, [list(range(10))]), seed)) == order
+
+
+def test_streams_can_be_entered_anywhere(monkeypatch, spark):
+    for depth, low, high in (("u8", [0, 0, 0], [256, 16, 2]), ("i32", [0, -7, 5], [10, 7, 2000]), ("f64", [0.0, 1.0, -1.0], [1.0, 3.0, 1.0])):
+        whole = random._uniform(random.Rng(9), 0, 4001, low, high, depth, 3, 4001)
+        parts = [random._uniform(random.Rng(9), k, min(600, 4001 - k), low, high, depth, 3, 4001) for k in range(0, 4001, 600)]
+        assert np.array_equal(whole, np.concatenate(parts))
+    a, b = random.Rng(5).jump(1000), random.Rng(5)
+    for _ in range(1000):
+        b.step()
+    assert a.state == b.state
+    z = random.normals(random.Rng(3), 20000)
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+
+
+def test_other_generator(spark):
     images = spark.range(2).withColumnRenamed("id", "img")
-    a = random.randu(images, Shape(2, 3), [1.0], [2.0], 9).orderBy("img", "y", "x").collect()
-    assert a == random.randu(images, Shape(2, 3), [1.0], [2.0], 9).orderBy("img", "y", "x").collect()
-    assert all(1 <= r["v"] < 2 for r in a)
+    a = random.randu(images, Shape(2, 3), [1.0], [2.0], 9, generator="pcg").orderBy("img", "y", "x").collect()
+    assert a == random.randu(images, Shape(2, 3), [1.0], [2.0], 9, generator="pcg").orderBy("img", "y", "x").collect() and all(1 <= r["v"] < 2 for r in a)
+    with pytest.raises(MatrixError):
+        random.randn(images, Shape(2, 3), [0.0], [1.0], generator="none")
+
+
+def test_round_patch_is_mirrored_by_its_diagonal():
+    for half in (3, 7, 15, 31):
+        reach = features.umax(half)
+        disc = {(y, x) for y, w in enumerate(reach) for x in range(w + 1)}
+        assert disc == {(x, y) for y, x in disc} and reach[0] == half
+    assert features.umax(15) == [15, 15, 15, 15, 14, 14, 14, 13, 13, 12, 11, 10, 9, 8, 6, 3]
+
+
+def test_circle_is_found(spark):
+    yy, xx = np.mgrid[0:40, 0:40]
+    m = np.where(np.hypot(yy - 18, xx - 21) <= 9, 200.0, 0.0)
+    best = features.hough_circles(matrix(spark, m), Shape(40, 40), 1.0, 10.0, 100.0, 20.0, 5, 13).orderBy(F.desc("votes")).first()
+    assert abs(best["x"] - 21) <= 1 and abs(best["y"] - 18) <= 1 and abs(best["radius"] - 9) <= 1
+
+
+def test_segment_is_found(spark):
+    m = np.zeros((30, 30))
+    m[5, 4:25] = 255
+    found = features.hough_lines_p(matrix(spark, m), Shape(30, 30), 1.0, math.pi / 180, 10, 10, 2).collect()
+    assert [sorted([(r["x1"], r["y1"]), (r["x2"], r["y2"])]) for r in found] == [[(4, 5), (24, 5)]]
+
+
+def test_nearest_rows_with_ties_and_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "idx long, descriptor array<double>")
+    queries = df.where("idx % 20 = 0")
+    for norm in ("l2", "hamming"):
+        for apart in (False, True):
+            got = {(r["query_idx"], r["rank"]): (r["train_idx"], round(r["distance"], 9)) for r in matching.knn_match(queries, df.repartition(5), 3, norm, apart=apart).collect()}
+            for i, q in rows[::20]:
+                dist = (lambda t: math.dist(q, t)) if norm == "l2" else (lambda t: sum((int(a) ^ int(b)).bit_count() for a, b in zip(q, t)))  # noqa: B023
+                want = sorted((round(float(dist(t)), 9), j) for j, t in rows if not (apart and i == j))[:3]
+                assert [got[i, k + 1] for k in range(3)] == [(j, d) for d, j in want]
+
+
+def test_outliers_of_every_model(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((80, 3)) * 2 - 1
+    k, p = np.array([[800.0, 0, 320], [0, 800.0, 240], [0, 0, 1]]), np.array([0.1, -0.2, 0.3, 0.1, -0.1, 6.0])
+    uv, front = estimation.project(x, p, k), estimation.project(x, np.array([0, 0, 0, 0, 0, 6.0]), k)
+    uv[:20] += 90 + rng.random((20, 2)) * 50
+    scene = spark.createDataFrame([(1, n, *map(float, (*a, *b))) for n, (a, b) in enumerate(zip(x, uv))], "group long, point int, x double, y double, z double, u double, v double")
+    pose = estimation.solve_pnp(scene, k.tolist(), "ransac", 300)
+    assert np.allclose(pose.first()["model"], p, atol=1e-6) and pose.first()["n_inliers"] == 60
+    assert {r["point"] for r in estimation.inlier_mask(scene, pose, "pose", 8.0, k.tolist()).where("not inlier").collect()} == set(range(20))
+    views = spark.createDataFrame([(1, n, *map(float, (*a, *b))) for n, (a, b) in enumerate(zip(front, uv))], "group long, point int, ax double, ay double, bx double, by double")
+    f = estimation.find_fundamental_mat(views, "ransac", 0.5, 0.9999, 2000)
+    kept = {r["point"] for r in estimation.inlier_mask(views, f, "fundamental", 0.5).where("inlier").collect()}
+    assert set(range(20, 80)) <= kept and len(kept) < 64
+    flat = scene.withColumn("z", F.lit(0.0))
+    with pytest.raises(Exception, match="plane"):
+        estimation.solve_pnp(flat, k.tolist()).collect()
+
+
+def test_least_squares_of_a_curve(spark):
+    t = np.linspace(0, 4, 60)
+    rows = [(g, float(x), float(a * np.exp(-b * x))) for g, (a, b) in enumerate(((2.0, 0.7), (5.0, 1.3))) for x in t]
+    off = lambda p, df: p[0] * np.exp(-p[1] * df["x"].to_numpy()) - df["y"].to_numpy()
+    got = {r["group"]: r["model"] for r in estimation.lm_fit(spark.createDataFrame(rows, "group long, x double, y double"), [1.0, 1.0], off).collect()}
+    assert np.allclose(got[0], [2.0, 0.7]) and np.allclose(got[1], [5.0, 1.3])
 
 
 def test_tracking_finds_the_shift(spark):
     from rasterloom.plans import queries
 
-    spots = [(x, y) for x in (12.0, 20.0, 28.0) for y in (12.0, 20.0, 28.0)]
+    spots = [(x, y) for x in (20.0, 40.0, 60.0) for y in (20.0, 40.0, 60.0)]
     got = queries.tracked(spark, "/root/testdata/sf0.001").where("img = 0 and status = 1").collect()
     assert len(got) >= 6 and all(abs(r["x"] - spots[r["id"]][0] + 1) < 0.1 and abs(r["y"] - spots[r["id"]][1]) < 0.1 for r in got)

@@ -14,7 +14,7 @@ def test_changes_between_frames(spark, tmp_path):
     path = str(tmp_path / "events")
     for k, part in enumerate((rows[:4], rows[4:])):
         spark.createDataFrame(part, frames.EVENTS).coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
-    changes = frames.run_to_table(frames.frame_changes(frames.event_stream(spark, path, 10)), "changes", "append", str(tmp_path / "ck"))
+    changes = frames.run_to_table(frames.frame_changes(frames.event_stream(spark, path, 10)), str(tmp_path / "out"))
     got = sorted((r["frame"].hour, r["n"], r["change"]) for r in changes.collect())
     assert got == [(0, 2, None), (1, 1, -1), (2, 3, 2)]
 
