@@ -80,7 +80,9 @@ def word_grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 1) | (s[:-1] != 1)
-    s, row = np.append(s[keep], 1), row[keep]
+    s, row = s[keep], row[keep]
+    if s[-1] != 1:
+        s = np.append(s, 1)
     if len(s) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     place = np.arange(len(s), dtype=np.int32)
