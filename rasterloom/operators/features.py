@@ -18,6 +18,7 @@ from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..sources.spool import durable
 from ..types import Border, Criteria, MatrixError, Shape
+from . import dense
 from .components import components
 from .neighbourhood import aligned, gaussian_blur, neighbours, resize, separable, sobel
 
@@ -29,6 +30,15 @@ def val() -> Column:
 
 def structure_tensor(px: DataFrame, shape: Shape, block: int, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
     """(img, y, x, c, ixx, ixy, iyy): block means of the products of the derivatives."""
+    if dense.whole(shape):
+        kernels = [[T.kernel_taps(n, k, border=border) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(ksize, dx, dy))] for dx, dy in ((1, 0), (0, 1))]
+        means = [T.kernel_taps(n, [1.0 / block] * block, border=border) for n in (shape.cols, shape.rows)]
+
+        def tensors(a: np.ndarray) -> dict[str, np.ndarray]:
+            gx, gy = (dense.separable(a, *k) for k in kernels)
+            return {n: dense.separable(p, *means) for n, p in (("ixx", gx * gx), ("ixy", gx * gy), ("iyy", gy * gy))}
+
+        return dense.by_image(px, shape, tensors, ("ixx", "ixy", "iyy"))
     gx = sobel(px, shape, 1, 0, ksize, border=border).withColumnRenamed("v", "_gx")
     gy = sobel(px, shape, 0, 1, ksize, border=border).withColumnRenamed("v", "_gy")
     both = gx.join(gy, list(KEYS))
@@ -83,6 +93,14 @@ def corner_harris(px: DataFrame, shape: Shape, block: int, ksize: int = 3, k: fl
 
 def pre_corner_detect(px: DataFrame, shape: Shape, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
     """Ix^2 Iyy + Iy^2 Ixx - 2 Ix Iy Ixy."""
+    if dense.whole(shape):
+        taps = [[T.kernel_taps(n, k, border=border) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(ksize, dx, dy))] for dx, dy in ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+
+        def curvature(a: np.ndarray) -> dict[str, np.ndarray]:
+            x, y, xx, yy, xy = (dense.separable(a, *k) for k in taps)
+            return {"v": x * x * yy + y * y * xx - 2 * x * y * xy}
+
+        return dense.by_image(px, shape, curvature)
     parts = [sobel(px, shape, dx, dy, ksize, border=border).withColumnRenamed("v", n) for n, dx, dy in (("_x", 1, 0), ("_y", 0, 1), ("_xx", 2, 0), ("_yy", 0, 2), ("_xy", 1, 1))]
     j = parts[0]
     for p in parts[1:]:
@@ -93,6 +111,15 @@ def pre_corner_detect(px: DataFrame, shape: Shape, ksize: int = 3, border: Borde
 
 def local_maxima(px: DataFrame, shape: Shape, strict: bool, margin: int = 1) -> DataFrame:
     """Pixels at least ``margin`` from the edge that no (strict: not even an equal) 3 x 3 neighbour tops."""
+    if dense.whole(shape):
+
+        def peaks(a: np.ndarray) -> dict[str, np.ndarray]:
+            inner = np.zeros(a.shape, bool)
+            inner[:, margin : a.shape[1] - margin, margin : a.shape[2] - margin] = True
+            top = dense.top_around(a)
+            return {"v": a, "_keep": inner & (a > top if strict else a >= top)}
+
+        return dense.by_image(px, shape, peaks)
     ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     top = neighbours(px, shape, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
     inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
@@ -152,6 +179,20 @@ def corner_sub_pix(px: DataFrame, shape: Shape, corners: DataFrame, win: int = 2
 def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
     """(img, y, x, strong): thinned edge pixels, before hysteresis."""
     low, high = min(low, high), max(low, high)
+    if dense.whole(shape):
+        taps = [[T.kernel_taps(n, k) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(aperture, dx, dy))] for dx, dy in ((1, 0), (0, 1))]
+
+        def thin(a: np.ndarray) -> dict[str, np.ndarray]:
+            gx, gy = (dense.separable(a[..., :1], *k) for k in taps)
+            m = np.hypot(gx, gy) if l2 else np.abs(gx) + np.abs(gy)
+            angle = np.degrees(np.arctan2(gy, gx)) % 180
+            line = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
+            sides = [np.maximum(*dense.shifts(m, ((dy, dx), (-dy, -dx)), Border.CONSTANT)) for dy, dx in ((0, 1), (-1, 1), (1, 0), (1, 1))]
+            inner = np.zeros(m.shape, bool)
+            inner[:, 1:-1, 1:-1] = True
+            return {"v": m, "_keep": inner & (m >= low) & (m >= np.choose(line, sides))}
+
+        return dense.by_image(px.where("c = 0"), shape, thin).select("img", "y", "x", (val() >= high).alias("strong"))
     gx = sobel(px, shape, 1, 0, aperture).withColumnRenamed("v", "_gx")
     gy = sobel(px, shape, 0, 1, aperture).withColumnRenamed("v", "_gy")
     g = gx.join(gy, list(KEYS))
@@ -315,10 +356,22 @@ RINGS = {
 }
 
 
+def _arcs(a: np.ndarray, ring: list[tuple[int, int]], arc: int, margin: int, threshold: int, nonmax: bool = False) -> dict[str, np.ndarray]:
+    d = [p - a for p in dense.shifts(a, [(dy, dx) for dx, dy in ring], Border.REPLICATE)]
+    runs = [[d[(s + k) % len(ring)] for k in range(arc)] for s in range(len(ring))]
+    v = np.maximum(np.maximum.reduce([np.minimum.reduce(r) for r in runs]), -np.minimum.reduce([np.maximum.reduce(r) for r in runs])) - 1
+    inner = np.zeros(a.shape, bool)
+    inner[:, margin : a.shape[1] - margin, margin : a.shape[2] - margin] = True
+    found = inner & (v >= threshold)
+    return {"v": v, "_keep": found & (v > dense.top_around(np.where(found, v, -np.inf))) if nonmax else found}
+
+
 def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16") -> DataFrame:
     """(img, y, x, c, v) of corners: v is the largest threshold that a contiguous arc still passes."""
     ring, arc, margin = RINGS[kind]
     n = len(ring)
+    if dense.whole(shape):
+        return dense.by_image(px, shape, lambda a: _arcs(a, ring, arc, margin, threshold))
     inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
     around = neighbours(aligned(px, shape), shape, [(dy, dx, float(k)) for k, (dx, dy) in enumerate(ring)], Border.CONSTANT).where(inner)
     lists = around.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "v"))), lambda s: s["v"]).alias("_ring"))
@@ -332,6 +385,10 @@ def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16")
 
 def fast(px: DataFrame, shape: Shape, threshold: int = 10, nonmax: bool = True, kind: str = "9_16") -> DataFrame:
     """FAST keypoints (img, y, x, response, size, angle)."""
+    if nonmax and dense.whole(shape):
+        ring, arc, margin = RINGS[kind]
+        found = dense.by_image(px, shape, lambda a: _arcs(a, ring, arc, margin, threshold, True))
+        return found.select("img", "y", "x", val().alias("response"), F.lit(7.0).alias("size"), F.lit(-1.0).alias("angle"))
     found = fast_scores(px, shape, threshold, kind)
     if nonmax:
         ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]

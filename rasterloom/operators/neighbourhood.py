@@ -1,13 +1,14 @@
-"""Neighbourhood filters: joins with broadcast tap tables, whose size follows the shape, not the number of images.
+"""Neighbourhood filters. Images of up to ``dense.WHOLE`` elements go through array kernels, one exchange each.
 
-Separable filters join once along x and once along y. ``aligned`` deals pixels out by image once, so that the
-aggregations of a chain need no further exchange.
+Larger images stay spread over tasks: there filters are joins with broadcast tap tables, whose size follows the
+shape, not the number of images; separable filters join once along x and once along y.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..plans import taps as T
 from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..types import Border, MatrixError, Shape, truncate_cast
-from . import elementwise
+from . import dense, elementwise
 
 
 def val() -> Column:
@@ -23,13 +24,9 @@ def val() -> Column:
 
 
 
-#: Elements up to which an image is one task's; larger images stay spread, and each aggregation deals them anew.
-WHOLE = 1 << 20
-
-
 def aligned(px: DataFrame, shape: Shape) -> DataFrame:
-    """Pixels of an image together, unless it is a large one."""
-    return px.repartition("img") if shape.rows * shape.cols * shape.channels <= WHOLE else px
+    """Pixels of an image together, so that a chain's aggregations need no further exchange; unless it is a large one."""
+    return px.repartition("img") if dense.whole(shape) else px
 
 
 def tap_table(px: DataFrame, taps: list[T.Tap], source: str) -> DataFrame:
@@ -45,7 +42,9 @@ def along(px: DataFrame, taps: list[T.Tap], axis: str) -> DataFrame:
 
 def separable(px: DataFrame, across: list[T.Tap], down: list[T.Tap]) -> DataFrame:
     frame = Shape(*(1 + max((t[1] for t in taps), default=0) for taps in (down, across)))
-    return along(along(aligned(px, frame), across, "x"), down, "y")
+    if dense.whole(frame) and across and down:
+        return dense.by_image(px, frame, lambda a: {"v": dense.separable(a, across, down)})
+    return along(along(px, across, "x"), down, "y")
 
 
 def finish(px: DataFrame, depth: str) -> DataFrame:
@@ -100,7 +99,11 @@ def filter_2d(px: DataFrame, shape: Shape, kernel: list[list[float]], border: Bo
     """Correlation with a dense kernel, anchored in its middle."""
     h, w = len(kernel), len(kernel[0])
     offsets = [(y - h // 2, x - w // 2, kernel[y][x]) for y in range(h) for x in range(w) if kernel[y][x]]
-    out = neighbours(aligned(px, shape), shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
+    if dense.whole(shape):
+        at = [(dy, dx) for dy, dx, _ in offsets]
+        out = dense.by_image(px, shape, lambda a: {"v": sum(p * k for p, (_, _, k) in zip(dense.shifts(a, at, border), offsets))})
+    else:
+        out = neighbours(px, shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
     return elementwise.mapped(out, lambda v: truncate_cast(v * scale + delta, depth))
 
 
@@ -116,22 +119,28 @@ def median_blur(px: DataFrame, shape: Shape, ksize: int) -> DataFrame:
     if ksize < 3 or ksize % 2 == 0:
         raise MatrixError("a median window is odd and above 1")
     r = ksize // 2
-    around = neighbours(aligned(px, shape), shape, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
+    if dense.whole(shape):
+        window = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+        return dense.by_image(px, shape, lambda a: {"v": np.median(np.stack(list(dense.shifts(a, window, Border.REFLECT_101))), axis=0)})
+    around = neighbours(px, shape, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
     return around.groupBy(*KEYS).agg(F.sort_array(F.collect_list("v"))[ksize * ksize // 2].alias("v"))
 
 
 def _extreme(px: DataFrame, shape: Shape, offsets: list[tuple[int, int]], border: Border, lowest: bool) -> DataFrame:
     f = F.min if lowest else F.max
+    if dense.whole(shape):
+        fold, none = (np.minimum, np.inf) if lowest else (np.maximum, -np.inf)
+        return dense.by_image(px, shape, lambda a: {"v": fold.reduce(list(dense.shifts(a, offsets, border, none)))})
     rows, cols = sorted({dy for dy, _ in offsets}), sorted({dx for _, dx in offsets})
     if len(offsets) == len(rows) * len(cols):  # a rectangle: one axis after the other
-        out = aligned(px, shape)
+        out = px
         for axis, deltas, n in (("x", cols, shape.cols), ("y", rows, shape.rows)):
             steps = sorted({(t, T.border_index(t + d, n, border), 1.0) for t in range(n) for d in deltas})
             keys = [k for k in KEYS if k != axis]
             joined = out.join(tap_table(px, [s for s in steps if s[1] >= 0], axis), axis)
             out = joined.groupBy(*keys, "_t").agg(f("v").alias("v")).withColumnRenamed("_t", axis).select(*KEYS, "v")
         return out
-    return neighbours(aligned(px, shape), shape, [(dy, dx, 1.0) for dy, dx in offsets], border).groupBy(*KEYS).agg(f("v").alias("v"))
+    return neighbours(px, shape, [(dy, dx, 1.0) for dy, dx in offsets], border).groupBy(*KEYS).agg(f("v").alias("v"))
 
 
 def erode(px: DataFrame, shape: Shape, element: list[tuple[int, int]], iterations: int = 1, border: Border = Border.CONSTANT) -> DataFrame:
@@ -172,6 +181,16 @@ def bilateral_filter(px: DataFrame, shape: Shape, d: int, sigma_color: float, si
     """
     r = d // 2 if d > 0 else max(1, math.floor(1.5 * sigma_space + 0.5))
     space = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2))) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    if dense.whole(shape):
+
+        def smooth(a: np.ndarray) -> dict[str, np.ndarray]:
+            total, weights = np.zeros_like(a), np.zeros((*a.shape[:3], 1))
+            for p, (_, _, near) in zip(dense.shifts(a, [(dy, dx) for dy, dx, _ in space], border), space):
+                w = near * np.exp(((p - a) ** 2).sum(3, keepdims=True) * (-0.5 / sigma_color**2))
+                total, weights = total + w * p, weights + w
+            return {"v": total / weights}
+
+        return finish(dense.by_image(px, shape, smooth), depth)
     centre = px.select(*KEYS, F.col("v").alias("_v0"))
     if border in (Border.CONSTANT, Border.TRANSPARENT, Border.ISOLATED):
         frame = centre.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w")) for a, b, w in space])))
@@ -179,7 +198,7 @@ def bilateral_filter(px: DataFrame, shape: Shape, d: int, sigma_color: float, si
         asked = frame.select(*KEYS, "_v0", (F.col("y") + F.col("_o.dy")).alias("_sy"), (F.col("x") + F.col("_o.dx")).alias("_sx"), F.col("_o.w").alias("_w"), F.col("_o.dy").alias("_dy"), F.col("_o.dx").alias("_dx"))
         around = asked.join(source, ["img", "_sy", "_sx", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     else:
-        around = neighbours(aligned(px, shape), shape, space, border).join(centre, list(KEYS))
+        around = neighbours(px, shape, space, border).join(centre, list(KEYS))
     tap = ["img", "y", "x", "_dy", "_dx"]
     if shape.channels > 1:
         colour = around.groupBy(*tap).agg(F.sum((val() - F.col("_v0")) * (val() - F.col("_v0"))).alias("_d2"))
@@ -252,6 +271,18 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
     if nonzero_rows and shape.channels == 1:
         px = px.where(F.col("y") < nonzero_rows)
     sign = 1.0 if inverse else -1.0
+    if dense.whole(shape):
+
+        def transform(a: np.ndarray) -> dict[str, np.ndarray]:
+            z = a[..., 0] + (1j * a[..., 1] if a.shape[3] > 1 else 0)
+            axes = (2,) if rows_only else (1, 2)
+            z = np.fft.ifftn(z, axes=axes, norm="forward") if inverse else np.fft.fftn(z, axes=axes)
+            return {"v": np.stack([z.real, z.imag], axis=3)}
+
+        both = px.unionByName(px.where("c = 0").select("img", "y", "x", F.lit(1).alias("c"), F.lit(0.0).alias("v"))) if shape.channels == 1 else px
+        both = both.groupBy(*KEYS).agg(F.sum("v").alias("v"))
+        out = dense.by_image(both, shape, transform)
+        return elementwise.mapped(out, lambda v: v / float(shape.cols * (1 if rows_only else shape.rows))) if scale else out
 
     def turn(p: DataFrame, axis: str, n: int) -> DataFrame:
         table = []

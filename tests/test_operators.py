@@ -183,6 +183,49 @@ def test_structure(spark):
     assert dense.first()["data"] == m.ravel().tolist() and np.array_equal(array(pixels.to_pixels(dense), (3, 4)), m)
 
 
+LARGE = {
+    "gaussian": lambda p, s: neighbourhood.gaussian_blur(p, s, (5, 3), 1.1),
+    "laplacian": lambda p, s: neighbourhood.laplacian(p, s, 1, border=Border.CONSTANT),
+    "laplacian_3": lambda p, s: neighbourhood.laplacian(p, s, 3),
+    "median": lambda p, s: neighbourhood.median_blur(p, s, 3),
+    "erode": lambda p, s: neighbourhood.erode(p, s, T.structuring_element("ellipse", 5, 3)),
+    "dilate": lambda p, s: neighbourhood.dilate(p, s, T.structuring_element("rect", 3, 3), 2, Border.REFLECT),
+    "bilateral": lambda p, s: neighbourhood.bilateral_filter(p, s, 3, 20.0, 1.5),
+    "bilateral_constant": lambda p, s: neighbourhood.bilateral_filter(p, s, 3, 20.0, 1.5, Border.CONSTANT),
+    "resize": lambda p, s: neighbourhood.resize(p, s, 7, 13),
+    "dft": lambda p, s: neighbourhood.dft(p, s),
+    "idft": lambda p, s: neighbourhood.idft(neighbourhood.dft(p, s), Shape(s.rows, s.cols, 2)),
+    "harris": lambda p, s: features.corner_harris(p, s, 3),
+    "eigen": lambda p, s: features.corner_min_eigen_val(p, s, 3),
+    "pre_corner": lambda p, s: features.pre_corner_detect(p, s),
+    "canny": lambda p, s: features.canny(p, s, 60, 200),
+    "fast": lambda p, s: features.fast(p, s, 15, kind="5_8").withColumnRenamed("response", "v").withColumn("c", F.lit(0)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LARGE))
+def test_large_images_give_the_same(spark, monkeypatch, name):
+    from rasterloom.operators import dense
+
+    shape = Shape(9, 11)
+    images = [np.random.default_rng(k).integers(0, 256, (9, 11)) for k in (1, 2)]
+    px = matrix(spark, images[0]).unionByName(matrix(spark, images[1], 5))
+    rows = lambda: {(r["img"], r["y"], r["x"], r["c"]): r["v"] for r in LARGE[name](px, shape).collect()}
+    small = rows()
+    monkeypatch.setattr(dense, "WHOLE", 0)
+    large = rows()
+    assert small.keys() == large.keys() and np.allclose([small[k] for k in small], [large[k] for k in small])
+
+
+def test_stacks_are_cut_between_images(spark, monkeypatch):
+    from rasterloom.operators import dense
+
+    px = spark.range(40).selectExpr("id as img", "explode(sequence(0, 24)) as p").selectExpr("img", "cast(p / 5 as int) y", "cast(p % 5 as int) x", "0 as c", "cast(img * 25 + p as double) v")
+    monkeypatch.setattr(dense, "STACK", 30)
+    out = dense.by_image(px, Shape(5, 5), lambda a: {"v": a + 1})
+    assert sorted((r["img"], r["y"], r["x"], r["v"]) for r in out.collect()) == [(i, p // 5, p % 5, i * 25 + p + 1) for i in range(40) for p in range(25)]
+
+
 def test_warp_by_identity(spark):
     m = np.random.default_rng(7).random((5, 5))
     out = geometry.warp_perspective(matrix(spark, m), Shape(5, 5), [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]], 5, 5)
