@@ -20,6 +20,7 @@ from ..sources import pixels
 from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..sources.spool import durable, shared_folder
+from ..sources.tables import read_table
 from ..streaming import frames
 from ..types import Border, Criteria, Shape
 from . import taps as T
@@ -34,7 +35,7 @@ def val() -> Column:
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 def img8(spark: SparkSession, d: str) -> DataFrame:
