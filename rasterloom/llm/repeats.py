@@ -364,15 +364,20 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                 keep = order[new & often[group]]
                 place, key = place[keep], key[keep]
             if len(key):
-                order, first = _runs(key)
-                at = place[order].astype(np.int64)
-                bounds = [*np.flatnonzero(first).tolist(), len(order)]
-                spans = [_merged(at[a:b], at[a:b] + length, touch).tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(key[order[bounds[:-1]]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
+                yield _packed(to_text(key), {"place": place, "text_key": key})
+
+    def their_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (place, key) in _gathered(batches, "place", "text_key"):
+            order, _ = _runs(key, place)
+            at, key = place[order].astype(np.int64), key[order]
+            bounds = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+            spans = [_merged(at[a:b], at[a:b] + length, touch).tobytes() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(key[bounds[:-1]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
 
     looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "places"), "text_key")
     found_strings = looked.mapInArrow(tidy(strings), _schema("code", "place", "text_key", "flag"))
-    more = _by_bucket(found_strings).mapInArrow(tidy(repeated_strings), "text_key long, spans binary")
+    again = _by_bucket(found_strings).mapInArrow(tidy(repeated_strings), _schema("place", "text_key"))
+    more = _by_bucket(again).mapInArrow(tidy(their_spans), "text_key long, spans binary")
     every = texts_found.where(F.length("spans") > 0).select("text_key", "spans").unionByName(more)
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,3 +107,15 @@ def test_words_against_brute_force(spark, documents, seed):
     rows = list(enumerate(texts))
     assert {r["doc_id"]: r["text"] for r in repeats.remove_repeats(documents(rows), length=length, v=21, words=True).collect()} == want
     assert sum(len(want[i] or "") < len(t or "") for i, t in rows) > 5
+
+
+def test_contract_length_against_brute_force(spark, documents):
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared = [part(n) for n in (380, 399, 400, 401, 640, 900)]
+    texts = [None, "", shared[4], shared[4], part(2000)]
+    for k in range(24):
+        texts.append(part(rng.randint(0, 300)) + shared[k % 6][rng.randint(0, 3) :] + part(rng.randint(0, 250)) + (shared[(k + 1) % 6] if k % 3 == 0 else ""))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeat_report(documents(rows)).collect()}
+    assert got == {i: w[:4] for i, w in enumerate(brute(texts, 400))}
