@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 T = TypeVar("T")
 
 
@@ -112,8 +114,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, to be sent to Python in bounded batches."""
+    """A table of the folder, in parts enough for all cores, to be sent to Python in bounded batches."""
     bounded_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
+def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Labels and benchmarks, as they are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

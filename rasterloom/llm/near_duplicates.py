@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .bloom import bit_table, maybe, maybe_in
 from .common import durable, mix, slices, text_buffers, text_key, tidy
-from .graph import components
 
 SHINGLE, ROWS, BANDS = 5, 7, 48
 REGISTERS = ROWS * BANDS

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, html, language, media, near_duplicates, packing, repeats, sharding, toxicity
-from .common import crc_fold, durable, table
+from .common import crc_fold, durable, side_table, table
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,7 +18,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    scored = toxicity.score(docs, toxicity.fit(docs, side_table(spark, sf_dir, "labels").select("doc_id", "toxic")))
     return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -59,7 +59,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), side_table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
