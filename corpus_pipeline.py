@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, near_duplicates, packing, repeats, toxicity
-from rasterloom.llm.common import bounded_batches, ensure_checkpoint_dir, table
+from rasterloom.llm.common import bounded_batches, ensure_checkpoint_dir, side_table, table
 from rasterloom.llm.queries import PACKING_TOKENIZER
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, fitted on these documents' labels, don't reject."""
-    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxicity.fit(docs.select("doc_id", "text"), side_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model, out=("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
 
 
@@ -43,7 +43,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows don't contaminate."""
-    marked = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns), prefix="_")
+    marked = decontaminate.find_contamination(docs, side_table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns), prefix="_")
     return marked.where("not _contaminated").select(*docs.columns)
 
 
@@ -66,11 +66,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote goes when the next has written, and only the result stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
