@@ -1,7 +1,9 @@
 """Operator 7: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, written as NPY tiles.
 
 Bytes that are no such image decode to null columns with the reason in ``error``; a null stays null. Images of
-any height are resized in bands of rows, so memory follows one row band, not the image.
+any height are resized in bands of rows, so memory follows one row band, not the image. Repeated rows are rows like
+any other, equal bytes give equal values, an empty table gives an empty result; columns with an output's name give
+way to it.
 """
 
 from __future__ import annotations

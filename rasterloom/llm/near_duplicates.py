@@ -19,7 +19,8 @@ Signatures are cut into ``BANDS`` bands of ``ROWS`` registers. Texts that share
   the same bounds: a round compares each block with the one so many further on, and labels are merged after it.
 
 Null texts are empty; texts without words are near-duplicates of equal texts only. Rows are kept one by one; a
-class has the smallest id of its rows (null only if all ids are null).
+class has the smallest id of its rows (null only if all ids are null). An empty table gives an empty result; other
+columns may have any name. Nodes are 64-bit fingerprints of shingle sets; links are decided on the sets themselves.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ algorithm runs to that depth:
    name that half of the corpus has is dealt by what surrounds it.
 
 Names are 64-bit fingerprints of the bytes; texts are known by a fingerprint too, so equal texts are one text with a
-count, and a text that occurs twice is removed whole. Matches never cross texts. Rows with null text are empty;
-texts under ``LENGTH`` bytes keep everything; repeated rows and null ids are rows like any other.
+count, and a text that occurs twice (by SHA-256) is removed whole. Matches never cross texts. Rows with null text are
+empty; texts under ``LENGTH`` bytes keep everything; repeated rows and null ids are rows like any other; an empty
+table gives an empty result; other columns may have any name.
 
 With ``words`` the same runs over words instead of bytes (``word_bounds``): places, ``length`` and ``v`` count words,
 and a string goes from the first byte of its first word to the last of its last; what is between counts.
