@@ -456,19 +456,22 @@ def _cut(batches: Iterator[pa.RecordBatch], column: str, length: int, words: boo
 
 
 def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", length: int = LENGTH, v: int = 183) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, n_kept, n_kept_chars) of every row.
+
+    ``n_kept`` counts the bytes that stay, ``n_kept_chars`` the characters that begin in them.
+    """
     keyed = docs.select(F.col(key).alias("_key"), text_key(column).alias("text_key"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
-    rows = durable(keyed.select("_key", "text_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("whole_sha256")))
+    rows = durable(keyed.select("_key", "text_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.length("_text").cast("long").alias("n_chars"), F.sha2("_text", 256).alias("whole_sha256")))
     same = ["text_key", "whole_sha256"]
     copies = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same, F.lit(True).alias("copied"))
     spans = durable(repeated_spans(keyed, "_text", length, v))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cut in _cut(batches, "_text", length):
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string())], names=["text_key", "removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string()), pa.array([int(((np.frombuffer(c[0], np.uint8) & 0xC0) != 0x80).sum()) for c in cut], pa.int64())], names=["text_key", "removed", "spans", "kept", "chars"])
 
     part = maybe_in(keyed.select("text_key", "_text"), bit_table(spans, "text_key")).join(spans, "text_key")
-    cut = part.mapInArrow(tidy(digest), "text_key long, removed long, spans long, kept string").dropDuplicates(["text_key"])
+    cut = part.mapInArrow(tidy(digest), "text_key long, removed long, spans long, kept string, chars long").dropDuplicates(["text_key"])
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= length)
     return rows.join(copies, same, "left").join(cut, "text_key", "left").select(
         F.col("_key").alias(key),
@@ -476,6 +479,8 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", le
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "whole_sha256")).alias("kept_sha256"),
+        F.when(whole, F.lit(0).cast("long")).otherwise(F.col("n_bytes") - F.coalesce("removed", F.lit(0))).alias("n_kept"),
+        F.when(whole, F.lit(0).cast("long")).otherwise(F.coalesce("chars", "n_chars")).alias("n_kept_chars"),
     )
 
 

@@ -48,6 +48,8 @@ def test_against_brute_force(spark, documents, seed):
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeat_report(documents(rows), length=20, v=13).collect()}
     want = brute(texts, 20)
+    kept = {r["doc_id"]: (r["n_kept"], r["n_kept_chars"]) for r in repeats.repeat_report(documents(rows), length=20, v=13).collect()}
+    assert kept == {i: (len(w[4]), sum(b & 0xC0 != 0x80 for b in w[4])) for i, w in enumerate(want)}
     assert got == {i: w[:4] for i, w in enumerate(want)}
     cut = {r["doc_id"]: r["text"] for r in repeats.remove_repeats(documents(rows), length=20, v=7).collect()}
     assert cut == {i: None if texts[i] is None else w[4].decode("utf-8", "ignore") for i, w in enumerate(want)}
