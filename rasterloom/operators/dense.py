@@ -120,3 +120,65 @@ AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 def top_around(a: np.ndarray) -> np.ndarray:
     """The largest of the eight neighbours that there are."""
     return np.maximum.reduce(list(shifts(a, AROUND, Border.CONSTANT, -np.inf)))
+
+
+def at_points(images: Sequence[DataFrame], shape: Shape, points: DataFrame, columns: Sequence[str], kernel: Callable[[list[np.ndarray], np.ndarray], np.ndarray], names: Sequence[str]) -> DataFrame:
+    """(img, id, names) of ``kernel``: from the first channels of an image in each of the tables, and its points
+    (rows of ``columns``), to a row of numbers for each point. Points of images without pixels see zeros.
+    """
+    pixel = [px.where("c = 0").selectExpr("cast(img as long) img", f"{k} as side", "y", "x", "cast(v as double) v", "cast(null as long) id", "cast(null as array<double>) p") for k, px in enumerate(images)]
+    asked = points.selectExpr("cast(img as long) img", "-1 as side", "cast(null as int) y", "cast(null as int) x", "cast(null as double) v", "cast(id as long) id", "array(" + ", ".join(f"cast({c} as double)" for c in columns) + ") p")
+    every, tables = asked, len(pixel)
+    for px in pixel:
+        every = every.unionByName(px)
+
+    def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        img, side = table.column("img").to_numpy(), table.column("side").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], img[1:] != img[:-1]]))
+        for a, b in zip(starts, np.append(starts[1:], len(img))):
+            cut = a + np.searchsorted(side[a:b], np.arange(-1, tables + 1))
+            own = table.slice(cut[0], cut[1] - cut[0])
+            if not len(own):
+                continue
+            stack = []
+            for k in range(tables):
+                part = table.slice(cut[k + 1], cut[k + 2] - cut[k + 1])
+                m = np.zeros((shape.rows, shape.cols))
+                y, x = (part.column(n).to_numpy().astype(np.int64) for n in ("y", "x"))
+                inside = (y < shape.rows) & (x < shape.cols)
+                m[y[inside], x[inside]] = part.column("v").to_numpy()[inside]
+                stack.append(m)
+            asked = own.column("p").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+            out = kernel(stack, asked)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), img[a])), own.column("id").combine_chunks(), *(pa.array(np.ascontiguousarray(c, float)) for c in out.T)], names=["img", "id", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= STACK:
+                    table = pa.Table.from_batches(held)
+                    img = table.column("img").to_numpy()
+                    cut = int(np.searchsorted(img, img[-1]))  # rows come by image: the last may go on
+                    if cut:
+                        yield from rows(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+        if held:
+            yield from rows(pa.Table.from_batches(held))
+
+    dealt = every.repartition("img").sortWithinPartitions("img", "side")
+    return dealt.mapInArrow(run, "img long, id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def bilinear(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values between pixels, places outside counting as 0, and whether any of the four pixels is inside."""
+    y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+    dy, dx = y - y0, x - x0
+    total, seen = np.zeros(y.shape), np.zeros(y.shape, bool)
+    for b, a_, w in ((0, 0, (1 - dx) * (1 - dy)), (0, 1, dx * (1 - dy)), (1, 0, (1 - dx) * dy), (1, 1, dx * dy)):
+        j, i = y0 + b, x0 + a_
+        inside = (j >= 0) & (j < a.shape[0]) & (i >= 0) & (i < a.shape[1])
+        total += np.where(inside, a[np.clip(j, 0, a.shape[0] - 1), np.clip(i, 0, a.shape[1] - 1)], 0.0) * w
+        seen |= inside
+    return total, seen

@@ -1,17 +1,21 @@
 """Pyramidal Lucas-Kanade tracking between frames.
 
-Points are rows; each round joins them with the pixels of their window (bilinear, on both frames) and solves the
-2 x 2 system from sums. A level is ``Criteria.max_count`` rounds at most; levels go from coarse to fine.
+A point's window (bilinear, on both frames) gives a 2 x 2 system each round; a level is ``Criteria.max_count`` rounds
+at most; levels go from coarse to fine. Frames of up to ``dense.WHOLE`` elements meet their points in one task;
+larger ones stay spread, and each round joins the points, as rows, with the pixels of their windows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.pixels import KEYS
 from ..sources.spool import durable
+from ..plans import taps as T
 from ..types import Border, Criteria, Shape
+from . import dense
 from .neighbourhood import pyr_down, scharr
 
 
@@ -45,11 +49,67 @@ def _window(points: DataFrame, px: DataFrame, x: str, y: str, win: tuple[int, in
 
 def calc_optical_flow_pyramid_lk(prev: DataFrame, nxt: DataFrame, shape: Shape, points: DataFrame, win: tuple[int, int] = (5, 5), levels: int = 2, criteria: Criteria = Criteria(10, 0.03), min_eigen: float = 1e-4, initial: bool = False) -> DataFrame:
     """(img, id, x, y, status, error) of points (img, id, x, y[, next_x, next_y]) of ``prev`` found in ``nxt``."""
+    if dense.whole(shape):
+        columns = ["x", "y", *(("next_x", "next_y") if initial else ("x", "y"))]
+        kernel = lambda images, asked: _tracked(*images, asked, win, levels, criteria, min_eigen)
+        return _told(dense.at_points([prev, nxt], shape, points, columns, kernel, ("x", "y", "status", "error")))
     a = build_optical_flow_pyramid(prev, shape, win, levels)
     b = build_optical_flow_pyramid(nxt, shape, win, levels, derivatives=False)
     return track_with_pyramids(a, b, points, win, criteria, min_eigen, initial)
 
 
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("img", "id", "x", "y", F.col("status").cast("int").alias("status"), F.when(F.col("status") == 1, F.col("error")).alias("error"))
+
+
+def _halved(a: np.ndarray) -> np.ndarray:
+    half = dense.separable(a[None, :, :, None], T.half_taps(a.shape[1]), T.half_taps(a.shape[0]))[0, :, :, 0]
+    return np.sign(half) * np.floor(np.abs(half) + 0.5)
+
+
+def _tracked(prev: np.ndarray, nxt: np.ndarray, asked: np.ndarray, win: tuple[int, int], levels: int, criteria: Criteria, min_eigen: float) -> np.ndarray:
+    """(x, y, status, error) of the points (x, y, and where to begin) of one frame; a point stops when it rests."""
+    pyramids = [(prev, nxt)]
+    for _ in range(levels):
+        if min((s + 1) // 2 - w for s, w in zip(prev.shape, win[::-1])) <= 0:
+            break
+        prev, nxt = _halved(prev), _halved(nxt)
+        pyramids.append((prev, nxt))
+    top, area = len(pyramids) - 1, win[0] * win[1]
+    j, i = (g.ravel() for g in np.mgrid[0 : win[1], 0 : win[0]])
+    now, status, error = asked[:, 2:4] / 2.0**top, np.ones(len(asked)), np.zeros(len(asked))
+    around = lambda p: (p[:, 1:2] - (win[1] - 1) / 2.0 + j, p[:, 0:1] - (win[0] - 1) / 2.0 + i)
+    for level in range(top, -1, -1):
+        first, second = pyramids[level]
+        smooth, slope = [3.0, 10.0, 3.0], [-1.0, 0.0, 1.0]
+        taps = [[T.kernel_taps(n, k, border=Border.CONSTANT) for n, k in zip(first.shape[::-1], pair)] for pair in ((slope, smooth), (smooth, slope))]
+        window, seen = dense.bilinear(first, *around(asked[:, :2] / 2.0**level))
+        gx, gy = (dense.bilinear(dense.separable(first[None, :, :, None], *t)[0, :, :, 0], *around(asked[:, :2] / 2.0**level))[0] / 32 for t in taps)
+        a, b, d = (gx * gx).sum(1), (gx * gy).sum(1), (gy * gy).sum(1)
+        det = a * d - b * b
+        good = seen.all(1) & (det > 1e-7) & ((a + d - np.sqrt((a - d) ** 2 + 4 * b * b)) / (2 * area) >= min_eigen)
+        moving = np.ones(len(now), bool)
+        for _ in range(criteria.max_count):
+            there, inside = dense.bilinear(second, *around(now))
+            off = np.where(seen & inside, window - there, 0.0)
+            e, f = (off * gx).sum(1), (off * gy).sum(1)
+            ok = good & inside.any(1)
+            if level == 0:
+                status[moving & ~ok] = 0
+            step = np.where((ok & moving)[:, None], np.column_stack([d * e - b * f, a * f - b * e]) / np.where(good, det, 1.0)[:, None], 0.0)
+            now = now + step
+            moving &= (step**2).sum(1) > criteria.epsilon**2
+            if not moving.any():
+                break
+        if level:
+            now = now * 2
+        else:
+            there, inside = dense.bilinear(second, *around(now))
+            error = np.where(seen & inside, np.abs(window - there), 0.0).sum(1) / area
+    found = status[:, None] == 1
+    return np.column_stack([np.where(found, now, asked[:, :2]), status, error])
+
+
 def track_with_pyramids(a: list[dict], b: list[dict], points: DataFrame, win: tuple[int, int] = (5, 5), criteria: Criteria = Criteria(10, 0.03), min_eigen: float = 1e-4, initial: bool = False) -> DataFrame:
     """The same from pyramids that the caller keeps: the next frame's pyramid serves again as the one before.
 

@@ -217,6 +217,20 @@ def test_large_images_give_the_same(spark, monkeypatch, name):
     assert small.keys() == large.keys() and np.allclose([small[k] for k in small], [large[k] for k in small])
 
 
+def test_tracking_large_frames_gives_the_same(spark, monkeypatch):
+    from rasterloom.operators import dense, flow
+
+    m = np.random.default_rng(5).random((24, 24)) * 200
+    shape, points = Shape(24, 24), spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(((9, 9), (14, 10), (2, 21)))], "img long, id long, x double, y double")
+    a = neighbourhood.gaussian_blur(matrix(spark, m), shape, (7, 7), 2.0)
+    b = neighbourhood.gaussian_blur(matrix(spark, np.roll(m, 1, 1)), shape, (7, 7), 2.0)
+    rows = lambda: {r["id"]: (r["x"], r["y"], r["status"], r["error"]) for r in flow.calc_optical_flow_pyramid_lk(a, b, shape, points, (7, 7), 0, Criteria(2, 1e-9)).collect()}
+    small = rows()
+    monkeypatch.setattr(dense, "WHOLE", 0)
+    large = rows()
+    assert all(s[2] == large[k][2] and np.allclose(s[:2], large[k][:2]) and (s[2] == 0 or np.isclose(s[3], large[k][3])) for k, s in small.items())
+
+
 def test_stacks_are_cut_between_images(spark, monkeypatch):
     from rasterloom.operators import dense
 
