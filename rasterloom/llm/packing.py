@@ -38,7 +38,7 @@ from .common import durable, kept, slices, tidy
 PER_RANK = 500_000  # pieces of one length that one task ranks
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
-CACHE = 250_000  # chunks that a worker remembers, and half of its words
+CACHE = 250_000  # chunks, and words, that a task remembers
 
 
 class WordTokenizer:
@@ -86,12 +86,14 @@ class WordTokenizer:
         for c, ws in cut.items():
             self.chunks[c] = b"".join([self.words[w] for w in ws])
 
+    def forget(self) -> None:
+        """Start anew: learning a task's words again costs little, and a worker's memory is for its next operator."""
+        self.chunks, self.words = {}, {}
+
     def encode(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.words) > 2 * CACHE:
-            self.words.clear()
+        if len(self.chunks) > CACHE or len(self.words) > CACHE:
+            self.forget()
         cut = [None if not self.plain or _ODD.search(text) else text.split() for text in many]
         new = set().union(*filter(None, cut)).difference(self.chunks)
         if new:
@@ -124,6 +126,7 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", column: str =
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
                 cols = [pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(source, pa.int64())), *cols], names=[key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        t.forget()
 
     return docs.select(key, column).mapInArrow(tidy(run, keeps=True), schema)
 
