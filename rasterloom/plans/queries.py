@@ -584,8 +584,12 @@ register("solve", lambda s, d: r6(linalg.solve(regular(small(img8f(s, d), 4)), s
 
 
 def coefficients(s: SparkSession, d: str) -> DataFrame:
-    e = lambda k: F.col("embedding")[k].cast("double")
-    return read(s, d, "embeddings").select("vec_id", *[e(k).alias(f"k{k}") for k in range(4)])
+    """Sixteen rows of four numbers from each embedding."""
+    parts = read(s, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("g"))
+    return parts.select((F.col("vec_id") * 16 + F.col("g")).alias("vec_id"), *[F.col("embedding")[F.col("g") * 4 + k].cast("double").alias(f"k{k}") for k in range(4)])
+
+
+FOURS = "fours AS (SELECT vec_id * 16 + g AS vec_id, embedding[4 * g + 1:4 * g + 4] AS embedding FROM embeddings, (SELECT unnest(range(16)) AS g))"
 
 
 def root_rows(df: DataFrame) -> DataFrame:
@@ -595,13 +599,13 @@ def root_rows(df: DataFrame) -> DataFrame:
 register(
     "solve_quadratic",
     lambda s, d: root_rows(coefficients(s, d).select("vec_id", linalg.quadratic_roots(F.col("k0"), F.col("k1"), F.col("k2")).alias("roots"))),
-    f"""WITH k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), q AS (SELECT *, sqrt(b * b - 4 * a * c) AS r FROM k WHERE b * b - 4 * a * c > 0 AND abs(a) >= 1e-12)
+    f"""WITH {FOURS}, k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM fours), q AS (SELECT *, sqrt(b * b - 4 * a * c) AS r FROM k WHERE b * b - 4 * a * c > 0 AND abs(a) >= 1e-12)
     SELECT vec_id, 0 AS n, {s6('least((-b - r) / (2 * a), (-b + r) / (2 * a))')} AS root FROM q UNION ALL SELECT vec_id, 1 AS n, {s6('greatest((-b - r) / (2 * a), (-b + r) / (2 * a))')} AS root FROM q""",
 )
-register("solve_cubic", lambda s, d: root_rows(coefficients(s, d).select("vec_id", linalg.cubic_roots(F.col("k0"), F.col("k1"), F.col("k2"), F.col("k3")).alias("roots"))), f"""WITH k AS (SELECT vec_id, embedding[2]::DOUBLE / embedding[1]::DOUBLE AS p, embedding[3]::DOUBLE / embedding[1]::DOUBLE AS q, embedding[4]::DOUBLE / embedding[1]::DOUBLE AS r FROM embeddings WHERE abs(embedding[1]) >= 1e-12),
+register("solve_cubic", lambda s, d: coefficients(s, d).select("vec_id", F.posexplode(linalg.cubic_roots(F.col("k0"), F.col("k1"), F.col("k2"), F.col("k3"))).alias("n", "root")).withColumn("root", F.round("root", 3) + 0.0), f"""WITH {FOURS}, k AS (SELECT vec_id, embedding[2]::DOUBLE / embedding[1]::DOUBLE AS p, embedding[3]::DOUBLE / embedding[1]::DOUBLE AS q, embedding[4]::DOUBLE / embedding[1]::DOUBLE AS r FROM fours WHERE abs(embedding[1]) >= 1e-12),
     u AS (SELECT *, (p * p - 3 * q) / 9 AS s, (2 * p * p * p - 9 * p * q + 27 * r) / 54 AS t FROM k),
     found AS (SELECT vec_id, CASE WHEN t * t < s * s * s THEN list_sort([-2 * sqrt(s) * cos((acos(t / sqrt(s * s * s)) + a * 2 * pi()) / 3) - p / 3 FOR a IN [0, 1, -1]]) ELSE [cbrt(sqrt(t * t - s * s * s) - t) + cbrt(-t - sqrt(t * t - s * s * s)) - p / 3] END AS roots FROM u)
-    SELECT vec_id, n::INT - 1 AS n, {s6('roots[n]')} AS root FROM (SELECT vec_id, roots, unnest(range(1, len(roots) + 1)) AS n FROM found)""")
+    SELECT vec_id, n::INT - 1 AS n, round(roots[n], 3) + 0.0 AS root FROM (SELECT vec_id, roots, unnest(range(1, len(roots) + 1)) AS n FROM found)""")
 register("solve_poly", lambda s, d: r6(linalg.solve_poly(read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("p")), "vec_id", "p"), "re", "im", "residual"))
 
 # ---- features
@@ -950,13 +954,13 @@ register(
 register(
     "rodrigues",
     lambda s, d: r6(coefficients(s, d).select("vec_id", F.posexplode(F.array(*estimation.rodrigues_matrix(F.col("k0"), F.col("k1"), F.col("k2")))).alias("cell", "value")), "value"),
-    f"""WITH k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), t AS (SELECT *, sqrt(a * a + b * b + c * c) AS t FROM k), u AS (SELECT vec_id, [a / t, b / t, c / t] AS u, [0.0, -c / t, b / t, c / t, 0.0, -a / t, -b / t, a / t, 0.0] AS w, cos(t) AS co, sin(t) AS si FROM t)
+    f"""WITH {FOURS}, k AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM fours), t AS (SELECT *, sqrt(a * a + b * b + c * c) AS t FROM k), u AS (SELECT vec_id, [a / t, b / t, c / t] AS u, [0.0, -c / t, b / t, c / t, 0.0, -a / t, -b / t, a / t, 0.0] AS w, cos(t) AS co, sin(t) AS si FROM t)
     SELECT vec_id, i::INT AS cell, {s6('CASE WHEN i % 4 = 0 THEN co ELSE 0.0 END + (1 - co) * u[i // 3 + 1] * u[i % 3 + 1] + si * w[i + 1]')} AS value FROM u, (SELECT unnest(range(9)) AS i)""",
 )
 register(
     "rodrigues_vector",
-    lambda s, d: r6(coefficients(s, d).select("vec_id", F.posexplode(F.array(*estimation.rodrigues_vector(estimation.rodrigues_matrix(F.col("k0"), F.col("k1"), F.col("k2"))))).alias("n", "value")), "value"),
-    f"SELECT vec_id, n::INT AS n, {s6('embedding[n + 1]::DOUBLE')} AS value FROM embeddings, (SELECT unnest(range(3)) AS n)",
+    lambda s, d: r6(coefficients(s, d).select("vec_id", F.array(*estimation.rodrigues_matrix(F.col("k0"), F.col("k1"), F.col("k2"))).alias("m")).select("vec_id", F.posexplode(F.array(*estimation.rodrigues_vector([F.col("m")[k] for k in range(9)]))).alias("n", "value")), "value"),
+    f"WITH {FOURS} SELECT vec_id, n::INT AS n, {s6('embedding[n + 1]::DOUBLE')} AS value FROM fours, (SELECT unnest(range(3)) AS n)",
 )
 PERIOD = random.PERIOD
 
@@ -1042,15 +1046,17 @@ register(
 
 
 def vector_rows(s: SparkSession, d: str) -> DataFrame:
-    part = lambda k: F.transform(F.slice("embedding", k, 4), lambda v: F.when(v.cast("double") > 0.2, 0.0).otherwise(v.cast("double")))
-    return read(s, d, "embeddings").select("vec_id", part(1).alias("p"), part(5).alias("q"))
+    """Eight pairs of 4-vectors from each embedding."""
+    cut = lambda at: F.transform(F.slice("embedding", at, 4), lambda v: F.when(v.cast("double") > 0.2, 0.0).otherwise(v.cast("double")))
+    parts = read(s, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"))
+    return parts.select((F.col("vec_id") * 8 + F.col("g")).alias("vec_id"), cut(F.col("g") * 8 + 1).alias("p"), cut(F.col("g") * 8 + 5).alias("q"))
 
 
 def vector_query(f):
     return lambda s, d: r6(vector_rows(s, d).select("vec_id", F.posexplode(f(F.col("p"), F.col("q"))).alias("k", "v")))
 
 
-PQ = "WITH r AS (SELECT vec_id, k::INT AS k, CASE WHEN embedding[k + 1]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[k + 1]::DOUBLE END AS p, CASE WHEN embedding[k + 5]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[k + 5]::DOUBLE END AS q FROM embeddings, (SELECT unnest(range(4)) AS k))"
+PQ = "WITH r AS (SELECT vec_id * 8 + g AS vec_id, k::INT AS k, CASE WHEN embedding[8 * g + k + 1]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[8 * g + k + 1]::DOUBLE END AS p, CASE WHEN embedding[8 * g + k + 5]::DOUBLE > 0.2 THEN 0.0 ELSE embedding[8 * g + k + 5]::DOUBLE END AS q FROM embeddings, (SELECT unnest(range(8)) AS g), (SELECT unnest(range(4)) AS k))"
 for _name, _e in (("add", "p + q"), ("subtract", "p - q"), ("multiply", "p * q"), ("divide", "CASE WHEN q = 0 THEN 0.0 ELSE p / q END")):
     register(f"vector_{_name}", vector_query(getattr(vectors, _name)), f"{PQ} SELECT vec_id, k, {s6(_e)} AS v FROM r")
 register("vector_dot", lambda s, d: r6(vector_rows(s, d).select("vec_id", vectors.dot(F.col("p"), F.col("q")).alias("v"))), f"{PQ} SELECT vec_id, {s6('sum(p * q)')} AS v FROM r GROUP BY vec_id")
