@@ -440,6 +440,24 @@ def describe(px: DataFrame, shape: Shape, keypoints: DataFrame, half: int = 15)
     return keypoints.join(bytes_.groupBy("img", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("descriptor")), ["img", "id"])
 
 
+def _described(a: np.ndarray, asked: np.ndarray, half: int) -> np.ndarray:
+    """(y, x, response, angle, 32 bytes) of keypoints (y, x, response) of one image."""
+    y, x = asked[:, 0].astype(int), asked[:, 1].astype(int)
+    reach = umax(half)
+    dy, dx = np.array([(j, i) for j in range(-half, half + 1) for i in range(-reach[abs(j)], reach[abs(j)] + 1)]).T
+    frame = np.pad(a, half)  # places outside count as 0
+    disc = frame[y[:, None] + dy + half, x[:, None] + dx + half]
+    angle = np.degrees(np.arctan2((disc * dy).sum(1), (disc * dx).sum(1))) % 360
+    k = T.gaussian_kernel(7, 2.0)
+    smooth = np.round(dense.separable(a[None, :, :, None], T.kernel_taps(a.shape[1], k), T.kernel_taps(a.shape[0], k))[0, :, :, 0], 6)
+    p = np.array(brief_pattern(half)).reshape(-1, 2, 2)
+    c, n = (f(np.radians(angle))[:, None, None] for f in (np.cos, np.sin))
+    tx, ty = np.rint(p[..., 0] * c - p[..., 1] * n).astype(int), np.rint(p[..., 0] * n + p[..., 1] * c).astype(int)
+    seen = smooth[np.clip(y[:, None, None] + ty, 0, a.shape[0] - 1), np.clip(x[:, None, None] + tx, 0, a.shape[1] - 1)]
+    bits = np.packbits(seen[..., 0] < seen[..., 1], axis=1, bitorder="little")
+    return np.column_stack([asked, angle, bits])
+
+
 def level_quota(n: int, levels: int, scale: float) -> list[int]:
     """Keypoints of each pyramid level: a geometric share, and the rest for the last."""
     f = 1 / scale
@@ -471,13 +489,20 @@ def orb(px: DataFrame, shape: Shape, features: int = 500, levels: int = 8, scale
     for level, ((now, s), quota) in enumerate(zip(orb_pyramid(px, shape, levels, scale), level_quota(features, levels, scale))):
         if s.rows <= 2 * edge or s.cols <= 2 * edge:
             break
+        now = durable(now)  # three readers or more
         corners = fast(now, s, threshold).where(F.col("y").between(edge, s.rows - 1 - edge) & F.col("x").between(edge, s.cols - 1 - edge))
         harris = corner_harris(now, s, 7, 3, 0.04).select("img", "y", "x", F.col("v").alias("_h"))
         ranked = corners if score == "fast" else corners.join(harris, ["img", "y", "x"]).withColumn("response", F.col("_h")).drop("_h")
         ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("response"), "y", "x"))).where(F.col("_n") <= quota)
-        turned = orientation(now, ranked.withColumn("id", F.col("_n") + level * 1_000_000).drop("_n"), half)
+        ranked = ranked.withColumn("id", F.col("_n") + level * 1_000_000).drop("_n")
         k = scale**level
-        part = describe(now, s, turned, half).select("img", "id", F.lit(level).alias("level"), (F.col("x") * k).alias("x"), (F.col("y") * k).alias("y"), F.lit((2 * half + 1) * k).alias("size"), "angle", "response", "descriptor")
+        if dense.whole(s):
+            names = ["angle", *(f"_b{i}" for i in range(32))]
+            told = dense.at_points([now], s, durable(ranked), ["y", "x", "response"], lambda images, asked: _described(images[0], asked, half), ["y", "x", "response", *names])
+            turned = told.select("img", "id", "y", "x", "response", "angle", F.array(*[F.col(n).cast("int") for n in names[1:]]).alias("descriptor"))
+        else:
+            turned = describe(now, s, orientation(now, ranked, half), half)
+        part = turned.select("img", "id", F.lit(level).alias("level"), (F.col("x") * k).alias("x"), (F.col("y") * k).alias("y"), F.lit((2 * half + 1) * k).alias("size"), "angle", "response", "descriptor")
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise MatrixError("the image is smaller than twice the edge")

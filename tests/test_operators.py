@@ -231,6 +231,16 @@ def test_tracking_large_frames_gives_the_same(spark, monkeypatch):
     assert all(s[2] == large[k][2] and np.allclose(s[:2], large[k][:2]) and (s[2] == 0 or np.isclose(s[3], large[k][3])) for k, s in small.items())
 
 
+def test_descriptors_of_both_ways(spark):
+    m = np.random.default_rng(6).integers(0, 256, (60, 60))
+    px, shape = matrix(spark, m), Shape(60, 60)
+    found = {r["id"]: r for r in features.orb(px, shape, features=8, levels=1, edge=20).collect()}
+    keys = spark.createDataFrame([(0, i, int(r["y"]), int(r["x"])) for i, r in found.items()], "img long, id int, y int, x int")
+    joined = {r["id"]: r for r in features.describe(px, shape, features.orientation(px, keys)).collect()}
+    assert len(found) == 8 and found.keys() == joined.keys()
+    assert all(np.isclose(found[i]["angle"], r["angle"]) and list(found[i]["descriptor"]) == list(r["descriptor"]) for i, r in joined.items())
+
+
 def test_stacks_are_cut_between_images(spark, monkeypatch):
     from rasterloom.operators import dense
 
