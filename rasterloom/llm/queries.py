@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, media, near_duplicates, packing, repeats, sharding, toxicity
+from . import chat, clustering, decontaminate, html, language, licenses, media, near_duplicates, packing, repair, repeats, sharding, toxicity
 from .common import crc_fold, durable, side_table, table
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,7 +74,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op4_html_extraction, op5_repeated_substrings, op6_near_duplicates, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", k=40, rounds=5, dimensions=64, scale=256, salt="2:")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows by crc32(`conv_id:turn`) % 20: 0 drops a row, 1 empties its text, 2 takes its marks, 3 repeats it, 4 makes it a user's."""
+    one_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat(one_space("conv_id"), F.lit(":"), one_space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", one_space("role").alias("role"), one_space("text").alias("text"), how.alias("how")).where("how <> 0")
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("how") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(F.col("how") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = repair.repair_report(damaged(conversations)).withColumnRenamed("conv_id", "_id")
+    whole = conversations.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("phrases", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["word"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_language_id, op4_html_extraction, op5_repeated_substrings, op6_near_duplicates, op7_media_columns, op8_chat_formatting, op9_benchmark_decontamination, op10_sharding, op11_centroid_clustering, op12_conversation_repair, op13_license_scan)}
 
 _OP9_SQL = r"""
 WITH item_words AS (
@@ -137,4 +166,80 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, min(e.doc_id) AS class_id FROM docs d JOIN reach ON reach.x = d.r JOIN docs e ON e.r = reach.y GROUP BY d.r, d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": _OP6_SQL, "op8_chat_formatting": _OP8_SQL, "op9_benchmark_decontamination": _OP9_SQL}
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance in each round, one CTE a round."""
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY c LIMIT {k})",
+    ]
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := {square}, c := c.c)) AS best FROM v, c{n} c GROUP BY r)")
+        if n < rounds:
+            parts = f"SELECT best.c AS c, unnest(range(64)) AS i, unnest(x) AS e FROM a{n} JOIN v USING (r)"
+            means = f"SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM ({parts}) GROUP BY c, i"
+            steps.append(f"m{n} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM ({means}) GROUP BY c)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.c AS c, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON m.c = c.c)")
+    return (
+        "WITH " + ", ".join(steps) + f" SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = best.c"
+    )
+
+
+def _op12_sql() -> str:
+    """The program forward: for each state the least `cost and edits` as one string, row by row; then the edits played back."""
+    byte = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ascii(s)::UBIGINT)), lambda a, b: {byte}), 4294967295)"
+    more = lambda k, cost, edit: f"lpad((left({k}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({k}, 13) || '{edit}'"
+    far = "'999999999999'"
+    cost = lambda k, cost, edit, ok: f"CASE WHEN ({ok}) AND left({k}, 12) < {far} THEN {more(k, cost, edit)} ELSE {far} END"
+    q2 = f"least(k2, {cost('k0', 5, 'I', 'true')}, {cost('k1', 5, 'I', 'true')}, {cost('k3', 5, 'I', 'true')})"
+    stays = "fault IN (0, 3)"
+    pen = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+    keep = lambda k, initial: cost(k, f"({pen})", "K", f"{stays} AND initial = '{initial}'")
+    rerole = lambda k: cost(k, f"(1 + {pen})", "R", stays)
+    delete = lambda k: cost(k, 2, "D", "true")
+    return f"""
+WITH RECURSIVE source AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS how FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE how WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM source WHERE how <> 0
+), placed AS MATERIALIZED (
+  SELECT coalesce(conv_id::VARCHAR, '') AS k, conv_id, turn, role, text, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged
+), faults AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY k ORDER BY i) AS before, count(*) OVER (PARTITION BY k) AS n FROM placed
+), walk AS (
+  SELECT k, 0 AS i, lpad('0', 12, '0') AS k0, {far} AS k1, {far} AS k2, {far} AS k3 FROM (SELECT DISTINCT k FROM faults)
+  UNION ALL
+  SELECT k, i, {delete('k0')}, least({delete('k1')}, {keep('k0', 's')}),
+    least({delete('k2')}, {keep('k0', 'u')}, {keep('k1', 'u')}, {keep('k3', 'u')}, {rerole('k0')}, {rerole('k1')}, {rerole('k3')}),
+    least({delete('k3')}, {keep('k2', 'a')}, {rerole('k2')})
+  FROM (
+    SELECT k, i, initial, fault, k0, k1, k2, least(k3, {cost('k2', 5, 'I', 'true')}) AS k3
+    FROM (SELECT w.k, f.i, f.initial, f.fault, k0, k1, {q2} AS k2, k3 FROM walk w JOIN faults f ON f.k = w.k AND f.i = w.i + 1)
+  )
+), best AS MATERIALIZED (
+  SELECT k, least(k0, k3) AS v FROM (SELECT k, k0, least(k3, {cost('k2', 5, 'I', 'true')}) AS k3 FROM (SELECT w.k, k0, {q2} AS k2, k3 FROM walk w JOIN (SELECT DISTINCT k, n FROM faults) f ON f.k = w.k AND f.n = w.i))
+), edits AS (
+  SELECT k, j, substr(v, 12 + j, 1) AS e, sum((substr(v, 12 + j, 1) <> 'I')::INT) OVER (PARTITION BY k ORDER BY j) AS i FROM (SELECT k, v, unnest(range(1, length(v) - 11)) AS j FROM best)
+), kept AS (
+  SELECT e.k, j, e.e, f.role, f.text, row_number() OVER (PARTITION BY e.k ORDER BY j) - 1 AS p, first_value(CASE e.e WHEN 'K' THEN left(f.role, 1) ELSE 'u' END) OVER (PARTITION BY e.k ORDER BY j) AS head
+  FROM edits e LEFT JOIN faults f ON f.k = e.k AND f.i = e.i AND e.e <> 'I' WHERE e.e <> 'D'
+), lines AS (
+  SELECT k, string_agg(CASE e WHEN 'K' THEN role ELSE CASE (p - (head = 's')::INT) % 2 WHEN 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole FROM kept GROUP BY k
+), counted AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY k
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(left(v, 12)::BIGINT, 0) AS cost, coalesce(substr(v, 13), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS k FROM conversations) c LEFT JOIN counted USING (k) LEFT JOIN best USING (k) LEFT JOIN lines USING (k)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_centroid_clustering": _op11_sql(), "op12_conversation_repair": _op12_sql(), "op6_near_duplicates": _OP6_SQL, "op8_chat_formatting": _OP8_SQL, "op9_benchmark_decontamination": _OP9_SQL}
