@@ -17,6 +17,7 @@ TABLES = {
     "benchmark": "item_id long, text string",
     "labels": "doc_id long, quality int, toxic int",
     "conversations": "conv_id long, turn int, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
 
