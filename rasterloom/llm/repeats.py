@@ -15,8 +15,12 @@ algorithm runs to that depth:
    each string once; equal ones of a task become one with a flag, and only strings with equal content meet, so a
    name that half of the corpus has is dealt by what surrounds it.
 
-Names are 64-bit fingerprints of the bytes; texts are known by a fingerprint too, so equal texts are one text with a
-count, and a text that occurs twice (by SHA-256) is removed whole. Matches never cross texts. Rows with null text are
+Fingerprints of bytes are multilinear sums of 32-bit words under secret keys, drawn anew for each run (``Codes``): no
+text can be made to collide, and two given different strings share 64 bits with probability 2**-64, whatever they are.
+Names have 64 bits, a place with its triple 128 and more, strings 128. Bytes aren't compared again: the weakest decision is
+the last name of a stretch, which takes 2**64 pairs of passages that end differently for one to be expected wrong. Texts are known by bits of their
+SHA-256, and where 64 of them are those of another text (``with_text_keys``) by other bits, so equal texts are one text with a
+count, and a text that occurs twice is removed whole. Matches never cross texts. Rows with null text are
 empty; texts under ``LENGTH`` bytes keep everything; repeated rows and null ids are rows like any other; an empty
 table gives an empty result; other columns may have any name.
 
@@ -27,6 +31,7 @@ and a string goes from the first byte of its first word to the last of its last;
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bit_table, maybe_in
-from .common import durable, mix, slices, text_buffers, text_key, tidy, total_bytes
+from .common import durable, mix, slices, text_buffers, tidy, total_bytes
 
 LENGTH = 400
 # Perfect difference covers: every residue modulo V is a difference of two of these (fixed values).
@@ -48,40 +53,77 @@ COVERS = {
 }
 PER_BUCKET = 12 << 20  # bytes of text whose samples meet in one bucket
 FLUSH = 700_000  # samples that a task holds before it sends them
-_rng = np.random.default_rng(5)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
-KEPT = 1 << 17  # powers that a worker keeps; longer texts bring their own
-
-
-def _powers(n: int) -> tuple[np.ndarray, ...]:
-    bases = np.array([[_BASE], [_INVERSE]], np.uint64)
-    return tuple(np.multiply.accumulate(np.where(np.arange(n) == 0, np.uint64(1), b)) for b in bases)
-
-
-_few = _powers(KEPT)
-
-
-def powers(n: int) -> tuple[np.ndarray, ...]:
-    """Powers 0 to n of the base and of its inverse, modulo 2**64."""
-    return _few if n < KEPT else _powers(n + 1)
-
-
-def prefix_sums(text: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(text))
-    h = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_BYTE[text] * up[: len(text)], out=h[1:])
-    return h
-
-
-def window_hash(h: np.ndarray, start: np.ndarray, width: int, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Hashes of ``width`` bytes each, or words with these ``bounds``, from the starts on."""
-    _, down = powers(len(h))
-    end = start + width
-    if bounds is not None:
-        start, end = bounds[0][start], bounds[1][end - 1]
-    return mix((h[end] - h[start]) * down[start])
+LONGEST = 4096  # bytes of a window that is a sum of words; a longer one (of huge words) is hashed as a whole
+AT_ONCE = 1 << 15  # windows that are summed together
+
+
+class Codes:
+    """Fingerprints of windows of a buffer: for each lane of 32 bits, the upper half of k0 + k1 w1 + k2 w2 + ... modulo
+    2**64, with the window's 32-bit words, filled up with zeros, and its length, under keys of 64 secret bits each. That family is strongly
+    universal: different windows have equal lanes with probability 2**-32, each lane on its own."""
+
+    def __init__(self, seed: int, lanes: int):
+        self.seed = seed
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 64, (lanes, LONGEST // 4 + 2), np.uint64)
+
+    def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Columns of 64 bits (two lanes each) of the windows."""
+        n = len(raw)
+        if n % 4 or n < 8 or not raw.flags.c_contiguous:
+            raw = np.pad(raw, (0, 8))
+            n = len(raw)
+        words = np.ndarray((n - 3,), "<u4", raw, strides=(1,))
+        out = np.zeros((len(self.keys) // 2, len(start)), np.uint64)
+        size = end - start
+        for a in range(0, len(start), AT_ONCE):
+            order = np.argsort(-size[a : a + AT_ONCE], kind="stable") + a
+            order = order[size[order] <= LONGEST]
+            out[:, order] = self._sums(words, start[order], size[order])
+        for i in np.flatnonzero(size > LONGEST):
+            digest = hashlib.blake2b(raw[start[i] : end[i]], digest_size=8 * len(out), key=self.keys[:, 0].tobytes()[:64]).digest()
+            out[:, i] = np.frombuffer(digest, np.uint64)
+        return list(out)
+
+    def _sums(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of windows from long to short."""
+        sums = [k[0] + k[1] * size.astype(np.uint64) for k in self.keys]
+        whole, rest = size >> 2, size & 3
+        live = np.searchsorted(-whole, -np.arange(1, (whole[0] if len(whole) else 0) + 1), side="right")  # windows with so many words
+        for i, m in enumerate(live.tolist()):
+            w = words[start[:m] + 4 * i].astype(np.uint64)
+            for total, k in zip(sums, self.keys):
+                total[:m] += k[i + 2] * w
+        part = np.flatnonzero(rest)
+        if len(part):
+            at = start[part] + 4 * whole[part]
+            behind = at - np.minimum(at, len(words) - 1)  # the last bytes of the buffer aren't a whole word
+            w = words[at - behind].astype(np.uint64) >> (8 * behind).astype(np.uint64)
+            w &= (np.uint64(1) << (8 * rest[part]).astype(np.uint64)) - np.uint64(1)
+            for total, k in zip(sums, self.keys):
+                total[part] += k[whole[part] + 2] * w
+        high = [t >> np.uint64(32) for t in sums]
+        return np.array([x << np.uint64(32) | y for x, y in zip(high[::2], high[1::2])])
+
+
+def secret_codes(lanes: int) -> Codes:
+    """Codes with new keys; a job's tasks, and tasks that run again, share them."""
+    return Codes(secrets.randbits(127), lanes)
+
+
+def with_text_keys(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with ``text_key``: 64 bits of the text's SHA-256 (null as empty). Texts that share them take the next
+    64 bits until different texts have different keys."""
+    digest = F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
+    bits = lambda k: F.conv(F.substring(digest, 1 + 16 * k, 16), 16, -10).cast("long")
+    keyed = docs.withColumn("text_key", bits(0))
+    for k in (1, 2, 3):
+        pairs = keyed.select("text_key", F.unhex(F.substring(digest, 17, 48)).alias("rest")).groupBy("text_key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"))
+        shared = durable(pairs.where("a <> b").select("text_key", F.lit(True).alias("_shared")))
+        if shared.isEmpty():
+            break
+        keyed = keyed.join(shared, "text_key", "left").withColumn("text_key", F.when(F.col("_shared"), bits(k)).otherwise(F.col("text_key"))).drop("_shared")
+    return keyed
 
 
 _SPACE, _SOLID = np.zeros(256, bool), np.zeros(256, bool)
@@ -137,7 +179,7 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-KINDS = {"name": np.uint64, "place": np.uint32, "text_key": np.int64, "triple": np.uint64, "flag": np.uint8, "code": np.uint64}
+KINDS = {"name": np.uint64, "place": np.uint32, "text_key": np.int64, "triple": np.uint64, "flag": np.uint8, "code": np.uint64, "code2": np.uint64}
 
 
 def _pack(name: str, values: np.ndarray) -> bytes:
@@ -146,8 +188,7 @@ def _pack(name: str, values: np.ndarray) -> bytes:
     if name == "text_key":
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         return np.int64(len(first)).tobytes() + values[first].tobytes() + np.diff(np.append(first, len(values))).astype(np.uint32).tobytes()
-    planes = values.view(np.uint8).reshape(len(values), -1).T
-    return planes[:6].tobytes() if name == "name" else planes.tobytes()
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
 def _unpack(name: str, data: bytes) -> np.ndarray:
@@ -155,10 +196,7 @@ def _unpack(name: str, data: bytes) -> np.ndarray:
         n = int(np.frombuffer(data, np.int64, 1)[0])
         return np.repeat(np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n))
     kind = np.dtype(KINDS[name])
-    width = 6 if name == "name" else kind.itemsize
-    out = np.zeros((len(data) // width, kind.itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view(kind)[:, 0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -202,6 +240,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
     pairs count words, and spans that only touch stay apart.
     """
     width = length + 1 - v
+    name_of, string_of = secret_codes(2), secret_codes(4)
     least, touch = least_bytes(length, words), not words
     buckets = max(4, -(-total_bytes(docs, column) // PER_BUCKET))
     text_buckets = 4 * buckets
@@ -229,6 +268,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             for batch in slices(whole, column):
                 offsets, data = text_buffers(batch.column(column))
                 raw = np.frombuffer(data, np.uint8)
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
                 for key, a, b in zip(batch.column("text_key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if b - a < least or key in seen:
                         continue
@@ -238,8 +278,10 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                     if n < length:
                         continue
                     places = sampled(n, v, width)
-                    names = window_hash(prefix_sums(raw[a:b]), places, width, bounds) & np.uint64((1 << 48) - 1)
-                    held.append((names, places.astype(np.uint32), np.full(len(places), key, np.int64)))
+                    found.append((*windows(places, width, bounds, a), places.astype(np.uint32), np.full(len(places), key, np.int64)))
+                if found:
+                    start, end, places, keys = (np.concatenate(c) for c in zip(*found))
+                    held.append((name_of(raw, start, end)[0], places, keys))
                     count += len(places)
                     if count > FLUSH:
                         yield from flush()
@@ -291,7 +333,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
         """flag 0: the stretch of a repeated triple; flag 1: a place around which strings must be looked at."""
         for bucket, (name, place, key, triple, flag) in _gathered(batches, *place_of, "triple", "flag"):
             if bucket < 0:
-                yield _packed(np.full(len(name), -1 - bucket), {"name": name, "place": place, "text_key": key, "flag": np.zeros(len(name), np.uint8)})
+                yield _packed(np.full(len(name), -1 - bucket), {"place": place, "text_key": key, "flag": np.zeros(len(name), np.uint8)})
                 continue
             order, first = _runs(name, triple)
             name, place, key, triple, flag = (x[order] for x in (name, place, key, triple, flag))
@@ -304,7 +346,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             order = np.argsort(key[out], kind="stable")
             out, kind = out[order], kind[order]
             if len(out):
-                yield _packed(to_text(key[out]), {"name": name[out], "place": place[out], "text_key": key[out], "flag": kind})
+                yield _packed(to_text(key[out]), {"place": place[out], "text_key": key[out], "flag": kind})
 
     # 3. the strings around open places, text by text
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,23 +363,24 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
     samples = docs.select("text_key", column).mapInArrow(tidy(sample), _schema(*place_of, "flag"))
     candidates = _by_bucket(samples).mapInArrow(tidy(repeated_names), _schema(*place_of))
     named = _by_bucket(candidates).mapInArrow(tidy(triples), _schema(*place_of, "triple", "flag"))
-    found = _by_bucket(named).mapInArrow(tidy(compared), _schema(*place_of, "flag"))
+    found = _by_bucket(named).mapInArrow(tidy(compared), _schema("place", "text_key", "flag"))
     texts_found = durable(_by_bucket(found).mapInArrow(tidy(by_text), "text_key long, spans binary, places binary"))
     to_look = texts_found.where(F.length("places") > 0)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings around open places; of those that this task has more than once one meets the rest, with a flag."""
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            code, place, key = (np.concatenate([h[i] for h in held]) for i in range(3))
+            code, code2, place, key = (np.concatenate([h[i] for h in held]) for i in range(4))
             held.clear()
-            keep, rest, flag = once_each(code)
-            yield _packed(to_text(code[keep]), {"code": code[keep], "place": place[keep], "text_key": key[keep], "flag": flag[keep]})
+            keep, rest, flag = once_each(code, code2)
+            columns = {"code": code, "code2": code2, "place": place, "text_key": key, "flag": flag}
+            yield _packed(to_text(code[keep]), {n: c[keep] for n, c in columns.items()})
             if len(rest):  # settled: dealt by text (negative buckets)
-                yield _packed(-1 - to_text(key[rest]), {"code": code[rest], "place": place[rest], "text_key": key[rest], "flag": flag[rest]})
+                yield _packed(-1 - to_text(key[rest]), {n: c[rest] for n, c in columns.items()})
 
         for whole in batches:
             for batch in slices(whole, column, 1 << 20):
@@ -348,7 +391,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
                     raw = np.frombuffer(text.encode(), np.uint8)
                     bounds = word_bounds(raw) if words else None
                     at = around(np.frombuffer(place, np.uint32).astype(np.int64), len(bounds[0]) if words else len(raw), v, length)
-                    held.append((window_hash(prefix_sums(raw), at, length, bounds), at.astype(np.uint32), np.full(len(at), key, np.int64)))
+                    held.append((*string_of(raw, *windows(at, length, bounds)), at.astype(np.uint32), np.full(len(at), key, np.int64)))
                     count += len(at)
                     if count > FLUSH:
                         yield from flush()
@@ -357,10 +400,11 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             yield from flush()
 
     def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (code, place, key, flag) in _gathered(batches, "code", "place", "text_key", "flag"):
+        for bucket, (code, code2, place, key, flag) in _gathered(batches, "code", "code2", "place", "text_key", "flag"):
             if bucket >= 0:
-                order, new = _runs(code, key, place)  # copies of one text send the same string
-                group = np.cumsum(np.concatenate([[True], code[order][1:] != code[order][:-1]])) - 1
+                order, new = _runs(code, code2, key, place)  # copies of one text send the same string
+                first = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (code2[order][1:] != code2[order][:-1])])
+                group = np.cumsum(first) - 1
                 often = (np.bincount(group, new) > 1) | (np.bincount(group, flag[order]) > 0)
                 keep = order[new & often[group]]
                 place, key = place[keep], key[keep]
@@ -376,7 +420,7 @@ def repeated_spans(docs: DataFrame, column: str, length: int = LENGTH, v: int =
             yield pa.RecordBatch.from_arrays([pa.array(key[bounds[:-1]]), pa.array(spans, pa.binary())], names=["text_key", "spans"])
 
     looked = maybe_in(docs.select("text_key", column), bit_table(to_look, "text_key")).join(to_look.select("text_key", "places"), "text_key")
-    found_strings = looked.mapInArrow(tidy(strings), _schema("code", "place", "text_key", "flag"))
+    found_strings = looked.mapInArrow(tidy(strings), _schema("code", "code2", "place", "text_key", "flag"))
     again = _by_bucket(found_strings).mapInArrow(tidy(repeated_strings), _schema("place", "text_key"))
     more = _by_bucket(again).mapInArrow(tidy(their_spans), "text_key long, spans binary")
     every = texts_found.where(F.length("spans") > 0).select("text_key", "spans").unionByName(more)
@@ -409,11 +453,17 @@ def around(place: np.ndarray, n: int, v: int, length: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge)[: max(0, n - length + 1)] > 0)
 
 
-def once_each(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(start: np.ndarray, width: int, bounds: tuple[np.ndarray, np.ndarray] | None, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of windows of ``width`` bytes, or words with these ``bounds``."""
+    if bounds is None:
+        return base + start, base + start + width
+    return base + bounds[0][start], base + bounds[1][start + width - 1]
+
+
+def once_each(*code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that go on, one of each code; rows that needn't, as their code is repeated; a flag where it is."""
-    order = np.argsort(code, kind="stable")
-    first = np.concatenate([[True], code[order][1:] != code[order][:-1]])[: len(order)]
-    flag = np.zeros(len(code), np.uint8)
+    order, first = _runs(*code)
+    flag = np.zeros(len(code[0]), np.uint8)
     flag[order[first]] = np.diff(np.append(np.flatnonzero(first), len(order))) > 1
     return np.sort(order[first]), np.sort(order[~first]), flag
 
@@ -460,7 +510,7 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", column: str = "text", le
 
     ``n_kept`` counts the bytes that stay, ``n_kept_chars`` the characters that begin in them.
     """
-    keyed = docs.select(F.col(key).alias("_key"), text_key(column).alias("text_key"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    keyed = with_text_keys(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(column), F.lit("")).alias("_text")), "_text")
     rows = durable(keyed.select("_key", "text_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.length("_text").cast("long").alias("n_chars"), F.sha2("_text", 256).alias("whole_sha256")))
     same = ["text_key", "whole_sha256"]
     copies = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same, F.lit(True).alias("copied"))
@@ -491,7 +541,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
     """
     names = [f"_{i}" for i in range(len(docs.columns))]  # none that the columns here can clash with
     text = names[docs.columns.index(column)]
-    keyed = docs.toDF(*names).withColumn("text_key", text_key(text))
+    keyed = with_text_keys(docs.toDF(*names), text)
     long_ones = keyed.where(F.octet_length(text) >= least_bytes(length, words)).groupBy("text_key", F.sha2(text, 256).alias("sha")).agg(F.count("*").alias("n"))
     copies = durable(long_ones.where("n > 1").groupBy("text_key").agg(F.collect_list("sha").alias("copied")))
     changes = durable(repeated_spans(keyed, text, length, v, words).join(copies, "text_key", "full_outer"))

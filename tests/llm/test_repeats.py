@@ -69,10 +69,10 @@ def test_strings_of_a_hot_name_are_dealt_by_content(spark, documents):
     got = {r["doc_id"]: r["kept_sha256"] for r in repeats.repeat_report(documents(rows), length=20, v=13).collect()}
     assert got == {i: w[3] for i, w in enumerate(brute(texts, 20))}
     # all texts have the name at place 30; of their strings around it, those in the passage go on once, the others by content
-    code = []
+    code, codes = [], repeats.secret_codes(2)
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
-        code.append(repeats.window_hash(repeats.prefix_sums(raw), repeats.around(np.array([30]), len(raw), 13, 20), 20))
+        code.append(codes(raw, *repeats.windows(repeats.around(np.array([30]), len(raw), 13, 20), 20, None))[0])
     code = np.concatenate(code)
     keep, rest, flag = repeats.once_each(code)
     assert len(code) == 13 * 300 and len(set(code[keep].tolist())) == len(keep) and len(keep) + len(rest) == len(code)
@@ -121,3 +121,41 @@ def test_contract_length_against_brute_force(spark, documents):
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeat_report(documents(rows)).collect()}
     assert got == {i: w[:4] for i, w in enumerate(brute(texts, 400))}
+
+
+def test_texts_made_to_collide(documents):
+    """Two texts of 400 bytes that sums of powers of any base modulo 2**64 can't tell apart: Thue and Morse's words."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    other = word.translate(str.maketrans("ab", "ba"))
+    base = lambda t: sum(ord(c) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(t)) % (1 << 64)
+    assert base(word) == base(other)
+    rng = random.Random(5)
+    tail = "".join(rng.choice("cdefgh") for _ in range(300))
+    out = {r["doc_id"]: r["n_removed"] for r in repeats.repeat_report(documents([(0, word + tail), (1, other + tail)]), length=2200, v=183).collect()}
+    assert out == {0: 0, 1: 0}
+
+
+def test_codes_depend_on_bytes_and_length_alone():
+    rng = np.random.default_rng(6)
+    codes = repeats.secret_codes(4)
+    raw = rng.integers(0, 4, 3000, np.uint8)
+    start = rng.integers(0, 2000, 500)
+    end = start + rng.integers(0, 1000, 500)
+    start[:40], end[:40] = 3000 - np.arange(40), 3000
+    one, two = codes(raw, start, end)
+    for shift in (1, 2, 3):
+        moved = np.concatenate([rng.integers(0, 4, shift, np.uint8), raw, rng.integers(0, 4, 5, np.uint8)])
+        again = codes(moved, start + shift, end + shift)
+        assert (again[0] == one).all() and (again[1] == two).all()
+    strings = [raw[a:b].tobytes() for a, b in zip(start, end)]
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(set(strings))
+    big = rng.integers(0, 255, 20_000, np.uint8)
+    assert len(set(codes(big, np.array([0, 1, 0]), np.array([9000, 9001, 9000]))[0].tolist())) == 2
+
+
+def test_texts_with_equal_key_bits(spark, documents, monkeypatch):
+    real = repeats.F.substring
+    monkeypatch.setattr(repeats.F, "substring", lambda c, a, n: real(c, a, 1) if n == 16 and a == 1 else real(c, a, n))  # 4 bits at first
+    texts = ["x" * 30 + "abcdefghijklmnopqrstuvwxyz"[k % 26] * 25 + str(k) for k in range(60)]
+    got = {r["doc_id"]: r["kept_sha256"] for r in repeats.repeat_report(documents(list(enumerate(texts))), length=20, v=13).collect()}
+    assert got == {i: w[3] for i, w in enumerate(brute(texts, 20))}
