@@ -2,8 +2,9 @@
 
 A record's fingerprint is the hash of its sorted nested field paths (arrays as ``[]``, with leaf kinds). It
 selects a declarative mapping: where the turns are, and where each turn's role and text are. A fingerprint that is
-met for the first time selects the mapping whose own paths it all has, with the most of them; fields beyond these (ids,
-names, weights) don't matter. Records of any layout so become canonical (role, text) turns, and turns become
+met for the first time selects the mappings whose own paths it all has, those with the most of them first. A record takes the first of them that
+reads all it says: a field named like one that some mapping reads (``SPOKEN``), or a string inside a list of turns, must be read or empty; a record
+with more to say than any mapping reads is an unknown layout. Of other fields (ids, names, weights) those with text are listed in ``unread``. Records of any layout so become canonical (role, text) turns, and turns become
 template segments.
 
 The template marks a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts every ``<``,
@@ -55,7 +56,7 @@ def fingerprint(record) -> str:
 class Mapping:
     """``turns``: path of the list of turns (empty: the record is made of fixed parts or is one turn itself).
 
-    ``role`` and ``text``: paths inside a turn; ``parts``: fixed (role, path) turns of a record; absent or empty
+    ``role`` and ``text``: paths inside a turn; ``parts``: fixed (role, path) turns of a record, before those of its list; absent or empty
     optional parts are left out. ``roles``: names to rewrite.
     """
 
@@ -67,6 +68,16 @@ class Mapping:
     parts: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
+    def reads(self, path: str) -> bool:
+        """Whether this mapping's turns have what stands at a field path."""
+        place = path.rpartition(":")[0]
+        if self.turns:
+            inside = "$[]" if self.turns == "$" else f"$.{self.turns}[]"
+        else:
+            inside = "$"
+        own = [f"{inside}.{self.text}", f"{inside}.{self.role}"] if self.text else []
+        return place in own or any(place == f"$.{p}" for _, part in self.parts for p in part.split("+"))
+
     @property
     def fingerprint(self) -> str:
         return fingerprint_paths(set(self.paths))
@@ -77,6 +88,10 @@ MAPPINGS = (
     Mapping("turn_content", ("$.role:text", "$.content:text"), role="role", text="content"),
     Mapping("turn_value", ("$.from:text", "$.value:text"), role="from", text="value"),
     Mapping("messages", ("$.messages[].role:text", "$.messages[].content:text"), turns="messages", role="role", text="content"),
+    Mapping("system_messages", ("$.system:text", "$.messages[].role:text", "$.messages[].content:text"), turns="messages", role="role", text="content", parts=(("system", "system"),)),
+    Mapping("system_sharegpt", ("$.system:text", "$.conversations[].from:text", "$.conversations[].value:text"), turns="conversations", role="from", text="value", parts=(("system", "system"),), roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("system_instruction", ("$.system:text", "$.instruction:text", "$.output:text"), parts=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("system_instruction_input", ("$.system:text", "$.instruction:text", "$.input:text", "$.output:text"), parts=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
     Mapping("messages_text", ("$.messages[].role:text", "$.messages[].text:text"), turns="messages", role="role", text="text"),
     Mapping("bare_list", ("$[].role:text", "$[].content:text"), turns="$", role="role", text="content"),
     Mapping("sharegpt", ("$.conversations[].from:text", "$.conversations[].value:text"), turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
@@ -89,19 +104,42 @@ MAPPINGS = (
 )
 
 
+#: Names of fields that hold what is said.
+SPOKEN = {"text", "content", "value", "instruction", "input", "output", "prompt", "completion", "response", "system", "question", "answer", "messages", "conversations"}
+
+
+def texts_at(value, path: str = "$") -> set[str]:
+    """Paths of the strings that aren't empty."""
+    if isinstance(value, dict):
+        return {p for k in value for p in texts_at(value[k], f"{path}.{k}")}
+    if isinstance(value, list):
+        return {p for x in value for p in texts_at(x, path + "[]")}
+    return {path + ":text"} if isinstance(value, str) and value else set()
+
+
+def _spoken(path: str) -> bool:
+    return path.rpartition(":")[0].rpartition(".")[2].rstrip("[]") in SPOKEN or path == "$[]:text"
+
+
 class Layouts:
-    """The mapping of each fingerprint, learnt as they come."""
+    """The mappings of each fingerprint, learnt as they come."""
 
     def __init__(self, mappings: tuple[Mapping, ...]):
         self.by_size = sorted(mappings, key=lambda m: -len(m.paths))
-        self.known: dict[str, Mapping | None] = {m.fingerprint: m for m in mappings}
+        self.known: dict[str, list[tuple[Mapping, bool]]] = {}
 
-    def of(self, record) -> tuple[str, Mapping | None]:
+    def of(self, record) -> tuple[str, Mapping | None, list[str]]:
+        """(fingerprint, mapping, paths of texts that it doesn't read)."""
         paths = field_paths(record)
         name = fingerprint_paths(paths)
-        if name not in self.known:
-            self.known[name] = next((m for m in self.by_size if paths.issuperset(m.paths)), None)
-        return name, self.known[name]
+        if name not in self.known:  # with whether all text is read in any case
+            fits = [m for m in self.by_size if paths.issuperset(m.paths)]
+            self.known[name] = [(m, all(m.reads(p) or not p.endswith(":text") for p in paths)) for m in fits]
+        for mapping, whole in self.known[name]:
+            unread = [] if whole else sorted(p for p in texts_at(record) if not mapping.reads(p))
+            if not any(map(_spoken, unread)):
+                return name, mapping, unread
+        return name, None, []
 
 
 def _plain(value) -> str:
@@ -110,17 +148,17 @@ def _plain(value) -> str:
 
 def canonical(record, m: Mapping) -> list[tuple[str, str]]:
     """The record's (role, text) turns."""
-    if m.parts:
-        found = []
-        for role, path in m.parts:
-            pieces = [_plain(record.get(p)) for p in path.split("+")]
-            if pieces[0] or role != "system":
-                found.append((role, "\n\n".join(x for i, x in enumerate(pieces) if x or i == 0)))
+    found = []
+    for role, path in m.parts:
+        pieces = [_plain(record.get(p)) for p in path.split("+")]
+        if pieces[0] or role != "system":
+            found.append((role, "\n\n".join(x for i, x in enumerate(pieces) if x or i == 0)))
+    if not m.text:
         return found
     rename = dict(m.roles)
     turns = [record] if not m.turns else record if m.turns == "$" else record[m.turns]
     spoken = [(_plain(t.get(m.role)), _plain(t.get(m.text))) for t in turns if isinstance(t, dict)]
-    return [(rename.get(role, role), text) for role, text in spoken]
+    return found + [(rename.get(role, role), text) for role, text in spoken]
 
 
 def escape(text: str) -> str:
@@ -155,14 +193,14 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def format_records(df: DataFrame, key: str, record: str, order: str | None = None, mappings: tuple[Mapping, ...] = MAPPINGS, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Template segments of JSON records: key, order, n, layout, role, segment, loss_start, loss_end.
+    """Template segments of JSON records: key, order, n, layout, role, segment, loss_start, loss_end, unread.
 
     ``n`` counts the turns inside a record; ``loss_start`` and ``loss_end`` bound what the loss covers in the
-    segment (null for other roles). One record may be a whole conversation or one turn with its place in ``order``.
+    segment (null for other roles); ``unread`` has the paths of a record's texts that its mapping doesn't read (with its first turn). One record may be a whole conversation or one turn with its place in ``order``.
     """
     kinds = dict(df.dtypes)
     keep = [key, *([order] if order else [])]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n int, layout string, role string, segment string, loss_start int, loss_end int"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n int, layout string, role string, segment string, loss_start int, loss_end int, unread array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layouts = Layouts(mappings)
@@ -173,19 +211,19 @@ def format_records(df: DataFrame, key: str, record: str, order: str | None = Non
                     value = json.loads(raw) if raw is not None else None
                 except ValueError:
                     value = None
-                layout, mapping = layouts.of(value)
+                layout, mapping, unread = layouts.of(value)
                 if mapping is None:
-                    rows.append((0, layout, None, None, None, None))
+                    rows.append((0, layout, None, None, None, None, None))
                     source.append(i)
                     continue
                 for n, (role, text) in enumerate(canonical(value, mapping)):
                     s, a, b = segment(role, text)
-                    rows.append((n, mapping.name, role, s, *((a, b) if role in learn_from else (None, None))))
+                    rows.append((n, mapping.name, role, s, *((a, b) if role in learn_from else (None, None)), unread if unread and n == 0 else None))
                     source.append(i)
             took = pa.array(source, pa.int64())
-            types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
             cols = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(took) for c in keep] + cols, names=[*keep, "n", "layout", "role", "segment", "loss_start", "loss_end"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(took) for c in keep] + cols, names=[*keep, "n", "layout", "role", "segment", "loss_start", "loss_end", "unread"])
 
     return df.select(*keep, record).mapInArrow(tidy(run), schema)
 
@@ -195,6 +233,11 @@ def unknown_layouts(segments: DataFrame) -> DataFrame:
     return segments.where(F.col("segment").isNull()).groupBy(F.col("layout").alias("fingerprint")).agg(F.count("*").alias("n_records"))
 
 
+def unread_fields(segments: DataFrame) -> DataFrame:
+    """Paths of texts that no turn has, and how many records of each mapping have them."""
+    return segments.select("layout", F.explode("unread").alias("path")).groupBy("layout", "path").agg(F.count("*").alias("n_records"))
+
+
 def conversations_text(segments: DataFrame, key: str, order: str) -> DataFrame:
     """Whole formatted conversations as strings, for conversations that fit a row."""
     turns = F.array_sort(F.collect_list(F.struct(order, "n", "segment")))

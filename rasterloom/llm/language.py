@@ -9,10 +9,11 @@ for each language. Since the kernel is linear in (normalised) presence vectors,
 and the weights fold into one matrix, and blocks are scored by batched products of presence rows with it. A
 text's score is the mean of its blocks, weighted by their n-grams.
 
-Training takes at most ``max_rows`` labelled rows a language (by hash of the id), and of each whole text the
-``per_text`` blocks whose hash of id and number is least, wherever they are. ``und`` for null texts and texts without
+Training takes the ``max_languages`` languages with most labelled rows, at most ``max_rows`` different labelled rows of each (by hash of the id, then
+of the text) and of each whole text the ``per_text`` blocks whose hash of id and number is least, wherever they are; with many
+languages fewer rows, so that ``max_blocks`` blocks at most reach the driver. Rows of one id and text teach once. ``und`` for null texts and texts without
 a letter (score 0). Ties go to the first language in sorted order; without any labelled row everything is ``und``.
-Repeated rows are rows like any other; rows without an id teach nothing; an empty table gives an empty result; a
+Repeated rows get equal results; rows without an id teach nothing; an empty table gives an empty result; a
 column with an output's name gives way to it.
 """
 
@@ -92,32 +93,38 @@ def nystrom_ridge(x: np.ndarray, y: list[str], landmarks: int, ridge: float, see
     return Model(languages, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), (mean_t - mean_f @ w).astype(np.float32))
 
 
-def training_blocks(docs: DataFrame, key: str, column: str, label: str, max_rows: int, per_text: int) -> DataFrame:
-    """(label, id, number, block): at most ``max_rows`` rows a label, and ``per_text`` blocks of each."""
-    usable = docs.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & (crc_fold("id", 5) != 0)).distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_rows).select("id", "label")
-    texts = docs.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(column).alias("text")).where("text is not null")
+def training_blocks(docs: DataFrame, key: str, column: str, label: str, max_rows: int, per_text: int, max_languages: int = 64, max_blocks: int = 10_000) -> DataFrame:
+    """(label, id, number, block): at most ``max_rows`` rows a label, ``per_text`` blocks of each, and ``max_blocks`` in all."""
+    texts = docs.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(column).alias("text"), F.xxhash64(column).alias("h"))
+    usable = texts.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (crc_fold("id", 5) != 0))
+    languages = [r["label"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()]
+    each = min(max_rows, max_blocks // (per_text * max(1, len(languages))))
+    usable = usable.where(F.col("label").isin(languages))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "h")
+    ids = usable.select("id", "label", "h").distinct()
+    picked = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("id", "label", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 out = []
-                for name, i, text in zip(*(batch.column(c).to_pylist() for c in ("label", "id", "text"))):
+                for name, i, h, text in zip(*(batch.column(c).to_pylist() for c in ("label", "id", "h", "text"))):
                     if _LETTER.search(text):
                         found = blocks_of(np.frombuffer(text.encode(), np.uint8))
                         number = np.arange(len(found), dtype=np.uint64)
                         chosen = np.argsort(mix(number + np.uint64(zlib.crc32(i.encode()) << 32)), kind="stable")[:per_text]
-                        out += [(name, i, k, found[k].tobytes()) for k in sorted(chosen.tolist())]
+                        out += [(name, i, h, k, found[k].tobytes()) for k in sorted(chosen.tolist())]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["label", "id", "number", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["label", "id", "h", "number", "block"])
 
-    return texts.join(F.broadcast(picked), ["id", "label"]).select("label", "id", "text").mapInArrow(tidy(run), "label string, id string, number int, block binary")
+    chosen = usable.join(F.broadcast(picked), ["id", "label", "h"]).select("label", "id", "h", "text")  # max_blocks rows are broadcast at most
+    blocks = chosen.mapInArrow(tidy(run), "label string, id string, h long, number int, block binary")
+    return blocks.groupBy("label", "id", "h", "number").agg(F.min("block").alias("block")).select("label", "id", "number", "block")
 
 
-def fit(docs: DataFrame, key: str = "doc_id", column: str = "text", label: str = "lang", max_rows: int = 600, per_text: int = 2, landmarks: int = 320, ridge: float = 1.0) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", column: str = "text", label: str = "lang", max_rows: int = 600, per_text: int = 2, landmarks: int = 320, ridge: float = 1.0, max_languages: int = 64, max_blocks: int = 10_000) -> Model:
     """Learn from rows whose id's crc32 modulo 5 isn't 0; what reaches the driver is the bounded sample of blocks."""
-    rows = training_blocks(docs, key, column, label, max_rows, per_text).orderBy("label", "id", "number", "block").collect()
+    rows = training_blocks(docs, key, column, label, max_rows, per_text, max_languages, max_blocks).orderBy("label", "id", "number", "block").collect()
     if not rows:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
     return nystrom_ridge(presence([np.frombuffer(r["block"], np.uint8) for r in rows]), [r["label"] for r in rows], landmarks, ridge)

@@ -238,6 +238,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+ROW_BYTES = 64  # that a row of the sample counts for beside its text
+
+
 def cache() -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.float32)
 
@@ -248,7 +251,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, column: str, m
     known = known.withColumn("fold", crc_fold("name", 4)).where("fold <> 2").withColumn("id", id_hash("name"))
     first = [known.where(F.col("toxic") == t).orderBy("id", "name").limit(max_rows) for t in (0, 1)]
     rows = durable(first[0].unionByName(first[1]))
-    size = docs.select(id_hash(key).alias("id"), F.octet_length(column).alias("n")).join(F.broadcast(rows.select("id")), "id").groupBy("id").agg(F.sum("n").alias("n"))
+    size = docs.select(id_hash(key).alias("id"), (F.coalesce(F.octet_length(column), F.lit(0)) + ROW_BYTES).alias("n")).join(F.broadcast(rows.select("id")), "id").groupBy("id").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("toxic").orderBy("id", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over max_rows rows a class
     short = rows.join(F.broadcast(size), "id", "left").withColumn("bytes", F.sum(F.coalesce("n", F.lit(0))).over(before)).where(F.col("bytes") <= max_bytes)
     return durable(short.select("id", "toxic", F.when(F.col("fold") == 1, "calibrate").otherwise("count").alias("fold")))

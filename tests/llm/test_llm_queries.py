@@ -82,7 +82,13 @@ def test_layouts_with_more_fields(spark):
         ('{"id": 7, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "r", "weight": 1}]}', [("user", "q"), ("assistant", "r")]),
         ('{"conversations": [{"from": "human", "value": "q"}], "source": {"a": [1]}}', [("user", "q")]),
         ('{"prompt": "q", "response": "r", "score": 0.5, "tags": []}', [("user", "q"), ("assistant", "r")]),
-        ('{"role": "user", "content": "q", "text": null, "id": 1}', [("user", "")]),
+        ('{"role": "user", "content": "q", "text": null, "id": 1}', [("user", "q")]),
+        ('{"system": "s", "messages": [{"role": "user", "content": "q"}]}', [("system", "s"), ("user", "q")]),
+        ('{"system": null, "conversations": [{"from": "gpt", "value": "r"}]}', [("assistant", "r")]),
+        ('{"system": "s", "instruction": "i", "output": "o"}', [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ('{"prompt": "q", "completion": "", "response": "r"}', [("user", "q"), ("assistant", "r")]),
+        ('{"prompt": "q", "completion": "c", "response": "r"}', None),
+        ('{"messages": [{"role": "user", "content": "q"}, "lost"]}', None),
         ('{"neither": 1}', None),
         ("[1, 2", None),
         (None, None),
@@ -93,7 +99,8 @@ def test_layouts_with_more_fields(spark):
     for r in seg.where("segment is not null").orderBy("id", "n").collect():
         got.setdefault(r["id"], []).append(chat.parse(r["segment"])[0][:2])
     assert got == {k: t for k, (_, t) in enumerate(records) if t}
-    assert chat.unknown_layouts(seg).selectExpr("sum(n_records)").first()[0] == 3
+    assert chat.unknown_layouts(seg).selectExpr("sum(n_records)").first()[0] == 5
+    assert {tuple(r) for r in chat.unread_fields(seg).collect()} == {("messages", "$.messages[].name:text", 1)}
 
 
 def test_names_that_clash(spark, words):

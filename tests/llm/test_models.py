@@ -198,3 +198,21 @@ def test_broken_markup_takes_linear_time():
 def test_pages_without_text(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as n_chars", "'mine' as text")
     assert [(r["text"], r["n_chars"]) for r in html.extract(pages, html.fit(20)).collect()] == [("", 0)] * len(rows)
+
+
+def test_training_rows_are_bounded(spark, words):
+    rng = random.Random(8)
+    rows = [("one", words(rng, 60), "en") for _ in range(300)] + [("same", words(rng, 60), "fr")] * 300 + [(f"d{i}", words(rng, 60), f"l{i % 40}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    count = lambda **bounds: Counter(r["label"] for r in language.training_blocks(docs, "doc_id", "text", "lang", 10, 2, **bounds).collect())
+    assert all(n <= 20 for n in count().values()) and count()["fr"] <= 2
+    assert len(count(max_languages=3)) <= 3
+    assert sum(count(max_blocks=100).values()) <= 100
+
+
+def test_sample_counts_rows_without_text(spark):
+    docs = spark.createDataFrame([("a", "")] * 1000 + [(f"d{i}", "x") for i in range(50)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1)] + [(f"d{i}", i % 2) for i in range(50)], "doc_id string, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", 100, 2000)
+    ids = docs.select(toxicity.id_hash("doc_id").alias("id")).join(sample, "id")
+    assert 0 < ids.count() < 100
