@@ -20,7 +20,7 @@ from ..sources.spool import durable
 from ..types import Border, Criteria, MatrixError, Shape
 from . import dense
 from .components import components
-from .neighbourhood import aligned, gaussian_blur, neighbours, resize, separable, sobel
+from .neighbourhood import gaussian_blur, neighbours, resize, sobel
 
 
 def val() -> Column:
@@ -30,25 +30,18 @@ def val() -> Column:
 
 def structure_tensor(px: DataFrame, shape: Shape, block: int, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
     """(img, y, x, c, ixx, ixy, iyy): block means of the products of the derivatives."""
-    if dense.whole(shape):
-        kernels = [[T.kernel_taps(n, k, border=border) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(ksize, dx, dy))] for dx, dy in ((1, 0), (0, 1))]
-        means = [T.kernel_taps(n, [1.0 / block] * block, border=border) for n in (shape.cols, shape.rows)]
-
-        def tensors(a: np.ndarray) -> dict[str, np.ndarray]:
-            gx, gy = (dense.separable(a, *k) for k in kernels)
-            return {n: dense.separable(p, *means) for n, p in (("ixx", gx * gx), ("ixy", gx * gy), ("iyy", gy * gy))}
-
-        return dense.by_image(px, shape, tensors, ("ixx", "ixy", "iyy"))
-    gx = sobel(px, shape, 1, 0, ksize, border=border).withColumnRenamed("v", "_gx")
-    gy = sobel(px, shape, 0, 1, ksize, border=border).withColumnRenamed("v", "_gy")
-    both = gx.join(gy, list(KEYS))
-    x, y = F.col("_gx"), F.col("_gy")
-    products = both.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(k).alias("p"), p.alias("v")) for k, p in enumerate((x * x, x * y, y * y))])).alias("_p"))
-    flat = products.select("img", "y", "x", (F.col("c") * 3 + F.col("_p.p")).alias("c"), F.col("_p.v").alias("v"))
-    one = [1.0 / block] * block
-    mean = separable(flat, T.kernel_taps(shape.cols, one, border=border), T.kernel_taps(shape.rows, one, border=border))
-    pick = lambda k: F.max(F.when(F.col("c") % 3 == k, val()))
-    return mean.groupBy("img", "y", "x", F.floor(F.col("c") / 3).cast("int").alias("_c")).agg(pick(0).alias("ixx"), pick(1).alias("ixy"), pick(2).alias("iyy")).withColumnRenamed("_c", "c")
+    kernels = [T.sobel_kernels(ksize, dx, dy) for dx, dy in ((1, 0), (0, 1))]
+    r, q = len(kernels[0][0]) // 2, block // 2  # of the derivatives and of the means
+    mean = [0.0] * (block % 2 == 0) + [1.0 / block] * block
+    mean = mean[::-1] if block % 2 == 0 else mean  # an even block reaches further up and left
+
+    def tensors(f: dense.Frame) -> dict[str, np.ndarray]:
+        gx, gy = (f.correlated(f.v, *k) for k in kernels)
+        near = f.near()
+        out = {n: f.correlated(f.bordered(p, q), mean, mean) for n, p in (("ixx", gx * gx), ("ixy", gx * gy), ("iyy", gy * gy))}
+        return out if near is None else out | {"_keep": near}
+
+    return dense.filtered(px, shape, (r + q, r + q), border, tensors, ("ixx", "ixy", "iyy"))
 
 
 def tensor() -> tuple[Column, Column, Column]:
@@ -93,37 +86,27 @@ def corner_harris(px: DataFrame, shape: Shape, block: int, ksize: int = 3, k: fl
 
 def pre_corner_detect(px: DataFrame, shape: Shape, ksize: int = 3, border: Border = Border.REFLECT_101) -> DataFrame:
     """Ix^2 Iyy + Iy^2 Ixx - 2 Ix Iy Ixy."""
-    if dense.whole(shape):
-        taps = [[T.kernel_taps(n, k, border=border) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(ksize, dx, dy))] for dx, dy in ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+    kernels = [T.sobel_kernels(ksize, dx, dy) for dx, dy in ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+    r = len(kernels[0][0]) // 2
 
-        def curvature(a: np.ndarray) -> dict[str, np.ndarray]:
-            x, y, xx, yy, xy = (dense.separable(a, *k) for k in taps)
-            return {"v": x * x * yy + y * y * xx - 2 * x * y * xy}
+    def curvature(f: dense.Frame) -> dict[str, np.ndarray]:
+        x, y, xx, yy, xy = (f.correlated(f.v, *k) for k in kernels)
+        near = f.near()
+        out = {"v": x * x * yy + y * y * xx - 2 * x * y * xy}
+        return out if near is None else out | {"_keep": near}
 
-        return dense.by_image(px, shape, curvature)
-    parts = [sobel(px, shape, dx, dy, ksize, border=border).withColumnRenamed("v", n) for n, dx, dy in (("_x", 1, 0), ("_y", 0, 1), ("_xx", 2, 0), ("_yy", 0, 2), ("_xy", 1, 1))]
-    j = parts[0]
-    for p in parts[1:]:
-        j = j.join(p, list(KEYS))
-    x, y = F.col("_x"), F.col("_y")
-    return j.select(*KEYS, (x * x * F.col("_yy") + y * y * F.col("_xx") - 2 * x * y * F.col("_xy")).alias("v"))
+    return dense.filtered(px, shape, (r, r), border, curvature)
 
 
 def local_maxima(px: DataFrame, shape: Shape, strict: bool, margin: int = 1) -> DataFrame:
     """Pixels at least ``margin`` from the edge that no (strict: not even an equal) 3 x 3 neighbour tops."""
-    if dense.whole(shape):
 
-        def peaks(a: np.ndarray) -> dict[str, np.ndarray]:
-            inner = np.zeros(a.shape, bool)
-            inner[:, margin : a.shape[1] - margin, margin : a.shape[2] - margin] = True
-            top = dense.top_around(a)
-            return {"v": a, "_keep": inner & (a > top if strict else a >= top)}
 
-        return dense.by_image(px, shape, peaks)
-    ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    top = neighbours(px, shape, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
-    inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
-    return px.where(inner).join(top, list(KEYS)).where(val() > F.col("_top") if strict else val() >= F.col("_top")).select(*KEYS, "v")
+    def peaks(f: dense.Frame) -> dict[str, np.ndarray]:
+        a, top = f.shift(f.v, 0, 0), dense.top_around(f, f.v)
+        return {"v": a, "_keep": f.present(f.inner(margin) & (a > top if strict else a >= top))}
+
+    return dense.filtered(px, shape, (1, 1), Border.CONSTANT, peaks, fill=-math.inf, outside=-math.inf)
 
 
 def spaced(candidates: DataFrame, min_distance: float, most: int = 0) -> DataFrame:
@@ -179,39 +162,23 @@ def corner_sub_pix(px: DataFrame, shape: Shape, corners: DataFrame, win: int = 2
 def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
     """(img, y, x, strong): thinned edge pixels, before hysteresis."""
     low, high = min(low, high), max(low, high)
-    if dense.whole(shape):
-        taps = [[T.kernel_taps(n, k) for n, k in zip((shape.cols, shape.rows), T.sobel_kernels(aperture, dx, dy))] for dx, dy in ((1, 0), (0, 1))]
-
-        def thin(a: np.ndarray) -> dict[str, np.ndarray]:
-            gx, gy = (dense.separable(a[..., :1], *k) for k in taps)
-            m = np.hypot(gx, gy) if l2 else np.abs(gx) + np.abs(gy)
-            angle = np.degrees(np.arctan2(gy, gx)) % 180
-            line = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
-            sides = [np.maximum(*dense.shifts(m, ((dy, dx), (-dy, -dx)), Border.CONSTANT)) for dy, dx in ((0, 1), (-1, 1), (1, 0), (1, 1))]
-            inner = np.zeros(m.shape, bool)
-            inner[:, 1:-1, 1:-1] = True
-            return {"v": m, "_keep": inner & (m >= low) & (m >= np.choose(line, sides))}
-
-        return dense.by_image(px.where("c = 0"), shape, thin).select("img", "y", "x", (val() >= high).alias("strong"))
-    gx = sobel(px, shape, 1, 0, aperture).withColumnRenamed("v", "_gx")
-    gy = sobel(px, shape, 0, 1, aperture).withColumnRenamed("v", "_gy")
-    g = gx.join(gy, list(KEYS))
-    x, y = F.col("_gx"), F.col("_gy")
-    m = F.sqrt(x * x + y * y) if l2 else F.abs(x) + F.abs(y)
-    angle = F.atan2(y, x) * (180 / math.pi)
-    angle = F.when(angle < 0, angle + 180).otherwise(angle)
-    sector = F.when(m <= 1e-5, -1).when((angle < 22.5) | (angle >= 157.5), 0).when(angle < 67.5, 1).when(angle < 112.5, 2).otherwise(3)
-    mag = g.select(*KEYS, m.alias("v"), sector.alias("_s"))
-    ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    sides = {0: ((0, -1), (0, 1)), 1: ((-1, 1), (1, -1)), 2: ((-1, 0), (1, 0)), 3: ((-1, -1), (1, 1))}
-    around = neighbours(mag.select(*KEYS, "v"), shape, ring, Border.CONSTANT).select(*KEYS, F.col("v").alias("_n"), "_dy", "_dx")
-    on_line = F.lit(False)
-    for s, pair in sides.items():
-        for dy, dx in pair:
-            on_line = on_line | ((F.col("_s") == s) & (F.col("_dy") == dy) & (F.col("_dx") == dx))
-    inner = F.col("y").between(1, shape.rows - 2) & F.col("x").between(1, shape.cols - 2)
-    top = mag.where(inner & (val() >= low)).join(around, list(KEYS)).groupBy(*KEYS, "v").agg(F.max(F.when(on_line, F.col("_n"))).alias("_top"))
-    return top.where(val() >= F.coalesce("_top", F.lit(0.0))).select("img", "y", "x", (val() >= high).alias("strong"))
+    kernels = [T.sobel_kernels(aperture, dx, dy) for dx, dy in ((1, 0), (0, 1))]
+    r = len(kernels[0][0]) // 2
+
+    def thin(f: dense.Frame) -> dict[str, np.ndarray]:
+        gx, gy = (f.correlated(f.v, *k) for k in kernels)
+        m = np.hypot(gx, gy) if l2 else np.abs(gx) + np.abs(gy)
+        angle = np.degrees(np.arctan2(gy, gx)) % 180
+        line = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
+        m = f.bordered(m, 1, Border.CONSTANT)
+        at = lambda dy, dx: f.shift(m, dy, dx, (1, 1))
+        sides = [np.maximum(at(dy, dx), at(-dy, -dx)) for dy, dx in ((0, 1), (-1, 1), (1, 0), (1, 1))]
+        own, near = at(0, 0), f.near()
+        keep = f.inner(1) & (own >= low) & (own >= np.choose(f.shift(line, 0, 0, (1, 1)), sides))
+        return {"v": own, "_keep": keep if near is None else keep & near}
+
+    found = dense.filtered(px.where("c = 0"), shape, (r + 1, r + 1), Border.REFLECT_101, thin)
+    return found.select("img", "y", "x", (val() >= high).alias("strong"))
 
 
 def canny(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
@@ -356,44 +323,31 @@ RINGS = {
 }
 
 
-def _arcs(a: np.ndarray, ring: list[tuple[int, int]], arc: int, margin: int, threshold: int, nonmax: bool = False) -> dict[str, np.ndarray]:
-    d = [p - a for p in dense.shifts(a, [(dy, dx) for dx, dy in ring], Border.REPLICATE)]
+def _arcs(f: dense.Frame, ring: list[tuple[int, int]], arc: int, margin: int, threshold: int, nonmax: bool = False) -> dict[str, np.ndarray]:
+    more = int(nonmax)
+    a = f.shift(f.v, 0, 0, more=more)
+    d = [p - a for p in f.shifts([(dy, dx) for dx, dy in ring], more)]
     runs = [[d[(s + k) % len(ring)] for k in range(arc)] for s in range(len(ring))]
     v = np.maximum(np.maximum.reduce([np.minimum.reduce(r) for r in runs]), -np.minimum.reduce([np.maximum.reduce(r) for r in runs])) - 1
-    inner = np.zeros(a.shape, bool)
-    inner[:, margin : a.shape[1] - margin, margin : a.shape[2] - margin] = True
-    found = inner & (v >= threshold)
-    return {"v": v, "_keep": found & (v > dense.top_around(np.where(found, v, -np.inf))) if nonmax else found}
+    found = f.inner(margin, more) & (v >= threshold)
+    if not nonmax:
+        return {"v": v, "_keep": found}
+    top = dense.top_around(f, np.where(found, v, -np.inf))
+    own = f.shift(v, 0, 0, (1, 1))
+    return {"v": own, "_keep": f.shift(found, 0, 0, (1, 1)) & (own > top)}
 
 
-def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16") -> DataFrame:
-    """(img, y, x, c, v) of corners: v is the largest threshold that a contiguous arc still passes."""
+def fast_scores(px: DataFrame, shape: Shape, threshold: int, kind: str = "9_16", nonmax: bool = False) -> DataFrame:
+    """(img, y, x, c, v) of corners: v is the largest threshold that a contiguous arc still passes; ``nonmax``: only those
+    that top the corners around them. A place with a missing pixel on its ring is no corner."""
     ring, arc, margin = RINGS[kind]
-    n = len(ring)
-    if dense.whole(shape):
-        return dense.by_image(px, shape, lambda a: _arcs(a, ring, arc, margin, threshold))
-    inner = F.col("y").between(margin, shape.rows - 1 - margin) & F.col("x").between(margin, shape.cols - 1 - margin)
-    around = neighbours(aligned(px, shape), shape, [(dy, dx, float(k)) for k, (dx, dy) in enumerate(ring)], Border.CONSTANT).where(inner)
-    lists = around.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", "v"))), lambda s: s["v"]).alias("_ring"))
-    d = px.join(lists, list(KEYS)).select(*KEYS, F.transform("_ring", lambda r: r - val()).alias("_d")).where(F.size("_d") == n)
-    doubled = F.concat("_d", F.slice("_d", 1, arc - 1))
-    d = d.withColumn("_d", doubled)
-    lowest = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: F.array_min(F.slice("_d", s, arc))))
-    highest = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda s: F.array_max(F.slice("_d", s, arc))))
-    return d.withColumn("v", F.greatest(lowest, -highest) - 1).where(val() >= threshold).select(*KEYS, "v")
+    reach = max(abs(n) for place in ring for n in place) + int(nonmax)
+    return dense.filtered(px, shape, (reach, reach), Border.REPLICATE, lambda f: _arcs(f, ring, arc, margin, threshold, nonmax), fill=math.nan)
 
 
 def fast(px: DataFrame, shape: Shape, threshold: int = 10, nonmax: bool = True, kind: str = "9_16") -> DataFrame:
     """FAST keypoints (img, y, x, response, size, angle)."""
-    if nonmax and dense.whole(shape):
-        ring, arc, margin = RINGS[kind]
-        found = dense.by_image(px, shape, lambda a: _arcs(a, ring, arc, margin, threshold, True))
-        return found.select("img", "y", "x", val().alias("response"), F.lit(7.0).alias("size"), F.lit(-1.0).alias("angle"))
-    found = fast_scores(px, shape, threshold, kind)
-    if nonmax:
-        ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-        top = neighbours(found, shape, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
-        found = found.join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(-1.0)))
+    found = fast_scores(px, shape, threshold, kind, nonmax)
     return found.select("img", "y", "x", val().alias("response"), F.lit(7.0).alias("size"), F.lit(-1.0).alias("angle"))
 
 
@@ -440,20 +394,22 @@ def describe(px: DataFrame, shape: Shape, keypoints: DataFrame, half: int = 15)
     return keypoints.join(bytes_.groupBy("img", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("descriptor")), ["img", "id"])
 
 
-def _described(a: np.ndarray, asked: np.ndarray, half: int) -> np.ndarray:
-    """(y, x, response, angle, 32 bytes) of keypoints (y, x, response) of one image."""
-    y, x = asked[:, 0].astype(int), asked[:, 1].astype(int)
+def _described(a: np.ndarray, asked: np.ndarray, first: tuple[int, int], shape: Shape, half: int) -> np.ndarray:
+    """(y, x, response, angle, 32 bytes) of keypoints (y, x, response), from the part of their image that begins at ``first``."""
+    y, x = asked[:, 0].astype(int) - first[0], asked[:, 1].astype(int) - first[1]
     reach = umax(half)
     dy, dx = np.array([(j, i) for j in range(-half, half + 1) for i in range(-reach[abs(j)], reach[abs(j)] + 1)]).T
     frame = np.pad(a, half)  # places outside count as 0
     disc = frame[y[:, None] + dy + half, x[:, None] + dx + half]
     angle = np.degrees(np.arctan2((disc * dy).sum(1), (disc * dx).sum(1))) % 360
-    k = T.gaussian_kernel(7, 2.0)
+    k = T.gaussian_kernel(7, 2.0)  # where the part ends inside the image, its outer places are wrong and nobody asks for them
     smooth = np.round(dense.separable(a[None, :, :, None], T.kernel_taps(a.shape[1], k), T.kernel_taps(a.shape[0], k))[0, :, :, 0], 6)
     p = np.array(brief_pattern(half)).reshape(-1, 2, 2)
     c, n = (f(np.radians(angle))[:, None, None] for f in (np.cos, np.sin))
     tx, ty = np.rint(p[..., 0] * c - p[..., 1] * n).astype(int), np.rint(p[..., 0] * n + p[..., 1] * c).astype(int)
-    seen = smooth[np.clip(y[:, None, None] + ty, 0, a.shape[0] - 1), np.clip(x[:, None, None] + tx, 0, a.shape[1] - 1)]
+    row = np.clip(y[:, None, None] + ty, -first[0], shape.rows - 1 - first[0])
+    col = np.clip(x[:, None, None] + tx, -first[1], shape.cols - 1 - first[1])
+    seen = smooth[row, col]
     bits = np.packbits(seen[..., 0] < seen[..., 1], axis=1, bitorder="little")
     return np.column_stack([asked, angle, bits])
 
@@ -496,12 +452,10 @@ def orb(px: DataFrame, shape: Shape, features: int = 500, levels: int = 8, scale
         ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("response"), "y", "x"))).where(F.col("_n") <= quota)
         ranked = ranked.withColumn("id", F.col("_n") + level * 1_000_000).drop("_n")
         k = scale**level
-        if dense.whole(s):
-            names = ["angle", *(f"_b{i}" for i in range(32))]
-            told = dense.at_points([now], s, durable(ranked), ["y", "x", "response"], lambda images, asked: _described(images[0], asked, half), ["y", "x", "response", *names])
-            turned = told.select("img", "id", "y", "x", "response", "angle", F.array(*[F.col(n).cast("int") for n in names[1:]]).alias("descriptor"))
-        else:
-            turned = describe(now, s, orientation(now, ranked, half), half)
+        names = ["angle", *(f"_b{i}" for i in range(32))]
+        kernel = lambda images, _, asked, first, s=s: _described(images[0], asked, first, s, half)
+        told = dense.at_points([now], s, durable(ranked), ["y", "x", "response"], kernel, ["y", "x", "response", *names], reach=2 * half + 4, place=("y", "x"))
+        turned = told.select("img", "id", "y", "x", "response", "angle", F.array(*[F.col(n).cast("int") for n in names[1:]]).alias("descriptor"))
         part = turned.select("img", "id", F.lit(level).alias("level"), (F.col("x") * k).alias("x"), (F.col("y") * k).alias("y"), F.lit((2 * half + 1) * k).alias("size"), "angle", "response", "descriptor")
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -571,8 +525,3 @@ def draw_matches(a: DataFrame, sa: Shape, b: DataFrame, sb: Shape, lines: DataFr
     at = F.col("_s") / F.col("_n")
     places = walk.select("img", F.rint(F.col("y1") + dy * at).cast("int").alias("y"), F.rint(F.col("x1") + dx * at).cast("int").alias("x"))
     return painted(filled, canvas, places, colour)
-
-
-def harris_at(px: DataFrame, shape: Shape, keypoints: DataFrame, block: int = 7, k: float = 0.04) -> DataFrame:
-    """Harris response at keypoints only: the response image, cut down by a semi join."""
-    return corner_harris(px, shape, block, 3, k).join(keypoints.select("img", "y", "x").distinct(), ["img", "y", "x"], "left_semi")

@@ -1,8 +1,9 @@
 """Pyramidal Lucas-Kanade tracking between frames.
 
 A point's window (bilinear, on both frames) gives a 2 x 2 system each round; a level is ``Criteria.max_count`` rounds
-at most; levels go from coarse to fine. Frames of up to ``dense.WHOLE`` elements meet their points in one task;
-larger ones stay spread, and each round joins the points, as rows, with the pixels of their windows.
+at most; levels go from coarse to fine, and a point stops where it rests. Frames of one tile meet their points in one task;
+larger ones stay spread, and each round joins the points that still move, as rows, with the pixels of their windows. Both ways have
+the same law: a missing pixel counts as 0 beside others, and is outside where no other is near.
 """
 
 from __future__ import annotations
@@ -49,9 +50,9 @@ def _window(points: DataFrame, px: DataFrame, x: str, y: str, win: tuple[int, in
 
 def calc_optical_flow_pyramid_lk(prev: DataFrame, nxt: DataFrame, shape: Shape, points: DataFrame, win: tuple[int, int] = (5, 5), levels: int = 2, criteria: Criteria = Criteria(10, 0.03), min_eigen: float = 1e-4, initial: bool = False) -> DataFrame:
     """(img, id, x, y, status, error) of points (img, id, x, y[, next_x, next_y]) of ``prev`` found in ``nxt``."""
-    if dense.whole(shape):
+    if dense.one_tile(shape):
         columns = ["x", "y", *(("next_x", "next_y") if initial else ("x", "y"))]
-        kernel = lambda images, asked: _tracked(*images, asked, win, levels, criteria, min_eigen)
+        kernel = lambda images, there, asked, _: _tracked(*images, *there, asked, win, levels, criteria, min_eigen)
         return _told(dense.at_points([prev, nxt], shape, points, columns, kernel, ("x", "y", "status", "error")))
     a = build_optical_flow_pyramid(prev, shape, win, levels)
     b = build_optical_flow_pyramid(nxt, shape, win, levels, derivatives=False)
@@ -62,35 +63,36 @@ def _told(found: DataFrame) -> DataFrame:
     return found.select("img", "id", "x", "y", F.col("status").cast("int").alias("status"), F.when(F.col("status") == 1, F.col("error")).alias("error"))
 
 
-def _halved(a: np.ndarray) -> np.ndarray:
-    half = dense.separable(a[None, :, :, None], T.half_taps(a.shape[1]), T.half_taps(a.shape[0]))[0, :, :, 0]
-    return np.sign(half) * np.floor(np.abs(half) + 0.5)
+def _halved(a: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    taps = [T.half_taps(n) for n in a.shape[::-1]]
+    half, seen = (dense.separable(m[None, :, :, None], *t)[0, :, :, 0] for m, t in ((a, taps), (there.astype(float), taps)))
+    return np.sign(half) * np.floor(np.abs(half) + 0.5), seen > 0
 
 
-def _tracked(prev: np.ndarray, nxt: np.ndarray, asked: np.ndarray, win: tuple[int, int], levels: int, criteria: Criteria, min_eigen: float) -> np.ndarray:
+def _tracked(prev: np.ndarray, nxt: np.ndarray, prev_there: np.ndarray, nxt_there: np.ndarray, asked: np.ndarray, win: tuple[int, int], levels: int, criteria: Criteria, min_eigen: float) -> np.ndarray:
     """(x, y, status, error) of the points (x, y, and where to begin) of one frame; a point stops when it rests."""
-    pyramids = [(prev, nxt)]
+    pyramids = [(prev, nxt, prev_there, nxt_there)]
     for _ in range(levels):
         if min((s + 1) // 2 - w for s, w in zip(prev.shape, win[::-1])) <= 0:
             break
-        prev, nxt = _halved(prev), _halved(nxt)
-        pyramids.append((prev, nxt))
+        (prev, prev_there), (nxt, nxt_there) = _halved(prev, prev_there), _halved(nxt, nxt_there)
+        pyramids.append((prev, nxt, prev_there, nxt_there))
     top, area = len(pyramids) - 1, win[0] * win[1]
     j, i = (g.ravel() for g in np.mgrid[0 : win[1], 0 : win[0]])
     now, status, error = asked[:, 2:4] / 2.0**top, np.ones(len(asked)), np.zeros(len(asked))
     around = lambda p: (p[:, 1:2] - (win[1] - 1) / 2.0 + j, p[:, 0:1] - (win[0] - 1) / 2.0 + i)
     for level in range(top, -1, -1):
-        first, second = pyramids[level]
+        first, second, first_there, second_there = pyramids[level]
         smooth, slope = [3.0, 10.0, 3.0], [-1.0, 0.0, 1.0]
         taps = [[T.kernel_taps(n, k, border=Border.CONSTANT) for n, k in zip(first.shape[::-1], pair)] for pair in ((slope, smooth), (smooth, slope))]
-        window, seen = dense.bilinear(first, *around(asked[:, :2] / 2.0**level))
-        gx, gy = (dense.bilinear(dense.separable(first[None, :, :, None], *t)[0, :, :, 0], *around(asked[:, :2] / 2.0**level))[0] / 32 for t in taps)
+        window, seen = dense.bilinear(first, *around(asked[:, :2] / 2.0**level), first_there)
+        gx, gy = (dense.bilinear(dense.separable(first[None, :, :, None], *t)[0, :, :, 0], *around(asked[:, :2] / 2.0**level), first_there)[0] / 32 for t in taps)
         a, b, d = (gx * gx).sum(1), (gx * gy).sum(1), (gy * gy).sum(1)
         det = a * d - b * b
         good = seen.all(1) & (det > 1e-7) & ((a + d - np.sqrt((a - d) ** 2 + 4 * b * b)) / (2 * area) >= min_eigen)
         moving = np.ones(len(now), bool)
         for _ in range(criteria.max_count):
-            there, inside = dense.bilinear(second, *around(now))
+            there, inside = dense.bilinear(second, *around(now), second_there)
             off = np.where(seen & inside, window - there, 0.0)
             e, f = (off * gx).sum(1), (off * gy).sum(1)
             ok = good & inside.any(1)
@@ -104,7 +106,7 @@ def _tracked(prev: np.ndarray, nxt: np.ndarray, asked: np.ndarray, win: tuple[in
         if level:
             now = now * 2
         else:
-            there, inside = dense.bilinear(second, *around(now))
+            there, inside = dense.bilinear(second, *around(now), second_there)
             error = np.where(seen & inside, np.abs(window - there), 0.0).sum(1) / area
     found = status[:, None] == 1
     return np.column_stack([np.where(found, now, asked[:, :2]), status, error])
@@ -131,20 +133,20 @@ def track_with_pyramids(a: list[dict], b: list[dict], points: DataFrame, win: tu
         det = F.col("_a") * F.col("_d") - F.col("_b") * F.col("_b")
         eigen = ((F.col("_a") + F.col("_d")) - F.sqrt((F.col("_a") - F.col("_d")) ** 2 + 4 * F.col("_b") * F.col("_b"))) / (2.0 * area)
         good = (F.col("_cells") == area) & (det > 1e-7) & (eigen >= min_eigen)
+        state = state.withColumn("_moves", F.lit(True))
         for _ in range(criteria.max_count):
-            seen = _window(state.select("img", "id", "_nx", "_ny"), target, "_nx", "_ny", win, ["_i1"])
+            seen = _window(state.where("_moves").select("img", "id", "_nx", "_ny"), target, "_nx", "_ny", win, ["_i1"])
             diff = window.join(seen, ["img", "id", "_j", "_i"]).groupBy("img", "id").agg(F.sum((F.col("_i0") - F.col("_i1")) * gx).alias("_e"), F.sum((F.col("_i0") - F.col("_i1")) * gy).alias("_f"))
             j = state.join(normal, ["img", "id"], "left").join(diff, ["img", "id"], "left")
             safe = F.when(good, det).otherwise(1.0)
             ok = F.coalesce(good & F.col("_e").isNotNull(), F.lit(False))
-            sx = F.when(ok, (F.col("_d") * F.col("_e") - F.col("_b") * F.col("_f")) / safe).otherwise(0.0)
-            sy = F.when(ok, (F.col("_a") * F.col("_f") - F.col("_b") * F.col("_e")) / safe).otherwise(0.0)
-            lost = F.when(~ok & F.lit(level == 0), 0).otherwise(F.col("status"))
-            state = durable(j.select("img", "id", "x", "y", (F.col("_nx") + sx).alias("_nx"), (F.col("_ny") + sy).alias("_ny"), lost.cast("int").alias("status"), (sx * sx + sy * sy).alias("_step")))
-            moving = state.where(F.col("_step") > criteria.epsilon**2).isEmpty()
-            state = state.drop("_step")
-            if moving:
+            sx = F.when(ok & F.col("_moves"), (F.col("_d") * F.col("_e") - F.col("_b") * F.col("_f")) / safe).otherwise(0.0)
+            sy = F.when(ok & F.col("_moves"), (F.col("_a") * F.col("_f") - F.col("_b") * F.col("_e")) / safe).otherwise(0.0)
+            lost = F.when(~ok & F.col("_moves") & F.lit(level == 0), 0).otherwise(F.col("status"))
+            state = durable(j.select("img", "id", "x", "y", (F.col("_nx") + sx).alias("_nx"), (F.col("_ny") + sy).alias("_ny"), lost.cast("int").alias("status"), (F.col("_moves") & (sx * sx + sy * sy > criteria.epsilon**2)).alias("_moves")))
+            if state.where("_moves").isEmpty():
                 break
+        state = state.drop("_moves")
         if level:
             state = state.withColumn("_nx", F.col("_nx") * 2).withColumn("_ny", F.col("_ny") * 2)
         else:

@@ -1,7 +1,6 @@
-"""Neighbourhood filters. Images of up to ``dense.WHOLE`` elements go through array kernels, one exchange each.
+"""Neighbourhood filters, as kernels over tiles with halos (``dense``): one exchange each, whatever the size of an image.
 
-Larger images stay spread over tasks: there filters are joins with broadcast tap tables, whose size follows the
-shape, not the number of images; separable filters join once along x and once along y.
+What a missing pixel is to them is said there.
 """
 
 from __future__ import annotations
@@ -26,25 +25,20 @@ def val() -> Column:
 
 def aligned(px: DataFrame, shape: Shape) -> DataFrame:
     """Pixels of an image together, so that a chain's aggregations need no further exchange; unless it is a large one."""
-    return px.repartition("img") if dense.whole(shape) else px
-
-
-def tap_table(px: DataFrame, taps: list[T.Tap], source: str) -> DataFrame:
-    return F.broadcast(small_table(px.sparkSession, taps, f"_t int, {source} int, _w double"))
+    return px.repartition("img") if dense.one_tile(shape) else px
 
 
 def along(px: DataFrame, taps: list[T.Tap], axis: str) -> DataFrame:
-    """Weighted sums along an axis."""
+    """Weighted sums along one axis by a join with the tap table, for images whose shape isn't known."""
     keys = [k for k in KEYS if k != axis]
-    out = px.join(tap_table(px, taps, axis), axis).groupBy(*keys, "_t").agg(F.sum(val() * F.col("_w")).alias("v"))
+    table = F.broadcast(small_table(px.sparkSession, taps, f"_t int, {axis} int, _w double"))
+    out = px.join(table, axis).groupBy(*keys, "_t").agg(F.sum(val() * F.col("_w")).alias("v"))
     return out.withColumnRenamed("_t", axis).select(*KEYS, "v")
 
 
-def separable(px: DataFrame, across: list[T.Tap], down: list[T.Tap]) -> DataFrame:
-    frame = Shape(*(1 + max((t[1] for t in taps), default=0) for taps in (down, across)))
-    if dense.whole(frame) and across and down:
-        return dense.by_image(px, frame, lambda a: {"v": dense.separable(a, across, down)})
-    return along(along(px, across, "x"), down, "y")
+def separable(px: DataFrame, shape: Shape, across: list[T.Tap], down: list[T.Tap]) -> DataFrame:
+    """Weighted sums along both axes of images of this shape."""
+    return dense.tapped(px, shape, across, down)
 
 
 def finish(px: DataFrame, depth: str) -> DataFrame:
@@ -54,7 +48,7 @@ def finish(px: DataFrame, depth: str) -> DataFrame:
 def box_filter(px: DataFrame, shape: Shape, ksize: tuple[int, int], anchor: tuple[int, int] = (-1, -1), normalize: bool = True, border: Border = Border.REFLECT_101, depth: str = "f64") -> DataFrame:
     """``ksize`` and ``anchor`` are (width, height)."""
     kw, kh = ksize
-    out = separable(px, T.kernel_taps(shape.cols, [1.0] * kw, anchor[0], border), T.kernel_taps(shape.rows, [1.0] * kh, anchor[1], border))
+    out = separable(px, shape, T.kernel_taps(shape.cols, [1.0] * kw, anchor[0], border), T.kernel_taps(shape.rows, [1.0] * kh, anchor[1], border))
     return elementwise.mapped(out, lambda v: truncate_cast(v / float(kw * kh) if normalize else v, depth))
 
 
@@ -65,12 +59,12 @@ def blur(px: DataFrame, shape: Shape, ksize: tuple[int, int], anchor: tuple[int,
 def gaussian_blur(px: DataFrame, shape: Shape, ksize: tuple[int, int], sigma_x: float = 0.0, sigma_y: float = 0.0, border: Border = Border.REFLECT_101, depth: str = "f64") -> DataFrame:
     kx = T.gaussian_kernel(ksize[0], sigma_x)
     ky = T.gaussian_kernel(ksize[1], sigma_y if sigma_y > 0 else sigma_x)
-    return finish(separable(px, T.kernel_taps(shape.cols, kx, border=border), T.kernel_taps(shape.rows, ky, border=border)), depth)
+    return finish(separable(px, shape, T.kernel_taps(shape.cols, kx, border=border), T.kernel_taps(shape.rows, ky, border=border)), depth)
 
 
 def sobel(px: DataFrame, shape: Shape, dx: int, dy: int, ksize: int = 3, scale: float = 1.0, delta: float = 0.0, border: Border = Border.REFLECT_101, depth: str = "f64") -> DataFrame:
     kx, ky = T.sobel_kernels(ksize, dx, dy)
-    out = separable(px, T.kernel_taps(shape.cols, kx, border=border), T.kernel_taps(shape.rows, ky, border=border))
+    out = separable(px, shape, T.kernel_taps(shape.cols, kx, border=border), T.kernel_taps(shape.rows, ky, border=border))
     return elementwise.mapped(out, lambda v: truncate_cast(v * scale + delta, depth))
 
 
@@ -95,15 +89,20 @@ def neighbours(px: DataFrame, shape: Shape, offsets: list[tuple[int, int, float]
     return out.select("img", F.col("_ty").alias("y"), F.col("_tx").alias("x"), "c", "v", "_w", "_dy", "_dx")
 
 
+def reach_of(offsets: list[tuple[int, int]]) -> tuple[int, int]:
+    return tuple(max((abs(o[k]) for o in offsets), default=0) for k in (0, 1))
+
+
+def kept(out: dict[str, np.ndarray], where: np.ndarray | None) -> dict[str, np.ndarray]:
+    return out if where is None else out | {"_keep": where}
+
+
 def filter_2d(px: DataFrame, shape: Shape, kernel: list[list[float]], border: Border = Border.REFLECT_101, depth: str = "f64", delta: float = 0.0, scale: float = 1.0) -> DataFrame:
     """Correlation with a dense kernel, anchored in its middle."""
     h, w = len(kernel), len(kernel[0])
     offsets = [(y - h // 2, x - w // 2, kernel[y][x]) for y in range(h) for x in range(w) if kernel[y][x]]
-    if dense.whole(shape):
-        at = [(dy, dx) for dy, dx, _ in offsets]
-        out = dense.by_image(px, shape, lambda a: {"v": sum(p * k for p, (_, _, k) in zip(dense.shifts(a, at, border), offsets))})
-    else:
-        out = neighbours(px, shape, offsets, border).groupBy(*KEYS).agg(F.sum(val() * F.col("_w")).alias("v"))
+    at = [(dy, dx) for dy, dx, _ in offsets]
+    out = dense.filtered(px, shape, reach_of(at), border, lambda f: kept({"v": sum(p * k for p, (_, _, k) in zip(f.shifts(at), offsets))}, f.seen(at)))
     return elementwise.mapped(out, lambda v: truncate_cast(v * scale + delta, depth))
 
 
@@ -115,32 +114,27 @@ def laplacian(px: DataFrame, shape: Shape, ksize: int = 1, scale: float = 1.0, d
 
 
 def median_blur(px: DataFrame, shape: Shape, ksize: int) -> DataFrame:
-    """Median of an odd window, mirrored at the borders."""
+    """Median of an odd window, mirrored at the borders; of an even number of pixels the mean of the middle two."""
     if ksize < 3 or ksize % 2 == 0:
         raise MatrixError("a median window is odd and above 1")
     r = ksize // 2
-    if dense.whole(shape):
-        window = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-        return dense.by_image(px, shape, lambda a: {"v": np.median(np.stack(list(dense.shifts(a, window, Border.REFLECT_101))), axis=0)})
-    around = neighbours(px, shape, [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1)])
-    return around.groupBy(*KEYS).agg(F.sort_array(F.collect_list("v"))[ksize * ksize // 2].alias("v"))
+    window = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+
+    def middle(f: dense.Frame) -> dict[str, np.ndarray]:
+        seen = f.seen(window)
+        if seen is None:
+            return {"v": np.median(np.stack(list(f.shifts(window))), axis=0)}
+        values = np.sort(np.stack(list(f.shifts(window))), axis=0)  # missing pixels, NaN, come last
+        n = (~np.isnan(values)).sum(0)
+        pick = lambda k: np.take_along_axis(values, np.maximum(k, 0)[None], 0)[0]
+        return {"v": (pick((n - 1) // 2) + pick(n // 2)) / 2, "_keep": seen}
+
+    return dense.filtered(px, shape, (r, r), Border.REFLECT_101, middle, fill=math.nan)
 
 
 def _extreme(px: DataFrame, shape: Shape, offsets: list[tuple[int, int]], border: Border, lowest: bool) -> DataFrame:
-    f = F.min if lowest else F.max
-    if dense.whole(shape):
-        fold, none = (np.minimum, np.inf) if lowest else (np.maximum, -np.inf)
-        return dense.by_image(px, shape, lambda a: {"v": fold.reduce(list(dense.shifts(a, offsets, border, none)))})
-    rows, cols = sorted({dy for dy, _ in offsets}), sorted({dx for _, dx in offsets})
-    if len(offsets) == len(rows) * len(cols):  # a rectangle: one axis after the other
-        out = px
-        for axis, deltas, n in (("x", cols, shape.cols), ("y", rows, shape.rows)):
-            steps = sorted({(t, T.border_index(t + d, n, border), 1.0) for t in range(n) for d in deltas})
-            keys = [k for k in KEYS if k != axis]
-            joined = out.join(tap_table(px, [s for s in steps if s[1] >= 0], axis), axis)
-            out = joined.groupBy(*keys, "_t").agg(f("v").alias("v")).withColumnRenamed("_t", axis).select(*KEYS, "v")
-        return out
-    return neighbours(px, shape, [(dy, dx, 1.0) for dy, dx in offsets], border).groupBy(*KEYS).agg(f("v").alias("v"))
+    fold, none = (np.minimum, math.inf) if lowest else (np.maximum, -math.inf)
+    return dense.filtered(px, shape, reach_of(offsets), border, lambda f: kept({"v": fold.reduce(list(f.shifts(offsets)))}, f.seen(offsets)), fill=none, outside=none)
 
 
 def erode(px: DataFrame, shape: Shape, element: list[tuple[int, int]], iterations: int = 1, border: Border = Border.CONSTANT) -> DataFrame:
@@ -177,37 +171,25 @@ def morphology_ex(px: DataFrame, shape: Shape, op: str, element: list[tuple[int,
 def bilateral_filter(px: DataFrame, shape: Shape, d: int, sigma_color: float, sigma_space: float, border: Border = Border.REFLECT_101, depth: str = "f64") -> DataFrame:
     """Weights fall with distance and with the colour difference over all channels.
 
-    Under a constant border, places outside count as 0, with their weight.
+    Under a constant border, places outside count as 0, with their weight; a missing pixel has no weight and no result,
+    and counts as 0 in the colour differences of its image's other channels.
     """
     r = d // 2 if d > 0 else max(1, math.floor(1.5 * sigma_space + 0.5))
     space = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2))) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    if dense.whole(shape):
-
-        def smooth(a: np.ndarray) -> dict[str, np.ndarray]:
-            total, weights = np.zeros_like(a), np.zeros((*a.shape[:3], 1))
-            for p, (_, _, near) in zip(dense.shifts(a, [(dy, dx) for dy, dx, _ in space], border), space):
-                w = near * np.exp(((p - a) ** 2).sum(3, keepdims=True) * (-0.5 / sigma_color**2))
-                total, weights = total + w * p, weights + w
-            return {"v": total / weights}
-
-        return finish(dense.by_image(px, shape, smooth), depth)
-    centre = px.select(*KEYS, F.col("v").alias("_v0"))
-    if border in (Border.CONSTANT, Border.TRANSPARENT, Border.ISOLATED):
-        frame = centre.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w")) for a, b, w in space])))
-        source = px.select("img", F.col("y").alias("_sy"), F.col("x").alias("_sx"), "c", "v")
-        asked = frame.select(*KEYS, "_v0", (F.col("y") + F.col("_o.dy")).alias("_sy"), (F.col("x") + F.col("_o.dx")).alias("_sx"), F.col("_o.w").alias("_w"), F.col("_o.dy").alias("_dy"), F.col("_o.dx").alias("_dx"))
-        around = asked.join(source, ["img", "_sy", "_sx", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    else:
-        around = neighbours(px, shape, space, border).join(centre, list(KEYS))
-    tap = ["img", "y", "x", "_dy", "_dx"]
-    if shape.channels > 1:
-        colour = around.groupBy(*tap).agg(F.sum((val() - F.col("_v0")) * (val() - F.col("_v0"))).alias("_d2"))
-        around = around.join(colour, tap)
-    else:
-        around = around.withColumn("_d2", (val() - F.col("_v0")) * (val() - F.col("_v0")))
-    weight = F.col("_w") * F.exp(F.col("_d2") * (-0.5 / sigma_color**2))
-    out = around.groupBy(*KEYS).agg((F.sum(weight * val()) / F.sum(weight)).alias("v"))
-    return finish(out, depth)
+    at = [(dy, dx) for dy, dx, _ in space]
+
+    def smooth(f: dense.Frame) -> dict[str, np.ndarray]:
+        a = f.shift(f.v, 0, 0)
+        total, weights = np.zeros_like(a), np.zeros_like(a)
+        for p, (dy, dx, near) in zip(f.shifts(at), space):
+            w = near * np.exp(((p - a) ** 2).sum(3, keepdims=True) * (-0.5 / sigma_color**2))
+            if f.missing is not None:
+                w = w * ~f.shift(f.missing, dy, dx)
+            total, weights = total + w * p, weights + w
+        out = {"v": total / np.where(weights > 0, weights, 1.0)}
+        return out if f.missing is None else out | {"_keep": f.present(np.ones(a.shape, bool))}
+
+    return finish(dense.filtered(px, shape, (r, r), border, smooth, channels=shape.channels), depth)
 
 
 def rounded(px: DataFrame) -> DataFrame:
@@ -217,12 +199,12 @@ def rounded(px: DataFrame) -> DataFrame:
 
 def pyr_down(px: DataFrame, shape: Shape, border: Border = Border.REFLECT_101) -> tuple[DataFrame, Shape]:
     out = Shape((shape.rows + 1) // 2, (shape.cols + 1) // 2, shape.channels)
-    return rounded(separable(px, T.half_taps(shape.cols, border), T.half_taps(shape.rows, border))), out
+    return rounded(separable(px, shape, T.half_taps(shape.cols, border), T.half_taps(shape.rows, border))), out
 
 
 def pyr_up(px: DataFrame, shape: Shape, border: Border = Border.REFLECT_101) -> tuple[DataFrame, Shape]:
     out = Shape(2 * shape.rows, 2 * shape.cols, shape.channels)
-    return rounded(separable(px, T.double_taps(shape.cols, border, by_source=True), T.double_taps(shape.rows, border))), out
+    return rounded(separable(px, shape, T.double_taps(shape.cols, border, by_source=True), T.double_taps(shape.rows, border))), out
 
 
 def build_pyramid(px: DataFrame, shape: Shape, levels: int, border: Border = Border.REFLECT_101) -> DataFrame:
@@ -235,16 +217,16 @@ def build_pyramid(px: DataFrame, shape: Shape, levels: int, border: Border = Bor
 
 
 def resize(px: DataFrame, shape: Shape, rows: int, cols: int, round_output: bool = True) -> DataFrame:
-    out = separable(px, T.resize_taps(shape.cols, cols), T.resize_taps(shape.rows, rows))
+    out = separable(px, shape, T.resize_taps(shape.cols, cols), T.resize_taps(shape.rows, rows))
     return rounded(out) if round_output else out
 
 
 def dct(px: DataFrame, shape: Shape) -> DataFrame:
-    return separable(px, T.dct_taps(shape.cols), T.dct_taps(shape.rows))
+    return separable(px, shape, T.dct_taps(shape.cols), T.dct_taps(shape.rows))
 
 
 def idct(px: DataFrame, shape: Shape) -> DataFrame:
-    return separable(px, T.dct_taps(shape.cols, True), T.dct_taps(shape.rows, True))
+    return separable(px, shape, T.dct_taps(shape.cols, True), T.dct_taps(shape.rows, True))
 
 
 def optimal_dft_size(n: int) -> int:
@@ -266,38 +248,29 @@ def optimal_dft_size(n: int) -> int:
 def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False, rows_only: bool = False, nonzero_rows: int = 0) -> DataFrame:
     """Two-dimensional discrete Fourier transform; channel 0 is the real and 1 the imaginary part.
 
-    One join along each axis with a table of cosines and sines; a real image has no channel 1.
+    Rows are transformed in stripes of whole rows, then columns in stripes of whole columns (an image of one tile at once), by fast
+    transforms; a real image has no channel 1. Missing pixels count as 0.
     """
     if nonzero_rows and shape.channels == 1:
         px = px.where(F.col("y") < nonzero_rows)
-    sign = 1.0 if inverse else -1.0
-    if dense.whole(shape):
+    both = px.unionByName(px.where("c = 0").select("img", "y", "x", F.lit(1).alias("c"), F.lit(0.0).alias("v"))) if shape.channels == 1 else px
+    stripes = lambda n: dense.reaching(n, 0, Border.CONSTANT)
+    line = lambda n: dense.Axis(n, (0, n), (np.arange(n),))
 
-        def transform(a: np.ndarray) -> dict[str, np.ndarray]:
-            z = a[..., 0] + (1j * a[..., 1] if a.shape[3] > 1 else 0)
-            axes = (2,) if rows_only else (1, 2)
+    def transform(*axes: int) -> dense.Kernel:
+        def run(a: np.ndarray, *_) -> dict[str, np.ndarray]:
+            z = a[..., 0] + 1j * a[..., 1]
             z = np.fft.ifftn(z, axes=axes, norm="forward") if inverse else np.fft.fftn(z, axes=axes)
             return {"v": np.stack([z.real, z.imag], axis=3)}
 
-        both = px.unionByName(px.where("c = 0").select("img", "y", "x", F.lit(1).alias("c"), F.lit(0.0).alias("v"))) if shape.channels == 1 else px
-        both = both.groupBy(*KEYS).agg(F.sum("v").alias("v"))
-        out = dense.by_image(both, shape, transform)
-        return elementwise.mapped(out, lambda v: v / float(shape.cols * (1 if rows_only else shape.rows))) if scale else out
-
-    def turn(p: DataFrame, axis: str, n: int) -> DataFrame:
-        table = []
-        for t in range(n):
-            for s in range(n):
-                re, im = math.cos(2 * math.pi * t * s / n), sign * math.sin(2 * math.pi * t * s / n)
-                table += [(t, s, 0, 0, re), (t, s, 0, 1, im), (t, s, 1, 0, -im), (t, s, 1, 1, re)]
-        basis = F.broadcast(small_table(px.sparkSession, table, f"_t int, {axis} int, c int, _c int, _w double"))
-        keys = [k for k in ("img", "y", "x") if k != axis]
-        out = p.join(basis, [axis, "c"]).groupBy(*keys, "_t", "_c").agg(F.sum(val() * F.col("_w")).alias("v"))
-        return out.withColumnsRenamed({"_t": axis, "_c": "c"}).select(*KEYS, "v")
-
-    out = turn(aligned(px, shape), "x", shape.cols)
-    if not rows_only:
-        out = turn(out, "y", shape.rows)
+        return run
+
+    if dense.one_tile(shape) and not rows_only:
+        out = dense.by_tile(both, line(shape.rows), line(shape.cols), transform(1, 2), channels=2)
+    else:
+        out = dense.by_tile(both, stripes(shape.rows), line(shape.cols), transform(2), channels=2)
+        if not rows_only:
+            out = dense.by_tile(out, line(shape.rows), stripes(shape.cols), transform(1), channels=2)
     return elementwise.mapped(out, lambda v: v / float(shape.cols * (1 if rows_only else shape.rows))) if scale else out
 
 

@@ -200,21 +200,72 @@ LARGE = {
     "pre_corner": lambda p, s: features.pre_corner_detect(p, s),
     "canny": lambda p, s: features.canny(p, s, 60, 200),
     "fast": lambda p, s: features.fast(p, s, 15, kind="5_8").withColumnRenamed("response", "v").withColumn("c", F.lit(0)),
+    "fast_scores": lambda p, s: features.fast_scores(p, s, 1, "5_8"),
+    "canny_low": lambda p, s: features.canny_candidates(p, s, 0, 200).selectExpr("img", "y", "x", "0 as c", "cast(strong as double) as v"),
+    "sobel_wrap": lambda p, s: neighbourhood.sobel(p, s, 1, 1, 5, border=Border.WRAP),
+    "harris_wrap": lambda p, s: features.corner_harris(p, s, 2, border=Border.WRAP),
+    "eigen_constant": lambda p, s: features.corner_min_eigen_val(p, s, 4, 5, border=Border.CONSTANT),
+    "peaks": lambda p, s: features.local_maxima(p, s, False, 2),
+    "pyr_up": lambda p, s: neighbourhood.pyr_up(p, s)[0],
+    "pyr_down": lambda p, s: neighbourhood.pyr_down(p, s, Border.REPLICATE)[0],
+    "dct": lambda p, s: neighbourhood.dct(p, s),
+    "open": lambda p, s: neighbourhood.morphology_ex(p, s, "open", T.structuring_element("cross", 3, 5)),
+    "dft_rows": lambda p, s: neighbourhood.dft(p, s, rows_only=True),
 }
 
 
+@pytest.mark.parametrize("sparse", [False, True])
 @pytest.mark.parametrize("name", sorted(LARGE))
-def test_large_images_give_the_same(spark, monkeypatch, name):
+def test_tiles_give_the_same(spark, monkeypatch, name, sparse):
     from rasterloom.operators import dense
 
     shape = Shape(9, 11)
     images = [np.random.default_rng(k).integers(0, 256, (9, 11)) for k in (1, 2)]
     px = matrix(spark, images[0]).unionByName(matrix(spark, images[1], 5))
+    if sparse:  # a corner, a stretch over a tile's edge, single places
+        px = px.where("not (y < 3 and x < 4) and not (y between 4 and 6 and x between 4 and 7) and not (y = 8 and x = 8)")
+    px = px.unionByName(spark.createDataFrame([(0, -1, 2, 0, 9.0), (0, 3, 11, 0, 9.0), (0, 9, -5, 0, 9.0)], px.schema))  # beyond the shape
     rows = lambda: {(r["img"], r["y"], r["x"], r["c"]): r["v"] for r in LARGE[name](px, shape).collect()}
     small = rows()
-    monkeypatch.setattr(dense, "WHOLE", 0)
-    large = rows()
-    assert small.keys() == large.keys() and np.allclose([small[k] for k in small], [large[k] for k in small])
+    for tile in (6, 4):
+        monkeypatch.setattr(dense, "TILE", tile)
+        large = rows()
+        assert small and small.keys() == large.keys() and np.allclose([small[k] for k in small], [large[k] for k in small])
+
+
+def test_missing_pixels_are_left_out(spark):
+    m = np.random.default_rng(4).integers(0, 256, (6, 7)).astype(float)
+    gone = [(0, 0), (2, 3), (2, 4), (5, 6)]
+    px, shape = matrix(spark, m).where(" and ".join(f"not (y = {y} and x = {x})" for y, x in gone)), Shape(6, 7)
+    there = {(y, x): m[y, x] for y in range(6) for x in range(7) if (y, x) not in gone}
+    near = lambda y, x: [there[p] for p in ((y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)) if p in there]
+    got = {(r["y"], r["x"]): r["v"] for r in neighbourhood.erode(px, shape, T.structuring_element("rect", 3, 3)).collect()}
+    assert got == {(y, x): min(near(y, x)) for y in range(6) for x in range(7)}
+    got = {(r["y"], r["x"]): r["v"] for r in neighbourhood.median_blur(px, shape, 3).collect()}
+    assert all(np.isclose(got[y, x], np.median(near(y, x))) for y in range(1, 5) for x in range(1, 6))
+    got = {(r["y"], r["x"]): r["v"] for r in neighbourhood.filter_2d(px, shape, [[1.0] * 3] * 3, Border.CONSTANT).collect()}
+    assert all(np.isclose(got[y, x], sum(near(y, x))) for y in range(6) for x in range(7))
+    lone = spark.createDataFrame([(0, 0, 0, 0, 5.0), (0, 0, 0, 10**6, 7.0)], px.schema)  # a stray channel number is one plane more
+    got = {(r["y"], r["x"], r["c"]): r["v"] for r in neighbourhood.dilate(lone, Shape(4, 4), T.structuring_element("rect", 3, 3)).collect()}
+    assert got == {(y, x, c): v for y in (0, 1) for x in (0, 1) for c, v in ((0, 5.0), (10**6, 7.0))}
+
+
+def test_large_transform(spark):
+    rng = np.random.default_rng(11)
+    m = rng.random((700, 530))
+    px = spark.range(700 * 530).selectExpr("0L as img", "cast(id div 530 as int) y", "cast(id % 530 as int) x", "0 as c", "cast(sin(id * id % 1009) as double) v")
+    m = np.sin(np.arange(700 * 530, dtype=np.int64) ** 2 % 1009).reshape(700, 530)
+    out = neighbourhood.dft(px, Shape(700, 530)).toPandas()
+    got = np.zeros((700, 530, 2))
+    got[out["y"], out["x"], out["c"]] = out["v"]
+    assert np.allclose(got[..., 0] + 1j * got[..., 1], np.fft.fft2(m))
+    blurred = neighbourhood.gaussian_blur(px, Shape(700, 530), (5, 5), 1.0).toPandas()
+    one = np.zeros((700, 530))
+    one[blurred["y"], blurred["x"]] = blurred["v"]
+    k = np.array(T.gaussian_kernel(5, 1.0))
+    pad = np.pad(m, 2, mode="reflect")
+    want = sum(k[j] * k[i] * pad[j : j + 700, i : i + 530] for j in range(5) for i in range(5))
+    assert np.allclose(one, want)
 
 
 def test_tracking_large_frames_gives_the_same(spark, monkeypatch):
@@ -224,14 +275,14 @@ def test_tracking_large_frames_gives_the_same(spark, monkeypatch):
     shape, points = Shape(24, 24), spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(((9, 9), (14, 10), (2, 21)))], "img long, id long, x double, y double")
     a = neighbourhood.gaussian_blur(matrix(spark, m), shape, (7, 7), 2.0)
     b = neighbourhood.gaussian_blur(matrix(spark, np.roll(m, 1, 1)), shape, (7, 7), 2.0)
-    rows = lambda: {r["id"]: (r["x"], r["y"], r["status"], r["error"]) for r in flow.calc_optical_flow_pyramid_lk(a, b, shape, points, (7, 7), 0, Criteria(2, 1e-9)).collect()}
+    rows = lambda: {r["id"]: (r["x"], r["y"], r["status"], r["error"]) for r in flow.calc_optical_flow_pyramid_lk(a, b, shape, points, (7, 7), 0, Criteria(4, 0.05)).collect()}
     small = rows()
-    monkeypatch.setattr(dense, "WHOLE", 0)
+    monkeypatch.setattr(dense, "TILE", 8)
     large = rows()
     assert all(s[2] == large[k][2] and np.allclose(s[:2], large[k][:2]) and (s[2] == 0 or np.isclose(s[3], large[k][3])) for k, s in small.items())
 
 
-def test_descriptors_of_both_ways(spark):
+def test_descriptors_of_both_ways(spark, monkeypatch):
     m = np.random.default_rng(6).integers(0, 256, (60, 60))
     px, shape = matrix(spark, m), Shape(60, 60)
     found = {r["id"]: r for r in features.orb(px, shape, features=8, levels=1, edge=20).collect()}
@@ -239,6 +290,11 @@ def test_descriptors_of_both_ways(spark):
     joined = {r["id"]: r for r in features.describe(px, shape, features.orientation(px, keys)).collect()}
     assert len(found) == 8 and found.keys() == joined.keys()
     assert all(np.isclose(found[i]["angle"], r["angle"]) and list(found[i]["descriptor"]) == list(r["descriptor"]) for i, r in joined.items())
+    from rasterloom.operators import dense
+
+    monkeypatch.setattr(dense, "TILE", 16)
+    again = {r["id"]: r for r in features.orb(px, shape, features=8, levels=1, edge=20).collect()}
+    assert {i: (r["x"], r["y"], round(r["angle"], 6), r["descriptor"]) for i, r in found.items()} == {i: (r["x"], r["y"], round(r["angle"], 6), r["descriptor"]) for i, r in again.items()}
 
 
 def test_stacks_are_cut_between_images(spark, monkeypatch):
@@ -246,7 +302,8 @@ def test_stacks_are_cut_between_images(spark, monkeypatch):
 
     px = spark.range(40).selectExpr("id as img", "explode(sequence(0, 24)) as p").selectExpr("img", "cast(p / 5 as int) y", "cast(p % 5 as int) x", "0 as c", "cast(img * 25 + p as double) v")
     monkeypatch.setattr(dense, "STACK", 30)
-    out = dense.by_image(px, Shape(5, 5), lambda a: {"v": a + 1})
+    axis = dense.reaching(5, 0, Border.CONSTANT)
+    out = dense.by_tile(px, axis, axis, lambda a, *_: {"v": a + 1})
     assert sorted((r["img"], r["y"], r["x"], r["v"]) for r in out.collect()) == [(i, p // 5, p % 5, i * 25 + p + 1) for i in range(40) for p in range(25)]
 
 
