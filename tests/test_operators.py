@@ -343,6 +343,62 @@ def test_streams_can_be_entered_anywhere(monkeypatch, spark):
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
 
 
+def test_normals_in_slices_equal_the_stream(spark, monkeypatch):
+    images = spark.range(3).withColumnRenamed("id", "img")
+    order = lambda df: [tuple(r) for r in df.orderBy("img", "y", "x", "c").collect()]
+    whole = order(random.randn(images, Shape(30, 40, 2), [0.0, 1.0], [1.0, 3.0], 11, "f32"))
+    serial, one = random.Rng(11), []
+    for n in (1, 7, 2000, 392):  # in parts of any size
+        one.append(random.normals(serial, n))
+    assert np.array_equal(np.concatenate(one)[::2].astype(float), [r[4] for r in whole if r[0] == 0 and r[3] == 0])
+    for size in (64, 97, 1000):
+        monkeypatch.setattr(random, "SLICE", size)
+        assert order(random.randn(images, Shape(30, 40, 2), [0.0, 1.0], [1.0, 3.0], 11, "f32")) == whole
+    monkeypatch.setattr(random, "ENTRIES", 1)  # every slice is looked at again
+    assert order(random.randn(images, Shape(30, 40, 2), [0.0, 1.0], [1.0, 3.0], 11, "f32")) == whole
+
+
+def test_passages_are_paths():
+    for seed in range(5):
+        part = random.Slice(random.Rng(seed + 1).state, 3000)
+        for entry, (beyond, count) in zip(range(64), part.passage(range(64))):
+            begins, out = part.path(entry)
+            assert (out, int((begins & part.hit).sum())) == (beyond, count)
+
+
+@pytest.mark.parametrize("generator", ["mwc", "xoshiro"])
+def test_shuffles_by_pointers(spark, monkeypatch, generator):
+    m = np.arange(23 * 31.0).reshape(23, 31)
+    px = matrix(spark, m).unionByName(matrix(spark, m + 1000, 4)).where("not (y = 3 and x > 20)")
+    order = lambda: [tuple(r) for r in random.rand_shuffle(px, 5, generator).orderBy("img", "y", "x", "c").collect()]
+    whole = order()
+    assert sorted(r[4] for r in whole) == sorted(r["v"] for r in px.collect()) and len({r[:4] for r in whole}) == len(whole)
+    monkeypatch.setattr(random, "SLICE", 100)
+    assert order() == whole
+
+
+def test_xoshiro(spark):
+    g = random.Xoshiro()
+    g.words = (1, 2, 3, 4)  # published draws of this state (fixed values)
+    assert [g.next_u64() for _ in range(6)] == [11520, 0, 1509978240, 1215971899390074240, 1216172134540287360, 607988272756665600]
+    assert random.Xoshiro(1234567).words[:2] == (6457827717110365317, 3203168211198807973)  # published draws of SplitMix64
+    for n in (1, 2, 1000):
+        a, b = random.Xoshiro(7).jump(n), random.Xoshiro(7)
+        for _ in range(n):
+            b.next_u64()
+        assert a.words == b.words
+    images = spark.range(2).withColumnRenamed("id", "img")
+    for f in (random.randu, random.randn):
+        rows = [r["v"] for r in f(images, Shape(20, 30), [2.0], [9.0], 3, generator="xoshiro").where("img = 0").orderBy("y", "x").collect()]
+        stream = random.Xoshiro(3)
+        want = stream.floats(600) * 7 + 2 if f is random.randu else random.Xoshiro(3).normals(0, 600) * 9 + 2
+        assert np.allclose(rows, want)
+    assert np.array_equal(random.Xoshiro(3).normals(0, 50)[13:40], random.Xoshiro(3).normals(13, 27))
+    values = list(range(10))
+    random.Xoshiro(42).shuffle(values)
+    assert sorted(values) == list(range(10)) != values
+
+
 def test_other_generator(spark):
     images = spark.range(2).withColumnRenamed("id", "img")
     a = random.randu(images, Shape(2, 3), [1.0], [2.0], 9, generator="pcg").orderBy("img", "y", "x").collect()
