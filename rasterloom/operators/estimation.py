@@ -93,6 +93,7 @@ class Kind:
     equations: Equations
     finish: Callable[[np.ndarray, dict], np.ndarray | None]
     error: Callable[[Column], Column]  # squared error of a point under an array of the model's numbers
+    sample: int = 0  # points that a random sample has, where that is more than the least
 
 
 def _scaled(points: DataFrame, kind: Kind) -> DataFrame:
@@ -184,29 +185,111 @@ HOMOGRAPHY = Kind("homography", 4, ("ax", "ay", "bx", "by"), PAIRS, _homography_
 FUNDAMENTAL = Kind("fundamental", 8, ("ax", "ay", "bx", "by"), PAIRS, lambda p: [[b * a for b in (p["bx"], p["by"], F.lit(1.0)) for a in (p["ax"], p["ay"], F.lit(1.0))]], _fundamental, _sampson)
 
 
-def _pose_kind(k: np.ndarray) -> Kind:
-    """Rotation vector and translation of a camera with matrix ``k``, from points (x, y, z) seen at (u, v)."""
+@dataclass(frozen=True)
+class Camera:
+    """A pin-hole camera with matrix ``k`` behind a lens: (k1, k2, p1, p2), with k3, or with k3 to k6; none for no lens."""
+
+    k: np.ndarray
+    lens: tuple[float, ...] = ()
+
+    def __post_init__(self):
+        if len(self.lens) not in (0, 4, 5, 8):
+            raise MatrixError("a lens has 4, 5 or 8 coefficients")
+
+    def through(self, x, y):
+        """Where a ray at (x, y), columns or arrays, is after the lens: radial and tangential distortion."""
+        if not self.lens:
+            return x, y
+        k1, k2, p1, p2, k3, k4, k5, k6 = (*map(float, self.lens), *[0.0] * (8 - len(self.lens)))
+        r = x * x + y * y
+        radial = (1 + r * (k1 + r * (k2 + r * k3))) / (1 + r * (k4 + r * (k5 + r * k6)))
+        return x * radial + 2 * p1 * x * y + p2 * (r + 2 * x * x), y * radial + p1 * (r + 2 * y * y) + 2 * p2 * x * y
+
+    def pixels(self, x, y):
+        """Pixels of rays at (x, y)."""
+        x, y = self.through(x, y)
+        return x * float(self.k[0, 0]) + float(self.k[0, 2]), y * float(self.k[1, 1]) + float(self.k[1, 2])
+
+    def _plane(self, u, v):
+        return (u - float(self.k[0, 2])) / float(self.k[0, 0]), (v - float(self.k[1, 2])) / float(self.k[1, 1])
+
+    def rays(self, u: np.ndarray, v: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+        """Rays of pixels: fixed-point rounds take the distortion off."""
+        x0, y0 = x, y = self._plane(u, v)
+        for _ in range(rounds if self.lens else 0):
+            dx, dy = self.through(x, y)
+            x, y = x0 - (dx - x), y0 - (dy - y)
+        return x, y
+
+    def ray_columns(self, u: Column, v: Column, rounds: int = 30) -> tuple[Column, Column]:
+        """The same as column expressions."""
+        x0, y0 = self._plane(u, v)
+        if not self.lens:
+            return x0, y0
+        pair = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+        def better(s: Column, _: Column) -> Column:
+            dx, dy = self.through(s["x"], s["y"])
+            return pair(x0 - (dx - s["x"]), y0 - (dy - s["y"]))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(x0, y0), better)
+        return found["x"], found["y"]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def with_rays(points: DataFrame, camera: Camera) -> DataFrame:
+    """``points`` with the rays of their pixels, ``_rx`` and ``_ry``."""
+    x, y = camera.ray_columns(F.col("u"), F.col("v"))
+    if not camera.lens:
+        return points.withColumns({"_rx": x, "_ry": y})
+    return points.withColumn("_ray", F.struct(x.alias("x"), y.alias("y"))).withColumns({"_rx": F.col("_ray.x"), "_ry": F.col("_ray.y")}).drop("_ray")
+
+
+def _pose_kind(camera: Camera) -> Kind:
+    """Rotation vector and translation of a camera, from points (x, y, z) seen at (u, v)."""
 
     def rows(p: dict[str, Column]) -> list[list[Column]]:
         h, zero = [p["x"], p["y"], p["z"], F.lit(1.0)], F.lit(0.0)
-        seen = [(p["u"] - float(k[0, 2])) / float(k[0, 0]), (p["v"] - float(k[1, 2])) / float(k[1, 1])]
+        seen = F.col("_rx"), F.col("_ry")  # rays of the pixels (``with_rays``)
         return [[*h, *[zero] * 4, *(-seen[0] * c for c in h)], [*[zero] * 4, *h, *(-seen[1] * c for c in h)]]
 
     def error(m: Column) -> Column:
         r = rodrigues_matrix(m[0], m[1], m[2])
         x, y, z = (r[3 * i] * F.col("x") + r[3 * i + 1] * F.col("y") + r[3 * i + 2] * F.col("z") + m[3 + i] for i in range(3))
-        z = F.when(F.abs(z) < 1e-12, 1e-12).otherwise(z)
-        return (x / z * float(k[0, 0]) + float(k[0, 2]) - F.col("u")) ** 2 + (y / z * float(k[1, 1]) + float(k[1, 2]) - F.col("v")) ** 2
 
-    return Kind("pose", 6, ("x", "y", "z", "u", "v"), (), rows, lambda a, _: _pose(a), error)
+        def off(s: Column) -> Column:
+            u, v = camera.pixels(s["x"], s["y"])
+            return (u - F.col("u")) * (u - F.col("u")) + (v - F.col("v")) * (v - F.col("v"))
+
+        in_front = _let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda s: _let(F.when(F.abs(s["z"]) < 1e-12, 1e-12).otherwise(s["z"]), lambda d: F.struct((s["x"] / d).alias("x"), (s["y"] / d).alias("y"))))
+        return _let(in_front, off)
+
+    return Kind("pose", 4, ("x", "y", "z", "u", "v"), (), rows, lambda a, r: _pose(a, r["_n"]), error, 6)
+
 
+FLAT = 1e-9  # thinner than this share of its length (as variances), a set of points is a plane or a line
 
-def _pose(a: np.ndarray) -> np.ndarray | None:
-    """The pose whose projection matrix is next to the null vector of the sums; planar points raise."""
+
+def _pose(a: np.ndarray, n: int) -> np.ndarray | None:
+    """Poses from the sums of products of the linear equations of n points: one, or two for points in a plane.
+
+    None for fewer than six points (four in a plane), for points on a line, and where the equations give none.
+    """
+    if not np.isfinite(a).all():
+        return None
     h = a[:4, :4]  # sums of products of (x, y, z, 1)
-    spread = h[:3, :3] - np.outer(h[:3, 3], h[:3, 3]) / h[3, 3]
-    if np.linalg.eigvalsh(spread)[0] < 1e-12 * max(1.0, np.trace(spread)):
-        raise MatrixError("the points lie in a plane")
+    centre = h[:3, 3] / h[3, 3]
+    values, axes = np.linalg.eigh(h[:3, :3] / h[3, 3] - np.outer(centre, centre))
+    if values[1] <= FLAT * values[2]:
+        return None
+    if values[0] <= FLAT * values[2]:
+        return _plane_poses(a, centre, np.sqrt(values[:0:-1]), axes[:, :0:-1]) if n >= 4 else None
+    if n < 6:
+        return None
     m = null_vector(a).reshape(3, 4)
     size = np.linalg.norm(m[2, :3])
     if size < 1e-12:
@@ -217,19 +300,40 @@ def _pose(a: np.ndarray) -> np.ndarray | None:
     return np.concatenate([rotation_vector(r), m[:, 3] / s.mean()])
 
 
+def _plane_poses(a: np.ndarray, centre: np.ndarray, scale: np.ndarray, axes: np.ndarray) -> np.ndarray | None:
+    """Two poses (twelve numbers) from points in the plane through ``centre`` along the two ``axes``.
+
+    Plane coordinates are linear in (x, y, z, 1), so the sums of the homography's equations follow from those of the projection matrix. Its
+    columns are the images of the axes and of the centre; the other pose mirrors the plane at the line of sight, as seen from far away.
+    """
+    flat = np.zeros((3, 4))
+    flat[:2, :3], flat[:2, 3], flat[2, 3] = (axes / scale).T, -(axes / scale).T @ centre, 1.0
+    to = np.kron(np.eye(3), flat)
+    g = null_vector(to @ a @ to.T).reshape(3, 3)
+    first, second, at = g[:, 0] / scale[0], g[:, 1] / scale[1], g[:, 2]
+    size = np.sqrt(np.linalg.norm(first) * np.linalg.norm(second)) * (1.0 if at[2] >= 0 else -1.0)
+    if abs(size) < 1e-12 or np.linalg.norm(at) < 1e-12:
+        return None
+    first, second, at = first / size, second / size, at / size
+    u, _, v = np.linalg.svd(np.column_stack([first, second]), full_matrices=False)
+    pair = u @ v
+    seen = np.column_stack([pair, np.cross(pair[:, 0], pair[:, 1])])
+    own = np.column_stack([axes, np.cross(axes[:, 0], axes[:, 1])])
+    sight = at / np.linalg.norm(at)
+    other = (2 * np.outer(sight, sight) - np.eye(3)) @ seen @ np.diag([-1.0, -1.0, 1.0])
+    return np.concatenate([np.concatenate([rotation_vector(r), at - r @ centre]) for r in (seen @ own.T, other @ own.T)])
+
+
 # ---- consensus
 
 
-def _sample_fit(kind: Kind, p: np.ndarray, k: np.ndarray | None) -> np.ndarray | None:
+def _sample_fit(kind: Kind, p: np.ndarray, camera: Camera | None) -> np.ndarray | None:
     """The linear model of a few points (rows in the order of the kind's columns)."""
-    if k is not None:
+    if camera is not None:
         h, z = np.column_stack([p[:, :3], np.ones(len(p))]), np.zeros((len(p), 4))
-        u, v = (p[:, 3:4] - k[0, 2]) / k[0, 0], (p[:, 4:5] - k[1, 2]) / k[1, 1]
+        u, v = camera.rays(p[:, 3:4], p[:, 4:5])
         rows = np.vstack([np.column_stack([h, z, -u * h]), np.column_stack([z, h, -v * h])])
-        try:
-            return _pose(rows.T @ rows)
-        except MatrixError:
-            return None
+        return _pose(rows.T @ rows, len(p))
     r: dict[str, float] = {}
     q = p.copy()
     for c, (a, b) in enumerate(kind.scaled):
@@ -246,9 +350,9 @@ def _sample_fit(kind: Kind, p: np.ndarray, k: np.ndarray | None) -> np.ndarray |
     return kind.finish(rows.T @ rows, r)
 
 
-def _errors(kind: Kind, m: np.ndarray, p: np.ndarray, k: np.ndarray | None) -> np.ndarray:
-    if k is not None:
-        return ((project(p[:, :3], m, k) - p[:, 3:5]) ** 2).sum(1)
+def _errors(kind: Kind, m: np.ndarray, p: np.ndarray, camera: Camera | None) -> np.ndarray:
+    if camera is not None:
+        return ((project(p[:, :3], m, camera) - p[:, 3:5]) ** 2).sum(1)
     m = m.reshape(3, 3)
     a, b = np.column_stack([p[:, :2], np.ones(len(p))]), np.column_stack([p[:, 2:4], np.ones(len(p))])
     there = a @ m.T
@@ -259,12 +363,12 @@ def _errors(kind: Kind, m: np.ndarray, p: np.ndarray, k: np.ndarray | None) -> n
     return (b * there).sum(1) ** 2 / np.maximum((there[:, :2] ** 2).sum(1) + (back[:, :2] ** 2).sum(1), 1e-300)
 
 
-def consensus(points: DataFrame, kind: Kind, threshold: float, rounds: int, confidence: float, camera: np.ndarray | None = None, seed: int = 1) -> DataFrame:
+def consensus(points: DataFrame, kind: Kind, threshold: float, rounds: int, confidence: float, camera: Camera | None = None, seed: int = 1) -> DataFrame:
     """(group, model): of models of random samples of a group's pool, that with most points within the threshold.
 
     Sampling stops when a sample without outliers has been drawn with the wanted confidence.
     """
-    columns, size = kind.points, kind.least
+    columns, least = kind.points, kind.least
     order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
     some = points.select("group", *columns).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= POOL)
     pools = some.groupBy("group").agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns]))).alias("pool"))  # POOL points at most
@@ -275,18 +379,23 @@ def consensus(points: DataFrame, kind: Kind, threshold: float, rounds: int, conf
             for group, pool in zip(df["group"], df["pool"]):
                 p = np.array([list(x) for x in pool], float)
                 rng, found, need = np.random.default_rng([seed, int(group) & 0x7FFFFFFF]), [], rounds
-                for n in range(rounds if len(p) >= size else 0):
+                size = min(len(p), max(least, kind.sample))
+                for n in range(rounds if len(p) >= least else 0):
                     if n >= need:
                         break
                     m = _sample_fit(kind, p[rng.choice(len(p), size, replace=False)], camera)
                     if m is None or not np.isfinite(m).all():
                         continue
-                    hits = int((_errors(kind, m, p, camera) <= threshold**2).sum())
-                    found.append((hits, n, m.ravel().tolist()))
+                    hits = 0
+                    for one in np.split(m.ravel(), 2) if camera is not None and m.size == 12 else [m.ravel()]:  # a plane has two poses
+                        near = int((_errors(kind, one, p, camera) <= threshold**2).sum())
+                        found.append((near, n, one.tolist()))
+                        hits = max(hits, near)
                     clean = min((hits / len(p)) ** size, 1 - 1e-12)
                     if clean > 0:
                         need = min(need, int(np.ceil(np.log(1 - confidence) / np.log1p(-clean))))
-                out += [(group, n, m) for _, n, m in sorted(found, key=lambda f: (-f[0], f[1]))[:KEPT]]
+                best = sorted(found, key=lambda f: (-f[0], f[1]))[:KEPT]
+                out += [(group, k, m) for k, (_, _, m) in enumerate(best)]
             yield pd.DataFrame(out, columns=["group", "_k", "_model"])
 
     models = pools.mapInPandas(draw, "group long, _k int, _model array<double>")
@@ -330,9 +439,9 @@ def find_fundamental_mat(points: DataFrame, method: str = "8point", threshold: f
     return linear(points, FUNDAMENTAL) if method == "8point" else _robust(points, FUNDAMENTAL, threshold, rounds, confidence)
 
 
-def inlier_mask(points: DataFrame, models: DataFrame, model: str, threshold: float, camera: list[list[float]] | None = None) -> DataFrame:
-    """``points`` with ``inlier``; ``model`` is homography, fundamental or pose (with its camera)."""
-    kinds = {"homography": HOMOGRAPHY, "fundamental": FUNDAMENTAL} | ({"pose": _pose_kind(np.array(camera, float))} if camera else {})
+def inlier_mask(points: DataFrame, models: DataFrame, model: str, threshold: float, camera: list[list[float]] | None = None, lens: tuple[float, ...] = ()) -> DataFrame:
+    """``points`` with ``inlier``; ``model`` is homography, fundamental or pose (with its camera and lens)."""
+    kinds = {"homography": HOMOGRAPHY, "fundamental": FUNDAMENTAL} | ({"pose": _pose_kind(Camera(np.array(camera, float), tuple(lens)))} if camera else {})
     if model not in kinds:
         raise MatrixError(f"no model {model}")
     return within(points, models, kinds[model], threshold)
@@ -341,10 +450,12 @@ def inlier_mask(points: DataFrame, models: DataFrame, model: str, threshold: flo
 # ---- refinement
 
 
-def project(x: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+def project(x: np.ndarray, p: np.ndarray, camera: Camera | np.ndarray) -> np.ndarray:
+    """Pixels of points in space under a pose; a matrix alone is a camera without a lens."""
+    camera = camera if isinstance(camera, Camera) else Camera(camera)
     c = x @ rotation(p[:3]).T + p[3:]
     z = np.where(np.abs(c[:, 2]) < 1e-12, 1e-12, c[:, 2])
-    return np.column_stack([k[0, 0] * c[:, 0] / z + k[0, 2], k[1, 1] * c[:, 1] / z + k[1, 2]])
+    return np.column_stack(camera.pixels(c[:, 0] / z, c[:, 1] / z))
 
 
 Residual = Callable[[np.ndarray, pd.DataFrame], np.ndarray]
@@ -395,7 +506,7 @@ STATE = "group long, p array<double>, trial array<double>, sums array<double>, d
 
 
 def refine(points: DataFrame, start: DataFrame, residual: Residual, size: int, rounds: int = 20, eps: float = 1e-9) -> DataFrame:
-    """(group, model, rounds) by Levenberg-Marquardt from ``start`` (group, model of ``size`` numbers).
+    """(group, model, rounds, error: the sum of squares) by Levenberg-Marquardt from ``start`` (group, model of ``size`` numbers).
 
     A round is one pass that sums the normal equations at all groups' trial parameters; ``rounds`` is negative
     where the limit came first. ``residual(parameters, rows)`` gives a number or more for each row.
@@ -425,25 +536,31 @@ def refine(points: DataFrame, start: DataFrame, residual: Residual, size: int, r
         state = durable(moving.join(sums, "group", "left").mapInPandas(step, STATE).unionByName(state.where("done")))
         if state.where("not done").isEmpty():
             break
-    return state.select("group", F.col("p").alias("model"), F.when(F.col("over"), -F.col("round")).otherwise(F.col("round")).alias("rounds"))
+    return state.select("group", F.col("p").alias("model"), F.when(F.col("over"), -F.col("round")).otherwise(F.col("round")).alias("rounds"), F.element_at("sums", -1).alias("error"))
 
 
-def solve_pnp(points: DataFrame, camera: list[list[float]], method: str = "iterative", rounds: int = 100, threshold: float = 8.0, guess: DataFrame | None = None, confidence: float = 0.999) -> DataFrame:
+def solve_pnp(points: DataFrame, camera: list[list[float]], method: str = "iterative", rounds: int = 100, threshold: float = 8.0, guess: DataFrame | None = None, confidence: float = 0.999, lens: tuple[float, ...] = ()) -> DataFrame:
     """(group, model: rotation vector and translation, n_points, n_inliers) of points (group, x, y, z, u, v).
 
-    ``guess`` (group, model): poses to start the refinement from, instead of the linear solution. Planar point sets
-    raise: the linear start doesn't hold for them. Lens distortion isn't modelled.
+    ``guess`` (group, model): poses to start the refinement from, instead of the linear solution. Points in a plane start from both
+    poses of their homography, and the one that fits better after refinement stays. ``lens``: coefficients k1, k2, p1, p2, perhaps k3, perhaps k4 to k6;
+    pixels are as the lens shows them. A group with too few points (six, or four in a plane), with points on a line or without a consensus has a null model.
     """
-    k = np.array(camera, float)
-    kind = _pose_kind(k)
-    off = lambda p, rows: (project(rows[["x", "y", "z"]].to_numpy(float), p, k) - rows[["u", "v"]].to_numpy(float)).ravel()
+    seen_by = Camera(np.array(camera, float), tuple(lens))
+    kind = _pose_kind(seen_by)
+    off = lambda p, rows: (project(rows[["x", "y", "z"]].to_numpy(float), p, seen_by) - rows[["u", "v"]].to_numpy(float)).ravel()
     if method == "ransac":
-        best = durable(consensus(points, kind, threshold, rounds, confidence, k))
+        best = durable(consensus(points, kind, threshold, rounds, confidence, seen_by))
         used = within(points, best, kind, threshold).where("inlier")
     else:
         used = points
-    start = linear(used, kind) if guess is None else guess
-    poses = refine(used, start, off, 6)
+    start = durable(linear(with_rays(used, seen_by), kind).select("group", "model")) if guess is None else guess
+    poses = refine(used, start.withColumn("model", F.slice("model", 1, 6)), off, 6)
+    two = start.where(F.size("model") == 12).withColumn("model", F.slice("model", 7, 6))
+    if guess is None and not two.isEmpty():
+        flat = used.join(two.select("group"), "group", "left_semi")
+        poses = poses.unionByName(refine(flat, two, off, 6)).groupBy("group").agg(F.min_by("model", "error").alias("model"))
+    poses = poses.select("group", "model")
     if method == "ransac":
         return _counted(points, poses, kind, threshold)
     n = points.groupBy("group").agg(F.count("*").alias("n_points"))

@@ -807,7 +807,7 @@ register(
 
 
 def descriptors(s: SparkSession, d: str, binary: bool = False) -> DataFrame:
-    e = read(s, d, "embeddings")
+    e = read_table(s, d, "embeddings", spread=True)
     if not binary:
         return e.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("descriptor"))
     byte = lambda k: sum((F.when(F.col("embedding")[8 * k + j] > 0, 1 << j).otherwise(0) for j in range(8)), F.lit(0))
@@ -905,13 +905,19 @@ VIEW = [[800.0, 0.0, 320.0], [0.0, 800.0, 240.0], [0.0, 0.0, 1.0]]
 POSE = [0.1, -0.2, 0.05, 0.1, -0.1, 6.0]
 
 
-def scene(s: SparkSession, d: str, outliers: bool = False) -> DataFrame:
-    """Points in space from lineitem, and where a turned and moved camera sees them."""
+LENS = (-0.2, 0.05, 0.001, -0.002, 0.01)
+
+
+def scene(s: SparkSession, d: str, outliers: bool = False, planes: bool = False, lens: tuple[float, ...] = ()) -> DataFrame:
+    """Points in space from lineitem, and where a turned and moved camera sees them; ``planes``: in each odd group in a plane."""
     p = read(s, d, "lineitem").select(groups(), "l_orderkey", "l_linenumber", (F.col("l_quantity") / 25.0 - 1).cast("double").alias("x"), (F.col("l_discount") * 10 - 0.5).cast("double").alias("y"), (F.col("l_extendedprice") / 50000.0 - 1).cast("double").alias("z"))
+    if planes:
+        p = p.withColumn("z", F.when(F.col("group") % 2 == 1, 0.3 * F.col("x") - 0.2 * F.col("y") + 0.1).otherwise(F.col("z")))
     m = estimation.rodrigues_matrix(*[F.lit(v) for v in POSE[:3]])
     x, y, z = (m[3 * k] * F.col("x") + m[3 * k + 1] * F.col("y") + m[3 * k + 2] * F.col("z") + t for k, t in enumerate(POSE[3:]))
     off = F.when(F.expr(OUTLIER), 60.0 + F.col("l_orderkey") % 17).otherwise(0.0) if outliers else F.lit(0.0)
-    return p.select("*", (x / z * 800 + 320 + off).alias("u"), (y / z * 800 + 240 + off).alias("v"))
+    u, v = estimation.Camera(np.array(VIEW), lens).pixels(x / z, y / z)
+    return p.select("*", (u + off).alias("u"), (v + off).alias("v"))
 
 
 def stereo(s: SparkSession, d: str, outliers: bool = False) -> DataFrame:
@@ -931,6 +937,9 @@ def known_fundamental() -> list[float]:
 register("fundamental", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d)), 6), model_sql(known_fundamental(), 6))
 register("fundamental_ransac", lambda s, d: model_rows(estimation.find_fundamental_mat(stereo(s, d, True), "ransac", 0.5, 0.9999, 400), 6), model_sql(known_fundamental(), 6))
 register("solve_pnp", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d), VIEW)), model_sql(POSE))
+register("solve_pnp_planes", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d, planes=True), VIEW)), model_sql(POSE))
+register("solve_pnp_lens", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d, lens=LENS), VIEW, lens=LENS)), model_sql(POSE))
+register("solve_pnp_ransac_planes_lens", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d, True, True, LENS), VIEW, "ransac", 100, lens=LENS)), model_sql(POSE))
 register("solve_pnp_ransac", lambda s, d: model_rows(estimation.solve_pnp(scene(s, d, True), VIEW, "ransac", 100)), model_sql(POSE))
 
 
@@ -988,6 +997,8 @@ register(
     f"""WITH {stream_sql(3, 24)} SELECT img, {AT24}, (lo % CASE i % 2 WHEN 0 THEN 10 ELSE 1000 END + CASE i % 2 WHEN 0 THEN -5 ELSE 100 END)::DOUBLE AS v FROM (SELECT *, k - 1 AS i FROM w)""",
 )
 register("randn", lambda s, d: random.randn(many_images(s, d), S342, [0.0, 5.0], [1.0, 2.0], 3))
+register("randu_xoshiro", lambda s, d: r6(random.randu(many_images(s, d), S342, [0.0, 5.0], [1.0, 9.0], 3, generator="xoshiro")))
+register("randn_xoshiro", lambda s, d: r6(random.randn(many_images(s, d), S342, [0.0, 5.0], [1.0, 2.0], 3, generator="xoshiro")))
 register(
     "rand_shuffle",
     lambda s, d: random.rand_shuffle(img8(s, d), 5),

@@ -457,9 +457,60 @@ def test_outliers_of_every_model(spark):
     f = estimation.find_fundamental_mat(views, "ransac", 0.5, 0.9999, 2000)
     kept = {r["point"] for r in estimation.inlier_mask(views, f, "fundamental", 0.5).where("inlier").collect()}
     assert set(range(20, 80)) <= kept and len(kept) < 64
-    flat = scene.withColumn("z", F.lit(0.0))
-    with pytest.raises(Exception, match="plane"):
-        estimation.solve_pnp(flat, k.tolist()).collect()
+
+
+LENS5 = (-0.28, 0.07, 0.001, -0.0015, 0.02)
+
+
+def seen(rng, groups, camera):
+    rows = []
+    for g, (x, pose, noise) in enumerate(groups):
+        uv = estimation.project(x, np.array(pose), camera) + rng.normal(0, 1, (len(x), 2)) * noise
+        rows += [(g, *map(float, (*a, *b))) for a, b in zip(x, uv)]
+    return rows
+
+
+@pytest.mark.parametrize("lens", [(), LENS5[:4], LENS5, (*LENS5, 0.01, -0.002, 0.001)])
+def test_poses_of_planes_and_lenses(spark, lens):
+    rng = np.random.default_rng(3)
+    camera = estimation.Camera(np.array([[800.0, 0, 320], [0, 780.0, 240], [0, 0, 1]]), lens)
+    flat = lambda n: np.column_stack([rng.random((n, 2)) * 2 - 1, np.zeros(n)])
+    tilted = flat(16) @ estimation.rotation(np.array([0.4, -0.7, 0.2])).T + [0.3, 0.1, -0.4]
+    square = np.array([[-1.0, -1, 0], [1, -1, 0], [1, 1, 0], [-1, 1, 0]])
+    poses = [[0.1, -0.2, 0.3, 0.1, -0.1, 6.0], [0.5, 0.3, -0.4, 0.2, 0.1, 7.0], [-0.6, 0.5, 0.2, -0.3, 0.2, 5.0], [0.9, -0.4, 0.1, 0.1, 0.1, 6.0]]
+    groups = [(rng.random((24, 3)) * 2 - 1, poses[0], 0), (flat(16), poses[1], 0), (tilted, poses[2], 0), (square, poses[3], 0)]
+    groups += [(square[:3], poses[0], 0), (np.outer(np.arange(8.0), [0.1, 0.2, 0.05]), poses[0], 0), (rng.random((5, 3)), poses[0], 0)]
+    points = spark.createDataFrame(seen(rng, groups, camera), "group long, x double, y double, z double, u double, v double")
+    got = {r["group"]: r for r in estimation.solve_pnp(points, camera.k.tolist(), lens=lens).collect()}
+    for g, pose in enumerate(poses):
+        assert np.allclose(got[g]["model"], pose, atol=1e-5), (g, got[g])
+    assert all(got[g]["model"] is None and got[g]["n_inliers"] == 0 for g in (4, 5, 6))
+
+
+def test_planes_with_noise_and_outliers(spark):
+    rng = np.random.default_rng(4)
+    camera = estimation.Camera(np.array([[800.0, 0, 320], [0, 800.0, 240], [0, 0, 1]]), LENS5)
+    pose = [0.5, 0.4, -0.2, 0.1, 0.1, 6.0]
+    x = np.column_stack([rng.random((60, 2)) * 2 - 1, np.full(60, 0.5)])
+    rows = seen(rng, [(x, pose, 0.3), (x, [-0.4, 0.3, 0.1, 0.0, 0.2, 5.0], 0.0)], camera)
+    rows = [(*r[:4], r[4] + 70, r[5] - 50) if k % 5 == 0 else r for k, r in enumerate(rows)]
+    points = spark.createDataFrame(rows, "group long, x double, y double, z double, u double, v double")
+    got = {r["group"]: r for r in estimation.solve_pnp(points, camera.k.tolist(), "ransac", 200, lens=LENS5).collect()}
+    assert np.allclose(got[0]["model"], pose, atol=0.02) and got[0]["n_inliers"] == 48
+    assert np.allclose(got[1]["model"], [-0.4, 0.3, 0.1, 0.0, 0.2, 5.0], atol=1e-5) and got[1]["n_inliers"] == 48
+
+
+def test_rays_take_the_lens_off(spark):
+    rng = np.random.default_rng(5)
+    camera = estimation.Camera(np.array([[800.0, 0, 320], [0, 780.0, 240], [0, 0, 1]]), LENS5)
+    x, y = rng.random((2, 50)) - 0.5
+    u, v = camera.pixels(x, y)
+    assert np.allclose(camera.rays(u, v), (x, y), atol=1e-9)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(u, v)], "u double, v double")
+    a, b = camera.ray_columns(F.col("u"), F.col("v"))
+    assert np.allclose(df.select(a.alias("a"), b.alias("b")).toPandas().to_numpy(), np.column_stack([x, y]), atol=1e-9)
+    with pytest.raises(MatrixError):
+        estimation.Camera(camera.k, (0.1, 0.2, 0.3))
 
 
 def test_least_squares_of_a_curve(spark):
