@@ -116,7 +116,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, in parts enough for all cores, to be sent to Python in bounded batches."""
     bounded_batches(spark)
-    return read_table(spark, sf_dir, name)
+    return read_table(spark, sf_dir, name, spread=True)
 
 
 def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
