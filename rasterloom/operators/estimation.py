@@ -551,7 +551,7 @@ def solve_pnp(points: DataFrame, camera: list[list[float]], method: str = "itera
     off = lambda p, rows: (project(rows[["x", "y", "z"]].to_numpy(float), p, seen_by) - rows[["u", "v"]].to_numpy(float)).ravel()
     if method == "ransac":
         best = durable(consensus(points, kind, threshold, rounds, confidence, seen_by))
-        used = within(points, best, kind, threshold).where("inlier")
+        used = durable(within(points, best, kind, threshold).where("inlier").select("group", *kind.points))  # read again each round
     else:
         used = points
     start = durable(linear(with_rays(used, seen_by), kind).select("group", "model")) if guess is None else guess

@@ -249,11 +249,10 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
     """Two-dimensional discrete Fourier transform; channel 0 is the real and 1 the imaginary part.
 
     Rows are transformed in stripes of whole rows, then columns in stripes of whole columns (an image of one tile at once), by fast
-    transforms; a real image has no channel 1. Missing pixels count as 0.
+    transforms; a real image needs no channel 1. Missing pixels count as 0.
     """
     if nonzero_rows and shape.channels == 1:
         px = px.where(F.col("y") < nonzero_rows)
-    both = px.unionByName(px.where("c = 0").select("img", "y", "x", F.lit(1).alias("c"), F.lit(0.0).alias("v"))) if shape.channels == 1 else px
     stripes = lambda n: dense.reaching(n, 0, Border.CONSTANT)
     line = lambda n: dense.Axis(n, (0, n), (np.arange(n),))
 
@@ -266,9 +265,9 @@ def dft(px: DataFrame, shape: Shape, inverse: bool = False, scale: bool = False,
         return run
 
     if dense.one_tile(shape) and not rows_only:
-        out = dense.by_tile(both, line(shape.rows), line(shape.cols), transform(1, 2), channels=2)
+        out = dense.by_tile(px, line(shape.rows), line(shape.cols), transform(1, 2), channels=2)
     else:
-        out = dense.by_tile(both, stripes(shape.rows), line(shape.cols), transform(2), channels=2)
+        out = dense.by_tile(px, stripes(shape.rows), line(shape.cols), transform(2), channels=2)
         if not rows_only:
             out = dense.by_tile(out, line(shape.rows), stripes(shape.cols), transform(1), channels=2)
     return elementwise.mapped(out, lambda v: v / float(shape.cols * (1 if rows_only else shape.rows))) if scale else out
