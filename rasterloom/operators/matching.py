@@ -1,8 +1,9 @@
-"""Descriptor matching: a query set against all train rows, query block by query block.
+"""Descriptor matching: queries against all train rows.
 
-Each block of queries (``BLOCK_BYTES`` of descriptors at most) is broadcast; every train task computes its distances to
-the block slice by slice, keeps the best k of each query while it reads, and sends these at its end; Spark merges
-them by query. Nothing is joined with everything, and no task sends more than k rows a query.
+A query set of at most ``BLOCK_BYTES`` of descriptors is broadcast; every train task computes its distances to it slice
+by slice, keeps the best k of each query while it reads, and sends these at its end; Spark merges them by query. A
+larger one goes through the exact index of ``metric``. Nothing is joined with everything, and no task sends more than
+k rows a query.
 """
 
 from __future__ import annotations
@@ -16,29 +17,13 @@ from pyspark.sql import functions as F
 
 from ..sources.spool import durable
 from ..types import MatrixError
+from . import metric
+from .distance import distances, matrix
 
 BLOCK_BYTES = 16 << 20
 SLICE = 1024
 
 
-def distances(q: np.ndarray, t: np.ndarray, norm: str) -> np.ndarray:
-    """(queries, trains) distances."""
-    if norm == "l2":
-        d = np.zeros((len(q), len(t)))
-        for k in range(q.shape[1]):  # dimension by dimension: sums in a fixed order
-            e = q[:, k, None] - t[None, :, k]
-            d += e * e
-        return np.sqrt(d)
-    if norm == "hamming":
-        q, t = (np.ascontiguousarray(x.astype(np.uint8)) for x in (q, t))
-        kind = next(k for k in (np.uint64, np.uint32, np.uint16, np.uint8) if q.shape[1] % np.dtype(k).itemsize == 0)
-        d = np.zeros((len(q), len(t)))
-        for a, b in zip(q.view(kind).T, t.view(kind).T):
-            d += np.bitwise_count(a[:, None] ^ b[None, :])
-        return d
-    raise MatrixError(f"no norm {norm}")
-
-
 class Nearest:
     """The k nearest train rows of each query so far; equal distances go to the smaller index."""
 
@@ -75,53 +60,44 @@ def _packed(df: DataFrame, idx: str, descriptor: str, norm: str) -> DataFrame:
     return df.select(F.col(idx).cast("long").alias("idx"), F.transform(descriptor, lambda x: x.cast(kind)).alias("descriptor"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
-def _best(queries: DataFrame, train: DataFrame, k: int, norm: str, apart: bool = False) -> DataFrame:
+def _best(queries: DataFrame, train: DataFrame, k: int, norm: str, apart: bool = False, index: bool | None = None) -> DataFrame:
     """The k nearest train rows of each query: (query_idx, train_idx, distance, rank from 1); ``apart``: not itself."""
-    spark = queries.sparkSession
-    size = queries.agg(F.sum(F.size("descriptor") * 8 + 8)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    schema = "query_idx long, train_idx long, distance double"
-
-    def against(block: DataFrame) -> DataFrame:
-        table = block.toArrow()  # BLOCK_BYTES or so
-        ids = table.column("idx").to_numpy()
-        sent = spark.sparkContext.broadcast((ids, _matrix(table.column("descriptor").combine_chunks()) if len(ids) else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qi, q = sent.value
-            best = Nearest(len(qi), k)
-            for whole in batches:
-                for start in range(0, whole.num_rows, SLICE):
-                    batch = whole.slice(start, SLICE)
-                    ti, t = batch.column("idx").to_numpy(), _matrix(batch.column("descriptor"))
-                    for a in range(0, len(q), 256):
-                        d = distances(q[a : a + 256], t, norm)
-                        if apart:
-                            d[qi[a : a + 256, None] == ti[None, :]] = np.inf
-                        best.add(a, d, ti)
-            if len(qi):
-                best.merge()
-                yield pa.RecordBatch.from_arrays([pa.array(qi[best.row]), pa.array(best.idx), pa.array(best.d)], names=["query_idx", "train_idx", "distance"])
-
-        return train.mapInArrow(run, schema)
-
-    out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == b)
-        part = against(block)
-        out = part if out is None else out.unionByName(part)
+    there = "idx is not null and descriptor is not null"  # others have no neighbours
+    queries, train = queries.where(there), train.where(there)
+    if index is None:
+        index = (queries.agg(F.sum(F.size("descriptor") * 8 + 8)).first()[0] or 0) > BLOCK_BYTES
+    if index:
+        return metric.best(queries, train, k, norm, apart)
+    table = queries.toArrow()  # BLOCK_BYTES at most
+    ids = table.column("idx").to_numpy()
+    sent = queries.sparkSession.sparkContext.broadcast((ids, matrix(table.column("descriptor").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qi, q = sent.value
+        best = Nearest(len(qi), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(qi) else 0, SLICE):
+                batch = whole.slice(start, SLICE)
+                ti, t = batch.column("idx").to_numpy(), matrix(batch.column("descriptor"))
+                for a in range(0, len(q), 256):
+                    d = distances(q[a : a + 256], t, norm)
+                    if apart:
+                        d[qi[a : a + 256, None] == ti[None, :]] = np.inf
+                    best.add(a, d, ti)
+        if len(qi):
+            best.merge()
+            yield pa.RecordBatch.from_arrays([pa.array(qi[best.row]), pa.array(best.idx), pa.array(best.d)], names=["query_idx", "train_idx", "distance"])
+
     w = Window.partitionBy("query_idx").orderBy("distance", "train_idx")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return train.mapInArrow(run, metric.FOUND).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def knn_match(queries: DataFrame, train: DataFrame, k: int, norm: str = "l2", idx: str = "idx", descriptor: str = "descriptor", apart: bool = False, index: bool | None = None) -> DataFrame:
+    """(query_idx, rank, train_idx, distance); equal distances go to the smaller index; ``apart``: no row matches itself.
 
-def knn_match(queries: DataFrame, train: DataFrame, k: int, norm: str = "l2", idx: str = "idx", descriptor: str = "descriptor", apart: bool = False) -> DataFrame:
-    """(query_idx, rank, train_idx, distance); equal distances go to the smaller index; ``apart``: no row matches itself."""
-    return _best(_packed(queries, idx, descriptor, norm), _packed(train, idx, descriptor, norm), k, norm, apart).select("query_idx", "rank", "train_idx", "distance")
+    ``index`` chooses the way, which doesn't change the result; by default the size of the query set does.
+    """
+    return _best(_packed(queries, idx, descriptor, norm), _packed(train, idx, descriptor, norm), k, norm, apart, index).select("query_idx", "rank", "train_idx", "distance")
 
 
 def match_descriptors(queries: DataFrame, train: DataFrame, norm: str = "l2", cross_check: bool = False, idx: str = "idx", descriptor: str = "descriptor", apart: bool = False) -> DataFrame:
