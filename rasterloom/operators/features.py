@@ -109,27 +109,69 @@ def local_maxima(px: DataFrame, shape: Shape, strict: bool, margin: int = 1) ->
     return dense.filtered(px, shape, (1, 1), Border.CONSTANT, peaks, fill=-math.inf, outside=-math.inf)
 
 
-def spaced(candidates: DataFrame, min_distance: float, most: int = 0) -> DataFrame:
-    """Candidates (img, x, y, v) taken greedily by v (ties: row-major) with a least distance; adds ``rank``."""
+#: Places a side of the tiles in which candidates are spaced.
+SPACED_TILE = 512
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["v", "y", "x"], ascending=[False, True, True], kind="stable")
-        xy, taken = df[["x", "y"]].to_numpy(float), []
-        for i in range(len(df)):
-            if not taken or min_distance <= 0 or ((xy[taken] - xy[i]) ** 2).sum(1).min() >= min_distance**2:
-                taken.append(i)
-                if most and len(taken) == most:
-                    break
-        return df.iloc[taken].assign(rank=range(len(taken)))[["img", "x", "y", "v", "rank"]]
 
-    return candidates.select("img", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "v").groupBy("img").applyInPandas(run, "img long, x double, y double, v double, rank int")
+def _decide(df: pd.DataFrame, reach: float) -> pd.DataFrame:
+    """The tile's own candidates that are kept or still open, from all candidates within reach of the tile.
+
+    In order of merit, a candidate near a kept one goes; one near a better open one stays open; any other own one is
+    kept. One from around the tile stays open, as it may have better ones near it that this tile doesn't see.
+    """
+    df = df.sort_values(["v", "y", "x"], ascending=[False, True, True], kind="stable")
+    x, y, kept, own = (df[c].to_numpy() for c in ("x", "y", "kept", "own"))
+    cells = list(zip(np.floor(y / reach).astype(int).tolist(), np.floor(x / reach).astype(int).tolist()))
+    held: dict[tuple[int, int], list[int]] = {}  # kept and open candidates by cells as wide as the reach
+    kept, stays = kept.copy(), np.zeros(len(df), bool)
+    for n, known in enumerate(kept):  # what earlier rounds kept counts from the start
+        if known:
+            held.setdefault(cells[n], []).append(n)
+            stays[n] = True
+    for n, (j, i) in enumerate(cells):
+        if kept[n]:
+            continue
+        near = [m for dj in (-1, 0, 1) for di in (-1, 0, 1) for m in held.get((j + dj, i + di), ()) if (x[m] - x[n]) ** 2 + (y[m] - y[n]) ** 2 < reach**2]
+        if any(kept[m] for m in near):
+            continue
+        kept[n], stays[n] = own[n] and not near, True
+        held.setdefault((j, i), []).append(n)
+    return df.assign(kept=kept)[stays & own][["img", "x", "y", "v", "kept"]]
+
+
+def spaced(candidates: DataFrame, min_distance: float, most: int = 0, extent: Shape | None = None) -> DataFrame:
+    """Candidates (img, x, y, v) taken greedily by v (ties: row-major) with a least distance; adds ``rank``.
+
+    Tiles decide side by side, each with the candidates within ``min_distance`` around it, in rounds until none is
+    open; the result is that of the serial order. Images within an ``extent`` of one tile need one round.
+    """
+    now = candidates.select("img", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"), F.lit(False).alias("kept"))
+    reach = float(min_distance)
+    if reach > 0:
+        side = max(SPACED_TILE, 2 * math.ceil(reach))
+        small = extent is not None and max(extent.rows, extent.cols) <= side
+        tile = lambda p, by=0.0: F.floor((F.col(p) + by) / side)
+        while True:
+            if small:
+                near = now.withColumn("_ty", F.lit(0)).withColumn("_tx", F.lit(0)).withColumn("own", F.lit(True))
+            else:
+                near = now.withColumn("_ty", F.explode(F.sequence(tile("y", -reach), tile("y", reach)))).withColumn("_tx", F.explode(F.sequence(tile("x", -reach), tile("x", reach))))
+                near = near.withColumn("own", (F.col("_ty") == tile("y")) & (F.col("_tx") == tile("x")))
+            now = near.groupBy("img", "_ty", "_tx").applyInPandas(lambda df: _decide(df, reach), "img long, x double, y double, v double, kept boolean")
+            if small:
+                break
+            now = durable(now)
+            if now.where("not kept").isEmpty():
+                break
+    ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("v"), "y", "x")) - 1).drop("kept")
+    return ranked.where(F.col("rank") < most) if most else ranked
 
 
 def good_features_to_track(px: DataFrame, shape: Shape, max_corners: int, quality: float, min_distance: float, block: int = 3, use_harris: bool = False, k: float = 0.04) -> DataFrame:
     r = corner_harris(px, shape, block, 3, k) if use_harris else corner_min_eigen_val(px, shape, block)
     best = r.withColumn("_best", F.max("v").over(Window.partitionBy("img")))
     strong = local_maxima(r, shape, False).join(best.where(val() > F.col("_best") * quality).select(*KEYS), list(KEYS), "left_semi")
-    return spaced(strong, min_distance, max_corners)
+    return spaced(strong, min_distance, max_corners, shape)
 
 
 def corner_sub_pix(px: DataFrame, shape: Shape, corners: DataFrame, win: int = 2, criteria: Criteria = Criteria(10, 1e-3)) -> DataFrame:
@@ -301,7 +343,7 @@ def hough_circles(px: DataFrame, shape: Shape, dp: float, min_dist: float, param
     top = neighbours(votes, frame, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
     inner = F.col("y").between(1, frame.rows - 2) & F.col("x").between(1, frame.cols - 2)
     centres = votes.where(inner & (val() > int(param2))).join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(0.0)))
-    kept = spaced(centres.select("img", (F.col("x") * dp).alias("x"), (F.col("y") * dp).alias("y"), "v"), min_dist)
+    kept = spaced(centres.select("img", (F.col("x") * dp).alias("x"), (F.col("y") * dp).alias("y"), "v"), min_dist, extent=shape)
     # Pixels meet centres by cells as wide as the largest radius: a centre asks its own and the eight around.
     wide = float(max_radius + 1)
     cell = lambda p: F.floor(F.col(p) / wide)

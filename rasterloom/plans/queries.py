@@ -863,6 +863,25 @@ register(
     lambda s, d: r6(cluster.assign(cluster_points(s, d), first_centres(s, d)).select("id", "label", "d2"), "d2"),
     f"SELECT id, label, {s6('d2')} AS d2 FROM (SELECT p.vec_id AS id, c.vec_id::INT AS label, list_sum(list_transform(list_zip(p.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM embeddings p, embeddings c WHERE c.vec_id < 4) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, label) = 1",
 )
+
+def given_labels(df: DataFrame) -> DataFrame:
+    return df.select("id", (F.col("id") % 4).cast("int").alias("label"))
+
+
+def lloyd_sql(rounds: int) -> str:
+    """Rounds of means and assignments from given labels, and the last assignment."""
+    ctes = ["p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS p FROM embeddings)", "a0 AS (SELECT id, p, (id % 4)::INT AS label FROM p)"]
+    for n in range(rounds + 1):
+        ctes.append(f"m{n} AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(p[i]) AS m FROM a{n}, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)")
+        ctes.append(f"a{n + 1} AS (SELECT id, p, label, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM p, m{n} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, label) = 1)")
+    return f"WITH {', '.join(ctes)} SELECT id, label, {s6('d2')} AS d2 FROM a{rounds + 1}"
+
+
+register(
+    "kmeans_given",
+    lambda s, d: r6(cluster.kmeans(cluster_points(s, d), 4, Criteria(2, 0.0), initial=given_labels(cluster_points(s, d)))[0].select("id", "label", "d2"), "d2"),
+    lloyd_sql(2),
+)
 register("kmeans", lambda s, d: r6(cluster.kmeans(cluster_points(s, d), 4, Criteria(5, 1e-4))[0].select("id", "label", "d2"), "d2"))
 
 

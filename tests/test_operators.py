@@ -443,6 +443,47 @@ def test_nearest_rows_with_ties_and_copies(spark):
                 assert [got[i, k + 1] for k in range(3)] == [(j, d) for d, j in want]
 
 
+@pytest.mark.parametrize("reach", [0.0, 1.0, 4.5, 11.0])
+def test_spacing_by_tiles_is_the_serial_order(spark, monkeypatch, reach):
+    monkeypatch.setattr(features, "SPACED_TILE", 24)
+    rng = np.random.default_rng(9)
+    rows = [(img, float(x), float(y), float(v)) for img in (1, 2) for x, y, v in zip(rng.integers(0, 120, 700), rng.integers(0, 90, 700), rng.integers(0, 40, 700))]
+    # A ridge whose merit falls along it: one chain of decisions over all tiles.
+    rows += [(3, float(x), 7.0, 200.0 - x) for x in range(120)] + [(4, 5.0, 5.0, 1.0)] * 3
+    df = spark.createDataFrame(rows, "img long, x double, y double, v double").repartition(5)
+    want = []
+    for img in (1, 2, 3, 4):
+        taken = []
+        for _, x, y, v in sorted((r for r in rows if r[0] == img), key=lambda r: (-r[3], r[2], r[1])):
+            if reach <= 0 or all((x - a) ** 2 + (y - b) ** 2 >= reach**2 for a, b, _ in taken):
+                taken.append((x, y, v))
+        want += [(img, *t, n) for n, t in enumerate(taken)]
+    assert sorted(tuple(r) for r in features.spaced(df, reach).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in features.spaced(df, reach, 6).collect()) == sorted(w for w in want if w[4] < 6)
+    assert sorted(tuple(r) for r in features.spaced(df, reach, extent=Shape(24, 24)).collect()) == sorted(want)
+    assert features.spaced(df.where("false"), reach).collect() == []
+
+
+def test_seeding_passes_do_not_grow_with_k(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(30, 5)) * 50
+    rows = [(i, [float(v) for v in centres[i % 30] + rng.normal(size=5)]) for i in range(1500)]
+    points = spark.createDataFrame(rows, "id long, p array<double>")
+    passes = []
+    whole = cluster.nearest
+    monkeypatch.setattr(cluster, "nearest", lambda p, c: passes.append(len(c)) or whole(p, c))
+    for k in (3, 30):
+        passes.clear()
+        chosen = np.array(cluster.start_centres(points, k, 1))
+        assert chosen.shape == (k, 5) and len(passes) <= cluster.ROUNDS + 1
+    # One centre in (nearly) every one of the groups far from one another.
+    assert len({int(((centres - c) ** 2).sum(1).argmin()) for c in chosen}) >= 28
+    same = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(50)], "id long, p array<double>")
+    assert sorted(cluster.start_centres(same, 5, 0)) == [[1.0, 0.0], [1.0, 1.0]]
+    assert cluster.start_centres(same.where("false"), 5, 0) == []
+    assert len(cluster.start_centres(same, 5, 0, spread=False)) == 5
+
+
 def test_outliers_of_every_model(spark):
     rng = np.random.default_rng(8)
     x = rng.random((80, 3)) * 2 - 1
