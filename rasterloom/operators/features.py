@@ -7,6 +7,7 @@ order of one image's few candidates (greedy spacing, line walking, iterative ref
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -201,13 +202,11 @@ def corner_sub_pix(px: DataFrame, shape: Shape, corners: DataFrame, win: int = 2
     return now
 
 
-def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """(img, y, x, strong): thinned edge pixels, before hysteresis."""
-    low, high = min(low, high), max(low, high)
+def _thinning(low: float, high: float, aperture: int, l2: bool) -> tuple[int, Callable[[dense.Frame], tuple[np.ndarray, np.ndarray]]]:
+    """The reach of, and a kernel for, thinned edges of a tile and their strength, before hysteresis."""
     kernels = [T.sobel_kernels(aperture, dx, dy) for dx, dy in ((1, 0), (0, 1))]
-    r = len(kernels[0][0]) // 2
 
-    def thin(f: dense.Frame) -> dict[str, np.ndarray]:
+    def thin(f: dense.Frame) -> tuple[np.ndarray, np.ndarray]:
         gx, gy = (f.correlated(f.v, *k) for k in kernels)
         m = np.hypot(gx, gy) if l2 else np.abs(gx) + np.abs(gy)
         angle = np.degrees(np.arctan2(gy, gx)) % 180
@@ -217,23 +216,85 @@ def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, apert
         sides = [np.maximum(at(dy, dx), at(-dy, -dx)) for dy, dx in ((0, 1), (-1, 1), (1, 0), (1, 1))]
         own, near = at(0, 0), f.near()
         keep = f.inner(1) & (own >= low) & (own >= np.choose(f.shift(line, 0, 0, (1, 1)), sides))
-        return {"v": own, "_keep": keep if near is None else keep & near}
+        return own, keep if near is None else keep & near
 
-    found = dense.filtered(px.where("c = 0"), shape, (r + 1, r + 1), Border.REFLECT_101, thin)
+    return len(kernels[0][0]) // 2 + 1, thin
+
+
+def canny_candidates(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
+    """(img, y, x, strong): thinned edge pixels, before hysteresis."""
+    low, high = min(low, high), max(low, high)
+    r, thin = _thinning(low, high, aperture, l2)
+    found = dense.filtered(px.where("c = 0"), shape, (r, r), Border.REFLECT_101, lambda f: dict(zip(("v", "_keep"), thin(f))))
     return found.select("img", "y", "x", (val() >= high).alias("strong"))
 
 
+def _touching(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``mask`` (planes, rows, cols, 1) is set, as flat places, and for each the number of the first one that it hangs together with."""
+    at = np.flatnonzero(mask)
+    number = np.full(mask.shape[:3], -1)
+    number.ravel()[at] = np.arange(len(at))
+    pairs = []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        rows, cols = mask.shape[1] - dy, mask.shape[2]
+        left, right = max(0, -dx), cols - max(0, dx)
+        a, b = number[:, :rows, left:right], number[:, dy:, left + dx : right + dx]
+        both = (a >= 0) & (b >= 0)
+        pairs.append((a[both], b[both]))
+    a, b = (np.concatenate(side) for side in zip(*pairs))
+    label = np.arange(len(at))
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return at, label
+
+
 def canny(px: DataFrame, shape: Shape, low: float, high: float, aperture: int = 3, l2: bool = False) -> DataFrame:
-    """255 on edges: candidates whose component (by 8-neighbourhood) has a strong one."""
-    found = durable(canny_candidates(px, shape, low, high, aperture, l2))
-    place = F.struct("img", "y", "x")
-    ahead = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    asked = found.select(place.alias("a"), "img", F.explode(ahead).alias("_o"), "y", "x").select("a", F.struct("img", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")).alias("b"))
-    edges = asked.join(found.select(place.alias("b")), "b", "left_semi")
-    labels = components(edges)
-    strong = labels.join(found.where("strong").select(place.alias("node")), "node", "left_semi").select("component").distinct()
-    marked = labels.join(strong, "component", "left_semi").select("node.img", "node.y", "node.x", F.lit(255.0).alias("_e"))
-    return px.where("c = 0").join(marked, ["img", "y", "x"], "left").select(*KEYS, F.coalesce("_e", F.lit(0.0)).alias("v"))
+    """255 on edges: candidates whose component (by 8-neighbourhood) has a strong one; one row for each pixel of the image.
+
+    Candidates are labelled inside their tile; of larger images only labels that meet at tile edges go through the
+    search for components.
+    """
+    low, high, single = min(low, high), max(low, high), dense.one_tile(shape)
+    r, thin = _thinning(low, high, aperture, l2)
+
+    def label(f: dense.Frame) -> dict[str, np.ndarray]:
+        own, keep = thin(f)
+        keep = np.broadcast_to(keep, own.shape)
+        at, first = _touching(keep)
+        strong = np.bincount(first, own.ravel()[at] >= high, len(at)) > 0
+        y, x = (p.ravel()[at[first]] for p in np.broadcast_arrays(*np.ogrid[: own.shape[0], f.y : f.y + f.height, f.x : f.x + f.width, :1])[1:3])
+        labels, marks = np.full(own.shape, -1.0), np.zeros(own.shape)
+        labels.ravel()[at], marks.ravel()[at] = y * float(f.cols) + x, strong[first]
+        there = np.broadcast_to(f.present(np.ones(own.shape, bool)), own.shape)
+        return {"label": labels, "strong": marks, "there": there.astype(float), "_keep": there if single else there | keep}
+
+    found = dense.filtered(px.where("c = 0"), shape, (r, r), Border.REFLECT_101, label, ("label", "strong", "there"))
+    if single:
+        return found.select(*KEYS, (F.col("strong") * 255).alias("v"))
+    found = durable(found)
+    edges = found.where("label >= 0")
+    down, across = (dense.reaching(n, r, Border.REFLECT_101).starts for n in (shape.rows, shape.cols))
+    begins = lambda p, starts: (F.col(p) > 0) & (F.col(p) % starts[1] == 0)
+    ends = lambda p, starts: F.col(p) % starts[1] == starts[1] - 1
+    over = lambda places: F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in places])
+    none = over([(0, 0)])
+    looks = F.array_union(F.when(begins("y", down), over([(-1, -1), (-1, 0), (-1, 1)])).otherwise(none), F.when(begins("x", across), over([(-1, -1), (0, -1), (1, -1)])).otherwise(none))
+    asks = edges.where(begins("y", down) | begins("x", across)).select("img", F.col("label").alias("_from"), F.explode(looks).alias("_o"), "y", "x").where("_o.dy <> 0 or _o.dx <> 0")
+    asks = asks.select("img", "_from", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"))
+    met = asks.join(edges.where(ends("y", down) | ends("x", across)), ["img", "y", "x"])
+    links = met.select(F.struct("img", F.col("_from").alias("label")).alias("a"), F.struct("img", "label").alias("b")).where("a <> b").distinct()
+    labels = components(links)
+    marked = edges.where("strong > 0").select(F.struct("img", "label").alias("node")).distinct()
+    strong = labels.join(marked, "node", "left_semi").select("component").distinct()
+    more = labels.join(strong, "component", "left_semi").select("node.img", "node.label", F.lit(1.0).alias("_more"))
+    # Pixels that are no candidates have one label in common: they don't take part in the join.
+    grown = edges.join(more, ["img", "label"], "left").withColumn("strong", F.greatest("strong", F.coalesce("_more", F.lit(0.0)))).select(*KEYS, "strong", "there")
+    return grown.unionByName(found.where("label < 0").select(*KEYS, "strong", "there")).where("there > 0").select(*KEYS, (F.col("strong") * 255).alias("v"))
 
 
 def _half_away(v: Column) -> Column:

@@ -91,6 +91,32 @@ def test_canny_closes_a_square(spark):
     assert edges[8, 3:5].max() == 255 and edges[8, 8] == 0 and edges[0].max() == 0
 
 
+@pytest.mark.parametrize("tile", [512, 8])
+def test_hysteresis_is_a_flood_from_strong_pixels(spark, monkeypatch, tile):
+    from rasterloom.operators import dense
+
+    monkeypatch.setattr(dense, "TILE", tile)
+    shape = Shape(33, 40)
+    yy, xx = np.mgrid[0:33, 0:40]
+    noise = np.random.default_rng(7).normal(size=(33, 40)) * 12
+    rings = 128 + 60 * np.sin(np.hypot(yy - 10, xx - 17) * 1.1) * (xx / 40) + noise  # long edges that weaken along their way
+    px = matrix(spark, np.round(rings)).unionByName(matrix(spark, np.round(rings.max() - rings), 3))
+    found = features.canny_candidates(px, shape, 60, 330).collect()
+    places = {(r["img"], r["y"], r["x"]) for r in found}
+    reached = {(r["img"], r["y"], r["x"]) for r in found if r["strong"]}
+    front = list(reached)
+    while front:
+        img, y, x = front.pop()
+        for near in ((img, y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)):
+            if near in places and near not in reached:
+                reached.add(near)
+                front.append(near)
+    rows = features.canny(px, shape, 60, 330).collect()
+    assert len(rows) == 2 * 33 * 40
+    assert {(r["img"], r["y"], r["x"]) for r in rows if r["v"] == 255} == reached
+    assert 0 < sum(r["strong"] for r in found) < len(reached) < len(places)
+
+
 def test_fast_finds_a_corner(spark):
     m = np.full((15, 15), 20.0)
     m[7:, 7:] = 220
