@@ -52,7 +52,7 @@ def calc_optical_flow_pyramid_lk(prev: DataFrame, nxt: DataFrame, shape: Shape,
     """(img, id, x, y, status, error) of points (img, id, x, y[, next_x, next_y]) of ``prev`` found in ``nxt``."""
     if dense.one_tile(shape):
         columns = ["x", "y", *(("next_x", "next_y") if initial else ("x", "y"))]
-        kernel = lambda images, there, asked, _: _tracked(*images, *there, asked, win, levels, criteria, min_eigen)
+        kernel = lambda images, there, asked, _: tracked(*images, *there, asked, win, levels, criteria, min_eigen)
         return _told(dense.at_points([prev, nxt], shape, points, columns, kernel, ("x", "y", "status", "error")))
     a = build_optical_flow_pyramid(prev, shape, win, levels)
     b = build_optical_flow_pyramid(nxt, shape, win, levels, derivatives=False)
@@ -69,7 +69,7 @@ def _halved(a: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sign(half) * np.floor(np.abs(half) + 0.5), seen > 0
 
 
-def _tracked(prev: np.ndarray, nxt: np.ndarray, prev_there: np.ndarray, nxt_there: np.ndarray, asked: np.ndarray, win: tuple[int, int], levels: int, criteria: Criteria, min_eigen: float) -> np.ndarray:
+def tracked(prev: np.ndarray, nxt: np.ndarray, prev_there: np.ndarray, nxt_there: np.ndarray, asked: np.ndarray, win: tuple[int, int], levels: int, criteria: Criteria, min_eigen: float) -> np.ndarray:
     """(x, y, status, error) of the points (x, y, and where to begin) of one frame; a point stops when it rests."""
     pyramids = [(prev, nxt, prev_there, nxt_there)]
     for _ in range(levels):

@@ -21,7 +21,7 @@ from ..sources.local import small_table
 from ..sources.pixels import KEYS
 from ..sources.spool import durable, shared_folder
 from ..sources.tables import read_table
-from ..streaming import frames
+from ..streaming import frames, tracks
 from ..types import Border, Criteria, Shape
 from . import taps as T
 
@@ -1103,8 +1103,20 @@ register("frames", lambda s, d: frames.frames(read(s, d, "events")), "SELECT tim
 
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
-    stream = frames.frame_totals(frames.event_stream(s, f"{d}/events.parquet*"), late="1 hour")
-    return frames.run_to_table(stream, shared_folder(s, "frame_totals"))
+    return frames.run_to_end(s, f"{d}/events.parquet*", lambda events: frames.frame_totals(events, late="1 hour"), shared_folder(s, "frame_totals"))
 
 
-register("stream_frame_totals", streamed, "SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE frame <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 hour")
+register("stream_frame_totals", streamed, "SELECT time_bucket(INTERVAL 1 hour, ts) AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+
+
+def stream_tracks(s: SparkSession, d: str) -> DataFrame:
+    """Points followed through streams of ten frames each: embeddings as images of 8 x 8, blown up fourfold."""
+    images = s.readStream.schema("vec_id long, embedding array<float>").parquet(f"{d}/embeddings.parquet*")
+    data = "transform(sequence(0, 1023), p -> 1000D * embedding[(p div 128) * 8 + (p % 32) div 4])"
+    shots = images.selectExpr("vec_id div 10 AS stream", "vec_id % 10 AS frame", f"{data} AS data")
+    spots = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in (10.0, 21.0) for y in (10.0, 21.0))]
+    found = frames.run_to_table(tracks.follow(shots, Shape(32, 32), spots, (9, 9), 1), shared_folder(s, "tracks"))
+    return found.select("stream", "frame", "id", "status", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+
+
+register("stream_tracks", stream_tracks)

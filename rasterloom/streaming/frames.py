@@ -7,7 +7,7 @@ each stream, which is one row of counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -69,3 +69,17 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     writer.option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def run_to_end(spark: SparkSession, path: str, work: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """``work`` over the events of ``path`` that are there now, as if the stream had ended: no window stays open.
+
+    After the events an event from far ahead, of type ``end``, lets the watermark pass all windows but its own. It
+    comes in a second run over the same checkpoint, so none of the events is late because of it.
+    """
+    ends = f"{folder}/end"
+    spark.createDataFrame([], EVENTS).write.parquet(ends)
+    stream = work(event_stream(spark, path).unionByName(event_stream(spark, ends)))
+    run_to_table(stream, folder)
+    spark.sql("SELECT -1L AS event_id, timestamp'9000-01-01' AS ts, 0L AS user_id, 'end' AS event_type, 0D AS value, '' AS props").write.mode("append").parquet(ends)
+    return run_to_table(work(event_stream(spark, path).unionByName(event_stream(spark, ends))), folder)

@@ -43,7 +43,7 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
-LIGHT = ["hough_lines_p", "hough_circles", "solve_poly", "randn", "kmeans"]
+LIGHT = ["stream_tracks", "hough_lines_p", "hough_circles", "solve_poly", "randn", "kmeans"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
