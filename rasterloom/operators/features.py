@@ -1,7 +1,7 @@
 """Corners, edges, lines, circles and keypoints: images become rows.
 
 Responses, votes and non-maximum suppression are tap joins, aggregations and windows; only what depends on the
-order of one image's few candidates (greedy spacing, line walking, iterative refinement) runs in a grouped kernel.
+order of one image's few candidates (greedy spacing, iterative refinement) runs in a grouped kernel.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..types import Border, Criteria, MatrixError, Shape
 from . import dense
 from .components import components
 from .neighbourhood import gaussian_blur, neighbours, resize, sobel
+from .segments import hough_lines_p
 
 
 def val() -> Column:
@@ -329,59 +330,6 @@ def hough_lines(px: DataFrame, shape: Shape, rho: float, theta: float, threshold
     return best.select("img", (F.col("r") * float(rho)).alias("rho"), (F.col("n") * theta + min_theta).alias("theta"), "votes")
 
 
-def hough_lines_p(px: DataFrame, shape: Shape, rho: float, theta: float, threshold: int, min_length: float, max_gap: int, seed: int = 0) -> DataFrame:
-    """(img, x1, y1, x2, y2): segments found by voting pixel by pixel in random order, and walking along full cells."""
-    rows, cols = shape.rows, shape.cols
-    angles, distances = int(math.pi / theta + 0.5), int(2 * (rows + cols) / rho + 1.5)
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((rows, cols), bool)
-        mask[df["y"], df["x"]] = True
-        points = df.sort_values(["y", "x"])[["x", "y"]].to_numpy()
-        points = points[np.random.default_rng(seed).permutation(len(points))]
-        t = np.arange(angles) * theta
-        cos, sin, votes, voted, out = np.cos(t) / rho, np.sin(t) / rho, np.zeros((angles, distances), int), set(), []
-        cells = lambda x, y: np.clip(np.rint(x * cos + y * sin).astype(int) + (distances - 1) // 2, 0, distances - 1)
-        every = np.arange(angles)
-        for x, y in points.tolist():
-            if not mask[y, x]:
-                continue
-            c = cells(x, y)
-            votes[every, c] += 1
-            voted.add((x, y))
-            n = int(votes[every, c].argmax())
-            if votes[n, c[n]] < threshold:
-                continue
-            dx, dy = -math.sin(t[n]), math.cos(t[n])
-            k = max(abs(dx), abs(dy))
-            dx, dy, ends, walked = dx / k, dy / k, [], []
-            for sign in (1, -1):
-                px_, py_, gap, last = float(x), float(y), 0, (x, y)
-                while True:
-                    i, j = int(round(px_)), int(round(py_))
-                    if not (0 <= i < cols and 0 <= j < rows):
-                        break
-                    if mask[j, i]:
-                        gap, last = 0, (i, j)
-                        walked.append((i, j))
-                    else:
-                        gap += 1
-                        if gap > max_gap:
-                            break
-                    px_, py_ = px_ + sign * dx, py_ + sign * dy
-                ends.append(last)
-            good = max(abs(ends[0][0] - ends[1][0]), abs(ends[0][1] - ends[1][1])) >= min_length
-            for p in set(walked):
-                mask[p[1], p[0]] = False
-                if good and p in voted:
-                    votes[every, cells(*p)] -= 1
-            if good:
-                out.append((*ends[1], *ends[0]))
-        return pd.DataFrame([(int(df["img"].iloc[0]), *o) for o in out], columns=["img", "x1", "y1", "x2", "y2"])
-
-    return px.where("c = 0 and v <> 0").select("img", "y", "x").groupBy("img").applyInPandas(run, "img long, x1 int, y1 int, x2 int, y2 int")
-
-
 def hough_circle_votes(px: DataFrame, shape: Shape, dp: float, threshold: float, min_radius: int, max_radius: int) -> tuple[DataFrame, DataFrame]:
     """Votes (img, y, x, v) for centres along the gradients of edge pixels, and those pixels."""
     gx = sobel(px, shape, 1, 0, border=Border.REPLICATE).withColumnRenamed("v", "_gx")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import cluster, elementwise, estimation, features, flow, geometry, histogram, linalg, matching, neighbourhood, random, reduce, structural
+from ..operators import cluster, elementwise, estimation, features, flow, geometry, histogram, linalg, matching, neighbourhood, random, reduce, segments, structural
 from ..sources import pixels
 from ..sources.local import small_table
 from ..sources.pixels import KEYS
@@ -702,7 +702,20 @@ register(
         "v AS (SELECT img, n, (CASE WHEN t < 0 THEN -floor(0.5 - t) ELSE floor(t + 0.5) END)::INT + 16 AS r, count(*) AS votes FROM (SELECT img, n::INT AS n, round(x * cos(n * pi() / 8) + y * sin(n * pi() / 8), 6) AS t FROM img8, (SELECT unnest(range(8)) AS n) WHERE v > 127) GROUP BY ALL)",
     ),
 )
-register("hough_lines_p", lambda s, d: features.hough_lines_p(mask8(s, d), S8, 1.0, math.pi / 8, 4, 3, 1))
+register(
+    "hough_lines_p",
+    lambda s, d: segments.hough_lines_p(mask8(s, d), S8, 1.0, math.pi / 8, 4, 3, 1),
+    sql(
+        "SELECT img, x1, y1, x2, y2 FROM (SELECT img, arg_min(x, (a, b)) AS x1, arg_min(y, (a, b)) AS y1, arg_max(x, (a, b)) AS x2, arg_max(y, (a, b)) AS y2 FROM m WHERE taken GROUP BY k, img, n, r, run) WHERE greatest(abs(x2 - x1), abs(y2 - y1)) >= 3",
+        "l AS (SELECT n::INT AS n, cos(n * pi() / 8) AS c, sin(n * pi() / 8) AS s, n BETWEEN 2 AND 6 AS flat FROM (SELECT unnest(range(8)) AS n))",
+        """m AS (SELECT 0 AS k, img, y, x, 0 AS a, 0 AS b, 0 AS n, 0 AS r, 0::HUGEINT AS run, false AS taken FROM img8 WHERE v > 127
+        UNION ALL SELECT k, img, y, x, a, b, n, r, run, bool_and(n = chosen) OVER (PARTITION BY img, n, r, run) FROM (
+        SELECT *, arg_min(n, (-votes, n)) OVER (PARTITION BY img, y, x) AS chosen, sum(CASE WHEN a - before - 1 > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY img, n, r ORDER BY a, b) AS run FROM (
+        SELECT *, lag(a) OVER (PARTITION BY img, n, r ORDER BY a, b) AS before FROM (SELECT *, count(*) OVER (PARTITION BY img, n, r) AS votes FROM (
+        SELECT k + 1 AS k, img, y, x, CASE WHEN flat THEN x ELSE y END AS a, CASE WHEN flat THEN y ELSE x END AS b, n, (CASE WHEN t < 0 THEN -floor(0.5 - t) ELSE floor(t + 0.5) END)::INT AS r
+        FROM (SELECT o.*, l.*, round(x * c + y * s, 6) AS t FROM (SELECT k, img, y, x FROM m GROUP BY k, img, y, x HAVING NOT bool_or(taken)) o, l))) WHERE votes >= 4)))""",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 register("hough_circles", lambda s, d: r6(features.hough_circles(img8(s, d), S8, 1.0, 2.0, 200.0, 4.0, 1, 3), "x", "y"))
 
 
