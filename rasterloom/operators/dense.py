@@ -91,7 +91,7 @@ def _parted(df: DataFrame, down: Axis, across: Axis, *order: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions("_ty", "_tx", "img", *order)
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
+def changes(*columns: np.ndarray) -> np.ndarray:
     """Whether a row begins a new combination."""
     new = np.ones(len(columns[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
@@ -109,7 +109,7 @@ def by_tile(px: DataFrame, down: Axis, across: Axis, kernel: Kernel, names: Sequ
     px = px.where(F.col("c").between(0, channels - 1)) if channels else px
 
     def tile(img: np.ndarray, y: np.ndarray, x: np.ndarray, c: np.ndarray, v: np.ndarray, k: int, l: int) -> pa.RecordBatch:
-        new = _changes(img) if channels else _changes(img, c)
+        new = changes(img) if channels else changes(img, c)
         at, first = np.cumsum(new) - 1, np.flatnonzero(new)
         place = at, np.searchsorted(down.sources[k], y), np.searchsorted(across.sources[l], x), c if channels else np.zeros(len(c), np.int64)
         stack = np.zeros((len(first), len(down.sources[k]), len(across.sources[l]), channels or 1))
@@ -129,9 +129,15 @@ def by_tile(px: DataFrame, down: Axis, across: Axis, kernel: Kernel, names: Sequ
 
     def rows(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ty, tx, *rest = cols
-        starts = np.flatnonzero(_changes(ty, tx))
+        starts = np.flatnonzero(changes(ty, tx))
         for a, b in zip(starts, np.append(starts[1:], len(ty))):
-            yield tile(*(r[a:b] for r in rest), int(ty[a]), int(tx[a]))
+            k, l = int(ty[a]), int(tx[a])
+            # Images with few pixels are as large as others once they are arrays: a stack is bounded by places, not rows.
+            planes = a + np.flatnonzero(changes(rest[0][a:b]) if channels else changes(rest[0][a:b], rest[3][a:b]))
+            most = max(1, STACK // (len(down.sources[k]) * len(across.sources[l]) * (channels or 1)))
+            cuts = planes[::most]
+            for i, j in zip(cuts, np.append(cuts[1:], b)):
+                yield tile(*(r[i:j] for r in rest), k, l)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -143,7 +149,7 @@ def by_tile(px: DataFrame, down: Axis, across: Axis, kernel: Kernel, names: Sequ
             count += batch.num_rows
             if count >= STACK:
                 cols = [np.concatenate(a) for a in zip(*held)]
-                cut = int(np.flatnonzero(_changes(*cols[:3]))[-1])  # the last image's tile may go on
+                cut = int(np.flatnonzero(changes(*cols[:3]))[-1])  # the last image's tile may go on
                 if cut:
                     yield from rows([a[:cut] for a in cols])
                 held, count = [[a[cut:] for a in cols]], len(cols[0]) - cut
@@ -345,7 +351,7 @@ def at_points(images: Sequence[DataFrame], shape: Shape, points: DataFrame, colu
 
     def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ty, tx, img, side = (table.column(n).to_numpy() for n in ("_ty", "_tx", "img", "side"))
-        starts = np.flatnonzero(_changes(ty, tx, img))
+        starts = np.flatnonzero(changes(ty, tx, img))
         for a, b in zip(starts, np.append(starts[1:], len(img))):
             cut = a + np.searchsorted(side[a:b], np.arange(-1, tables + 1))
             own = table.slice(cut[0], cut[1] - cut[0])
@@ -371,7 +377,7 @@ def at_points(images: Sequence[DataFrame], shape: Shape, points: DataFrame, colu
                 held.append(batch)
                 if sum(b.num_rows for b in held) >= STACK:
                     table = pa.Table.from_batches(held)
-                    cut = int(np.flatnonzero(_changes(*(table.column(n).to_numpy() for n in ("_ty", "_tx", "img"))))[-1])
+                    cut = int(np.flatnonzero(changes(*(table.column(n).to_numpy() for n in ("_ty", "_tx", "img"))))[-1])
                     if cut:
                         yield from rows(table.slice(0, cut))
                     held = table.slice(cut).to_batches()

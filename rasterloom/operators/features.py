@@ -7,10 +7,11 @@ order of one image's few candidates (greedy spacing, iterative refinement) runs
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from ..sources.spool import durable
 from ..types import Border, Criteria, MatrixError, Shape
 from . import dense
 from .components import components
-from .neighbourhood import gaussian_blur, neighbours, resize, sobel
+from .neighbourhood import gaussian_blur, resize, sobel
 from .segments import hough_lines_p
 
 
@@ -115,30 +116,59 @@ def local_maxima(px: DataFrame, shape: Shape, strict: bool, margin: int = 1) ->
 SPACED_TILE = 512
 
 
-def _decide(df: pd.DataFrame, reach: float) -> pd.DataFrame:
-    """The tile's own candidates that are kept or still open, from all candidates within reach of the tile.
+def _decide(x: np.ndarray, y: np.ndarray, v: np.ndarray, kept: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a tile's own candidates are kept or still open, and which are kept, from all candidates within reach of it.
 
     In order of merit, a candidate near a kept one goes; one near a better open one stays open; any other own one is
     kept. One from around the tile stays open, as it may have better ones near it that this tile doesn't see.
     """
-    df = df.sort_values(["v", "y", "x"], ascending=[False, True, True], kind="stable")
-    x, y, kept, own = (df[c].to_numpy() for c in ("x", "y", "kept", "own"))
     cells = list(zip(np.floor(y / reach).astype(int).tolist(), np.floor(x / reach).astype(int).tolist()))
     held: dict[tuple[int, int], list[int]] = {}  # kept and open candidates by cells as wide as the reach
-    kept, stays = kept.copy(), np.zeros(len(df), bool)
-    for n, known in enumerate(kept):  # what earlier rounds kept counts from the start
-        if known:
-            held.setdefault(cells[n], []).append(n)
-            stays[n] = True
-    for n, (j, i) in enumerate(cells):
+    kept, stays = kept.copy(), kept.copy()
+    for n in np.flatnonzero(kept).tolist():  # what earlier rounds kept counts from the start
+        held.setdefault(cells[n], []).append(n)
+    for n in np.lexsort((x, y, -v)).tolist():
         if kept[n]:
             continue
+        j, i = cells[n]
         near = [m for dj in (-1, 0, 1) for di in (-1, 0, 1) for m in held.get((j + dj, i + di), ()) if (x[m] - x[n]) ** 2 + (y[m] - y[n]) ** 2 < reach**2]
         if any(kept[m] for m in near):
             continue
         kept[n], stays[n] = own[n] and not near, True
         held.setdefault((j, i), []).append(n)
-    return df.assign(kept=kept)[stays & own][["img", "x", "y", "v", "kept"]]
+    return stays & own, kept
+
+
+def _decided(near: DataFrame, reach: float) -> DataFrame:
+    """``_decide`` for every tile; a task reads its tiles one after the other and holds one of them at a time."""
+    names, keys = ("x", "y", "v", "kept", "own"), ("img", "_ty", "_tx")
+
+    def whole(cols: list[np.ndarray]) -> pa.RecordBatch:
+        new = np.flatnonzero(dense.changes(*cols[:3]))
+        both = [_decide(*(c[a:b] for c in cols[3:]), reach) for a, b in zip(new, np.append(new[1:], len(cols[0])))]
+        stays, kept = (np.concatenate(p) for p in zip(*both))
+        return pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in (cols[0], *cols[3:6], kept)], names=["img", "x", "y", "v", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in keys + names]
+            cut = int(np.flatnonzero(dense.changes(*cols[:3]))[-1])  # the last tile may go on
+            ends = held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], cols))
+            if held and (cut or ends):
+                held.append([c[:cut] for c in cols])
+                yield whole([np.concatenate(c) for c in zip(*held)])
+                held = []
+            elif cut:
+                yield whole([c[:cut] for c in cols])
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield whole([np.concatenate(c) for c in zip(*held)])
+
+    dealt = near.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names)
+    return dealt.mapInArrow(run, "img long, x double, y double, v double, kept boolean")
 
 
 def spaced(candidates: DataFrame, min_distance: float, most: int = 0, extent: Shape | None = None) -> DataFrame:
@@ -147,7 +177,7 @@ def spaced(candidates: DataFrame, min_distance: float, most: int = 0, extent: Sh
     Tiles decide side by side, each with the candidates within ``min_distance`` around it, in rounds until none is
     open; the result is that of the serial order. Images within an ``extent`` of one tile need one round.
     """
-    now = candidates.select("img", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"), F.lit(False).alias("kept"))
+    now = candidates.select(F.col("img").cast("long").alias("img"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("v"), F.lit(False).alias("kept"))
     reach = float(min_distance)
     if reach > 0:
         side = max(SPACED_TILE, 2 * math.ceil(reach))
@@ -159,7 +189,7 @@ def spaced(candidates: DataFrame, min_distance: float, most: int = 0, extent: Sh
             else:
                 near = now.withColumn("_ty", F.explode(F.sequence(tile("y", -reach), tile("y", reach)))).withColumn("_tx", F.explode(F.sequence(tile("x", -reach), tile("x", reach))))
                 near = near.withColumn("own", (F.col("_ty") == tile("y")) & (F.col("_tx") == tile("x")))
-            now = near.groupBy("img", "_ty", "_tx").applyInPandas(lambda df: _decide(df, reach), "img long, x double, y double, v double, kept boolean")
+            now = _decided(near, reach)
             if small:
                 break
             now = durable(now)
@@ -332,10 +362,14 @@ def hough_lines(px: DataFrame, shape: Shape, rho: float, theta: float, threshold
 
 def hough_circle_votes(px: DataFrame, shape: Shape, dp: float, threshold: float, min_radius: int, max_radius: int) -> tuple[DataFrame, DataFrame]:
     """Votes (img, y, x, v) for centres along the gradients of edge pixels, and those pixels."""
-    gx = sobel(px, shape, 1, 0, border=Border.REPLICATE).withColumnRenamed("v", "_gx")
-    gy = sobel(px, shape, 0, 1, border=Border.REPLICATE).withColumnRenamed("v", "_gy")
-    mag = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
-    edges = gx.join(gy, list(KEYS)).withColumn("_m", mag).where(F.col("_m") > max(threshold, 1.0))
+    kernels = [T.sobel_kernels(3, dx, dy) for dx, dy in ((1, 0), (0, 1))]
+
+    def steep(f: dense.Frame) -> dict[str, np.ndarray]:
+        gx, gy = (f.correlated(f.v, *k) for k in kernels)
+        m = np.sqrt(gx * gx + gy * gy)
+        return {"_gx": gx, "_gy": gy, "_m": m, "_keep": f.present(m > max(threshold, 1.0))}
+
+    edges = dense.filtered(px, shape, (1, 1), Border.REPLICATE, steep, ("_gx", "_gy", "_m"))
     steps = edges.withColumn("_r", F.explode(F.array(*[F.lit(float(s * r)) for s in (-1, 1) for r in range(min_radius, max_radius + 1)])))
     place = lambda p, g: _half_away(F.round((F.col(p) + F.col("_r") * F.col(g) / F.col("_m")) / dp, 6)).cast("int")
     votes = steps.select("img", place("y", "_gy").alias("y"), place("x", "_gx").alias("x"))
@@ -348,10 +382,7 @@ def hough_circles(px: DataFrame, shape: Shape, dp: float, min_dist: float, param
     """(img, x, y, radius, votes): strict local maxima of the votes, spaced, with the commonest distance of edge pixels."""
     votes, edges = hough_circle_votes(px, shape, dp, param1, min_radius, max_radius)
     frame = Shape(math.ceil(shape.rows / dp), math.ceil(shape.cols / dp))
-    ring = [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    top = neighbours(votes, frame, ring, Border.CONSTANT).groupBy(*KEYS).agg(F.max("v").alias("_top"))
-    inner = F.col("y").between(1, frame.rows - 2) & F.col("x").between(1, frame.cols - 2)
-    centres = votes.where(inner & (val() > int(param2))).join(top, list(KEYS), "left").where(val() > F.coalesce("_top", F.lit(0.0)))
+    centres = local_maxima(votes, frame, True).where(val() > max(int(param2), 0))
     kept = spaced(centres.select("img", (F.col("x") * dp).alias("x"), (F.col("y") * dp).alias("y"), "v"), min_dist, extent=shape)
     # Pixels meet centres by cells as wide as the largest radius: a centre asks its own and the eight around.
     wide = float(max_radius + 1)

@@ -716,7 +716,23 @@ register(
         FROM (SELECT o.*, l.*, round(x * c + y * s, 6) AS t FROM (SELECT k, img, y, x FROM m GROUP BY k, img, y, x HAVING NOT bool_or(taken)) o, l))) WHERE votes >= 4)))""",
     ).replace("WITH", "WITH RECURSIVE", 1),
 )
-register("hough_circles", lambda s, d: r6(features.hough_circles(img8(s, d), S8, 1.0, 2.0, 200.0, 4.0, 1, 3), "x", "y"))
+register(
+    "hough_circles",
+    lambda s, d: r6(features.hough_circles(img8(s, d), S8, 1.0, 2.0, 200.0, 4.0, 1, 3), "x", "y"),
+    sql(
+        "SELECT img, x::DOUBLE AS x, y::DOUBLE AS y, radius, votes FROM (SELECT *, row_number() OVER (PARTITION BY img, y, x ORDER BY n DESC, radius) AS k FROM radii) WHERE k = 1 AND n >= 2",
+        MIRROR.replace("-(i + o)", "0").replace("14 - (i + o)", "7"),
+        GRADIENTS,
+        "edges AS (SELECT img, y, x, gx, gy, sqrt(gx * gx + gy * gy) AS steep FROM gr WHERE sqrt(gx * gx + gy * gy) > 200)",
+        "places AS (SELECT img, round(y + r * gy / steep, 6) AS v, round(x + r * gx / steep, 6) AS u FROM edges, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS r))",
+        "votes AS (SELECT img, y, x, count(*)::DOUBLE AS v FROM (SELECT img, (sign(v) * floor(abs(v) + 0.5))::INT AS y, (sign(u) * floor(abs(u) + 0.5))::INT AS x FROM places) WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 GROUP BY ALL)",
+        "cand AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY v DESC, y, x) AS n FROM votes p WHERE v > 4 AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND NOT EXISTS (SELECT 1 FROM votes q WHERE q.img = p.img AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND (q.y, q.x) <> (p.y, p.x) AND q.v >= p.v))",
+        GOOD[-2].replace("len(t) < 4 AND ", ""),
+        GOOD[-1],
+        "kept AS (SELECT img, o.y AS y, o.x AS x, o.v AS votes FROM (SELECT img, unnest(t) AS o FROM best))",
+        "radii AS (SELECT k.img, k.y, k.x, k.votes, floor(sqrt((e.y - k.y) ** 2 + (e.x - k.x) ** 2) + 0.5)::INT AS radius, count(*) AS n FROM kept k JOIN edges e ON e.img = k.img AND (e.y - k.y) ** 2 + (e.x - k.x) ** 2 BETWEEN 1 AND 9 GROUP BY ALL)",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
 
 
 def fast_sql(kind: str, nonmax: bool) -> str:

@@ -333,6 +333,18 @@ def test_stacks_are_cut_between_images(spark, monkeypatch):
     assert sorted((r["img"], r["y"], r["x"], r["v"]) for r in out.collect()) == [(i, p // 5, p % 5, i * 25 + p + 1) for i in range(40) for p in range(25)]
 
 
+
+def test_stacks_of_sparse_images_are_bounded_by_places(spark, monkeypatch):
+    from rasterloom.operators import dense
+
+    monkeypatch.setattr(dense, "STACK", 60)
+    axis = dense.reaching(5, 0, Border.CONSTANT)
+    px = spark.range(50).selectExpr("id as img", "cast(id % 5 as int) y", "2 as x", "0 as c", "1.0D as v")
+    out = dense.by_tile(px, axis, axis, lambda a, there, *_: {"v": a + len(a), "_keep": there})
+    assert sorted((r["img"], r["y"]) for r in out.collect()) == [(i, i % 5) for i in range(50)]
+    assert {r["v"] for r in out.collect()} <= {2.0, 3.0}  # one or two images of 25 places
+
+
 def test_warp_by_identity(spark):
     m = np.random.default_rng(7).random((5, 5))
     out = geometry.warp_perspective(matrix(spark, m), Shape(5, 5), [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]], 5, 5)
