@@ -1,13 +1,17 @@
 """Repeated substrings against brute force on small alphabets, with a small cover."""
 
+import glob
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import repeats
+from rasterloom.llm.common import CLEANUP, durable
 
 
 def brute(texts, length):
@@ -159,3 +163,18 @@ def test_texts_with_equal_key_bits(spark, documents, monkeypatch):
     texts = ["x" * 30 + "abcdefghijklmnopqrstuvwxyz"[k % 26] * 25 + str(k) for k in range(60)]
     got = {r["doc_id"]: r["kept_sha256"] for r in repeats.repeat_report(documents(list(enumerate(texts))), length=20, v=13).collect()}
     assert got == {i: w[3] for i, w in enumerate(brute(texts, 20))}
+
+
+def test_shuffle_files_go_when_a_table_is_durable(spark):
+    """``repeat_report`` would else hold the files of all its shuffles at once."""
+    jvm = spark.sparkContext._jvm
+    folders = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before = held()
+    made = durable(spark.range(5000).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get(CLEANUP) == "false" and made.count() == 100 and made.agg(F.sum("count")).first()[0] == 5000
