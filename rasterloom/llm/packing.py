@@ -27,18 +27,24 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, kept, slices, tidy
+from .common import durable, kept, slices, text_buffers, tidy
 
 PER_RANK = 500_000  # pieces of one length that one task ranks
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+_STOP = 0xFFFFFFFF  # parts ids; their own two high bytes are never all ones
+_STOP_BYTES = array("I", [_STOP]).tobytes()
 _ODD = regex.compile("[\x1c-\x1f]")
-CACHE = 250_000  # chunks, and words, that a task remembers
+CACHE = 250_000  # chunks that a task remembers
+WORDS = 400_000  # words that it remembers; they take longer to learn again
 
 
 class WordTokenizer:
@@ -64,27 +70,21 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        cut = {}
-        for c in new:
-            if "<|" in c or not (c.isascii() or max(c) < "Ā"):
-                self.chunks[c] = self._whole(c)
-            elif c.isalpha():
-                cut[c] = [c.lower()]
-            elif c[-1] in ".," and c[:-1].isalpha():
-                cut[c] = [c[:-1].lower(), c[-1]]
-            else:
-                cut[c] = _WORDS.findall(c.lower())
-        fresh = list({w for ws in cut.values() for w in ws}.difference(self.words))
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if "<|" not in c and (c.isascii() or max(c) < "Ā")]
+        if len(plain) < len(new):
+            self.chunks |= {c: self._whole(c) for c in set(new).difference(plain)}
+        # All new chunks are cut in one call, and so are all bytes of ids: chunks hold no white space, ids no _STOP.
+        words = _WORDS.findall("\n".join(plain).lower())
+        fresh = list(set(words).difference(self.words, "\n"))
         if fresh:
             e = self.words_only.encode(" ".join(fresh), add_special_tokens=False)
-            ids, of, start = e.ids, e.word_ids, 0
-            for i in range(1, len(ids) + 1):
-                if i == len(ids) or of[i] != of[start]:
-                    self.words[fresh[of[start]]] = array("I", ids[start:i]).tobytes()
-                    start = i
-        for c, ws in cut.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
+            of = np.array(e.word_ids)
+            ids = np.insert(np.array(e.ids, "<u4"), np.flatnonzero(of[1:] != of[:-1]) + 1, _STOP)
+            self.words.update(zip(fresh, ids.tobytes().split(_STOP_BYTES), strict=True))
+        if plain:
+            self.words["\n"] = _STOP_BYTES
+            self.chunks.update(zip(plain, b"".join(map(self.words.__getitem__, words)).split(_STOP_BYTES), strict=True))
 
     def forget(self) -> None:
         """Start anew: learning a task's words again costs little, and a worker's memory is for its next operator."""
@@ -92,13 +92,22 @@ class WordTokenizer:
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > CACHE or len(self.words) > CACHE:
-            self.forget()
-        cut = [None if not self.plain or _ODD.search(text) else text.split() for text in many]
-        new = set().union(*filter(None, cut)).difference(self.chunks)
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        if len(self.words) > WORDS:
+            self.words = {}
+        out: list[bytes | None] = [None if not self.plain or _ODD.search(text) else b"" for text in many]
+        chunks = pc.utf8_split_whitespace(pa.array([text for text, ids in zip(many, out) if ids is not None], pa.large_string()))
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = list(filterfalse(self.chunks.__contains__, distinct))
         if new:
             self._learn(new)
-        return [self._whole(text) if chunks is None else b"".join(map(self.chunks.__getitem__, chunks)) for text, chunks in zip(many, cut)]
+        ids = pa.array(list(map(self.chunks.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        at, data = text_buffers(ids)
+        at = at[chunks.offsets.to_numpy()].tolist()
+        spans = zip(at[:-1], at[1:])
+        return [self._whole(text) if known is None else bytes(data[slice(*next(spans))]) for text, known in zip(many, out)]
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -18,6 +18,25 @@ def test_ids_are_the_tokenizers():
     assert t.encode(CASES) == [t._whole(x) for x in CASES]
 
 
+def test_new_chunks_are_cut_in_one_call(monkeypatch):
+    calls = []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(len(text))
+            return real.findall(text)
+
+    real = packing._WORDS
+    monkeypatch.setattr(packing, "_WORDS", Counted())
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice("abÉÿß'stºµ²½19.,-#\u00ad\u0394<|") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(part() for _ in range(rng.randint(0, 40))) for _ in range(100)]
+    t = packing.WordTokenizer(PACKING_TOKENIZER)
+    assert t.encode(texts) == [t._whole(x) for x in texts] and t.encode(texts[::-1]) == [t._whole(x) for x in texts[::-1]]
+    assert len(t.chunks) > 1000 and len(calls) == 1
+    assert t.encode(["Δ <|endoftext|>"]) == [t._whole("Δ <|endoftext|>")] and t.encode([]) == []
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plans_hold_all_pieces(seed):
     rng = random.Random(seed)
