@@ -606,3 +606,10 @@ def test_tracking_finds_the_shift(spark):
     spots = [(x, y) for x in (20.0, 40.0, 60.0) for y in (20.0, 40.0, 60.0)]
     got = queries.tracked(spark, "/root/testdata/sf0.001").where("img = 0 and status = 1").collect()
     assert len(got) >= 6 and all(abs(r["x"] - spots[r["id"]][0] + 1) < 0.1 and abs(r["y"] - spots[r["id"]][1]) < 0.1 for r in got)
+
+
+def test_equal_products_are_a_tie(spark):
+    m = [[140, 181, 139, 131, 135, 98, 115, 134], [115, 124, 166, 131, 185, 182, 93, 111], [158, 177, 119, 89, 78, 120, 93, 133], [149, 160, 116, 135, 104, 99, 123, 177]]
+    m += [[84, 104, 177, 148, 167, 178, 191, 129], [153, 115, 98, 91, 124, 109, 94, 148], [118, 103, 108, 173, 169, 155, 130, 71], [101, 128, 124, 97, 100, 122, 131, 123]]
+    r = features.corner_eigen_vals_and_vecs(matrix(spark, m), Shape(8, 8), 3).where("y = 7 and x = 0").first()  # ixx = iyy = 1352, ixy = 0
+    assert [r[n] for n in ("l1", "l2", "x1", "y1", "x2", "y2")] == [1352.0, 1352.0, 1.0, 0.0, 0.0, 1.0]
