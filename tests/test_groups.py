@@ -42,6 +42,7 @@ def poses(spark, planes=False, lens=(), outliers=False, guess=False):
 
 
 VARIANTS = {
+    "lens": dict(lens=LENS),
     "guess": dict(guess=True),
     "ransac_planes_lens": dict(planes=True, lens=LENS, outliers=True),
 }
@@ -59,3 +60,14 @@ def test_poses_in_tasks(spark, monkeypatch, name):
         assert (got[group][0] is None) == (want[group][0] is None) == (group in (3, None))
         if group in (1, 2):
             assert np.allclose(got[group][0], want[group][0], atol=1e-6) and np.allclose(got[group][0], POSE, atol=0.02)
+
+
+@pytest.mark.parametrize("lens", [(), LENS[:4], LENS[:5], LENS])
+def test_pose_sums_against_differences(lens):
+    camera, rng = estimation.Camera(np.array(K), lens), np.random.default_rng(7)
+    x = rng.uniform(-1, 1, (50, 3))
+    seen = estimation.project(x, POSE, camera) + rng.normal(0, 2, (50, 2))
+    off = lambda p, rows: (estimation.project(x, p, camera) - seen).ravel()
+    for pose in (POSE + 0.05, np.array([0, 0, 0, 0.1, 0.2, 5.0]), np.array([1e-6, -2e-6, 0, 0.1, 0.2, 5.0])[:6]):
+        got, want = estimation._pose_sums(camera, np.column_stack([x, seen]).T)(pose), estimation.normal_sums(pose, None, off)
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-3 * np.abs(want).max() * 1e-3)
