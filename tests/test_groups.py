@@ -42,6 +42,7 @@ def poses(spark, planes=False, lens=(), outliers=False, guess=False):
 
 
 VARIANTS = {
+    "planes": dict(planes=True),
     "lens": dict(lens=LENS),
     "guess": dict(guess=True),
     "ransac_planes_lens": dict(planes=True, lens=LENS, outliers=True),
