@@ -42,6 +42,7 @@ def poses(spark, planes=False, lens=(), outliers=False, guess=False):
 
 
 VARIANTS = {
+    "plain": {},
     "ransac": dict(outliers=True),
     "planes": dict(planes=True),
     "lens": dict(lens=LENS),
