@@ -74,3 +74,19 @@ def test_pose_sums_against_differences(lens):
     for pose in (POSE + 0.05, np.array([0, 0, 0, 0.1, 0.2, 5.0]), np.array([1e-6, -2e-6, 0, 0.1, 0.2, 5.0])[:6]):
         got, want = estimation._pose_sums(camera, np.column_stack([x, seen]).T)(pose), estimation.normal_sums(pose, None, off)
         assert np.allclose(got, want, rtol=1e-5, atol=1e-3 * np.abs(want).max() * 1e-3)
+
+
+def test_lm_fit_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(x), float(g + 0.5 * x + e)) for g, n in ((1, 50), (2, 30), (3, 1)) for x, e in zip(rng.uniform(0, 9, n), rng.normal(0, 0.1, n))]
+    points = spark.createDataFrame([*rows, (None, 1.0, 2.0)], "group long, x double, y double").repartition(3)
+    line = lambda p, df: p[0] + p[1] * df["x"].to_numpy() - df["y"].to_numpy()
+    fitted = lambda: {r["group"]: (r["model"], r["n_points"]) for r in estimation.lm_fit(points, [0.0, 0.0], line).collect()}
+    n, got = jobs(spark, fitted)
+    assert n <= 15
+    monkeypatch.setattr(groups, "WHOLE", 3)
+    want = fitted()
+    assert set(got) == set(want) == {1, 2, 3} and all(got[g][1] == want[g][1] for g in got)
+    for g in (1, 2):
+        x, y = np.array([r[1:] for r in rows if r[0] == g]).T
+        assert np.allclose(got[g][0], want[g][0], atol=1e-6) and np.allclose(got[g][0], np.polyfit(x, y, 1)[::-1], atol=1e-6)
