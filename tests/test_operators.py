@@ -613,3 +613,20 @@ def test_equal_products_are_a_tie(spark):
     m += [[84, 104, 177, 148, 167, 178, 191, 129], [153, 115, 98, 91, 124, 109, 94, 148], [118, 103, 108, 173, 169, 155, 130, 71], [101, 128, 124, 97, 100, 122, 131, 123]]
     r = features.corner_eigen_vals_and_vecs(matrix(spark, m), Shape(8, 8), 3).where("y = 7 and x = 0").first()  # ixx = iyy = 1352, ixy = 0
     assert [r[n] for n in ("l1", "l2", "x1", "y1", "x2", "y2")] == [1352.0, 1352.0, 1.0, 0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize(("clip", "bits", "shift"), [(3.0, 16, 0), (0.0, 12, 2), (40.0, 8, 0)])
+def test_clahe_in_tasks_and_spread(spark, monkeypatch, clip, bits, shift):
+    rng, shape = np.random.default_rng(8), Shape(9, 14, 2)
+    m = rng.integers(0, 1 << bits, (9, 14, 2)).astype(float)
+    m[2:5, 3:9] = m[0, 0]  # bins to be cut
+    m[8, 13, 0] = -1.0  # counts nowhere, and has no result
+    px = matrix(spark, m).where("not (y = 1 and x in (2, 3))").cache()
+    run = lambda p: {(r["y"], r["x"], r["c"]): r["v"] for r in histogram.clahe(p, shape, clip, (3, 2), bits, shift).collect()}
+    whole = run(px)
+    one = {(y, x, 1): v for (y, x, _), v in run(px.where("c = 1").withColumn("c", F.lit(0))).items()}
+    assert len(whole) == 9 * 14 * 2 - 5 and {k: v for k, v in whole.items() if k[2] == 1} == one  # a channel is an image of its own
+    plan = histogram.clahe(px, shape, clip, (3, 2), bits, shift)._jdf.queryExecution().toString()
+    assert "explode" not in plan.lower() and "Window" not in plan  # no table of all bins
+    monkeypatch.setattr("rasterloom.operators.dense.TILE", 8)
+    assert run(px) == whole
