@@ -630,3 +630,25 @@ def test_clahe_in_tasks_and_spread(spark, monkeypatch, clip, bits, shift):
     assert "explode" not in plan.lower() and "Window" not in plan  # no table of all bins
     monkeypatch.setattr("rasterloom.operators.dense.TILE", 8)
     assert run(px) == whole
+
+
+def test_tracking_with_kept_pyramids_in_tasks(spark, monkeypatch):
+    from rasterloom.operators import dense, flow
+
+    m = np.random.default_rng(9).random((40, 44)) * 200
+    shape, points = Shape(40, 44), spark.createDataFrame([(g, k, float(x), float(y)) for g in (0, 7) for k, (x, y) in enumerate(((15, 15), (24, 20), (2, 37)))], "img long, id long, x double, y double")
+    a = neighbourhood.gaussian_blur(matrix(spark, m), shape, (7, 7), 2.0).where("not (y = 30 and x < 9)")
+    b = neighbourhood.gaussian_blur(matrix(spark, np.roll(m, 1, 1)), shape, (7, 7), 2.0)
+
+    def rows():
+        before, after = (flow.build_optical_flow_pyramid(p, shape, (9, 9), 1) for p in (a, b))
+        df = flow.track_with_pyramids(before, after, points, (9, 9), Criteria(4, 0.05))
+        return {(r["img"], r["id"]): (r["x"], r["y"], r["status"], r["error"]) for r in df.collect()}
+
+    monkeypatch.setattr(flow, "durable", lambda df: 1 / 0)  # no rounds of jobs
+    small = rows()
+    monkeypatch.undo()
+    monkeypatch.setattr(dense, "TILE", 32)
+    large = rows()
+    assert len(small) == 6 and {s[2] for s in small.values()} == {0, 1} and small.keys() == large.keys()
+    assert all(s[2] == large[k][2] and np.allclose(s[:2], large[k][:2]) and (s[2] == 0 or np.isclose(s[3], large[k][3])) for k, s in small.items())
